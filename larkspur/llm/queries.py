@@ -7,7 +7,7 @@ import importlib.resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import line_dedup, media, mixing, token_counts
+from larkspur.llm import html_extract, line_dedup, media, mixing, pieces, token_counts, toxicity
 from larkspur.session import table
 
 
@@ -16,10 +16,27 @@ def vocabulary(name: str) -> str:
     return str(importlib.resources.files("public_tokenizers") / name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    rows = toxicity.score(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("nearest").alias("evidence"), "cosine")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = pieces.vocabulary_for(spark, vocabulary("piece_bpe_32k.model"))
+    docs = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab), vocab)
+    return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.when(F.col("text").isNotNull(), F.size("__lines")).cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"), F.col("__text").alias("text"))
@@ -34,5 +51,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op8_line_dedup, op9_mixing, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_toxicity, op4_token_counts, op6_pieces, op8_line_dedup, op9_mixing, op10_media)}
 ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE}
