@@ -245,7 +245,7 @@ def encode(docs: DataFrame, vocabulary, text: str = "text", ids: str = "ids") ->
         encoder, at = Encoder(vocabulary.value), columns.index(text)
         return lambda b: dict(zip(columns, b.columns, strict=True)) | {ids: list_array(encoder(b.column(at).to_pylist()))}
 
-    return map_rows(rows, rows.schema.add(ids, T.ArrayType(T.IntegerType())), make)
+    return map_rows(rows, T.StructType([*rows.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))]), make)
 
 
 def decode(rows: DataFrame, vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -266,4 +266,4 @@ def decode(rows: DataFrame, vocabulary, ids: str = "ids", text: str = "decoded")
         return f
 
     rows = rows.select(*columns)
-    return map_rows(rows, rows.schema.add(text, "string"), make)
+    return map_rows(rows, T.StructType([*rows.schema, T.StructField(text, T.StringType())]), make)

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm.common import crc_of_id, map_rows, prepare
 from larkspur.session import written
@@ -284,11 +285,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
 
         return f
 
-    fields = docs.select(*keep).schema
-    near = docs.schema[key].dataType
-    for name, kind in (("score", "double"), ("nearest", near), ("cosine", "double")):
-        fields = fields.add(name, kind)
-    return map_rows(rows, fields, make)
+    own = (("score", T.DoubleType()), ("nearest", docs.schema[key].dataType), ("cosine", T.DoubleType()))
+    return map_rows(rows, T.StructType([*rows.drop("__t").schema, *(T.StructField(n, t) for n, t in own)]), make)
 
 
 def held_out(key: str = "doc_id") -> Column:
