@@ -7,7 +7,7 @@ import importlib.resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import html_extract, line_dedup, media, mixing, pieces, token_counts, toxicity
+from larkspur.llm import html_extract, jaccard_join, line_dedup, media, mixing, pieces, token_counts, toxicity
 from larkspur.session import table
 
 
@@ -31,6 +31,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = pieces.vocabulary_for(spark, vocabulary("piece_bpe_32k.model"))
     docs = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab), vocab)
@@ -51,5 +55,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_toxicity, op4_token_counts, op6_pieces, op8_line_dedup, op9_mixing, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_pieces, op8_line_dedup, op9_mixing, op10_media)}
 ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE}
