@@ -7,7 +7,7 @@ import importlib.resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import html_extract, jaccard_join, line_dedup, media, mixing, pieces, token_counts, toxicity
+from larkspur.llm import embedding_dedup, html_extract, jaccard_join, line_dedup, media, mixing, pieces, token_counts, toxicity
 from larkspur.session import table
 
 
@@ -20,6 +20,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
@@ -55,5 +59,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_pieces, op8_line_dedup, op9_mixing, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_embedding_dedup, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_pieces, op8_line_dedup, op9_mixing, op10_media)}
 ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE}
