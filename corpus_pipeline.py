@@ -1,4 +1,8 @@
-"""The training-data pipeline: stages over documents, each written and read again as the next one's input."""
+"""The training-data pipeline: stages over documents, each written and read again as the next one's input.
+
+Every stage works on all rows that its predecessor kept and, but for the last, returns the columns of documents.
+Null and empty texts pass all stages; documents with a null key are never near-duplicates of others.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +11,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import line_dedup, mixing
+from larkspur.llm import jaccard_join, line_dedup, mixing, pieces, toxicity
+from larkspur.llm.queries import vocabulary
 from larkspur.session import table, written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return toxicity.score(docs, model, keep=docs.columns).filter("score < 0.7").select(*docs.columns)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that earlier documents hold; n_chars follows."""
     out = line_dedup.line_dedup(docs)
     return out.select(*[(F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest key."""
+    others = jaccard_join.classes(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, each as often as the mix takes it."""
     return mixing.curriculum(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("line dedup", dedup_lines), ("mixing", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their pieces, the number of these, and whether decoding gives the text back."""
+    vocab = pieces.vocabulary_for(spark, vocabulary("piece_bpe_32k.model"))
+    out = pieces.decode(pieces.encode(docs, vocab), vocab)
+    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("pieces", encode),
+]
+
+#: Toxicity, hash order and Viterbi paths aren't SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -17,7 +17,8 @@ to components. Then every run that still spans components has all its pairs acro
 out of comparison therefore lies within a component: no link between texts is lost, and a group of copies costs its
 size, not its square.
 
-Null texts and those without words have an empty set and link with nothing; with fewer than five words the whole
+Null texts and those without words have an empty set and link with nothing, as do rows with a null key, whose other
+columns are null in the result; with fewer than five words the whole
 sequence is one shingle. Rows that repeat a key must repeat its text; each such row gets the key's class. Extra columns
 are ignored. Hashes of 64 bits are taken for shingles: two different ones in a pair of texts are mixed up less than once in 10^12 pairs.
 """
@@ -228,6 +229,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     spark = docs.sparkSession
     prepare(spark)
     digest = F.coalesce(F.md5(F.encode(F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "utf-8")), F.lit(""))
+    missing = docs.filter(F.col(key).isNull()).select(key, F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    docs = docs.filter(F.col(key).isNotNull())
     rows = written(docs.select(F.col(key).cast("long").alias("k"), digest.alias("d"), F.octet_length(text).alias("o")))
     firsts = written(rows.groupBy("d").agg(F.min("k").alias("rep"), F.max("o").alias("o")))
     total = firsts.agg(F.sum("o")).first()[0] or 0
@@ -254,4 +257,5 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     more = written(alike(across, reps))
     final = components(links.unionByName(more)) if more.limit(1).count() else now
     out = rows.join(firsts.select("d", "rep"), "d").join(sizes, "rep").join(final, F.col("rep") == F.col("node"), "left")
-    return out.select(F.col("k").alias(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("k")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+    found = out.select(F.col("k").cast(docs.schema[key].dataType).alias(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("k")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+    return found.unionByName(missing)

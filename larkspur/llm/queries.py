@@ -7,7 +7,7 @@ import importlib.resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import embedding_dedup, html_extract, jaccard_join, line_dedup, media, mixing, pieces, token_counts, toxicity
+from larkspur.llm import embedding_dedup, html_extract, jaccard_join, line_dedup, lm_score, media, mixing, pieces, token_counts, toxicity
 from larkspur.session import table
 
 
@@ -45,6 +45,11 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~lm_score.held_out())
+    return rows.select("doc_id", lm_score.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.when(F.col("text").isNotNull(), F.size("__lines")).cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"), F.col("__text").alias("text"))
@@ -59,5 +64,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_embedding_dedup, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_pieces, op8_line_dedup, op9_mixing, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_embedding_dedup, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_pieces, op7_lm_score, op8_line_dedup, op9_mixing, op10_media)}
 ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE}

@@ -263,7 +263,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
     keep = keep or [key]
-    rows = docs.select(*keep, F.col(text).alias("__t"))
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("__t"))
+    at = keep.index(text) if text in keep else len(keep)
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         m = shared.value
@@ -272,15 +273,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
         def one(x: str | None) -> tuple[float, int, float]:
             counts = bag(x)
             # without a term of the vocabulary, only whether there are words at all counts
-            at = tuple(sorted(counts.items())) if len(counts) > 1 or len(m.vocabulary) not in counts else "others"
-            if at not in known:
+            found = tuple(sorted(counts.items())) if len(counts) > 1 or len(m.vocabulary) not in counts else "others"
+            if found not in known:
                 if len(known) > REMEMBERED:
                     known.clear()
-                known[at] = m.score(*vector(counts, m.idf))
-            return known[at]
+                known[found] = m.score(*vector(counts, m.idf))
+            return known[found]
 
         def f(b: pa.RecordBatch) -> dict:
-            got = [one(x) for x in b.column(len(keep)).to_pylist()]
+            got = [one(x) for x in b.column(at).to_pylist()]
             return dict(zip(keep, b.columns, strict=False)) | {"score": [g[0] for g in got], "nearest": [None if g[1] < 0 else m.index.keys[g[1]].item() for g in got], "cosine": [g[2] for g in got]}
 
         return f
