@@ -1,22 +1,25 @@
-"""Every registered query with its SQL."""
+"""Every registered query of the engine's own operators, with its SQL for an independent engine."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from larkspur.session import table
+from larkspur.plans import corpus, evaluation, history, scalar_queries
+
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (history, corpus, evaluation, scalar_queries)
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Interval-censored lifecycles of all jobs."""
+    return history.lifecycle_intervals(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
