@@ -1,4 +1,297 @@
-"""Queries."""
+"""Queries over events, runs, steps, evidence and cases: policy, pairing, metrics, leakage, learning.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Orders stand for runs: three consecutive orders share a case, one for each of the systems A, B and R.
+Line items stand for steps and evidence of their order's run.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.operators import asof, leakage, metrics, policy
+from larkspur.session import table
+
+ACTIONS = "CASE o_totalprice_bucket % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'wait' WHEN 2 THEN 'apply_now' ELSE 'quick_apply' END"
+
+
+def ctes(dialect: str) -> str:
+    """runs, steps, evidence and company events, in either dialect."""
+    spark = dialect == "spark"
+    orders, lineitem = ("{orders}", "{lineitem}") if spark else ("orders", "lineitem")
+    ts = lambda c: f"CAST({c} AS TIMESTAMP)"
+    plus = lambda c, n: f"{ts(c)} + make_dt_interval(CAST({n} AS INT))" if spark else f"{ts(c)} + to_days(CAST({n} AS INT))"
+    div = lambda a, b: f"CAST(floor({a} / {b}) AS BIGINT)"
+    return f"""
+run AS (SELECT o_orderkey AS run_id, {div("o_orderkey", "3.0")} AS case_id, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'R' END AS system,
+  CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE {plus("TIMESTAMP '1998-01-01'", div("o_orderkey", "3.0") + " % 900")} END AS replay_at, {ts("o_orderdate")} AS started_at,
+  CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN 'failed' ELSE 'completed' END AS status,
+  CASE {div("o_totalprice", "50000.0")} % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'wait' WHEN 2 THEN 'apply_now' ELSE 'quick_apply' END AS action FROM {orders}),
+step AS (SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS step_index, CASE l_returnflag WHEN 'A' THEN 'probe' WHEN 'N' THEN 'controller' ELSE 'model' END AS component,
+  'probe' || CAST(l_suppkey % 6 AS {"STRING" if spark else "VARCHAR"}) AS probe_name, l_partkey % 4 AS args_hash, CASE WHEN l_linestatus = 'O' THEN 'hit' ELSE 'miss' END AS cache_status, l_discount AS cost_usd, l_tax AS latency_s,
+  CASE WHEN l_quantity > 45 THEN 'net_call:GET' WHEN l_quantity > 20 THEN 'policy_decision:P' || CAST(l_linenumber AS {"STRING" if spark else "VARCHAR"}) ELSE 'model_call:tokens=' || CAST(l_partkey AS {"STRING" if spark else "VARCHAR"}) || '/12' END AS decision_type FROM {lineitem}),
+evidence AS (SELECT l_orderkey AS run_id, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS evidence_id, 'probe' || CAST(l_suppkey % 7 AS {"STRING" if spark else "VARCHAR"}) AS probe,
+  CASE l_linenumber % 4 WHEN 0 THEN 'first_published' WHEN 1 THEN 'posting_state' WHEN 2 THEN 'board_absent' ELSE 'event' END AS claim_type, CASE WHEN l_partkey % 3 = 0 THEN 'closed' ELSE ' Open ' END AS value,
+  CASE l_suppkey % 3 WHEN 0 THEN 'ats_native' WHEN 1 THEN 'page_structured' ELSE 'archive' END AS source_quality, 'u' || CAST(l_suppkey % 5 AS {"STRING" if spark else "VARCHAR"}) AS source_url,
+  {ts("l_shipdate")} AS available_at, {plus("l_shipdate", "l_linenumber")} AS fetched_at, CASE WHEN l_partkey % 6 <> 0 THEN {plus("l_shipdate", "l_partkey % 9 - 4")} END AS source_event_at FROM {lineitem}),
+event AS (SELECT o_custkey % 10 AS company_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'layoff' WHEN '2-HIGH' THEN 'hiring_freeze' WHEN '3-MEDIUM' THEN 'funding' WHEN '4-NOT SPECIFIED' THEN 'expansion' ELSE 'other' END AS event_type,
+  {ts("o_orderdate")} AS event_at, {plus("o_orderdate", "o_orderkey % 20")} AS available_at, CASE WHEN o_orderkey % 4 = 0 THEN 'minor' ELSE 'material' END AS materiality FROM {orders} WHERE o_orderkey % 50 < 3)"""
+
+
+DUCK = ctes("duck")
+
+
+def part(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.sql(f"WITH {ctes('spark')} SELECT * FROM {name}", orders=table(spark, sf, "orders"), lineitem=table(spark, sf, "lineitem"))
+
+
+def latest(spark: SparkSession, sf: str) -> DataFrame:
+    # every fifth run repeats its case, so that there are duplicates
+    runs = part(spark, sf, "run").withColumn("case_id", F.when(F.col("run_id") % 5 == 0, F.floor(F.col("case_id") / 2)).otherwise(F.col("case_id")))
+    return metrics.latest_by_case(runs.filter("status = 'completed'"), ["case_id"], ["started_at", "run_id"])
+
+
+LATEST = f"{DUCK}, cr AS (SELECT * REPLACE (CASE WHEN run_id % 5 = 0 THEN CAST(floor(case_id / 2) AS BIGINT) ELSE case_id END AS case_id) FROM run WHERE status = 'completed'), lat AS (SELECT *, count(*) OVER (PARTITION BY system, case_id) - 1 AS duplicates FROM cr QUALIFY row_number() OVER (PARTITION BY system, case_id ORDER BY started_at DESC, run_id DESC) = 1)"
+PAIRS = f"{LATEST}, par AS (SELECT case_id, max(action) FILTER (system = 'A') AS \"A\", max(action) FILTER (system = 'B') AS \"B\", max(action) FILTER (system = 'R') AS \"R\" FROM lat GROUP BY case_id)"
+
+
+def latest_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return latest(spark, sf).select("system", "case_id", "run_id", "action", "duplicates")
+
+
+def pairs_of(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.paired(latest(spark, sf), ["case_id"], ["A", "B", "R"], "action")
+
+
+def paired_cases(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs_of(spark, sf)
+
+
+def agreement(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pairs_of(spark, sf)
+    out = [metrics.agreement(rows, "A", s).withColumn("system", F.lit(s)) for s in ("B", "R")]
+    return out[0].unionByName(out[1]).select("system", "compared", F.round("agreement", 6).alias("agreement"), F.round("macro_agreement", 6).alias("macro_agreement"))
+
+
+def confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.confusion(pairs_of(spark, sf), "A", "B")
+
+
+def exclusive_gains(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.exclusive_gains(pairs_of(spark, sf), "A", "B", "R")
+
+
+def tiers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("probe0", "low"), ("probe1", "low"), ("probe2", "medium"), ("probe3", "medium"), ("probe4", "high")], "probe_name string, tier string")
+
+
+def step_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    out = metrics.step_metrics(part(spark, sf, "run"), part(spark, sf, "step"), tiers(spark))
+    return out.select("system", "runs", "low_probes", "medium_probes", "high_probes", "hits", "probes", "repeats", F.round("cost_usd", 4).alias("cost_usd"), F.round("latency_s", 4).alias("latency_s"), F.round("probes_per_run", 6).alias("probes_per_run"))
+
+
+def probe_order(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.probe_order(part(spark, sf, "step")).select("run_id", F.array_join("probes", ">").alias("probes"))
+
+
+def unnecessary_steps(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.unnecessary_steps(part(spark, sf, "step"), part(spark, sf, "evidence"))
+
+
+def citation_support(spark: SparkSession, sf: str) -> DataFrame:
+    reasons = part(spark, sf, "step").select("run_id", F.col("step_index").alias("reason_index"), F.when(F.col("step_index") % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.col("run_id") * 1000 + F.col("step_index"), F.col("run_id") * 1000 + 3)).alias("evidence_ids"))
+    out = metrics.citation_support(reasons, part(spark, sf, "evidence"))
+    return out.withColumn("support_rate", F.round("support_rate", 6))
+
+
+def branch_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from larkspur.functions.scalars import prefix_argument
+
+    return part(spark, sf, "step").withColumn("branch", prefix_argument("decision_type", "policy_decision")).filter("branch is not null").groupBy("branch").agg(F.count("*").alias("n"))
+
+
+def token_sums(spark: SparkSession, sf: str) -> DataFrame:
+    got = F.regexp_extract("decision_type", "^model_call:tokens=([0-9]+)/([0-9]+)$", 1)
+    rows = part(spark, sf, "step").filter(got != "")
+    return rows.groupBy("component").agg(F.sum(got.cast("long")).alias("tokens_in"), F.sum(F.regexp_extract("decision_type", "/([0-9]+)$", 1).cast("long")).alias("tokens_out"))
+
+
+def event_signals(spark: SparkSession, sf: str) -> DataFrame:
+    cases = part(spark, sf, "run").filter("system = 'A' and replay_at is not null").select("case_id", (F.col("case_id") % 10).alias("company_id"), "replay_at", (F.col("case_id") % 11 != 0).alias("searched"))
+    return policy.event_signals(cases, part(spark, sf, "event"), 30).select("case_id", "material_negative_event", "freeze_or_pause", "last_material_event_at")
+
+
+def contradictions(spark: SparkSession, sf: str) -> DataFrame:
+    return policy.contradictions(part(spark, sf, "evidence"))
+
+
+INPUTS = {
+    "posting_state": "CASE case_id % 7 WHEN 0 THEN 'closed' WHEN 1 THEN NULL WHEN 2 THEN 'unknown' WHEN 3 THEN 'reposted' ELSE 'open' END",
+    "failures": "CASE WHEN case_id % 23 = 0 THEN 1 ELSE 0 END",
+    "primary_publish": "case_id % 13 <> 0",
+    "contradiction": "case_id % 9 = 0",
+    "freeze_or_pause": "CASE WHEN case_id % 17 = 0 THEN NULL ELSE case_id % 19 = 0 END",
+    "material_negative_event": "CASE WHEN case_id % 17 = 0 THEN NULL ELSE case_id % 5 = 0 END",
+    "long_lived": "CASE WHEN case_id % 3 = 0 THEN NULL ELSE case_id % 2 = 0 END",
+    "repost_pattern": "CASE case_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'changed' WHEN 2 THEN 'repeated_unchanged' END",
+    "corroborating_hiring_signal": "CASE case_id % 6 WHEN 0 THEN NULL WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE false END",
+    "publish_recency": "CASE case_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'old' ELSE 'recent' END",
+}
+
+
+def inputs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = part(spark, sf, "run").filter("system = 'A' and replay_at is not null").select("case_id", "replay_at").distinct()
+    rows = rows.select("*", *[F.expr(e).alias(c) for c, e in INPUTS.items()])
+    rows = rows.withColumn("declared_expiry", F.expr("CASE WHEN case_id % 12 = 0 THEN replay_at + make_dt_interval(cast(case_id % 40 - 5 as int), 7) END")).withColumn("last_material_event_at", F.expr("CASE WHEN case_id % 10 = 0 THEN replay_at - interval 9 days WHEN case_id % 5 = 0 THEN replay_at - interval 2 days END")).withColumn("last_refreshed_at", F.expr("CASE WHEN case_id % 4 <> 0 THEN replay_at - interval 5 days END"))
+    return rows.withColumn("q", policy.evidence_quality()).withColumn("quality", F.col("q.quality")).withColumn("rule", F.col("q.rule")).drop("q")
+
+
+def decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return policy.decided(inputs(spark, sf)).select("case_id", "quality", "rule", "branch", "action", "recheck_after_days")
+
+
+def unpopulated_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["posting_state", "freeze_or_pause", "long_lived", "repost_pattern", "corroborating_hiring_signal", "publish_recency"]
+    return inputs(spark, sf).select("case_id", F.array_join(policy.unpopulated(names), ",").alias("unpopulated"))
+
+
+def routed_probes(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["posting_state", "freeze_or_pause", "long_lived", "repost_pattern", "corroborating_hiring_signal", "publish_recency"]
+    gives = {"board_history": ["long_lived", "repost_pattern"], "team_signal": ["corroborating_hiring_signal"], "company_events": ["freeze_or_pause"], "resolve": ["posting_state", "publish_recency"]}
+    rows = inputs(spark, sf).withColumn("unknown", policy.unpopulated(names))
+    for p, g in gives.items():
+        rows = rows.withColumn(f"gives_{p}", F.array(*map(F.lit, g)))
+    return rows.select("case_id", F.array_join(policy.routed({"board_history": 1.0, "team_signal": 3.0, "company_events": 3.0, "resolve": 10.0}, 2), ",").alias("probes"))
+
+
+def budget_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    rows = policy.budget(part(spark, sf, "step").select("run_id", "step_index", "cost_usd", "latency_s"), {"cost_usd": 0.15, "latency_s": 0.12})
+    return rows.groupBy("run_id").agg(F.count("*").alias("steps"), F.count_if(F.col("allowed")).alias("allowed"), F.round(F.max("spent_cost_usd"), 4).alias("spent"))
+
+
+def outcome_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.expr("CASE (conv_id + turn) % 7 WHEN 0 THEN 'applied' WHEN 1 THEN 'reply' WHEN 2 THEN 'screen' WHEN 3 THEN 'interview' WHEN 4 THEN 'offer' WHEN 5 THEN 'rejection' ELSE 'silence' END")
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("posting_id"), kind.alias("outcome_type"))
+    actions = part(spark, sf, "run").filter("system = 'A'").groupBy(F.col("case_id").alias("posting_id")).agg(F.max("action").alias("action")).filter("posting_id % 6 <> 0")
+    out = metrics.outcome_funnel(rows, actions)
+    return out.withColumn("applied_per_reply", F.round("applied_per_reply", 6)).withColumn("applied_per_interview", F.round("applied_per_interview", 6))
+
+
+def gate(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pairs_of(spark, sf)
+    b, r = (metrics.agreement(rows, "A", s).withColumn("cost", F.lit(c)) for s, c in (("B", 0.6), ("R", 1.0)))
+    return metrics.agent_gate(b, r)
+
+
+def cache_of(spark: SparkSession, sf: str) -> DataFrame:
+    return part(spark, sf, "evidence").filter("evidence_id % 40 = 1").select("probe", "fetched_at", F.expr("fetched_at + interval 2 days").alias("expires_at"))
+
+
+def leakage_audit(spark: SparkSession, sf: str) -> DataFrame:
+    runs, steps, evidence = (part(spark, sf, n) for n in ("run", "step", "evidence"))
+    needs = spark.createDataFrame([("apply_now", "published", "first_published"), ("apply_now", "state", "posting_state"), ("skip", "state", "posting_state"), ("skip", "state", "board_absent")], "branch string, input string, claim_type string")
+    branches = runs.select("run_id", F.col("action").alias("branch"))
+    return leakage.audit([leakage.after_moment(evidence, runs), leakage.cache_misses(steps), leakage.net_calls(steps), leakage.missing_moment(runs), leakage.unbacked_inputs(branches, needs, evidence)])
+
+
+def leakage_fetched_after(spark: SparkSession, sf: str) -> DataFrame:
+    evidence = part(spark, sf, "evidence").filter("run_id % 50 = 0")
+    return leakage.fetched_after(evidence, cache_of(spark, sf).filter("unix_micros(fetched_at) % 7 < 4"), part(spark, sf, "run"), 24)
+
+
+def resume(spark: SparkSession, sf: str) -> DataFrame:
+    runs = part(spark, sf, "run")
+    return asof.remaining(runs.select("case_id").distinct(), runs.filter("system = 'B' and status = 'completed'"), ["case_id"]).agg(F.count("*").alias("n"), F.min("case_id").alias("first"), F.max("case_id").alias("last"))
+
+
+def shard_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from larkspur.functions.scalars import shard_of
+
+    return part(spark, sf, "run").withColumn("shard", shard_of("case_id", "system", shards=8)).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+def holdout_breach(spark: SparkSession, sf: str) -> DataFrame:
+    runs = part(spark, sf, "run").select((F.col("case_id") % 37).alias("company_id"))
+    return asof.holdout_breach(runs, runs.filter("company_id % 9 = 4"))
+
+
+def repeated_cases(spark: SparkSession, sf: str) -> DataFrame:
+    rows = part(spark, sf, "step")
+    return asof.repeated_keys(rows, ["run_id", "probe_name", "args_hash"])
+
+
+def visible_events(spark: SparkSession, sf: str) -> DataFrame:
+    cases = part(spark, sf, "run").filter("system = 'B' and replay_at is not null and case_id % 20 = 0").select("case_id", (F.col("case_id") % 10).alias("company_id"), "replay_at")
+    return asof.at_each(cases, part(spark, sf, "event").withColumnRenamed("available_at", "seen_at"), ["company_id"], "seen_at").groupBy("case_id").agg(F.count("*").alias("events"), F.max("event_at").alias("latest_event_at"))
+
+
+def ranker(spark: SparkSession, sf: str) -> DataFrame:
+    """Logistic regression of the quality label on embeddings joined by id, against the majority: what a learned ranker would have to beat."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    rows = table(spark, sf, "labels").filter("quality is not null").join(table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    rows = rows.select("doc_id", F.col("quality").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    train, test = rows.filter("pmod(xxhash64(doc_id), 4) <> 0"), rows.filter("pmod(xxhash64(doc_id), 4) = 0")
+    found = LogisticRegression(maxIter=100, regParam=0.01).fit(train).transform(test)
+    auc = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(found)
+    return found.agg(F.count("*").alias("tested"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 4).alias("accuracy"), F.round(F.avg("label"), 4).alias("share")).withColumn("auc", F.lit(round(auc, 4)))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        latest_runs, paired_cases, agreement, confusion, exclusive_gains, step_metrics, probe_order, unnecessary_steps, citation_support, branch_counts, token_sums, event_signals, contradictions, decisions, unpopulated_inputs,
+        routed_probes, budget_ledger, outcome_funnel, gate, leakage_audit, leakage_fetched_after, resume, shard_counts, holdout_breach, repeated_cases, visible_events, ranker,
+    )
+}
+
+AGREE = "SELECT '{s}' AS system, count(*) AS compared, round(avg(CAST(coalesce(\"A\" = \"{s}\", false) AS INT)), 6) AS agreement, round((SELECT avg(m) FROM (SELECT avg(CAST(coalesce(\"A\" = \"{s}\", false) AS INT)) AS m FROM par WHERE \"A\" IS NOT NULL GROUP BY \"A\")), 6) AS macro_agreement FROM par WHERE \"A\" IS NOT NULL"
+CASES = f"{DUCK}, ca AS (SELECT DISTINCT case_id, replay_at FROM run WHERE system = 'A' AND replay_at IS NOT NULL), inp AS (SELECT case_id, replay_at, {', '.join(f'{e} AS {c}' for c, e in INPUTS.items())}, CASE WHEN case_id % 12 = 0 THEN replay_at + to_days(CAST(case_id % 40 - 5 AS INT)) + INTERVAL 7 HOUR END AS declared_expiry, CASE WHEN case_id % 10 = 0 THEN replay_at - INTERVAL 9 DAY WHEN case_id % 5 = 0 THEN replay_at - INTERVAL 2 DAY END AS ev, CASE WHEN case_id % 4 <> 0 THEN replay_at - INTERVAL 5 DAY END AS rf FROM ca)"
+DECIDE = f"""{CASES}, q AS (SELECT *, CASE WHEN failures > 0 THEN 'probe_failure' WHEN NOT primary_publish THEN 'no_primary_publish_evidence' WHEN posting_state IS NULL OR posting_state = 'unknown' THEN 'posting_state_unknown' WHEN contradiction THEN 'contradiction' ELSE 'strong' END AS rule FROM inp),
+q2 AS (SELECT *, CASE rule WHEN 'strong' THEN 'strong' WHEN 'contradiction' THEN 'mixed' ELSE 'weak' END AS quality FROM q),
+b AS (SELECT *, CASE WHEN posting_state = 'closed' THEN 'P1_closed' WHEN posting_state IS NULL OR posting_state = 'unknown' THEN 'P2_state_unresolved' WHEN freeze_or_pause THEN 'P3a_freeze_or_pause' WHEN declared_expiry IS NOT NULL AND NOT (posting_state = 'open' AND quality = 'strong') THEN 'P3b_declared_expiry_unresolved'
+ WHEN material_negative_event AND ev IS NOT NULL AND (rf IS NULL OR rf <= ev) THEN 'P3c_material_event_unrefreshed' WHEN repost_pattern = 'repeated_unchanged' AND long_lived AND corroborating_hiring_signal = false THEN 'P4_repeated_repost' WHEN posting_state = 'open' AND publish_recency = 'recent' AND material_negative_event IS DISTINCT FROM true AND quality = 'strong' THEN 'P5_open_recent_strong'
+ WHEN posting_state = 'open' AND quality = 'strong' AND material_negative_event IS DISTINCT FROM true AND corroborating_hiring_signal THEN 'P5b_hiring_activity' WHEN quality IN ('mixed', 'weak') THEN 'P6_active_mixed_or_weak' ELSE 'P7_default' END AS branch FROM q2),
+a AS (SELECT *, CASE WHEN branch IN ('P1_closed', 'P4_repeated_repost') THEN 'skip' WHEN branch LIKE 'P2%' OR branch LIKE 'P3%' THEN 'wait' WHEN branch LIKE 'P5%' THEN 'apply_now' ELSE 'quick_apply' END AS action FROM b)"""
+UNPOP = "array_to_string(list_filter([CASE WHEN posting_state IS NULL THEN 'posting_state' END, CASE WHEN freeze_or_pause IS NULL THEN 'freeze_or_pause' END, CASE WHEN long_lived IS NULL THEN 'long_lived' END, CASE WHEN repost_pattern IS NULL THEN 'repost_pattern' END, CASE WHEN corroborating_hiring_signal IS NULL THEN 'corroborating_hiring_signal' END, CASE WHEN publish_recency IS NULL THEN 'publish_recency' END], lambda x: x IS NOT NULL), ',')"
+
+ORACLE_SQL = {
+    "latest_runs": f"WITH {LATEST} SELECT system, case_id, run_id, action, duplicates FROM lat",
+    "paired_cases": f"WITH {PAIRS} SELECT * FROM par",
+    "agreement": f"WITH {PAIRS} {AGREE.format(s='B')} UNION ALL {AGREE.format(s='R')}",
+    "confusion": f'WITH {PAIRS} SELECT "A" AS reference_action, "B" AS system_action, count(*) AS n FROM par GROUP BY ALL',
+    "exclusive_gains": f'WITH {PAIRS} SELECT "A" AS reference_action, count(*) FILTER ("A" = "B" AND "A" IS DISTINCT FROM "R") AS candidate_only, count(*) FILTER ("A" = "R" AND "A" IS DISTINCT FROM "B") AS baseline_only, count(*) FILTER ("A" = "B" AND "A" IS DISTINCT FROM "R") - count(*) FILTER ("A" = "R" AND "A" IS DISTINCT FROM "B") AS net FROM par GROUP BY "A"',
+    "step_metrics": f"""WITH {DUCK}, p AS (SELECT * FROM step WHERE component = 'probe'), rep AS (SELECT run_id, sum(k - 1) AS repeats FROM (SELECT run_id, count(*) AS k FROM p GROUP BY run_id, probe_name, args_hash) GROUP BY run_id),
+ own AS (SELECT run_id, sum(cost_usd) AS c, sum(latency_s) AS l, count(*) FILTER (component = 'probe' AND probe_name IN ('probe0', 'probe1')) AS lo, count(*) FILTER (component = 'probe' AND probe_name IN ('probe2', 'probe3')) AS me, count(*) FILTER (component = 'probe' AND probe_name = 'probe4') AS hi, count(*) FILTER (component = 'probe' AND cache_status = 'hit') AS h, count(*) FILTER (component = 'probe') AS p FROM step GROUP BY run_id)
+ SELECT system, count(*) AS runs, coalesce(sum(lo), 0)::BIGINT AS low_probes, coalesce(sum(me), 0)::BIGINT AS medium_probes, coalesce(sum(hi), 0)::BIGINT AS high_probes, coalesce(sum(h), 0)::BIGINT AS hits, coalesce(sum(p), 0)::BIGINT AS probes, coalesce(sum(repeats), 0)::BIGINT AS repeats, round(sum(c), 4) AS cost_usd, round(sum(l), 4) AS latency_s, round(coalesce(sum(p), 0) / count(*), 6) AS probes_per_run FROM run LEFT JOIN own USING (run_id) LEFT JOIN rep USING (run_id) GROUP BY system""",
+    "probe_order": f"WITH {DUCK}, f AS (SELECT run_id, probe_name, min(step_index) AS at_ FROM step WHERE component = 'probe' GROUP BY ALL) SELECT run_id, string_agg(probe_name, '>' ORDER BY at_) AS probes FROM f GROUP BY run_id",
+    "unnecessary_steps": f"WITH {DUCK} SELECT run_id, count(*) AS unnecessary FROM step s WHERE component = 'probe' AND NOT EXISTS (SELECT 1 FROM evidence e WHERE e.run_id = s.run_id AND e.probe = s.probe_name) GROUP BY run_id",
+    "citation_support": f"""WITH {DUCK}, r AS (SELECT run_id, step_index, CASE WHEN step_index % 5 = 0 THEN [] ELSE [run_id * 1000 + step_index, run_id * 1000 + 3] END AS ids FROM step), n AS (SELECT run_id, count(*) AS k FROM step GROUP BY run_id), c AS (SELECT len(ids) > 0 AS cited, len(ids) > 0 AND k >= 3 AS supported FROM r JOIN n USING (run_id))
+ SELECT count(*) AS reasons, count(*) FILTER (cited) AS cited, count(*) FILTER (supported) AS supported, round(count(*) FILTER (supported) / count(*), 6) AS support_rate FROM c""",
+    "branch_counts": f"WITH {DUCK} SELECT split_part(decision_type, ':', 2) AS branch, count(*) AS n FROM step WHERE starts_with(decision_type, 'policy_decision:') GROUP BY ALL",
+    "token_sums": f"WITH {DUCK} SELECT component, sum(CAST(regexp_extract(decision_type, '=([0-9]+)/', 1) AS BIGINT))::BIGINT AS tokens_in, sum(12)::BIGINT AS tokens_out FROM step WHERE starts_with(decision_type, 'model_call:') GROUP BY component",
+    "event_signals": f"""WITH {DUCK}, ca AS (SELECT case_id, case_id % 10 AS company_id, replay_at, case_id % 11 <> 0 AS searched FROM run WHERE system = 'A' AND replay_at IS NOT NULL), f AS (SELECT case_id, bool_or(event_type IN ('layoff', 'shutdown') AND materiality = 'material') AS m, bool_or(event_type IN ('hiring_freeze', 'hiring_pause')) AS f, max(event_at) FILTER (event_type IN ('layoff', 'shutdown') AND materiality = 'material') AS last_material_event_at
+ FROM ca JOIN event e USING (company_id) WHERE e.available_at <= replay_at AND CAST(event_at AS DATE) >= CAST(replay_at AS DATE) - 30 GROUP BY case_id) SELECT ca.case_id, CASE WHEN searched THEN coalesce(m, false) END AS material_negative_event, CASE WHEN searched THEN coalesce(f, false) END AS freeze_or_pause, last_material_event_at FROM ca LEFT JOIN f USING (case_id)""",
+    "contradictions": f"""WITH {DUCK}, s AS (SELECT run_id, source_quality, source_url, min(source_event_at) AS t FROM evidence WHERE claim_type = 'first_published' AND source_event_at IS NOT NULL GROUP BY ALL), c1 AS (SELECT run_id, (epoch_us(max(t)) - epoch_us(min(t))) / 86400e6 > 3 AS x FROM s GROUP BY run_id),
+ st AS (SELECT run_id, value, available_at FROM evidence WHERE claim_type = 'posting_state' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY available_at DESC, fetched_at DESC, evidence_id DESC) = 1), ab AS (SELECT run_id, max(available_at) AS t FROM evidence WHERE claim_type = 'board_absent' GROUP BY run_id)
+ SELECT DISTINCT e.run_id, coalesce(x, false) AS publish_date_conflict, coalesce(lower(trim(st.value)) = 'open' AND ab.t >= st.available_at, false) AS open_but_absent FROM evidence e LEFT JOIN c1 USING (run_id) LEFT JOIN st USING (run_id) LEFT JOIN ab USING (run_id)""",
+    "decisions": f"WITH {DECIDE} SELECT case_id, quality, rule, branch, action, CASE WHEN action = 'wait' THEN CASE WHEN declared_expiry IS NULL THEN 14 ELSE CAST(greatest(0, least(14, floor((epoch_us(declared_expiry) - epoch_us(replay_at)) / 86400e6))) AS INT) END END AS recheck_after_days FROM a",
+    "unpopulated_inputs": f"WITH {CASES} SELECT case_id, {UNPOP} AS unpopulated FROM inp",
+    "routed_probes": f"""WITH {CASES}, u AS (SELECT case_id, unnest(['board_history', 'team_signal', 'company_events', 'resolve']) AS probe, unnest([CAST(long_lived IS NULL AS INT) + CAST(repost_pattern IS NULL AS INT), CAST(corroborating_hiring_signal IS NULL AS INT) / 3.0, CAST(freeze_or_pause IS NULL AS INT) / 3.0, (CAST(posting_state IS NULL AS INT) + CAST(publish_recency IS NULL AS INT)) / 10.0]) AS s FROM inp),
+ k AS (SELECT * FROM u WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY s DESC, probe) <= 2) SELECT i.case_id, coalesce(string_agg(k.probe, ',' ORDER BY k.s DESC, k.probe), '') AS probes FROM inp i LEFT JOIN k USING (case_id) GROUP BY i.case_id""",
+    "budget_ledger": f"WITH {DUCK}, w AS (SELECT run_id, sum(cost_usd) OVER x AS c, sum(latency_s) OVER x AS l FROM step WINDOW x AS (PARTITION BY run_id ORDER BY step_index)) SELECT run_id, count(*) AS steps, count(*) FILTER (c <= 0.15 AND l <= 0.12) AS allowed, round(max(c), 4) AS spent FROM w GROUP BY run_id",
+    "outcome_funnel": f"""WITH {DUCK}, ac AS (SELECT case_id AS posting_id, max(action) AS action FROM run WHERE system = 'A' AND case_id % 6 <> 0 GROUP BY case_id), o AS (SELECT coalesce(action, 'none') AS action, (conv_id + turn) % 7 AS k FROM conversations c LEFT JOIN ac ON ac.posting_id = c.conv_id)
+ SELECT action, count(*) FILTER (k = 0) AS applied, count(*) FILTER (k = 1) AS reply, count(*) FILTER (k = 2) AS screen, count(*) FILTER (k = 3) AS interview, count(*) FILTER (k = 4) AS offer, count(*) FILTER (k = 5) AS rejection, count(*) FILTER (k = 6) AS silence, round(count(*) FILTER (k = 0) / nullif(count(*) FILTER (k = 1), 0), 6) AS applied_per_reply, round(count(*) FILTER (k = 0) / nullif(count(*) FILTER (k = 3), 0), 6) AS applied_per_interview FROM o GROUP BY action""",
+    "leakage_audit": f"""WITH {DUCK}, nb AS (SELECT 'apply_now' AS branch, 'published' AS input, ['first_published'] AS claims UNION ALL SELECT 'apply_now', 'state', ['posting_state'] UNION ALL SELECT 'skip', 'state', ['posting_state', 'board_absent']),
+ v AS (SELECT 'evidence_after_t' AS kind, e.run_id FROM evidence e JOIN run r USING (run_id) WHERE e.available_at > r.replay_at UNION ALL SELECT 'cache_miss', run_id FROM step WHERE component = 'probe' AND cache_status = 'miss' UNION ALL SELECT 'net_call', run_id FROM step WHERE starts_with(decision_type, 'net_call:') UNION ALL SELECT 'missing_replay_at', run_id FROM run WHERE replay_at IS NULL
+ UNION ALL SELECT 'input_without_evidence', r.run_id FROM run r JOIN nb ON nb.branch = r.action WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.run_id = r.run_id AND list_contains(nb.claims, e.claim_type))) SELECT kind, count(*) AS violations, count(DISTINCT run_id) AS runs FROM v GROUP BY kind""",
+    "leakage_fetched_after": f"""WITH {DUCK}, cache AS (SELECT probe, fetched_at, fetched_at + INTERVAL 2 DAY AS expires_at FROM evidence WHERE evidence_id % 40 = 1 AND epoch_us(fetched_at) % 7 < 4), cl AS (SELECT e.run_id, e.evidence_id, e.probe, e.available_at, r.replay_at FROM evidence e JOIN run r USING (run_id) WHERE run_id % 50 = 0)
+ SELECT 'evidence_fetched_after_t' AS kind, run_id, CAST(evidence_id AS VARCHAR) AS item FROM cl WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.probe = cl.probe AND c.fetched_at <= available_at AND available_at < c.expires_at) AND (SELECT min(c.fetched_at) FROM cache c WHERE c.probe = cl.probe AND c.fetched_at > available_at AND c.fetched_at <= available_at + INTERVAL 24 HOUR) > replay_at""",
+    "resume": f"WITH {DUCK} SELECT count(*) AS n, min(case_id) AS first, max(case_id) AS last FROM (SELECT DISTINCT case_id FROM run) c WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.case_id = c.case_id AND system = 'B' AND status = 'completed')",
+    "shard_counts": f"WITH {DUCK} SELECT CAST(CAST(('0x' || substr(sha256(case_id || chr(10) || system), 1, 15)) AS BIGINT) % 8 AS INT) AS shard, count(*) AS n FROM run GROUP BY ALL",
+    "holdout_breach": f"WITH {DUCK} SELECT case_id % 37 AS company_id, count(*) AS cases FROM run WHERE (case_id % 37) % 9 = 4 GROUP BY ALL",
+    "repeated_cases": f"WITH {DUCK} SELECT run_id, probe_name, args_hash, count(*) AS n FROM step GROUP BY ALL HAVING count(*) > 1",
+    "visible_events": f"WITH {DUCK}, ca AS (SELECT case_id, case_id % 10 AS company_id, replay_at FROM run WHERE system = 'B' AND replay_at IS NOT NULL AND case_id % 20 = 0) SELECT case_id, count(*) AS events, max(event_at) AS latest_event_at FROM ca JOIN event e USING (company_id) WHERE e.available_at <= replay_at GROUP BY case_id",
+}
