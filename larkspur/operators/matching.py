@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.functions.scalars import days_between, hash_score, normalized_text, token_jaccard
 from larkspur.session import ship, written
@@ -67,7 +68,7 @@ def gated_pairs(intervals: DataFrame, cfg: Matching = Matching()) -> DataFrame:
     ).drop("bucket")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     known: dict[tuple[str, str], float] = {}
     return pd.Series([known.setdefault((x, y), SequenceMatcher(None, x, y).ratio()) if x and y else None for x, y in zip(a, b, strict=True)], dtype="float64")

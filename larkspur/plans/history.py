@@ -9,7 +9,10 @@ from larkspur.functions.scalars import days_between, normalized_text
 from larkspur.operators import asof, changes, features, intervals_join, lifecycle, matching, metrics, survival
 from larkspur.plans.fixtures import INTERVALS_SQL, capture_ctes, captures, listings
 
-NOW = F.lit("2024-02-01").cast("timestamp")
+def now():
+    return F.lit("2024-02-01").cast("timestamp")
+
+
 NOW_SQL = "TIMESTAMP '2024-02-01'"
 DUCK = capture_ctes("duck")
 
@@ -70,7 +73,7 @@ def open_trend(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def team_activity(spark: SparkSession, sf: str) -> DataFrame:
-    return features.team_activity(jobs_of(spark, sf), NOW)
+    return features.team_activity(jobs_of(spark, sf), now())
 
 
 def title_mode(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,14 +111,14 @@ def links_in_order(spark: SparkSession, sf: str) -> DataFrame:
 def company_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = jobs_of(spark, sf)
     links = rows.filter("job_id % 4 = 1").select("company_id", F.col("job_id").alias("old_job_id"))
-    out = features.company_features(rows, links, NOW)
+    out = features.company_features(rows, links, now())
     return out.select("company_id", "closed_count", "right_censored_count", "closures_last_30_days", "closures_last_90_days", r6("median_lifetime_low"), r6("median_lifetime_high"), "reposted_count", r6("repost_rate"))
 
 
 def posting_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = jobs_of(spark, sf)
     published = rows.select("company_id", "job_id", F.expr("first_observed - make_dt_interval(cast(job_id % 300 as int))").alias("published_at")).filter("job_id % 2 = 0")
-    return features.posting_features(rows, published, NOW).select("company_id", "job_id", "origin", r6("age_days"), "long_lived", "censoring")
+    return features.posting_features(rows, published, now()).select("company_id", "job_id", "origin", r6("age_days"), "long_lived", "censoring")
 
 
 def repost_patterns(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,7 +206,7 @@ def intervals_as_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def case_grid(spark: SparkSession, sf: str) -> DataFrame:
-    rows = asof.cases(jobs_of(spark, sf), NOW, 7)
+    rows = asof.cases(jobs_of(spark, sf), now(), 7)
     return rows.groupBy("company_id", "job_id").agg(F.count("*").alias("cases"), F.min("replay_at").alias("first_case"), F.max("replay_at").alias("last_case"))
 
 
