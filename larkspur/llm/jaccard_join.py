@@ -6,16 +6,19 @@ shingles at most. Each band cuts the domain of shingles into n1 > k parts by a h
 most, two similar sets agree on n1 - k parts or more. A set's signatures are the hashes of its parts' contents (subsets
 of one part each; more of several would only grow in number), so similar sets share signatures, and no link is lost.
 
-n1 leaves some slack beyond k + 1, and the slack pays for leaving signatures out: empty parts, and parts whose contents
-over HOT texts share (a passage, a boilerplate line). A text leaves them out only while the pigeonhole still leaves it
-another part with each of its partners; one with too many empty parts goes on to a second cut of the domain, and so
-on; the pair is found at the first cut at which either is well off.
-
-Equal texts are reduced to one representative first. Signatures travel in packed columns, are sorted in each partition,
-and runs of equal ones name candidates: each with the first of its run. These are compared exactly and the links joined
-to components. Then every run that still spans components has all its pairs across components compared. What is left
-out of comparison therefore lies within a component: no link between texts is lost, and a group of copies costs its
-size, not its square.
+n1 leaves some slack beyond k + 1, so that similar sets share at least `room` signatures: the slack less their empty
+parts. A text with too many empty parts goes on to a second cut of the domain, and so on; a pair is found at the first
+cut at which either is well off. Half of the room pays for leaving out signatures that many texts share (a passage, a
+boilerplate line): each text leaves out those of the longest runs, as long as they are over HOT and few enough. Of two
+texts the one with the lower bar leaves out what the other does, so they still share `need` signatures, the room less
+what was left out; pairs that share fewer are no candidates.
+
+Equal texts are reduced to one representative first. Signatures travel in packed columns and are sorted in each
+partition; runs of equal ones name candidates. First each text is compared exactly with that first member of its runs
+with which it shares most, and the links are joined to components. Then all pairs that share enough signatures and still
+lie in different components are compared: those of short runs as rows, those of long runs (over LONG_RUN texts, cut into
+chunks) as bit sets inside a task, which returns links only. A pair of several long runs is compared in the first. What is left out of comparison therefore lies within a component or shares
+too few signatures: no link between texts is lost, and a group of copies costs its size, not its square.
 
 Null texts and those without words have an empty set and link with nothing, as do rows with a null key, whose other
 columns are null in the result; with fewer than five words the whole
@@ -30,6 +33,7 @@ from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,8 +46,12 @@ from larkspur.session import written
 WORDS, SIMILAR = 5, Fraction(4, 5)
 #: Bands start at STEP^i and reach STEP / SIMILAR times as far: sizes a <= b with a >= 0.8 b share the last band that starts at a or below.
 STEP = 1 / SIMILAR**2
-#: Parts beyond k + 1, as a share of k; cuts of the domain; texts that share a hot signature.
-SLACK, CUTS, HOT = 8, 4, 100
+#: Parts beyond k + 1, as a share of k; cuts of the domain; texts that may share a signature before it is left out.
+SLACK, CUTS, HOT = 6, 4, 8
+#: So many keys are broadcast; more are joined by a shuffle.
+FEW = 1_000_000
+#: Runs of more texts are compared as bit sets, in chunks of CHUNK texts; pairs of a chunk are sent on in lots of LOT.
+LONG_RUN, CHUNK, LOT = 32, 1024, 200_000
 REMEMBERED = 1_000_000
 #: Signatures to a partition; bytes of text to a signature.
 TOGETHER, BYTES_EACH = 2_000_000, 10
@@ -206,18 +214,107 @@ def members(reps: DataFrame, partitions: int) -> DataFrame:
     return packed.mapInArrow(runs, ", ".join(f"{c} long" for c in names))
 
 
-def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def sized_broadcast(ids: DataFrame) -> DataFrame:
+    """ids, broadcast if their number is bounded by FEW."""
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+
+
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar, compared exactly."""
     def make() -> Callable[[pa.RecordBatch], dict]:
         shingles = Shingles()
         return lambda b: {"rep": b.column(0), "s": [shingles.one(t).view(np.int64) for t in b.column(1).to_pylist()]}
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = map_rows(reps.join(ids, "rep", "left_semi"), "rep long, s array<long>", make)
-    sets = written(sets)
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    sets = map_rows(texts.join(sized_broadcast(ids), "rep", "left_semi"), "rep long, s array<long>", make)
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(SIMILAR.denominator * common >= SIMILAR.numerator * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return both.filter(SIMILAR.denominator * common >= SIMILAR.numerator * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+
+
+def incidence(lists: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """Bit sets of the lists' members over those that at least two lists hold: rows of 64-bit words."""
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    own = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    values, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[at]
+    own, number = own[number >= 0], number[number >= 0]
+    bits = np.zeros((len(lists), int((count > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (own, number >> 6), np.uint64(1) << (number & 63).astype(np.uint64))
+    return bits, len(values)
+
+
+def candidates(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one long run (or of two chunks of it) that are met here first, lie across components and share enough, packed."""
+    rep, n, c, need, chunk = (group[x].to_numpy() for x in ("rep", "n", "c", "need", "chunk"))
+    lo, hi, sig = int(group["lo"].iloc[0]), int(group["hi"].iloc[0]), int(group["sig"].iloc[0])
+    hot = incidence([np.array([x for x in h if x < sig], np.int64) for h in group["hot"]])[0]
+    own = incidence([np.asarray(x, np.int64) for x in group["sigs"]])[0]
+    right = np.flatnonzero(chunk == hi)
+    out, left_, right_ = [], [], []
+    for i in np.flatnonzero(chunk == lo).tolist():
+        j = right[right > i] if lo == hi else right
+        j = j[(c[j] != c[i]) & (n[j] * SIMILAR.denominator >= n[i] * SIMILAR.numerator) & (n[i] * SIMILAR.denominator >= n[j] * SIMILAR.numerator)]
+        j = j[~(hot[j] & hot[i]).any(1)]
+        j = j[np.bitwise_count(own[j] & own[i]).sum(1) >= np.minimum(need[j], need[i])]
+        left_.append(np.full(len(j), rep[i]))
+        right_.append(rep[j])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left_, right_))
+    for k in range(0, len(a), LOT):
+        x, y = a[k : k + LOT], b[k : k + LOT]
+        out.append((f"{sig}/{lo}/{hi}/{k}", np.unique(np.r_[x, y]).tolist(), np.stack([x, y]).astype("<i8").tobytes()))
+    return pd.DataFrame(out, columns=["id", "docs", "pairs"])
+
+
+def compared(lots: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    """The similar pairs of one lot: links that span them."""
+    if not len(lots) or not len(sets):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    sets = sets.drop_duplicates("rep")
+    rep, lists = sets["rep"].to_numpy(), [np.asarray(x, np.int64) for x in sets["s"]]
+    order = np.argsort(rep)
+    bits, size = incidence(lists)[0], np.array([len(x) for x in lists])
+    a, b = np.frombuffer(lots["pairs"].iloc[0], "<i8").reshape(2, -1)
+    i, j = order[np.searchsorted(rep[order], a)], order[np.searchsorted(rep[order], b)]
+    keep = np.zeros(len(i), bool)
+    for k in range(0, len(i), 4096):
+        x, y = i[k : k + 4096], j[k : k + 4096]
+        common = np.bitwise_count(bits[x] & bits[y]).sum(1).astype(np.int64)
+        keep[k : k + 4096] = SIMILAR.denominator * common >= SIMILAR.numerator * (size[x] + size[y] - common)
+    parent = np.arange(len(rep))
+    out = []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((rep[x], rep[y]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def alike_in_runs(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components between texts that share a long run."""
+    long_ = placed.filter(F.col("m") > LONG_RUN)
+    lists = placed.join(long_.select("rep", "grp").distinct(), ["rep", "grp"], "left_semi").groupBy("rep", "grp").agg(F.collect_list("sig").alias("sigs"), F.collect_list(F.when(F.col("m") > LONG_RUN, F.col("sig"))).alias("hot"))
+    rows = long_.withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(F.col("chunk"), o).alias("lo"), F.greatest(F.col("chunk"), o).alias("hi")))
+    rows = rows.withColumn("p", F.explode(met)).select("sig", F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"), "chunk", "rep", "grp", "n", "c", "need")
+    rows = rows.join(lists, ["rep", "grp"])
+    lots = written(rows.groupBy("sig", "lo", "hi").applyInPandas(candidates, "id string, docs array<long>, pairs binary"))
+
+    def make() -> Callable[[pa.RecordBatch], dict]:
+        shingles = Shingles()
+        return lambda b: {"rep": b.column(0), "s": [shingles.one(t).view(np.int64) for t in b.column(1).to_pylist()]}
+
+    wanted = lots.select(F.col("id").alias("lot"), F.explode("docs").alias("rep"))
+    sets = map_rows(texts.join(sized_broadcast(written(wanted.select("rep").distinct())), "rep", "left_semi"), "rep long, s array<long>", make)
+    return lots.select("id", "pairs").groupBy("id").cogroup(wanted.join(sets, "rep").groupBy("lot")).applyInPandas(compared, "a long, b long").distinct()
 
 
 def close(n: str, m: str) -> Column:
@@ -237,24 +334,31 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (BYTES_EACH * TOGETHER)))
     copies = rows.join(firsts.select("d", "rep"), "d").filter("k <> rep").select("k").distinct()
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t"))
-    reps = texts.join(copies, texts["rep"] == copies["k"], "left_anti")
+    copies = written(copies).withColumnRenamed("k", "rep")
+    reps = texts.join(sized_broadcast(copies), "rep", "left_anti")
     found = written(members(reps, partitions))
     sizes = found.filter(F.col("grp") == SIZE_ROW).groupBy("rep").agg(F.max("n").alias("n_shingles"))
     found = found.filter(F.col("grp") != SIZE_ROW)
-    # a text leaves its hot signatures out where others make up for them
-    hot = found.filter(F.col("run") > HOT).groupBy("rep", "grp").agg(F.count("*").alias("h"), F.max("room").alias("r")).filter("h < r").select("rep", "grp", F.lit(True).alias("out"))
-    kept = written(found.join(hot, ["rep", "grp"], "left").filter(F.col("out").isNull() | (F.col("run") <= HOT)).drop("out"))
-    star = written(kept.filter((F.col("rep") != F.col("first")) & close("n", "n_first")).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-    links = written(alike(star, reps))
-    # runs that still span components: all pairs across components that weren't compared
-    now = components(links)
-    placed = kept.select("sig", "rep", "n").join(now, F.col("rep") == F.col("node"), "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
+    # the bar over which a text leaves signatures out, and how many it then needs to share
+    runs = found.groupBy("rep", "grp").agg(F.sort_array(F.collect_list("run"), asc=False).alias("runs"), F.max("room").alias("room"))
+    bar = F.greatest(F.coalesce(F.get("runs", F.greatest(F.floor((F.col("room") - 1) / 2), F.lit(0)).cast("int")), F.lit(0)), F.lit(HOT))
+    bar = F.when(F.col("room") > 0, bar).otherwise(F.lit(2**62))
+    runs = runs.withColumn("bar", bar).withColumn("need", F.greatest(F.lit(1), F.col("room") - F.size(F.filter("runs", lambda r: r > F.col("bar")))))
+    kept = written(found.join(runs.select("rep", "grp", "bar", "need"), ["rep", "grp"]).filter("run <= bar").select("sig", "rep", "n", "grp", "need", "first", "n_first"))
+    star = kept.filter((F.col("rep") != F.col("first")) & close("n", "n_first")).groupBy("rep", "grp", "first").agg(F.count("*").alias("c"), F.max("need").alias("need"))
+    star = star.filter("2 * c >= need").groupBy("rep").agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("first"))
+    star = written(star.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    links = written(alike(star, texts))
+    # pairs across components that share enough
+    now = written(components(links))
+    placed = kept.select("sig", "rep", "n", "grp", "need").join(now, F.col("rep") == F.col("node"), "left").select("sig", "rep", "n", "grp", "need", F.coalesce("component", "rep").alias("c"))
+    mixed = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("sig", "m")
     placed = written(placed.join(mixed, "sig"))
-    other = placed.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    across = placed.join(other, "sig").filter((F.col("c") < F.col("c2")) & close("n", "n2")).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    across = written(across.join(star, ["a", "b"], "left_anti"))
-    more = written(alike(across, reps))
+    cold = placed.filter(F.col("m") <= LONG_RUN)
+    other = cold.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("need").alias("need2"))
+    across = cold.join(other, "sig").filter((F.col("c") < F.col("c2")) & close("n", "n2")).groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), "grp").agg(F.count("*").alias("shared"), F.min(F.least("need", "need2")).alias("need"))
+    across = written(across.filter("shared >= need").select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
+    more = written(alike(across, texts).unionByName(alike_in_runs(placed, texts)))
     final = components(links.unionByName(more)) if more.limit(1).count() else now
     out = rows.join(firsts.select("d", "rep"), "d").join(sizes, "rep").join(final, F.col("rep") == F.col("node"), "left")
     found = out.select(F.col("k").cast(docs.schema[key].dataType).alias(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("k")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
