@@ -81,9 +81,11 @@ def read_png(data: bytes) -> np.ndarray:
         raise ValueError("not a PNG")
     at, head, parts, ended = 8, None, [], False
     while at < len(data) and not ended:
+        if at + 12 > len(data):
+            raise ValueError("a chunk is cut short")
         (n,) = struct.unpack_from(">I", data, at)
         kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
-        if len(body) != n or zlib.crc32(kind + body) != struct.unpack_from(">I", data, at + 8 + n)[0]:
+        if at + 12 + n > len(data) or zlib.crc32(kind + body) != struct.unpack_from(">I", data, at + 8 + n)[0]:
             raise ValueError("a chunk is cut short or its checksum is wrong")
         if (head is None) != (kind == b"IHDR"):
             raise ValueError("IHDR must come first, once")
