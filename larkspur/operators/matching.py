@@ -13,9 +13,18 @@ from pyspark.sql import types as T
 from larkspur.functions.scalars import days_between, hash_score, normalized_text, token_jaccard
 from larkspur.session import ship, written
 
-# Weights of the components, and titles that say nothing.
+# Weights of the components.
 WEIGHTS = {"title": 0.45, "description": 0.25, "team": 0.15, "location": 0.15}
-GENERIC_TITLES = ("apply", "apply now", "careers", "jobs", "job openings", "open positions", "view job", "learn more", "read more", "see all jobs")
+# Normalized titles that name no job, first words of links, and how many words such a link has at most.
+GENERIC_TITLES = (
+    "apply", "apply now", "apply here", "apply today", "apply for this job", "apply to this job",
+    "view", "view job", "view jobs", "view role", "view posting", "view details", "view opening",
+    "see job", "see details", "see more", "learn more", "read more", "more", "more info", "more information", "details",
+    "click here", "here", "link", "submit", "submit application", "start application",
+    "job", "jobs", "role", "roles", "position", "positions", "opening", "openings", "open role", "open roles", "open position", "unknown",
+)
+LINK_WORDS = ("view", "see", "read", "learn", "browse", "explore", "show", "discover", "check")
+LINK_MOST_WORDS = 4
 
 
 @dataclass(frozen=True)
@@ -32,9 +41,17 @@ class Matching:
 
 
 def junk_title(title: Column | str, min_chars: int = 3) -> Column:
-    """Why a title says nothing, or null."""
-    t = normalized_text(title)
-    return F.when(t.isNull() | (t == ""), "blank").when(F.length(t) < min_chars, "short").when(t.isin(*GENERIC_TITLES), "generic").when(t.rlike("^[0-9 ]+$"), "digits")
+    """Why a title names no job, or null."""
+    t = F.coalesce(normalized_text(title), F.lit(""))
+    first, words = F.get(F.split(t, " "), F.lit(0)), F.size(F.split(t, " "))
+    return (
+        F.when(t == "", "blank")
+        .when(F.length(t) < min_chars, "short")
+        .when(t.rlike("^(?U)[\\p{Nd}]+$"), "digits")
+        .when(t.isin(*GENERIC_TITLES), "generic")
+        .when(first == "apply", "apply link")
+        .when(first.isin(*LINK_WORDS) & (words <= LINK_MOST_WORDS), "link")
+    )
 
 
 def prepared(intervals: DataFrame, cfg: Matching) -> DataFrame:

@@ -45,7 +45,7 @@ def content_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def junk_titles(spark: SparkSession, sf: str) -> DataFrame:
-    title = F.expr("CASE p_partkey % 6 WHEN 0 THEN ' ' WHEN 1 THEN 'ab' WHEN 2 THEN 'Apply now!' WHEN 3 THEN '2024 10' WHEN 4 THEN p_name END")
+    title = F.expr("CASE p_partkey % 9 WHEN 0 THEN ' ' WHEN 1 THEN 'ab' WHEN 2 THEN 'Apply now!' WHEN 3 THEN '2024' WHEN 4 THEN p_name WHEN 6 THEN 'View all our jobs' WHEN 7 THEN 'Apply as a ring' WHEN 8 THEN 'Check the many rings we sell' END")
     rows = table(spark, sf, "part").withColumn("reason", matching.junk_title(title))
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -103,7 +103,7 @@ ORACLE_SQL = {
     "title_overlap": """WITH t AS (SELECT p_partkey, list_distinct(string_split(trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w, lower(p_name || ' ' || p_type) AS s FROM part) SELECT a.p_partkey, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard, a.s <> b.s AS changed FROM t a JOIN t b ON b.p_partkey + 1 = a.p_partkey""",
     "content_hashes": "SELECT doc_id, CASE WHEN text <> '' THEN sha256(text) END AS content_hash FROM documents",
     "content_versions": "SELECT source, count(*) AS rows, count(DISTINCT text) AS versions FROM documents GROUP BY source",
-    "junk_titles": "SELECT CASE p_partkey % 6 WHEN 0 THEN 'blank' WHEN 1 THEN 'short' WHEN 2 THEN 'generic' WHEN 3 THEN 'digits' WHEN 5 THEN 'blank' END AS reason, count(*) AS n FROM part GROUP BY ALL",
+    "junk_titles": "SELECT CASE p_partkey % 9 WHEN 0 THEN 'blank' WHEN 1 THEN 'short' WHEN 2 THEN 'generic' WHEN 3 THEN 'digits' WHEN 5 THEN 'blank' WHEN 6 THEN 'link' WHEN 7 THEN 'apply link' END AS reason, count(*) AS n FROM part GROUP BY ALL",
     "event_materiality": """WITH o AS (SELECT o_orderkey, o_custkey, CASE o_orderkey % 40 WHEN 0 THEN 'layoff' WHEN 10 THEN 'layoff' WHEN 20 THEN 'shutdown' ELSE 'funding' END AS event_type FROM orders WHERE o_orderkey % 10 = 0)
  SELECT o_orderkey, event_type, CASE WHEN event_type = 'shutdown' THEN 'material' WHEN event_type = 'funding' THEN 'minor' WHEN o_custkey % 4 = 0 AND o_custkey % 20 + 0.5 < 10 THEN 'minor' WHEN o_custkey % 4 = 2 AND o_custkey % 150 < 100 THEN 'minor' ELSE 'material' END AS materiality FROM o""",
     "times": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') || 'Z' AS text, CASE event_id % 3 WHEN 0 THEN date_trunc('day', ts)::TIMESTAMP WHEN 1 THEN date_trunc('second', ts) END AS parsed, date_trunc('second', ts) AS stamp FROM events WHERE event_id % 7 = 0""",

@@ -174,3 +174,34 @@ def test_daily_stream_is_idempotent(spark, tmp_path):
 def test_team_verdict_is_unknown_below_the_bar(spark):
     rows = spark.createDataFrame([(0.4, 5, 0), (0.6, 0, 1), (0.6, 1, 1), (0.6, 0, 0)], "history_coverage double, new_jobs int, closed_jobs int")
     assert [r[0] for r in rows.select(features.team_verdict()).collect()] == [None, False, True, None]
+
+
+def test_relevance_agrees_with_enumeration(spark):
+    from larkspur.operators import corpus as C
+
+    names = list(C.DOMAINS)
+    kinds = "posting_state string, freeze_or_pause boolean, material_negative_event boolean, repost_pattern string, corroborating_hiring_signal boolean, publish_recency string"
+    cases = [(1, None, False, False, "none", False, "recent"), (2, "open", None, None, None, None, None), (3, "closed", None, None, None, None, None), (4, "open", False, False, "none", False, None), (5, "open", False, False, "repeated_unchanged", None, "old")]
+    rest = "case_id int, " + kinds + ", quality string, long_lived boolean, declared_expiry timestamp, last_material_event_at timestamp, last_refreshed_at timestamp"
+    df = spark.createDataFrame([(*c, "strong", True, None, D(1), None) for c in cases], rest)
+    got = {r.case_id: set(r.could_change) for r in C.could_change(df).collect()}
+    flat = [(c[0], i, *[f[n] for n in names], "strong", True, None, D(1), None) for c in cases for i, f in enumerate(C.fillings(dict(zip(names, c[1:], strict=True))))]
+    decided = policy.decided(spark.createDataFrame(flat, rest.replace("case_id int,", "case_id int, i int,")).withColumn("replay_at", F.lit(D(2))))
+    act = {(r.case_id, tuple(r[n] for n in names)): r.action for r in decided.collect()}
+    for c in cases:
+        known = dict(zip(names, c[1:], strict=True))
+        want = set()
+        for k, n in enumerate(names):
+            if known[n] is None:
+                for f in C.fillings(known):
+                    alone = {act[(c[0], tuple({**f, n: v}[m] for m in names))] for v in (None, *C.DOMAINS[n])}
+                    if len(alone) > 1:
+                        want.add(n)
+                        break
+        assert got[c[0]] == want, c
+    assert got[3] == set() and "posting_state" in got[1]
+
+
+def test_junk_titles(spark):
+    rows = spark.createDataFrame([(None,), (" -- ",), ("ab",), ("2024",), ("Open Roles",), ("Apply to be a chef",), ("View our jobs",), ("Show runner for a big new drama",), ("アカウント営業/リテール",)], "t string")
+    assert [r[0] for r in rows.select(matching.junk_title("t")).collect()] == ["blank", "blank", "short", "digits", "generic", "apply link", "link", None, None]
