@@ -20,11 +20,51 @@ def paired(latest: DataFrame, case: list[str], systems: list[str], value: str) -
     return latest.groupBy(*case).pivot("system", systems).agg(F.first(value))
 
 
+def compared(pairs: DataFrame, *systems: str) -> DataFrame:
+    """Cases in which all systems have a run."""
+    for s in systems:
+        pairs = pairs.filter(F.col(s).isNotNull())
+    return pairs
+
+
 def agreement(pairs: DataFrame, reference: str, system: str) -> DataFrame:
-    """Compared cases, agreement, and macro agreement (the mean over the reference's classes). A null never agrees."""
-    rows = pairs.filter(F.col(reference).isNotNull()).withColumn("same", F.coalesce((F.col(reference) == F.col(system)).cast("double"), F.lit(0.0)))
+    """Cases, agreement, and macro agreement (the mean over the reference's classes). A null action never agrees, but counts."""
+    rows = pairs.withColumn("same", F.coalesce((F.col(reference) == F.col(system)).cast("double"), F.lit(0.0)))
     by_class = rows.groupBy(reference).agg(F.count("*").alias("n"), F.sum("same").alias("s"))
-    return by_class.agg(F.sum("n").alias("compared"), ratio(F.sum("s"), F.sum("n")).alias("agreement"), F.avg(F.col("s") / F.col("n")).alias("macro_agreement"))
+    return by_class.agg(F.sum("n").alias("compared"), ratio(F.sum("s"), F.sum("n")).alias("agreement"), F.avg(F.when(F.col(reference).isNotNull(), F.col("s") / F.col("n"))).alias("macro_agreement"))
+
+
+def value_comparison(cases: DataFrame, reference: str, candidate: str, plain: str, least_cases: int = 30, least_differing: int = 10, saving: float = 0.01, gain: float = 0.01) -> DataFrame:
+    """Whether a candidate beats a plain system: one row with both rates and a status.
+
+    cases: an action per system and <system>_probes, its costly probes. A side wins a dimension (probe use, agreement, macro agreement)
+    by a large enough rate with enough cases behind it; rates without enough cases leave the result inconclusive.
+    """
+    r, c, d = (F.col(x) for x in (reference, candidate, plain))
+    hit = lambda x: F.coalesce(r == x, F.lit(False))
+    by_class = cases.groupBy(reference).agg(
+        F.count("*").alias("n"), F.sum(F.col(f"{candidate}_probes")).alias("pc"), F.sum(F.col(f"{plain}_probes")).alias("pd"), F.count_if(F.col(f"{candidate}_probes") < F.col(f"{plain}_probes")).alias("cc"), F.count_if(F.col(f"{plain}_probes") < F.col(f"{candidate}_probes")).alias("cd"),
+        F.count_if(hit(c)).alias("hc"), F.count_if(hit(d)).alias("hd"), F.count_if(hit(c) & ~hit(d)).alias("oc"), F.count_if(hit(d) & ~hit(c)).alias("od"),
+    )
+    known = r.isNotNull()
+    better, worse = F.col("oc") > F.col("od"), F.col("od") > F.col("oc")
+    out = by_class.agg(
+        F.sum("n").alias("n"), F.sum("pc").alias("pc"), F.sum("pd").alias("pd"), F.sum("cc").alias("cc"), F.sum("cd").alias("cd"), ratio(F.sum("hc"), F.sum("n")).alias("ac"), ratio(F.sum("hd"), F.sum("n")).alias("ad"), F.sum("oc").alias("oc"), F.sum("od").alias("od"),
+        F.avg(F.when(known, F.col("hc") / F.col("n"))).alias("mc"), F.avg(F.when(known, F.col("hd") / F.col("n"))).alias("md"), F.sum(F.when(known & better, F.col("oc") - F.col("od")).otherwise(0)).alias("nc"), F.sum(F.when(known & worse, F.col("od") - F.col("oc")).otherwise(0)).alias("nd"),
+    )
+    rel = ratio(F.col("pd") - F.col("pc"), F.col("pd"))
+    sides = [((rel >= saving), F.col("cc")), (F.col("ac") - F.col("ad") >= gain, F.col("oc")), (F.col("mc") - F.col("md") >= gain, F.col("nc"))]
+    against = [((rel <= -saving), F.col("cd")), (F.col("ad") - F.col("ac") >= gain, F.col("od")), (F.col("md") - F.col("mc") >= gain, F.col("nd"))]
+    some = lambda xs, enough: F.greatest(*[F.coalesce((x & ((n >= least_differing) == F.lit(enough))).cast("int"), F.lit(0)) for x, n in xs]) == 1
+    won, lost, weak = some(sides, True), some(against, True), some(sides, False)
+    status = F.when(F.coalesce("n", F.lit(0)) == 0, "not_run").when(F.col("n") < least_cases, "inconclusive").when(won & lost, "mixed").when(won, "candidate_better").when(weak, "inconclusive").otherwise("adds_nothing")
+    return out.select(F.col("n").alias("compared"), rel.alias("relative_saving"), F.col("ac").alias("candidate_agreement"), F.col("ad").alias("plain_agreement"), F.col("mc").alias("candidate_macro"), F.col("md").alias("plain_macro"), F.col("oc").alias("only_candidate"), F.col("od").alias("only_plain"), status.alias("status"))
+
+
+def dependence(decided: DataFrame, actual: str, bare: str) -> DataFrame:
+    """Transitions between the action without extra evidence and the actual one, and whether the case depends on that evidence."""
+    rows = decided.groupBy(F.col(bare).alias("without"), F.col(actual).alias("with_evidence")).agg(F.count("*").alias("n"))
+    return rows.withColumn("dependent", ~F.col("without").eqNullSafe(F.col("with_evidence")))
 
 
 def confusion(pairs: DataFrame, reference: str, system: str) -> DataFrame:

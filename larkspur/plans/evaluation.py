@@ -69,7 +69,7 @@ def paired_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 def agreement(spark: SparkSession, sf: str) -> DataFrame:
     rows = pairs_of(spark, sf)
-    out = [metrics.agreement(rows, "A", s).withColumn("system", F.lit(s)) for s in ("B", "R")]
+    out = [metrics.agreement(metrics.compared(rows, "A", s), "A", s).withColumn("system", F.lit(s)) for s in ("B", "R")]
     return out[0].unionByName(out[1]).select("system", "compared", F.round("agreement", 6).alias("agreement"), F.round("macro_agreement", 6).alias("macro_agreement"))
 
 
@@ -77,6 +77,22 @@ def confusion(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.confusion(pairs_of(spark, sf), "A", "B")
 
 
+def value_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    rows = metrics.compared(pairs_of(spark, sf), "A", "B", "R").withColumn("B_probes", F.col("case_id") % 4).withColumn("R_probes", F.col("case_id") % 5)
+    out = metrics.value_comparison(rows, "A", "B", "R")
+    return out.select("compared", "only_candidate", "only_plain", "status", *[F.round(c, 6).alias(c) for c in ("relative_saving", "candidate_agreement", "plain_agreement", "candidate_macro", "plain_macro")])
+
+
+def probe_dependence(spark: SparkSession, sf: str) -> DataFrame:
+    """The decision with all evidence against the one without what dynamic probes give."""
+    rows = inputs(spark, sf)
+    bare = rows
+    for c in ("repost_pattern", "corroborating_hiring_signal", "long_lived", "freeze_or_pause", "material_negative_event", "last_material_event_at"):
+        bare = bare.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
+    both = policy.decided(rows).select("case_id", F.col("action").alias("actual")).join(policy.decided(bare).select("case_id", F.col("action").alias("bare")), "case_id")
+    return metrics.dependence(both, "actual", "bare")
+
+
 def exclusive_gains(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.exclusive_gains(pairs_of(spark, sf), "A", "B", "R")
 
@@ -179,7 +195,7 @@ def outcome_funnel(spark: SparkSession, sf: str) -> DataFrame:
 
 def gate(spark: SparkSession, sf: str) -> DataFrame:
     rows = pairs_of(spark, sf)
-    b, r = (metrics.agreement(rows, "A", s).withColumn("cost", F.lit(c)) for s, c in (("B", 0.6), ("R", 1.0)))
+    b, r = (metrics.agreement(metrics.compared(rows, "A", s), "A", s).withColumn("cost", F.lit(c)) for s, c in (("B", 0.6), ("R", 1.0)))
     return metrics.agent_gate(b, r)
 
 
@@ -243,11 +259,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_runs, paired_cases, agreement, confusion, exclusive_gains, step_metrics, probe_order, unnecessary_steps, citation_support, branch_counts, token_sums, event_signals, contradictions, decisions, unpopulated_inputs,
-        routed_probes, budget_ledger, outcome_funnel, gate, leakage_audit, leakage_fetched_after, resume, shard_counts, holdout_breach, repeated_cases, visible_events, ranker,
+        routed_probes, budget_ledger, outcome_funnel, gate, value_comparison, probe_dependence, leakage_audit, leakage_fetched_after, resume, shard_counts, holdout_breach, repeated_cases, visible_events, ranker,
     )
 }
 
-AGREE = "SELECT '{s}' AS system, count(*) AS compared, round(avg(CAST(coalesce(\"A\" = \"{s}\", false) AS INT)), 6) AS agreement, round((SELECT avg(m) FROM (SELECT avg(CAST(coalesce(\"A\" = \"{s}\", false) AS INT)) AS m FROM par WHERE \"A\" IS NOT NULL GROUP BY \"A\")), 6) AS macro_agreement FROM par WHERE \"A\" IS NOT NULL"
+AGREE = "SELECT '{s}' AS system, count(*) AS compared, round(avg(CAST(\"A\" = \"{s}\" AS INT)), 6) AS agreement, round((SELECT avg(m) FROM (SELECT avg(CAST(\"A\" = \"{s}\" AS INT)) AS m FROM par WHERE \"A\" IS NOT NULL AND \"{s}\" IS NOT NULL GROUP BY \"A\")), 6) AS macro_agreement FROM par WHERE \"A\" IS NOT NULL AND \"{s}\" IS NOT NULL"
 CASES = f"{DUCK}, ca AS (SELECT DISTINCT case_id, replay_at FROM run WHERE system = 'A' AND replay_at IS NOT NULL), inp AS (SELECT case_id, replay_at, {', '.join(f'{e} AS {c}' for c, e in INPUTS.items())}, CASE WHEN case_id % 12 = 0 THEN replay_at + to_days(CAST(case_id % 40 - 5 AS INT)) + INTERVAL 7 HOUR END AS declared_expiry, CASE WHEN case_id % 10 = 0 THEN replay_at - INTERVAL 9 DAY WHEN case_id % 5 = 0 THEN replay_at - INTERVAL 2 DAY END AS ev, CASE WHEN case_id % 4 <> 0 THEN replay_at - INTERVAL 5 DAY END AS rf FROM ca)"
 DECIDE = f"""{CASES}, q AS (SELECT *, CASE WHEN failures > 0 THEN 'probe_failure' WHEN NOT primary_publish THEN 'no_primary_publish_evidence' WHEN posting_state IS NULL OR posting_state = 'unknown' THEN 'posting_state_unknown' WHEN contradiction THEN 'contradiction' ELSE 'strong' END AS rule FROM inp),
 q2 AS (SELECT *, CASE rule WHEN 'strong' THEN 'strong' WHEN 'contradiction' THEN 'mixed' ELSE 'weak' END AS quality FROM q),
@@ -262,6 +278,7 @@ ORACLE_SQL = {
     "paired_cases": f"WITH {PAIRS} SELECT * FROM par",
     "agreement": f"WITH {PAIRS} {AGREE.format(s='B')} UNION ALL {AGREE.format(s='R')}",
     "confusion": f'WITH {PAIRS} SELECT "A" AS reference_action, "B" AS system_action, count(*) AS n FROM par GROUP BY ALL',
+    "gate": f"WITH {PAIRS}, g AS ({AGREE.format(s='B')} UNION ALL {AGREE.format(s='R')}), b AS (SELECT agreement AS a, macro_agreement AS m, 0.6 AS c FROM g WHERE system = 'B'), r AS (SELECT agreement AS a, macro_agreement AS m, 1.0 AS c FROM g WHERE system = 'R') SELECT b.a >= r.a - 0.02 AS agreement_held, b.m >= r.m - 0.02 AS macro_held, b.c <= 0.7 * r.c AS cheaper, b.a >= r.a - 0.02 AND b.m >= r.m - 0.02 AND b.c <= 0.7 * r.c AS passed FROM b, r",
     "exclusive_gains": f'WITH {PAIRS} SELECT "A" AS reference_action, count(*) FILTER ("A" = "B" AND "A" IS DISTINCT FROM "R") AS candidate_only, count(*) FILTER ("A" = "R" AND "A" IS DISTINCT FROM "B") AS baseline_only, count(*) FILTER ("A" = "B" AND "A" IS DISTINCT FROM "R") - count(*) FILTER ("A" = "R" AND "A" IS DISTINCT FROM "B") AS net FROM par GROUP BY "A"',
     "step_metrics": f"""WITH {DUCK}, p AS (SELECT * FROM step WHERE component = 'probe'), rep AS (SELECT run_id, sum(k - 1) AS repeats FROM (SELECT run_id, count(*) AS k FROM p GROUP BY run_id, probe_name, args_hash) GROUP BY run_id),
  own AS (SELECT run_id, sum(cost_usd) AS c, sum(latency_s) AS l, count(*) FILTER (component = 'probe' AND probe_name IN ('probe0', 'probe1')) AS lo, count(*) FILTER (component = 'probe' AND probe_name IN ('probe2', 'probe3')) AS me, count(*) FILTER (component = 'probe' AND probe_name = 'probe4') AS hi, count(*) FILTER (component = 'probe' AND cache_status = 'hit') AS h, count(*) FILTER (component = 'probe') AS p FROM step GROUP BY run_id)
@@ -278,6 +295,12 @@ ORACLE_SQL = {
  st AS (SELECT run_id, value, available_at FROM evidence WHERE claim_type = 'posting_state' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY available_at DESC, fetched_at DESC, evidence_id DESC) = 1), ab AS (SELECT run_id, max(available_at) AS t FROM evidence WHERE claim_type = 'board_absent' GROUP BY run_id)
  SELECT DISTINCT e.run_id, coalesce(x, false) AS publish_date_conflict, coalesce(lower(trim(st.value)) = 'open' AND ab.t >= st.available_at, false) AS open_but_absent FROM evidence e LEFT JOIN c1 USING (run_id) LEFT JOIN st USING (run_id) LEFT JOIN ab USING (run_id)""",
     "decisions": f"WITH {DECIDE} SELECT case_id, quality, rule, branch, action, CASE WHEN action = 'wait' THEN CASE WHEN declared_expiry IS NULL THEN 14 ELSE CAST(greatest(0, least(14, floor((epoch_us(declared_expiry) - epoch_us(replay_at)) / 86400e6))) AS INT) END END AS recheck_after_days FROM a",
+    "probe_dependence": f"""WITH {DECIDE}, z AS (SELECT *, CASE WHEN posting_state = 'closed' THEN 'skip' WHEN posting_state IS NULL OR posting_state = 'unknown' THEN 'wait' WHEN declared_expiry IS NOT NULL AND NOT (posting_state = 'open' AND quality = 'strong') THEN 'wait' WHEN posting_state = 'open' AND publish_recency = 'recent' AND quality = 'strong' THEN 'apply_now' ELSE 'quick_apply' END AS bare FROM a) SELECT bare AS without, action AS with_evidence, count(*) AS n, bare <> action AS dependent FROM z GROUP BY ALL""",
+    "value_comparison": f"""WITH {PAIRS}, c AS (SELECT *, case_id % 4 AS pb, case_id % 5 AS pr, CAST("A" = "B" AS INT) AS hb, CAST("A" = "R" AS INT) AS hr FROM par WHERE "A" IS NOT NULL AND "B" IS NOT NULL AND "R" IS NOT NULL),
+ k AS (SELECT "A", avg(hb) AS b, avg(hr) AS r, sum(hb - hr) AS net FROM c GROUP BY "A"), t AS (SELECT count(*) AS n, sum(pb) AS pb, sum(pr) AS pr, count(*) FILTER (pb < pr) AS cb, count(*) FILTER (pr < pb) AS cr, avg(hb) AS b, avg(hr) AS r, count(*) FILTER (hb > hr) AS ob, count(*) FILTER (hr > hb) AS ore FROM c),
+ m AS (SELECT avg(b) AS mb, avg(r) AS mr, sum(greatest(net, 0)) AS nb, sum(greatest(-net, 0)) AS nr FROM k),
+ f AS (SELECT *, (pr - pb) / pr AS rel FROM t, m), v AS (SELECT *, (rel >= 0.01 AND cb >= 10) OR (b - r >= 0.01 AND ob >= 10) OR (mb - mr >= 0.01 AND nb >= 10) AS won, (rel <= -0.01 AND cr >= 10) OR (r - b >= 0.01 AND ore >= 10) OR (mr - mb >= 0.01 AND nr >= 10) AS lost, (rel >= 0.01 AND cb < 10) OR (b - r >= 0.01 AND ob < 10) OR (mb - mr >= 0.01 AND nb < 10) AS weak FROM f)
+ SELECT n AS compared, ob AS only_candidate, ore AS only_plain, CASE WHEN n < 30 THEN 'inconclusive' WHEN won AND lost THEN 'mixed' WHEN won THEN 'candidate_better' WHEN weak THEN 'inconclusive' ELSE 'adds_nothing' END AS status, round(rel, 6) AS relative_saving, round(b, 6) AS candidate_agreement, round(r, 6) AS plain_agreement, round(mb, 6) AS candidate_macro, round(mr, 6) AS plain_macro FROM v""",
     "unpopulated_inputs": f"WITH {CASES} SELECT case_id, {UNPOP} AS unpopulated FROM inp",
     "routed_probes": f"""WITH {CASES}, u AS (SELECT case_id, unnest(['board_history', 'team_signal', 'company_events', 'resolve']) AS probe, unnest([CAST(long_lived IS NULL AS INT) + CAST(repost_pattern IS NULL AS INT), CAST(corroborating_hiring_signal IS NULL AS INT) / 3.0, CAST(freeze_or_pause IS NULL AS INT) / 3.0, (CAST(posting_state IS NULL AS INT) + CAST(publish_recency IS NULL AS INT)) / 10.0]) AS s FROM inp),
  k AS (SELECT * FROM u WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY s DESC, probe) <= 2) SELECT i.case_id, coalesce(string_agg(k.probe, ',' ORDER BY k.s DESC, k.probe), '') AS probes FROM inp i LEFT JOIN k USING (case_id) GROUP BY i.case_id""",

@@ -21,7 +21,7 @@ def capture_ctes(dialect: str) -> str:
     return f"""
 ev AS (SELECT user_id AS job_n, user_id % 10 AS company_n, CAST(date_trunc('day', ts) AS DATE) AS d FROM {events}),
 cap AS (SELECT DISTINCT company_n, d, {DAYS[dialect]} AS e FROM ev),
-snap AS (SELECT company_n AS company_id, company_n * 100000 + e AS snapshot_id, {START[dialect]} AS captured_at, e,
+snap AS (SELECT company_n AS company_id, company_n * 100000 + e AS snapshot_id, {START[dialect]} AS captured_at, d, e,
   CASE WHEN (e + company_n) % 7 = 3 THEN 'partial' WHEN (e + company_n) % 11 = 5 THEN 'gap' ELSE 'complete' END AS coverage_status,
   CASE WHEN e < 6 THEN 'archive' ELSE 'own' END AS source FROM cap),
 jobs AS (SELECT DISTINCT job_n, company_n, (job_n * 5) % 12 AS s0, (job_n * 5) % 12 + 5 + (job_n * 7) % 20 AS e0 FROM ev),

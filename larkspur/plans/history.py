@@ -256,9 +256,14 @@ risk AS (SELECT t, d, (SELECT sum(l) FROM cnt c2 WHERE c2.t >= c1.t) AS n FROM c
 curve AS (SELECT t, d, n, (SELECT product(1 - r2.d / r2.n) FROM risk r2 WHERE r2.t <= r1.t) AS s, (SELECT sum(r2.d / (r2.n * (r2.n - r2.d))) FROM risk r2 WHERE r2.t <= r1.t AND r2.d < r2.n) AS v FROM risk r1)"""
 
 #: The same over captures up to a moment.
-AS_OF = INTERVALS_SQL.replace("FROM cap),", "FROM cap WHERE d <= DATE '2024-01-16'),", 1)
+AS_OF = INTERVALS_SQL.replace("AS i FROM snap),", "AS i FROM snap WHERE d <= DATE '2024-01-16'),", 1)
+
+BEFORE = AS_OF.replace("2024-01-16", "2024-01-14")
 
 ORACLE_SQL = {
+    "lifecycle_daily": f"""WITH {BEFORE}, today AS (SELECT company_id, snapshot_id FROM snap WHERE d = DATE '2024-01-15' AND coverage_status = 'complete'), seen AS (SELECT DISTINCT t.company_id, j.job_id FROM today t JOIN job j USING (snapshot_id)), known AS (SELECT i.* FROM intervals i WHERE company_id IN (SELECT company_id FROM today)),
+ b AS (SELECT coalesce(k.company_id, s.company_id) AS company_id, coalesce(k.job_id, s.job_id) AS job_id, k.first_observed AS f, k.first_seen_absent AS a, k.reappeared_at AS r, s.job_id IS NOT NULL AS listed FROM known k FULL JOIN seen s ON s.company_id = k.company_id AND s.job_id = k.job_id),
+ c AS (SELECT *, CASE WHEN f IS NULL THEN 'new' WHEN listed AND a IS NOT NULL AND r IS NULL THEN 'reappeared' WHEN listed THEN 'seen' WHEN a IS NULL THEN 'absent' ELSE 'still_absent' END AS change FROM b) SELECT company_id, job_id, change, CASE WHEN change = 'absent' THEN TIMESTAMP '2024-01-15' ELSE a END AS first_seen_absent, CASE WHEN change = 'reappeared' THEN TIMESTAMP '2024-01-15' ELSE r END AS reappeared_at FROM c""",
     "lifecycle_intervals": f"WITH {INTERVALS_SQL}, snaps AS (SELECT company_id, job_id, string_agg(CAST(snapshot_id AS VARCHAR), ',' ORDER BY snapshot_id) AS snapshots FROM dense WHERE present GROUP BY ALL) SELECT company_id, job_id, first_observed, last_seen_open, first_seen_absent, reappeared_at, closure_absent_at, title, team, location, CASE WHEN closure_absent_at IS NULL THEN 'right' ELSE 'interval' END AS censoring, round((epoch_us(closure_absent_at) - epoch_us(last_seen_open)) / 86400e6, 6) AS gap_days, array_to_string(sources, ',') AS sources, capture_count, snapshots FROM intervals JOIN snaps USING (company_id, job_id)",
     "lifecycle_companies": f"WITH {DUCK} SELECT DISTINCT company_id FROM snap",
     "lifecycle_archive_only": f"WITH {INTERVALS_SQL} SELECT company_id, count(*) FILTER (NOT list_contains(sources, 'own')) AS archive_only, count(*) AS jobs FROM intervals GROUP BY company_id",

@@ -205,3 +205,36 @@ def test_relevance_agrees_with_enumeration(spark):
 def test_junk_titles(spark):
     rows = spark.createDataFrame([(None,), (" -- ",), ("ab",), ("2024",), ("Open Roles",), ("Apply to be a chef",), ("View our jobs",), ("Show runner for a big new drama",), ("アカウント営業/リテール",)], "t string")
     assert [r[0] for r in rows.select(matching.junk_title("t")).collect()] == ["blank", "blank", "short", "digits", "generic", "apply link", "link", None, None]
+
+
+def test_line_diff_and_field_drift(spark):
+    from larkspur.operators import drift
+
+    rows = spark.createDataFrame([("a\nb\n\n c", "a\nx\nc\nd"), (None, "a")], "old string, new string")
+    got = [r[0] for r in rows.select(drift.line_diff("old", "new")).collect()]
+    assert (got[0].added, got[0].removed, got[0].added_sample, got[0].removed_sample) == (2, 1, ["x", "d"], ["b"]) and got[1].added is None
+    r = drift.field_drift(spark.createDataFrame([("Chef!", "chef", None, "Paris")], "live_title string, stored_title string, live_location string, stored_location string"), ["title", "location"]).first()
+    assert r.title_changed is False and r.location_changed is None and r.drifted is False
+
+
+def test_reasons_are_cited_or_dropped(spark):
+    from larkspur.operators import drift
+
+    cases = spark.createDataFrame([(1, "open"), (2, "open"), (3, "closed")], "case_id int, state string")
+    evidence = spark.createDataFrame([(1, "e2", "posting_state"), (1, "e1", "posting_state"), (3, "e9", "event")], "case_id int, evidence_id string, claim_type string")
+    out = drift.reasons(cases, evidence, {"state": (F.col("state") == "open", ["posting_state"]), "event": (F.lit(True), ["event", "posting_state"])})
+    assert sorted((r.case_id, r.reason, r.evidence_ids) for r in out.collect()) == [(1, "event", ["e1", "e2"]), (1, "state", ["e1", "e2"]), (3, "event", ["e9"])]
+    assert drift.dangling_citations(out, evidence).count() == 0 and drift.dangling_citations(out, evidence.filter("evidence_id <> 'e1'")).count() == 1
+
+
+def test_board_pages_have_their_gates(spark):
+    from larkspur.sources import boards
+
+    link = lambda i, t: f'<li><a class="x" href="https://boards.greenhouse.io/acme/jobs/{i}?a=1"><b>{t}</b></a></li>'
+    full = link(1, "Data &amp; ML Engineer") + link(2, "Cook") + link(1, "Apply now")
+    pages = [(1, "acme", "greenhouse", full), (2, "acme", "greenhouse", full + '"jobPosts":{"count":2,"page":1,"total":146}'), (3, "acme", "greenhouse", link(1, "Chef") * 1 + link(2, "chef") + link(3, "CHEF!")), (4, "acme", "greenhouse", full + link(9, "Apply")), (5, "acme", "greenhouse", "<p>none</p>"), (6, "acme", "greenhouse", '<h2 data-testid="job-count-header"> 1,146 jobs</h2>')]
+    df = spark.createDataFrame(pages, "page_id int, tenant string, kind string, html string")
+    got = {r.page_id: (r.jobs, r.declared, r.partial_reason) for r in boards.boards(df).collect()}
+    assert got == {1: (2, None, None), 2: (2, 146, "declares more jobs"), 3: (3, None, "dominant title"), 4: (2, None, "junk titles"), 5: (0, None, None), 6: (0, 1146, "declares more jobs")}
+    jobs = {r.job_id: r.title for r in boards.listed_jobs(boards.anchors(df.filter("page_id = 1"))).collect()}
+    assert jobs == {"1": "Data & ML Engineer", "2": "Cook"}
