@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import jaccard_join, line_dedup, mixing, pieces, toxicity
+from larkspur.llm.common import sized_broadcast
 from larkspur.llm.queries import vocabulary
 from larkspur.session import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7."""
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
-    return toxicity.score(docs, model, keep=docs.columns).filter("score < 0.7").select(*docs.columns)
+    model, bags = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    rejected = written(toxicity.score(bags, model).filter("score >= 0.7").select("h1", "h2").distinct())
+    rows = docs.select("*", *toxicity.identity("text", "doc_id"))
+    return rows.join(sized_broadcast(rejected), ["h1", "h2"], "left_anti").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +33,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest key."""
-    others = jaccard_join.classes(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    others = written(jaccard_join.classes(docs).filter("component_id <> doc_id").select("doc_id").distinct())
+    return docs.join(sized_broadcast(others), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ def prepare(spark: SparkSession) -> None:
     """Batches for Python are bounded by rows and by bytes, so that long texts don't add up."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def crc_of_id(col: str = "doc_id") -> Column:
@@ -39,6 +40,14 @@ def sized(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.split(text, WORD_GAP), lambda w: w != ""))).cast("long")
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """df through a Python function of Arrow batches. make() runs once a task and returns the function, which returns columns."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -52,5 +61,17 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Calla
             if b.num_rows:
                 cols = f(b)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for t in arrow for c in [cols[t.name]]], schema=arrow)
+                del cols
+        del f
+        release()
 
     return df.mapInArrow(run, schema)
+
+
+#: So many keys are broadcast; more are joined by a shuffle.
+FEW = 1_000_000
+
+
+def sized_broadcast(ids: DataFrame) -> DataFrame:
+    """ids, broadcast if their number is bounded by FEW."""
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids

@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from larkspur.llm.common import crc_of_id, map_rows, prepare
 from larkspur.session import written
@@ -184,8 +183,35 @@ def shares(text: str | None) -> dict[str, float]:
     return {t: n / len(words) for t, n in out.items()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
-    """The model from docs (document frequencies) and the labelled rows for which learns, an expression over key, holds."""
+def identity(text: str, key: str) -> list[Column]:
+    """128 bits that tell rows apart by key and text, nulls included."""
+    return [F.xxhash64(key, text).alias("h1"), F.xxhash64(text, key, F.lit(1)).alias("h2")]
+
+
+def bags(docs: DataFrame, vocabulary: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """k, h1, h2 and the counts (ids, tf) of the vocabulary's terms of each row, written: texts are read once for frequencies and scores.
+
+    The first row of each batch also has seen: how many rows of the batch hold each term, and how many there are.
+    """
+
+    def make() -> Callable[[pa.RecordBatch], dict]:
+        bag = Bag(vocabulary)
+
+        def f(b: pa.RecordBatch) -> dict:
+            found = [sorted(bag(x).items()) for x in b.column(3).to_pylist()]
+            ids = [[i for i, _ in x] for x in found]
+            seen = np.bincount(np.array([i for x in ids for i in x if i < len(vocabulary)], np.int64), minlength=len(vocabulary) + 1).astype(np.int64)
+            seen[-1] = len(ids)
+            return {"k": b.column(0), "h1": b.column(1), "h2": b.column(2), "ids": ids, "tf": [[n for _, n in x] for x in found], "seen": [seen.tolist(), *[None] * (len(ids) - 1)]}
+
+        return f
+
+    rows = docs.select(F.col(key).alias("k"), *identity(text, key), F.col(text).alias("t"))
+    return written(map_rows(rows, f"k {rows.schema['k'].dataType.simpleString()}, h1 long, h2 long, ids array<int>, tf array<int>, seen array<long>", make))
+
+
+def learn(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[Model, DataFrame]:
+    """The model, and the bags of docs, from docs (document frequencies) and the labelled rows for which learns, an expression over key, holds."""
     spark = docs.sparkSession
     prepare(spark)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & learns).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("__y"))
@@ -193,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text"
     totals = {int(y): int(n) for y, n in known.groupBy("__y").count().collect() if y in (0, 1)}
     rate = totals.get(1, 0) / max(1, sum(totals.values()))
     if len(totals) < 2:
-        return Model([], np.zeros(0), None, np.zeros(0), np.zeros(0), rate)
+        return Model([], np.full(1, OTHER), None, np.zeros(0), np.zeros(0), rate), bags(docs, [], text, key)
     chosen = known.filter("__y = 1").orderBy(F.xxhash64(key), key).limit(SAMPLE).unionByName(known.filter("__y = 0").orderBy(F.xxhash64(key), key).limit(SAMPLE))
     sample = written(docs.select(key, F.col(text).alias("__t")).join(F.broadcast(chosen), key).groupBy(key, "__y").agg(F.min("__t").alias("__t")))
 
@@ -218,35 +244,14 @@ def learn(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text"
     vocabulary = [r[0] for r in by_term.withColumn("z", z).filter(F.col("z") >= min(Z, 0.3 * math.sqrt(min(n0, n1)))).orderBy(F.desc("z"), "term").limit(TERMS).select("term").collect()]
     count = len(vocabulary)
 
-    def make_df() -> Callable[[pa.RecordBatch], dict]:
-        bag = Bag(vocabulary)
-
-        def f(b: pa.RecordBatch) -> dict:
-            n = np.zeros(count + 1, np.int64)
-            for x in b.column(0).to_pylist():
-                n[-1] += 1
-                n[[i for i in bag(x) if i < count]] += 1
-            return {"n": [n.tolist()]}
-
-        return f
-
-    seen = map_rows(docs.select(F.col(text)), "n array<long>", make_df).select(F.posexplode("n").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n"))
+    found = bags(docs, vocabulary, text, key)
     df = np.zeros(count + 1)
-    for i, n in seen.collect():
+    for i, n in found.filter("seen is not null").select(F.posexplode("seen").alias("i", "n")).groupBy("i").agg(F.sum("n")).collect():
         df[i] = n
     idf = np.r_[np.log((1 + df[-1]) / (1 + df[:-1])) + 1, OTHER]
 
-    def make_bags() -> Callable[[pa.RecordBatch], dict]:
-        bag = Bag(vocabulary)
-
-        def f(b: pa.RecordBatch) -> dict:
-            bags = [sorted(bag(x).items()) for x in b.column(2).to_pylist()]
-            return {"k": b.column(0), "y": b.column(1), "ids": [[i for i, _ in x] for x in bags], "tf": [[n for _, n in x] for x in bags]}
-
-        return f
-
-    kind = sample.schema[key].dataType.simpleString()
-    rows = sorted(map_rows(sample.select(key, "__y", "__t"), f"k {kind}, y int, ids array<int>, tf array<int>", make_bags).collect(), key=lambda r: (tuple(r.ids), r.k))
+    own = found.join(F.broadcast(sample.select(F.col(key).alias("k"), "__y", *identity("__t", key))), ["k", "h1", "h2"]).dropDuplicates(["k"])
+    rows = sorted(own.select("k", F.col("__y").alias("y"), "ids", "tf").collect(), key=lambda r: (tuple(r.ids), r.k))
     y = np.array([r.y for r in rows])
     sampled = np.bincount(y, minlength=2)
     share = np.array([totals[0] / max(1, sampled[0]), totals[1] / max(1, sampled[1])])
@@ -254,40 +259,35 @@ def learn(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text"
     index = Index.of(np.array([r.k for r in rows]), y, share, rate, vectors, count + 1)
     votes = np.array([index.vote(*index.nearest(ids, w, skip=d)) for d, (ids, w) in enumerate(vectors)])
     x, p = isotonic(votes, y.astype(float), share[y])
-    return Model(vocabulary, idf, index, x, p, rate)
+    return Model(vocabulary, idf, index, x, p, rate), found
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """key (or the columns keep), score, nearest (an example's key or null) and cosine of each row."""
-    spark = docs.sparkSession
+def score(found: DataFrame, model: Model) -> DataFrame:
+    """k, h1, h2, score, nearest (an example's key or null) and cosine of each row of bags."""
+    spark = found.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    keep = keep or [key]
-    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("__t"))
-    at = keep.index(text) if text in keep else len(keep)
 
     def make() -> Callable[[pa.RecordBatch], dict]:
-        m = shared.value
-        bag, known = Bag(m.vocabulary), {}
+        m, known = shared.value, {}
 
-        def one(x: str | None) -> tuple[float, int, float]:
-            counts = bag(x)
+        def one(counts: dict[int, int]) -> tuple[float, int, float]:
             # without a term of the vocabulary, only whether there are words at all counts
-            found = tuple(sorted(counts.items())) if len(counts) > 1 or len(m.vocabulary) not in counts else "others"
-            if found not in known:
+            at = tuple(sorted(counts.items())) if len(counts) > 1 or len(m.vocabulary) not in counts else "others"
+            if at not in known:
                 if len(known) > REMEMBERED:
                     known.clear()
-                known[found] = m.score(*vector(counts, m.idf))
-            return known[found]
+                known[at] = m.score(*vector(counts, m.idf))
+            return known[at]
 
         def f(b: pa.RecordBatch) -> dict:
-            got = [one(x) for x in b.column(at).to_pylist()]
-            return dict(zip(keep, b.columns, strict=False)) | {"score": [g[0] for g in got], "nearest": [None if g[1] < 0 else m.index.keys[g[1]].item() for g in got], "cosine": [g[2] for g in got]}
+            got = [one(dict(zip(i, n, strict=True))) for i, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            return {"k": b.column(0), "h1": b.column(1), "h2": b.column(2), "score": [g[0] for g in got], "nearest": [None if g[1] < 0 else m.index.keys[g[1]].item() for g in got], "cosine": [g[2] for g in got]}
 
         return f
 
-    own = (("score", T.DoubleType()), ("nearest", docs.schema[key].dataType), ("cosine", T.DoubleType()))
-    return map_rows(rows, T.StructType([*rows.drop("__t").schema, *(T.StructField(n, t) for n, t in own)]), make)
+    kind = found.schema["k"].dataType.simpleString()
+    return map_rows(found.select("k", "h1", "h2", "ids", "tf"), f"k {kind}, h1 long, h2 long, score double, nearest {kind}, cosine double", make)
 
 
 def held_out(key: str = "doc_id") -> Column:
