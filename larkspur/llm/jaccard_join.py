@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_rows, prepare, words
+from larkspur.llm.common import map_rows, prepare, sized_broadcast, words
 from larkspur.llm.components import components
 from larkspur.session import written
 
@@ -48,14 +48,14 @@ WORDS, SIMILAR = 5, Fraction(4, 5)
 STEP = 1 / SIMILAR**2
 #: Parts beyond k + 1, as a share of k; cuts of the domain; texts that may share a signature before it is left out.
 SLACK, CUTS, HOT = 6, 4, 8
-#: So many keys are broadcast; more are joined by a shuffle.
-FEW = 1_000_000
 #: Runs of more texts are compared as bit sets, in chunks of CHUNK texts; pairs of a chunk are sent on in lots of LOT.
 LONG_RUN, CHUNK, LOT = 32, 1024, 200_000
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Signatures to a partition; bytes of text to a signature.
 TOGETHER, BYTES_EACH = 2_000_000, 10
 SIZE_ROW = 65_535
+#: Shingles whose signatures are made at once.
+AT_ONCE = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -173,19 +173,29 @@ def members(reps: DataFrame, partitions: int) -> DataFrame:
     def make_packed() -> Callable[[pa.RecordBatch], dict]:
         shingles, known = Shingles(), {}
 
-        def f(b: pa.RecordBatch) -> dict:
-            ids = b.column(0).to_numpy()
-            sets = [shingles.one(t) for t in b.column(1).to_pylist()]
+        def some(ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
             sig, doc, group, room = signatures(sets, known)
             size = np.array([len(s) for s in sets])
             rows = np.empty(len(sig) + len(ids), ROW)
             rows["sig"], rows["rep"] = np.r_[sig, mix(ids.astype(np.uint64))], np.r_[ids[doc], ids]
             rows["n"], rows["group"], rows["room"] = np.r_[size[doc], size], np.r_[group, np.full(len(ids), SIZE_ROW)], np.r_[room, np.zeros(len(ids))]
+            return rows
+
+        def f(b: pa.RecordBatch) -> dict:
+            ids, made, sets, held, first = b.column(0).to_numpy(), [], [], 0, 0
+            for i, text in enumerate(b.column(1)):
+                sets.append(shingles.one(text.as_py()))
+                held += len(sets[-1])
+                if held >= AT_ONCE or i == b.num_rows - 1:
+                    made.append(some(ids[first : i + 1], sets))
+                    sets, held, first = [], 0, i + 1
+            rows = np.concatenate(made)
+            made.clear()
             shard = (rows["sig"] % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
-            rows, shard = rows[order], shard[order]
+            shard = shard[order]
             starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-            return {"shard": shard[starts], "rows": [pack(x) for x in np.split(rows, starts[1:])]}
+            return {"shard": shard[starts], "rows": [pack(rows[x]) for x in np.split(order, starts[1:])]}
 
         return f
 
@@ -214,11 +224,6 @@ def members(reps: DataFrame, partitions: int) -> DataFrame:
     return packed.mapInArrow(runs, ", ".join(f"{c} long" for c in names))
 
 
-def sized_broadcast(ids: DataFrame) -> DataFrame:
-    """ids, broadcast if their number is bounded by FEW."""
-    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
-
-
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar, compared exactly."""
     def make() -> Callable[[pa.RecordBatch], dict]:

@@ -32,7 +32,7 @@ from larkspur.llm.common import map_rows, prepare
 MARKER, FALLBACK = "▁", 10.0
 SEGMENT = re.compile(" *[^ \n]+|\n| +")
 #: Segments of over LONG bytes are solved alone; so many segments and bytes of ids are remembered in a task.
-LONG, REMEMBERED, TOGETHER = 40, 500_000, 20_000
+LONG, REMEMBERED, TOGETHER = 40, 300_000, 20_000
 FAR = -1e300
 
 
