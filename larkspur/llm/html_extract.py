@@ -76,6 +76,10 @@ class Lines(HTMLParser):
         return above
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        # the end tags of these may be left out: another block ends a paragraph, and an item the item before
+        if (tag in CONTAINERS or tag in BLOCKS) and tag != "br" and self.stack and (self.stack[-1][0] == "p" or self.stack[-1][0] == tag and tag in ("li", "dt", "dd")):
+            self.end_line()
+            self.stack.pop()
         if tag in CONTAINERS:
             self.end_line()
             self.ids += 1

@@ -52,6 +52,10 @@ def test_html_without_semantic_tags_takes_the_dense_region():
     assert got == " ".join([prose(i, 30) for i in range(6)] + ["Short."])
 
 
+def test_html_ends_paragraphs_whose_end_tags_are_left_out():
+    assert html_extract.main_text("<article><p class=ad>Buy now<p>First words.<ul><li class=share>Share<li>An item</ul><p>Last words.</article>") == "First words. An item Last words."
+
+
 def test_html_tolerates_broken_markup(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a<b>b<p>c</i></div>"), (2, None, None), (3, "u", "plain &lt;text&gt; &#x41;"), (4, "u", "<p>" * 3000 + "deep")], "page_id long, url string, html string")
     got = collected(html_extract.extract(rows), "page_id")
