@@ -45,8 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their pieces, the number of these, and whether decoding gives the text back."""
     vocab = pieces.vocabulary_for(spark, vocabulary("piece_bpe_32k.model"))
-    out = pieces.decode(pieces.encode(docs, vocab), vocab)
-    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    return pieces.encode_checked(docs, vocab).select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

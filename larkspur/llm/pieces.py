@@ -32,7 +32,7 @@ from larkspur.llm.common import map_rows, prepare
 MARKER, FALLBACK = "▁", 10.0
 SEGMENT = re.compile(" *[^ \n]+|\n| +")
 #: Segments of over LONG bytes are solved alone; so many segments and bytes of ids are remembered in a task.
-LONG, REMEMBERED, TOGETHER = 40, 300_000, 20_000
+LONG, REMEMBERED, TOGETHER = 40, 150_000, 10_000
 FAR = -1e300
 
 
@@ -248,22 +248,42 @@ def encode(docs: DataFrame, vocabulary, text: str = "text", ids: str = "ids") ->
     return map_rows(rows, T.StructType([*rows.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))]), make)
 
 
+def decoded_texts(v: Vocabulary, lists: pa.ListArray) -> list[str | None]:
+    get, parts = v.pieces.__getitem__, []
+    flat, ends, null = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_null().to_pylist()
+    for k in range(len(lists)):
+        parts.append(None if null[k] else b"".join(map(get, flat[ends[k] : ends[k + 1]].tolist()))[1:].decode("utf-8"))
+    return parts
+
+
 def decode(rows: DataFrame, vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """rows with a column text after its own, decoded from ids."""
     prepare(rows.sparkSession)
     columns = [c for c in rows.columns if c != text]
 
     def make() -> Callable[[pa.RecordBatch], dict]:
-        get, at = vocabulary.value.pieces.__getitem__, columns.index(ids)
+        at = columns.index(ids)
+        return lambda b: dict(zip(columns, b.columns, strict=True)) | {text: decoded_texts(vocabulary.value, b.column(at))}
+
+    rows = rows.select(*columns)
+    return map_rows(rows, T.StructType([*rows.schema, T.StructField(text, T.StringType())]), make)
+
+
+def encode_checked(docs: DataFrame, vocabulary, text: str = "text", ids: str = "ids", checked: str = "round_trip") -> DataFrame:
+    """docs with ids and whether decoding them gives the text back: encode and decode in one pass, so that a task has one Python worker."""
+    prepare(docs.sparkSession)
+    columns = [c for c in docs.columns if c not in (ids, checked)]
+    rows = docs.select(*columns)
+
+    def make() -> Callable[[pa.RecordBatch], dict]:
+        encoder, at = Encoder(vocabulary.value), columns.index(text)
 
         def f(b: pa.RecordBatch) -> dict:
-            parts, lists = [], b.column(at)
-            flat, ends, null = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_null().to_pylist()
-            for k in range(len(lists)):
-                parts.append(None if null[k] else b"".join(map(get, flat[ends[k] : ends[k + 1]].tolist()))[1:].decode("utf-8"))
-            return dict(zip(columns, b.columns, strict=True)) | {text: parts}
+            texts = b.column(at).to_pylist()
+            coded = list_array(encoder(texts))
+            back = decoded_texts(vocabulary.value, coded)
+            return dict(zip(columns, b.columns, strict=True)) | {ids: coded, checked: [x == y for x, y in zip(texts, back, strict=True)]}
 
         return f
 
-    rows = rows.select(*columns)
-    return map_rows(rows, T.StructType([*rows.schema, T.StructField(text, T.StringType())]), make)
+    return map_rows(rows, T.StructType([*rows.schema, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(checked, T.BooleanType())]), make)

@@ -287,7 +287,9 @@ def score(found: DataFrame, model: Model) -> DataFrame:
         return f
 
     kind = found.schema["k"].dataType.simpleString()
-    return map_rows(found.select("k", "h1", "h2", "ids", "tf"), f"k {kind}, h1 long, h2 long, score double, nearest {kind}, cosine double", make)
+    # bags are small next to the work they mean: deal them out anew
+    rows = found.select("k", "h1", "h2", "ids", "tf").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h1", "h2")
+    return map_rows(rows, f"k {kind}, h1 long, h2 long, score double, nearest {kind}, cosine double", make)
 
 
 def held_out(key: str = "doc_id") -> Column:

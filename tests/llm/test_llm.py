@@ -308,6 +308,8 @@ def test_pieces_round_trip(spark):
     rows = EDGES + [(30, " lead and  double   spaces "), (31, "\n\n"), (32, "tab\there\r\n")]
     out = collected(pieces.decode(pieces.encode(docs_of(spark, rows), v), v))
     assert {i: r.decoded for i, r in out.items()} == dict(rows)
+    both = collected(pieces.encode_checked(docs_of(spark, rows), v))
+    assert all(r.round_trip and r.ids == out[i].ids for i, r in both.items())
     assert out[1].ids is None and out[2].ids == [] and out[4].ids == out[5].ids and out[4].rep == "z"
 
 
