@@ -7,16 +7,17 @@ it passes through the driver but histograms.
 
 The filter. A bigram's count c is stored as its quantised logarithm q = 1 + floor(log_BASE c): the filter gets the items
 (bigram, 1) ... (bigram, q), HASHES bits each. A probe asks for level 1, 2, ... until one is missing; the level reached
-is q, or more with a small probability. Shards own separate stretches of bits, so each builds its own. The filter is
-broadcast. Its size is bounded by FILTER_BITS: bigrams of fewer than MIN_COUNT occurrences, or of fewer than the least number with
-which the rest fits, aren't stored, as in any language model with cut-offs. Since at most N / c bigrams occur c times, this ends.
+is q, or more with a small probability. Each shard writes the filter of its own bigrams, BITS_EACH bits an item, so the filter
+grows with the corpus and is never in one place. Bigrams of fewer than MIN_COUNT occurrences aren't stored, at any size.
 
-Unigrams. The HEAD most frequent words (again a count bound: all words of at least so many occurrences) are broadcast
-with their exact counts. Other words are resolved exactly as well: their hashes are joined to the count table by a shuffle.
+Asking. Texts are taken in chunks. A chunk sends the different bigrams it holds, and its words outside the head, to the shards
+of the hash space, packed; a shard answers with levels and exact counts, which meet the chunk's token numbers again. The HEAD most
+frequent words (a count bound: all words of at least so many occurrences) are broadcast with their counts, which only
+saves asking: a word outside the head has its exact count too, as a token and as a history.
 
 Probability: p(w | h) = LAMBDA c'(h w) / c(h) + (1 - LAMBDA) p(w), with c' = BASE^(q-1), the lower end of the level, so
-that the probabilities of all words sum to 1 at most; p(w) = (c(w) + ALPHA) / (N + ALPHA (V + 1)). A history outside the
-head counts as unseen: then p(w | h) = p(w).
+that the probabilities of all words sum to 1 at most; p(w) = (c(w) + ALPHA) / (N + ALPHA (V + 1)). After an unseen
+history p(w | h) = p(w).
 
 Null and empty texts are the end mark alone. Repeated rows are scored, and counted, each. With no training text N = V = 0
 and every token has p = 1. Extra columns are ignored.
@@ -25,24 +26,27 @@ and every token has p = 1. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import crc_of_id, map_rows, prepare, words
+from larkspur.llm.common import crc_of_id, map_rows, prepare, release, words
 from larkspur.llm.jaccard_join import POWERS, WordHashes, mix
 from larkspur.session import written
 
 ALPHA, BASE, HASHES, LAMBDA, MIN_COUNT = 0.1, 2.0, 4, 0.3, 2
-FILTER_BITS, BITS_EACH, HEAD = 1 << 29, 12, 1 << 21
-#: Bits of the filter to a stretch, which one shard builds.
+BITS_EACH, HEAD = 12, 1 << 21
+#: Bits of the filter to a stretch.
 STRETCH = 1 << 19
 END = np.uint64(0x5851F42D4C957F2D)
 #: Counts are sent on when a task holds so many; n-grams to a partition.
 HELD, TOGETHER = 6_000_000, 4_000_000
+#: Tokens of a chunk, at least; texts aren't split.
+CHUNK = 2_000_000
 
 
 class Tokens:
@@ -95,8 +99,13 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, "<u8", n, 4), np.frombuffer(blob, "<u8", n, 4 + 8 * n)
 
 
+def shards(keys: np.ndarray, partitions: int) -> np.ndarray:
+    """Where sorted keys are cut into shards, by their high bits."""
+    return np.searchsorted(keys, (np.arange(1, partitions, dtype=object) * (1 << 64) // partitions).astype(np.uint64)) if partitions > 1 else np.zeros(0, int)
+
+
 def counted(texts: DataFrame, partitions: int) -> DataFrame:
-    """ngram (1 or 2), shard, keys (packed, sorted, with counts), kept and seen: sums over all texts. Bigrams that occur once are only counted (seen)."""
+    """ngram (1 or 2), shard, rows, seen, total and hist: sums over all texts. rows are the words with their counts, packed and sorted, or the filter of the bigrams."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -108,8 +117,7 @@ def counted(texts: DataFrame, partitions: int) -> DataFrame:
                     continue
                 keys, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                 parts.clear()
-                # sorted by the high bits, so that a shard is a stretch of the array
-                cuts = np.searchsorted(keys, (np.arange(1, partitions, dtype=object) * (1 << 64) // partitions).astype(np.uint64)) if partitions > 1 else np.zeros(0, int)
+                cuts = shards(keys, partitions)
                 rows = [(i, pack(k, c)) for i, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(k)]
                 for a in range(0, len(rows), 64):
                     part = rows[a : a + 64]
@@ -140,8 +148,9 @@ def counted(texts: DataFrame, partitions: int) -> DataFrame:
             keys, counts = keys[counts >= least], counts[counts >= least]
             top = min(int(counts.max(initial=1)).bit_length(), 63)
             hist = [int((counts >= np.uint64(1 << i)).sum()) for i in range(top)]
-            for a in range(0, max(1, len(keys)), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([s], pa.int32()), pa.array([pack(keys[a : a + 500_000], counts[a : a + 500_000])], pa.binary()), pa.array([0 if a else seen]), pa.array([0 if a else int(counts.sum())]), pa.array([[] if a else hist], pa.list_(pa.int64()))], ["ngram", "shard", "rows", "seen", "total", "hist"])
+            for a in range(0, max(1, len(keys)) if n == 1 else 1, 500_000):
+                rows = pack(keys[a : a + 500_000], counts[a : a + 500_000]) if n == 1 else sealed(keys, counts)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([s], pa.int32()), pa.array([rows], pa.binary()), pa.array([0 if a else seen]), pa.array([0 if a else int(counts.sum())]), pa.array([[] if a else hist], pa.list_(pa.int64()))], ["ngram", "shard", "rows", "seen", "total", "hist"])
 
     sent = texts.mapInArrow(local, "ngram int, shard int, rows binary").repartition(partitions, "ngram", "shard")
     return sent.mapInArrow(merge, "ngram int, shard int, rows binary, seen long, total long, hist array<long>")
@@ -196,33 +205,79 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts.astype(float)) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def build(table: DataFrame, least: int, stretches: int) -> np.ndarray:
-    """The filter's bits of all bigrams that occur at least so often. Stretches are built by the shards that own them and meet on the driver: their size is bounded by FILTER_BITS."""
+def inside(keys: np.ndarray) -> np.ndarray:
+    """What a shard's filter knows of its keys: 40 bits, which two of a shard's keys share about once in 10^5."""
+    return mix(keys) & np.uint64(0xFFFFFFFFFF000000)
 
-    def bits(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"at": [], "bits": []}
-        for blob in b.column(0).to_pylist():
-            keys, counts = unpack(blob)
-            keys, counts = keys[counts >= least], counts[counts >= least]
-            if not len(keys):
-                continue
-            own = stretch_of(keys, stretches)
-            low, high = int(own[0]), int(own[-1]) + 1
-            part, level = np.zeros((high - low) * STRETCH, bool), level_of(counts)
-            f = Filter(stretches, np.zeros(0, np.uint8))
-            for q in range(1, int(level.max()) + 1):
-                for h in range(HASHES):
-                    part[f.places(keys[level >= q], q, h) - low * STRETCH] = True
-            for i in range(high - low):
-                out["at"].append(low + i)
-                out["bits"].append(np.packbits(part[i * STRETCH : (i + 1) * STRETCH], bitorder="little").tobytes())
-        return out
 
-    parts = map_rows(table.filter("ngram = 2").select("rows"), "at int, bits binary", lambda: bits)
-    full = np.zeros((stretches, STRETCH // 8), np.uint8)
-    for r in parts.toLocalIterator():
-        full[r.at] |= np.frombuffer(r.bits, np.uint8)
-    return full.ravel()
+def sealed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """The filter of a shard's bigrams, as large as their number asks for."""
+    level = level_of(counts)
+    stretches, top = max(1, -(-int(level.sum()) * BITS_EACH // STRETCH)), int(level.max(initial=0))
+    keys, bits, f = inside(keys), np.zeros(stretches * STRETCH, bool), Filter(stretches, np.zeros(0, np.uint8))
+    for q in range(1, top + 1):
+        for h in range(HASHES):
+            bits[f.places(keys[level >= q], q, h)] = True
+    return np.uint32(stretches).tobytes() + np.packbits(bits, bitorder="little").tobytes()
+
+
+def unsealed(blob: bytes) -> Filter:
+    return Filter(int(np.frombuffer(blob, "<u4", 1)[0]), np.frombuffer(blob, np.uint8, offset=4))
+
+
+def narrow(keys: np.ndarray) -> bytes:
+    """Keys of a filter in five bytes each."""
+    x = inside(keys)
+    return (x >> np.uint64(32)).astype("<u4").tobytes() + (x >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def wide(blob: bytes) -> np.ndarray:
+    n = len(blob) // 5
+    return np.frombuffer(blob, "<u4", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(24)
+
+
+class Chunk:
+    """Texts as numbers of their words, which are ordered by falling frequency so that numbers are small."""
+
+    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, size: np.ndarray) -> None:
+        self.vocabulary, self.tokens, self.size = vocabulary, tokens, size
+
+    @classmethod
+    def of(cls, tokens: np.ndarray, size: np.ndarray) -> Chunk:
+        found, number, n = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        return cls(found[order], rank[number], size)
+
+    def pack(self) -> bytes:
+        head = np.array([len(self.vocabulary), len(self.tokens), len(self.size)], "<u8").tobytes()
+        return head + self.vocabulary.astype("<u8").tobytes() + self.size.astype("<u8").tobytes() + self.tokens.astype("<u2").tobytes() + (self.tokens >> 16).astype("<u2").tobytes()
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> Chunk:
+        v, t, n = (int(x) for x in np.frombuffer(blob, "<u8", 3))
+        at = 24 + 8 * (v + n)
+        tokens = np.frombuffer(blob, "<u2", t, at).astype(np.uint32) | np.frombuffer(blob, "<u2", t, at + 2 * t).astype(np.uint32) << 16
+        return cls(np.frombuffer(blob, "<u8", v, 24), tokens, np.frombuffer(blob, "<u8", n, 24 + 8 * v).astype(np.int64))
+
+    def asked(self, head: np.ndarray, counts: np.ndarray, whole: bool) -> tuple[np.ndarray, ...]:
+        """What is known and what is asked for: the count of each word, the words without one; left and right word of each different bigram, the number of each token's bigram, the bigrams asked for and their hashes in order. whole: words outside the head weren't seen."""
+        v = self.vocabulary
+        at = np.minimum(np.searchsorted(head, v), max(0, len(head) - 1))
+        known = head[at] == v if len(head) else np.zeros(len(v), bool)
+        c = np.where(known, counts[at], 0.0) if len(head) else np.zeros(len(v))
+        missing = np.flatnonzero(~known) if not whole else np.zeros(0, int)
+        missing = missing[np.argsort(v[missing])]
+        end = np.flatnonzero(v == END)[0]
+        left = np.r_[np.uint32(end), self.tokens[:-1]]
+        left[np.r_[0, np.cumsum(self.size)[:-1]]] = end
+        keys, first, number = np.unique(bigrams(v[left], v[self.tokens]), return_index=True, return_inverse=True)
+        left, right = left[first], self.tokens[first]
+        may = c > 0
+        may[missing] = True
+        probed = np.flatnonzero(may[left])
+        return c, missing, left, right, number, probed, keys[probed]
 
 
 def score(docs: DataFrame, trains: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -233,13 +288,10 @@ def score(docs: DataFrame, trains: Column, text: str = "text", key: str = "doc_i
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * TOGETHER)))
     table = written(counted(docs.filter(trains).select(text), partitions))
     distinct, total, hist = hist_of(table, 1)
-    _, _, hist2 = hist_of(table, 2)
-    # the least powers of two with which head and filter keep to their bounds
+    # the least power of two with which the head keeps to its bound
     low = next(i for i in range(64) if hist[i] <= HEAD)
-    items = [int(hist2[i:].sum()) + i * int(hist2[i]) for i in range(64)]
-    cut = next(i for i in range(1, 64) if items[i] * BITS_EACH <= FILTER_BITS)
-    stretches = max(1, -(-items[cut] * BITS_EACH // STRETCH))
     tail, norm = 1 << low, math.log10(total + ALPHA * (distinct + 1)) if total else 0.0
+    whole = tail == 1
 
     def common(b: pa.RecordBatch) -> dict:
         got = [unpack(x) for x in b.column(0).to_pylist()]
@@ -249,75 +301,106 @@ def score(docs: DataFrame, trains: Column, text: str = "text", key: str = "doc_i
     heads = [unpack(r.rows) for r in map_rows(table.filter("ngram = 1").select("rows"), "rows binary", lambda: common).toLocalIterator()]
     head, counts = (np.concatenate([h[i] for h in heads] or [np.zeros(0, np.uint64)]) for i in (0, 1))
     order = np.argsort(head)
-    shared = spark.sparkContext.broadcast((head[order], counts[order].astype(np.float64), build(table, 1 << cut, stretches)))
-
-    def make() -> Callable[[pa.RecordBatch], dict]:
-        head, counts, bits = shared.value
-        tokens, probe = Tokens(), Filter(stretches, bits)
-
-        def f(b: pa.RecordBatch) -> dict:
-            t, g, size = tokens.many(b.column(2).to_pylist())
-            at = np.minimum(np.searchsorted(head, t), max(0, len(head) - 1))
-            known = head[at] == t if len(head) else np.zeros(len(t), bool)
-            c = np.where(known, counts[at], 0.0) if len(head) else np.zeros(len(t))
-            own = np.repeat(np.arange(len(size)), size)
-            first = np.r_[0, np.cumsum(size)[:-1]]
-            # tokens outside the head: of training texts they occur once if the head holds all others
-            open_ = ~known
-            sure = open_ & np.repeat(np.array(b.column(1).to_pylist(), bool), size) & (tail == 2)
-            c[sure], known = 1.0, known | sure
-            open_ &= ~sure
-            if tail == 1:
-                open_[:] = False
-            base = np.log10(c + ALPHA) - norm if total else np.zeros(len(t))
-            history = np.r_[0.0, c[:-1]]
-            in_head = np.r_[False, (known & ~sure)[:-1]]
-            ends = counts[np.searchsorted(head, END)] if len(head) and END in head else 0.0
-            history[first], in_head[first] = ends, ends > 0
-            history = np.where(in_head, history, 0.0)
-            probed = np.flatnonzero(in_head)
-            level = np.zeros(len(t), np.int64)
-            level[probed] = probe.levels(g[probed])
-            pair = np.where(level > 0, BASE ** (level - 1.0), 0.0)
-            pair = np.minimum(pair, history)
-            p = np.where(history > 0, LAMBDA * pair / np.maximum(history, 1) + (1 - LAMBDA) * 10.0**base, 10.0**base)
-            done = ~open_
-            n = len(size)
-            hit = np.flatnonzero(open_)
-            split = np.cumsum(np.bincount(own[hit], minlength=n))[:-1]
-            return {
-                "k": b.column(0), "n_tokens": size, "n_known": np.bincount(own, weights=done & (c > 0), minlength=n).astype(np.int64),
-                "base": np.bincount(own, weights=np.where(done, base, 0.0), minlength=n), "full": np.bincount(own, weights=np.where(done, np.log10(p), 0.0), minlength=n),
-                "h": [x.tolist() for x in np.split(t[hit].view(np.int64), split)], "pair": [x.tolist() for x in np.split(pair[hit], split)], "history": [x.tolist() for x in np.split(history[hit], split)],
-            }
-
-        return f
-
+    shared = spark.sparkContext.broadcast((head[order], counts[order].astype(np.float64)))
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(trains, F.lit(False)).alias("trains"), F.col(text).alias("t"))
-    part = map_rows(rows, f"k {kind}, n_tokens long, n_known long, base double, full double, h array<long>, pair array<double>, history array<double>", make)
-    if tail > 1:
-        part = resolved(written(part.withColumn("row", F.monotonically_increasing_id())), table, tail, norm, total)
-    return part.select(F.col("k").alias(key), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("full").alias("score"))
+    # ngram 0 are the chunks themselves, which pass through the shards
+    schema = f"chunk long, ngram int, shard long, own int, ks array<{kind}>, rows binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, number, held = Tokens(), TaskContext.get().partitionId() << 32, []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            chunk = Chunk.of(np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+            ks = pa.concat_arrays([h[0] for h in held])
+            held.clear()
+            _, missing, *_, keys = chunk.asked(*shared.value, whole)
+            rows = [(0, number, chunk.pack())]
+            for n, x, pack in ((1, chunk.vocabulary[missing], lambda a: a.astype("<u8").tobytes()), (2, keys, narrow)):
+                rows += [(n, i, pack(part)) for i, part in enumerate(np.split(x, shards(x, partitions))) if len(part)]
+            for a in range(0, len(rows), 256):
+                part = rows[a : a + 256]
+                mine = pa.ListArray.from_arrays(pa.array([0] + [len(ks) if not a else 0] * len(part), pa.int32()), ks if not a else ks[:0])
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int64()), pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int64()), pa.array([1] * len(part), pa.int32()), mine, pa.array([r[2] for r in part], pa.binary())], ["chunk", "ngram", "shard", "own", "ks", "rows"])
 
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t, _, n = tokens.many(b.column(1).to_pylist())
+            held.append((b.column(0), t, n))
+            if sum(len(h[1]) for h in held) >= CHUNK:
+                yield from sent()
+                number += 1
+        if held:
+            yield from sent()
+        release()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, counts, probe = None, [], None, None
+        for b in batches:
+            out = []
+            for n, s, own, rows in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 5)), strict=True):
+                if n and (n, s) != at:
+                    at, parts, counts, probe = (n, s), [], None, None
+                if n and not own:
+                    parts.append(rows)
+                    continue
+                if n == 1:
+                    if counts is None:
+                        got = [unpack(x) for x in parts] or [(np.zeros(0, np.uint64),) * 2]
+                        counts = summed(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+                    asked = np.frombuffer(rows, "<u8")
+                    i = np.minimum(np.searchsorted(counts[0], asked), max(0, len(counts[0]) - 1))
+                    rows = (np.where(counts[0][i] == asked, counts[1][i], 0) if len(counts[0]) else np.zeros(len(asked))).astype("<u8").tobytes()
+                elif n == 2:
+                    probe = probe or (unsealed(parts[0]) if parts else Filter(1))
+                    rows = probe.levels(wide(rows)).astype(np.uint8).tobytes()
+                out.append(rows)
+            keep = b.filter(pa.array([bool(own or not n) for n, own in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]))
+            if keep.num_rows:
+                yield pa.RecordBatch.from_arrays([*keep.columns[:5], pa.array(out, pa.binary())], names=b.schema.names)
+        release()
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ks, blob, got = None, None, None, {1: [], 2: []}
+
+        def scored() -> pa.RecordBatch:
+            chunk = Chunk.unpack(blob)
+            c, missing, left, right, number, probed, keys = chunk.asked(*shared.value, whole)
+            told, levels = (np.frombuffer(b"".join(got[n]), t) for n, t in ((1, "<u8"), (2, np.uint8)))
+            if len(told) != len(missing) or len(levels) != len(keys):
+                raise RuntimeError(f"answers to chunk {at} are incomplete: {len(told)} of {len(missing)} words, {len(levels)} of {len(keys)} bigrams")
+            c[missing] = told
+            base = np.log10(c + ALPHA) - norm if total else np.zeros(len(c))
+            level = np.zeros(len(left), np.int64)
+            level[probed] = levels
+            history = c[left]
+            pair = np.minimum(np.where(level > 0, BASE ** (level - 1.0), 0.0), history)
+            plain = 10.0 ** base[right]
+            full = np.log10(np.where(history > 0, LAMBDA * pair / np.maximum(history, 1) + (1 - LAMBDA) * plain, plain))
+            n, own = len(chunk.size), np.repeat(np.arange(len(chunk.size)), chunk.size)
+            sums = [np.bincount(own, weights=w, minlength=n) for w in ((c > 0)[chunk.tokens], base[chunk.tokens], full[number])]
+            return pa.RecordBatch.from_arrays([ks, pa.array(chunk.size), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["k", "n_tokens", "n_known", "base", "full"])
 
-def resolved(part: DataFrame, table: DataFrame, tail: int, norm: float, total: int) -> DataFrame:
-    """Adds the tokens outside the head, whose counts are joined by hash."""
-
-    def rare(b: pa.RecordBatch) -> dict:
-        got = [unpack(x) for x in b.column(0).to_pylist()]
-        keys = np.concatenate([k[c < tail] for k, c in got])
-        return {"h": keys.view(np.int64), "c": np.concatenate([c[c < tail] for _, c in got]).astype(np.int64)}
-
-    counts = map_rows(table.filter("ngram = 1").select("rows"), "h long, c long", lambda: rare)
-    open_ = part.filter(F.size("h") > 0).select("row", F.explode(F.arrays_zip("h", "pair", "history")).alias("x")).select("row", F.col("x.h").alias("h"), "x.pair", "x.history")
-    c = F.coalesce("c", F.lit(0))
-    base = F.log10(c + ALPHA) - norm if total else F.lit(0.0)
-    plain = F.pow(F.lit(10.0), base)
-    p = F.when(F.col("history") > 0, LAMBDA * F.col("pair") / F.col("history") + (1 - LAMBDA) * plain).otherwise(plain)
-    more = open_.join(counts, "h", "left").groupBy("row").agg(F.sum((c > 0).cast("long")).alias("n2"), F.sum(base).alias("b2"), F.sum(F.log10(p)).alias("f2"))
-    out = part.drop("h", "pair", "history").join(more, "row", "left")
-    return out.select("k", "n_tokens", (F.col("n_known") + F.coalesce("n2", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("b2", F.lit(0.0))).alias("base"), (F.col("full") + F.coalesce("f2", F.lit(0.0))).alias("full"))
+        for b in batches:
+            for i, (chunk, n, rows) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 5)), strict=True)):
+                if chunk != at:
+                    if at is not None:
+                        yield scored()
+                    at, blob, got = chunk, None, {1: [], 2: []}
+                if n == 0:
+                    ks, blob = b.column(4)[i].values, rows
+                else:
+                    got[n].append(rows)
+        if at is not None:
+            yield scored()
+        release()
+
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    own = table.select(F.lit(0).cast("long").alias("chunk"), "ngram", F.col("shard").cast("long").alias("shard"), F.lit(0).alias("own"), F.lit(None).cast(f"array<{kind}>").alias("ks"), "rows")
+    met = own.filter(F.lit(True) if not whole else F.col("ngram") == 2).unionByName(rows.mapInArrow(ask, schema)).repartition(partitions, "ngram", "shard")
+    told = met.sortWithinPartitions("ngram", "shard", "own").mapInArrow(answer, schema).repartition(partitions, "chunk")
+    part = told.sortWithinPartitions("chunk", "ngram", "shard").mapInArrow(finish, f"k {kind}, n_tokens long, n_known long, base double, full double")
+    return part.select(F.col("k").alias(key), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("full").alias("score"))
 
 
 def held_out(key: str = "doc_id") -> Column:

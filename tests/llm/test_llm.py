@@ -364,6 +364,34 @@ def test_log_frequency_filter_never_underestimates():
     assert (f.levels(keys + np.uint64(1)) > 0).mean() < 0.02
 
 
+def brute_lm(rows, trained, least=1):
+    """The score of each text by counts at the lower end of their levels."""
+    toks = {i: (t or "").encode().lower().split() + [None] for i, t in rows}
+    ones, twos = collections.Counter(), collections.Counter()
+    for i in trained:
+        ones.update(toks[i])
+        twos.update(zip([None] + toks[i][:-1], toks[i], strict=True))
+    n, v = sum(ones.values()), len(ones)
+
+    def one(h, w):
+        p, c = (ones[w] + 0.1) / (n + 0.1 * (v + 1)), twos[h, w]
+        return math.log10(0.3 * (2 ** (c.bit_length() - 1) if c >= least else 0) / ones[h] + 0.7 * p if ones[h] else p)
+
+    return {i: sum(one(h, w) for h, w in zip([None] + t[:-1], t, strict=True)) for i, t in toks.items()}
+
+
+def test_lm_scores_keep_bigrams_and_histories_whatever_the_size(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "HEAD", 4)  # nearly all words are outside the head
+    monkeypatch.setattr(lm_score, "FILTER_BITS", 64, raising=False)  # a filter of a fixed size holds next to nothing of this
+    monkeypatch.setattr(lm_score, "CHUNK", 500, raising=False)
+    rows = [(i, prose(i % 40, 30 + i % 9, 80)) for i in range(200)]
+    trained = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    got, want = collected(lm_score.score(docs_of(spark, rows), ~lm_score.held_out())), brute_lm(rows, trained, lm_score.MIN_COUNT)
+    assert all(got[i].score >= want[i] - 1e-6 for i in want)  # the filter errs upward only, and seldom
+    assert sum(math.isclose(got[i].score, want[i], abs_tol=1e-6) for i in want) > 0.7 * len(want)
+    assert math.isclose(sum(r.score for r in got.values()), sum(want.values()), rel_tol=0.005)
+
+
 def test_lm_scores_without_training_text(spark):
     got = lm_score.score(docs_of(spark, EDGES[:5]), F.lit(False)).collect()
     assert {(r.train_tokens, r.n_known) for r in got} == {(0, 0)} and len(got) == 5
