@@ -8,7 +8,7 @@ it passes through the driver but histograms.
 The filter. A bigram's count c is stored as its quantised logarithm q = 1 + floor(log_BASE c): the filter gets the items
 (bigram, 1) ... (bigram, q), HASHES bits each. A probe asks for level 1, 2, ... until one is missing; the level reached
 is q, or more with a small probability. Each shard writes the filter of its own bigrams, BITS_EACH bits an item, so the filter
-grows with the corpus and is never in one place. Bigrams of fewer than MIN_COUNT occurrences aren't stored, at any size.
+grows with the corpus and is never in one place. All bigrams are stored, those seen once as level 1.
 
 Asking. Texts are taken in chunks. A chunk sends the different bigrams it holds, and its words outside the head, to the shards
 of the hash space, packed; a shard answers with levels and exact counts, which meet the chunk's token numbers again. The HEAD most
@@ -38,7 +38,7 @@ from larkspur.llm.common import crc_of_id, map_rows, prepare, release, words
 from larkspur.llm.jaccard_join import POWERS, WordHashes, mix
 from larkspur.session import written
 
-ALPHA, BASE, HASHES, LAMBDA, MIN_COUNT = 0.1, 2.0, 4, 0.3, 2
+ALPHA, BASE, HASHES, LAMBDA = 0.1, 2.0, 4, 0.3
 BITS_EACH, HEAD = 12, 1 << 21
 #: Bits of the filter to a stretch.
 STRETCH = 1 << 19
@@ -144,8 +144,7 @@ def counted(texts: DataFrame, partitions: int) -> DataFrame:
         for (n, s) in sorted(parts):
             got = [unpack(x) for x in parts.pop((n, s))]
             keys, counts = summed(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-            seen, least = len(keys), 1 if n == 1 else MIN_COUNT
-            keys, counts = keys[counts >= least], counts[counts >= least]
+            seen = len(keys)
             top = min(int(counts.max(initial=1)).bit_length(), 63)
             hist = [int((counts >= np.uint64(1 << i)).sum()) for i in range(top)]
             for a in range(0, max(1, len(keys)) if n == 1 else 1, 500_000):

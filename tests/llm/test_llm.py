@@ -386,12 +386,20 @@ def test_lm_scores_keep_bigrams_and_histories_whatever_the_size(spark, monkeypat
     monkeypatch.setattr(lm_score, "CHUNK", 500, raising=False)
     rows = [(i, prose(i % 40, 30 + i % 9, 80)) for i in range(200)]
     trained = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
-    got, want = collected(lm_score.score(docs_of(spark, rows), ~lm_score.held_out())), brute_lm(rows, trained, lm_score.MIN_COUNT)
+    got, want = collected(lm_score.score(docs_of(spark, rows), ~lm_score.held_out())), brute_lm(rows, trained)
     assert all(got[i].score >= want[i] - 1e-6 for i in want)  # the filter errs upward only, and seldom
     assert sum(math.isclose(got[i].score, want[i], abs_tol=1e-6) for i in want) > 0.7 * len(want)
     assert math.isclose(sum(r.score for r in got.values()), sum(want.values()), rel_tol=0.005)
 
 
+def test_lm_scores_learn_from_bigrams_seen_once(spark):
+    rows = [(i, f"a{i} b{i} c{i}") for i in range(60)] + [(1000 + i, f"a{i} b{i} c{i}") for i in range(60)]
+    got = collected(lm_score.score(docs_of(spark, rows), F.col("doc_id") < 1000))
+    want = brute_lm(rows, range(60))
+    assert sum(math.isclose(got[i].score, want[i], abs_tol=1e-6) for i in want) > 0.9 * len(want)
+    assert all(got[i].score > got[i].base_score and got[i].score >= want[i] - 1e-6 for i in want)
+
+
 def test_lm_scores_without_training_text(spark):
     got = lm_score.score(docs_of(spark, EDGES[:5]), F.lit(False)).collect()
     assert {(r.train_tokens, r.n_known) for r in got} == {(0, 0)} and len(got) == 5
