@@ -3,9 +3,11 @@
 The standard library's parser is fed in pieces and its events make lines: runs of text between block boundaries, each
 with its characters outside links, its tags and its chain of containers. A line's text-to-tag ratio is smoothed over its
 neighbours with a Gaussian, and lines above a threshold (LAMBDA standard deviations) form clusters. The clusters vote,
-by their text, for the region that holds the content: the article or main element with most of it, or else the deepest
-container with most of it. All lines of that region are content, but for those in containers that are no part of an
-article (menus, headers, footers, sidebars, notices, adverts, forms, comments), so that short paragraphs stay.
+by their text, for the region that holds the content: the article or else the main elements if they have a third of it, or
+else the deepest container with all of it. All lines of that region are content, but for those in containers that are no part of an
+article (menus, headers, footers, sidebars, notices, adverts, forms, comments), so that short paragraphs stay. Words in
+class and id attributes are no proof: a container they mark stays if it holds the largest article or main element and none with
+text stands outside such containers or, without an article, if it holds most of the page's text.
 
 White space inside a line becomes one space; lines are trimmed and joined by a space. Null and empty pages, and pages
 without text, give an empty text. Unclosed and stray tags are tolerated: an end tag closes what stands open inside its
@@ -35,8 +37,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class and id attributes, and roles, of what is no part of an article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar rail menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond replies reply footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar widget search hidden".split())
+#: Of these, what stays out even if it holds most of the text.
+REPLIES = frozenset("comment comments disqus respond replies reply hidden".split())
+#: Names of layouts, which tell what else is on the page.
+LAYOUT = re.compile(r"(?<!\S)(?:has|with|no|without)[-_]\S+", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-PIECE, SIGMA, LAMBDA, HOLDS = 1 << 16, 1.0, 0.5, 0.8
+PIECE, SIGMA, LAMBDA = 1 << 16, 1.0, 0.5
 
 
 class Lines(HTMLParser):
@@ -46,6 +52,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, int]] = []  # name, id, how it stands: 0 kept, 1 dropped, 2 only headings kept
         self.names: dict[int, str] = {}
+        self.marks: set[int] = set()  # containers that only their class or id marks
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.text: list[str] = []
         self.tags = self.linked = self.in_link = self.ids = self.heading = 0
@@ -68,9 +75,13 @@ class Lines(HTMLParser):
         if tag not in ("html", "body", "main"):
             for k, v in attrs:
                 if k in ("class", "id") and v:
-                    found = MARKS.intersection(re.split(r"[^a-z]+", v.lower()))
+                    found = MARKS.intersection(re.split(r"[^a-z]+", LAYOUT.sub(" ", v).lower()))
                     if found and tag != "article" or found & {"comment", "comments", "reply"}:
-                        return 2 if inside and found == {"header"} else 1
+                        if inside and found == {"header"}:
+                            return 2
+                        if inside or found & REPLIES or tag not in CONTAINERS:
+                            return 1
+                        self.marks.add(self.ids)
                 elif k == "role" and v and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v, re.I):
                     return 1
         return above
@@ -126,19 +137,44 @@ def smoothed(x: np.ndarray) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def region(lines: list, chosen: np.ndarray, size: np.ndarray, names: dict[int, str]) -> int:
-    """The container with the content: an article (the outermost), main, or else the deepest with HOLDS of the chosen text. 0: the page."""
+def cleared(lines: list, marks: set[int], names: dict[int, str]) -> list:
+    """Lines outside marked containers, but for those containers that hold the article after all."""
+    size = [max(0, len(x[0]) - x[2]) for x in lines]
+    held: dict[int, int] = {}
+    plain: dict[int, int] = {}
+    above: dict[int, frozenset[int]] = {}
+    for x, n in zip(lines, size, strict=True):
+        marked = not marks.isdisjoint(x[3])
+        for i, c in enumerate(x[3]):
+            held[c], plain[c] = held.get(c, 0) + n, plain.get(c, 0) + (0 if marked else n)
+            if names[c] in ("article", "main") and c not in above:
+                above[c] = frozenset(marks.intersection(x[3][:i]))
+    articles, mains = ([(held[c], -c) for c in above if names[c] == kind and held[c]] for kind in ("article", "main"))
+    # an article in a marked container is the page's own if it holds more than the main element does besides
+    aside = max((max(plain[-c], n / 2 if above[-c] else 0) for n, c in mains), default=0)
+    if any(not above[-c] for _, c in articles):
+        keep: frozenset[int] = frozenset()
+    elif articles and max(articles)[0] > aside:
+        keep = above[-max(articles)[1]]
+    else:
+        keep = frozenset(c for c in marks if 2 * held.get(c, 0) > sum(size))
+        keep |= above[-max(mains)[1]] if mains and not max(plain[-c] for _, c in mains) else keep
+    return [x for x in lines if (marks - keep).isdisjoint(x[3])]
+
+
+def region(lines: list, chosen: np.ndarray, size: np.ndarray, names: dict[int, str]) -> set[int]:
+    """The containers with the content: articles, main elements, or else the deepest with all of the chosen text. Empty: the page."""
     held: dict[int, float] = {}
     for line, n in zip(lines, np.where(chosen, size, 0), strict=True):
         for c in line[3]:
             held[c] = held.get(c, 0) + n
     total = float(size[chosen].sum())
     for kind in ("article", "main"):
-        found = [(n, -c) for c, n in held.items() if names[c] == kind and n > 0]
-        if found and max(found)[0] >= total / 3:
-            return -max(found)[1]
-    found = [c for c, n in held.items() if n >= HOLDS * total and names[c] not in ("ul", "ol", "dl", "tr", "td", "th", "table", "tbody", "blockquote")]
-    return max(found, default=0)
+        found = {c for c in held if names[c] == kind}
+        if sum(n for x, n in zip(lines, np.where(chosen, size, 0), strict=True) if found.intersection(x[3])) >= max(1, total / 3):
+            return found
+    whole = [c for c, n in held.items() if n >= total and names[c] not in ("ul", "ol", "dl", "tr", "td", "th", "table", "tbody", "blockquote")]
+    return {max(whole)} if whole else set()
 
 
 def main_text(html: str | None) -> str:
@@ -149,7 +185,7 @@ def main_text(html: str | None) -> str:
         parser.feed(html[i : i + PIECE])
     parser.close()
     parser.end_line()
-    lines = [x for x in parser.lines if not x[4]]
+    lines = cleared([x for x in parser.lines if not x[4]], parser.marks, parser.names)
     if not lines:
         return ""
     size = np.array([max(0, len(x[0]) - x[2]) for x in lines], float)
@@ -159,8 +195,8 @@ def main_text(html: str | None) -> str:
         chosen[:] = True
     top = region(lines, chosen, size, parser.names)
     # outside an article, a line that is mostly links and in no cluster is a menu
-    loose = not top or parser.names[top] != "article"
-    return " ".join(x[0] for x, c in zip(lines, chosen, strict=True) if (not top or top in x[3]) and not (loose and not c and x[2] > 0.6 * len(x[0])))
+    loose = not any(parser.names[c] == "article" for c in top)
+    return " ".join(x[0] for x, c in zip(lines, chosen, strict=True) if (not top or top.intersection(x[3])) and not (loose and not c and x[2] > 0.6 * len(x[0])))
 
 
 def extract(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:

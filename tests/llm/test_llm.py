@@ -56,6 +56,23 @@ def test_html_ends_paragraphs_whose_end_tags_are_left_out():
     assert html_extract.main_text("<article><p class=ad>Buy now<p>First words.<ul><li class=share>Share<li>An item</ul><p>Last words.</article>") == "First words. An item Last words."
 
 
+def test_html_keeps_the_lead_and_all_articles_whatever_the_layout_is_called():
+    lead, text = prose(1, 22), prose(2, 200)
+    split = f"<div id=content><div class=lead>{lead}</div><div class=text>{text}</div></div>"
+    assert html_extract.main_text(f"<body>{split}</body>") == f"{lead} {text}"
+    assert html_extract.main_text(f"<body><article>{lead}</article><article>{text}</article><article class=comment>{prose(3, 50)}</article></body>") == f"{lead} {text}"
+    assert html_extract.main_text(f"<body><main><article>{lead}</article><article>Short.</article></main></body>") == f"{lead} Short."
+    side = f"<div class=sidebar>{prose(4, 30)}</div>"
+    for name in ("layout with-sidebar", "layout sidebar left", "has-comments", "page widget"):
+        assert html_extract.main_text(f"<body><div class='{name}'><article>{text}</article>{side}</div></body>") == text
+        assert html_extract.main_text(f"<body><div class='{name}'><main>{text}</main>{side}</div><div class=related><article>{lead}</article></div></body>").startswith(text)
+        assert html_extract.main_text(f"<body><div class='{name}'><div>{text}</div>{side}</div></body>") == text
+        assert html_extract.main_text(f"<body><main><div class='{name}'><article>{text}</article>{side}</div></main></body>") == text
+    assert html_extract.main_text(f"<body><main><div>{text}</div><div class=related><article>{lead}</article></div></main></body>") == text
+    assert html_extract.main_text(f"<body><article>{lead}</article><div class=related><article>{text}</article></div></body>") == lead
+    assert html_extract.main_text(f"<body><div>{lead}</div><div class=comments><article>{text}</article></div></body>") == lead
+
+
 def test_html_tolerates_broken_markup(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a<b>b<p>c</i></div>"), (2, None, None), (3, "u", "plain &lt;text&gt; &#x41;"), (4, "u", "<p>" * 3000 + "deep")], "page_id long, url string, html string")
     got = collected(html_extract.extract(rows), "page_id")
