@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,11 +17,25 @@ def after_moment(evidence: DataFrame, runs: DataFrame) -> DataFrame:
 def fetched_after(evidence: DataFrame, cache: DataFrame, runs: DataFrame, hours: int = 24) -> DataFrame:
     """Evidence whose value was first fetched after the run's moment: no cached response was valid when it claims to be available, and the first one within the hours after is later than the moment.
 
-    cache: probe, fetched_at, expires_at. The range join has the probe as its key and is reduced at once.
+    cache: probe, fetched_at, expires_at. Claims and responses are merged in a sorted window of each probe and stretch of so many
+    hours; what earlier and later stretches hold comes from one row a stretch, so no claim meets the responses one by one.
     """
-    claims = evidence.join(runs.select("run_id", "replay_at"), "run_id").select("run_id", "evidence_id", "probe", "available_at", "replay_at")
-    near = claims.join(cache, "probe").filter((F.col("fetched_at") <= F.col("available_at") + F.expr(f"interval {hours} hours")) & (F.col("expires_at") > F.col("available_at")))
-    found = near.groupBy("run_id", "evidence_id", "replay_at").agg(F.bool_or((F.col("fetched_at") <= F.col("available_at")) & (F.col("available_at") < F.col("expires_at"))).alias("valid"), F.min(F.when(F.col("fetched_at") > F.col("available_at"), F.col("fetched_at"))).alias("next"))
+    claims = evidence.join(runs.select("run_id", "replay_at"), "run_id").filter(F.col("available_at").isNotNull() & F.col("probe").isNotNull())
+    claims = claims.select("probe", F.col("available_at").alias("at"), F.lit(1).alias("is_claim"), "run_id", "evidence_id", "replay_at")
+    # a response stands where it is fetched, or where it expires if that is before
+    held = cache.filter(F.col("fetched_at").isNotNull() & F.col("expires_at").isNotNull() & F.col("probe").isNotNull())
+    held = held.select("probe", F.least("fetched_at", "expires_at").alias("at"), F.lit(0).alias("is_claim"), "fetched_at", "expires_at")
+    both = claims.unionByName(held, allowMissingColumns=True).withColumn("stretch", F.floor(F.unix_micros("at") / F.lit(hours * 3_600_000_000)))
+    # what follows is what precedes in falling order: a frame to the end would be read anew for every row
+    past = lambda keys, *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("probe", "stretch").agg(F.max("expires_at").alias("e"), F.min("fetched_at").alias("f"))
+    ends = ends.select("probe", "stretch", F.max("e").over(past(["probe"], "stretch")).alias("before"), F.min("f").over(past(["probe"], F.desc("stretch"))).alias("after"))
+    keys = ["probe", "stretch"]
+    merged = both.withColumn("until", F.max("expires_at").over(past(keys, "at", "is_claim"))).withColumn("first", F.min("fetched_at").over(past(keys, F.desc("at"), F.desc("is_claim"))))
+    merged = merged.filter("is_claim = 1").join(ends, keys)
+    follows = F.least("first", "after")
+    near = merged.select("run_id", "evidence_id", "replay_at", F.coalesce(F.greatest("until", "before") > F.col("at"), F.lit(False)).alias("valid"), F.when(follows <= F.col("at") + F.expr(f"interval {hours} hours"), follows).alias("next"))
+    found = near.groupBy("run_id", "evidence_id", "replay_at").agg(F.bool_or("valid").alias("valid"), F.min("next").alias("next"))
     rows = found.filter(~F.col("valid") & (F.col("next") > F.col("replay_at")))
     return rows.select(F.lit("evidence_fetched_after_t").alias("kind"), "run_id", F.col("evidence_id").cast("string").alias("item"))
 

@@ -2,12 +2,14 @@
 
 import datetime as dt
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
-from larkspur.operators import asof, features, lifecycle, matching, metrics, policy, survival
+from larkspur.operators import asof, features, leakage, lifecycle, matching, metrics, policy, survival
 from larkspur.sources import landed, sinks
 
 D = lambda n: dt.datetime(2026, 1, 1, 12) + dt.timedelta(days=n)
@@ -238,3 +240,22 @@ def test_board_pages_have_their_gates(spark):
     assert got == {1: (2, None, None), 2: (2, 146, "declares more jobs"), 3: (3, None, "dominant title"), 4: (2, None, "junk titles"), 5: (0, None, None), 6: (0, 1146, "declares more jobs")}
     jobs = {r.job_id: r.title for r in boards.listed_jobs(boards.anchors(df.filter("page_id = 1"))).collect()}
     assert jobs == {"1": "Data & ML Engineer", "2": "Cook"}
+
+
+def test_fetched_after_meets_no_response_one_by_one(spark):
+    rng = random.Random(5)
+    at = lambda: D(0) + dt.timedelta(hours=rng.randrange(400))
+    runs = [(i, None if i % 9 == 0 else at()) for i in range(60)]
+    claims = [(rng.randrange(60), i, None if i % 31 == 0 else f"p{i % 3}", None if i % 37 == 0 else at()) for i in range(900)]
+    held = [(f"p{i % 2}", f, None if i % 11 == 0 else f + dt.timedelta(hours=rng.choice([-7, 0, 1, 5, 60]))) for i, f in enumerate(at() for _ in range(40))]
+    moment, day, want = dict(runs), dt.timedelta(hours=24), set()
+    for run, i, probe, t in claims:
+        near = [(f, e) for p, f, e in held if p == probe and t is not None and e is not None and f <= t + day and e > t]
+        later = [f for f, _ in near if f > t]
+        if not any(f <= t for f, _ in near) and later and moment[run] is not None and min(later) > moment[run]:
+            want.add((run, str(i)))
+    frames = (claims, "run_id long, evidence_id long, probe string, available_at timestamp"), (held, "probe string, fetched_at timestamp, expires_at timestamp"), (runs, "run_id long, replay_at timestamp")
+    out = leakage.fetched_after(*(spark.createDataFrame(*f) for f in frames))
+    got = [(r.run_id, r.item) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    assert not re.search(r"Join \[probe#\d+\], \[probe#\d+\]", out._jdf.queryExecution().executedPlan().toString())
