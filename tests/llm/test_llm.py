@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import html
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -79,6 +81,72 @@ def test_html_tolerates_broken_markup(spark):
     assert got[1].text == "ab c" and got[2].text == "" and got[3].text == "plain <text> A" and got[4].text == "deep" and got[4].n_chars == 4
 
 
+def test_html_elements_inside_an_article_and_inside_words():
+    m = html_extract.main_text
+    assert m('<article><p class="share-price">Shares rose</p><section class="search-results"><p>found</p></section></article>') == "Shares rose found"
+    assert m("<article><p>x<math><mi>y</mi></math> z</p><p>a<svg><title>q</title></svg>b<script>1</script>c <button>Go</button>d</p></article>") == "xy z abc d"
+    assert m('<article>It is <span class="advert">Buy <span>now</span> </span>so.<p class="ad">Buy</p><div style="display: none">x</div></article>') == "It is so."
+    nav, text = "<nav><ul><li><a href=/>Home</a></ul></nav>", prose(1, 60)
+    assert m(f"<body>{nav}<main><header><h1>T</h1><p>by me</p></header><p>{text}</p></main></body>") == f"T {text}"
+    assert m(f"<body><form><div id=menu><a href=/>A</a></div><div><h1>T</h1><p>{text}</p><p>Be.</p></div></form></body>") == f"T {text} Be."
+    assert m(f"<table><tr><td><a href=/>A</a><br><a href=/>B</a></td><td><h1>T</h1><p>{text}</p></td></tr></table>") == f"T {text}"
+    assert m(f"{nav}<section><p>{text}</p></section><section><p>{text}</p></section><footer>f</footer>") == f"{text} {text}"
+
+
+def bare(page):
+    """A page without semantic elements, classes, ids and roles."""
+    page = re.sub(r"<(/?)(article|main|section|nav|aside|header|footer)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"<(\w+)(?:\s+(?:class|id|role)=(?:'[^']*'|[^\s>]*))+", r"<\1", page)
+
+
+def test_html_against_the_articles_of_all_pages_with_and_without_their_semantic_tags(spark):
+    """Brute force: what stands between the article's tags. Pages of under 200 characters can't be told from their advert and footer without tags."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = collected(queries.op1_html_extraction(spark, "/root/testdata/sf0.01"), "page_id")
+    rows = pages.collect()
+    missed = 0
+    for r in rows:
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))).split())
+        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
+        if html_extract.main_text(bare(r.html)) != want:
+            assert len(want) < 200
+            missed += 1
+    assert len(got) == len(rows) == 250 and missed <= 4
+
+
+def test_html_clusters_decide(monkeypatch):
+    """The region follows the clusters, whatever they are, even against tags."""
+    page = f"<body><div><a href=/>Home</a></div><div class=x>Short one.</div><article><p>{prose(1, 60)}</p></article></body>"
+    assert html_extract.main_text(page) == prose(1, 60)
+    monkeypatch.setattr(html_extract, "clusters", lambda lines, weight: np.array([x.text == "Short one." for x in lines]))
+    assert html_extract.main_text(page) == "Short one."
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_html_finds_what_was_built_in(seed):
+    """Pages of random layouts whose content is known."""
+    rng = random.Random(seed)
+    for n in range(60):
+        blocks = [prose(rng.random(), rng.choice([2, 8, 30, 80])) for _ in range(rng.randrange(3, 12))] + [prose(rng.random(), 120)]
+        menu = "".join(f"<li><a href=/{i}>{prose(i, 2)}</a></li>" for i in range(rng.randrange(3, 20)))
+        body = "<h1>" + prose(n, 5) + "</h1>" + "".join(f"<p>{b}" if rng.random() < 0.3 else f"<p>{b}</p>" for b in blocks)
+        around = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class=post-body>", "</div>"), ("<div id=content><article>", "</article></div>"), ("<main><section>", "</section></main>")])
+        aside = rng.choice(["", "<aside>" + prose(5, 30) + "</aside>", "<div class=sidebar>" + prose(6, 40) + "</div>", "<div id=comments><p>" + prose(7, 90) + "</p></div>", "<form><p>" + prose(8, 10) + "</p></form>"])
+        page = f"<html><head><title>t</title></head><body>{rng.choice(['<nav>', '<div class=menu>'])}<ul>{menu}</ul></div></nav><div class='ad'>{prose(1, 8)}</div>{around[0]}{body}{around[1]}{aside}<footer>{prose(2, 12)}</footer></body></html>"
+        assert html_extract.main_text(page) == " ".join([prose(n, 5), *blocks]), page
+
+
+def test_html_edges(spark):
+    schema = "page_id long, url string, html string, text string, n_chars long, k int"
+    rows = [(1, "u", "<p>a", "x", 5, 1), (1, "u", "<p>a", "x", 5, 1), (2, None, "", None, None, 1), (None, "v", None, None, None, 1), (3, "w", "<p>" + "<b>word</b> " * 200_000, None, None, 1)]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted([(r.page_id or 0, r.text[:9], r.n_chars) for r in html_extract.extract(df).collect()])
+    assert got == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "", 0), (3, "word word", 999_999)]
+    empty = html_extract.extract(df.limit(0))
+    assert empty.count() == 0 and empty.columns == ["page_id", "url", "text", "n_chars"]
+
+
 # 2: embeddings
 
 
