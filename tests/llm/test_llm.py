@@ -449,40 +449,91 @@ def test_log_frequency_filter_never_underestimates():
     assert (f.levels(keys + np.uint64(1)) > 0).mean() < 0.02
 
 
-def brute_lm(rows, trained, least=1):
-    """The score of each text by counts at the lower end of their levels."""
+def brute_lm(rows, trained):
+    """The model by counting: (p(w, history), score of each text, all words)."""
     toks = {i: (t or "").encode().lower().split() + [None] for i, t in rows}
-    ones, twos = collections.Counter(), collections.Counter()
+    ones, threes = collections.Counter(), collections.Counter()
     for i in trained:
         ones.update(toks[i])
-        twos.update(zip([None] + toks[i][:-1], toks[i], strict=True))
+        t = [None, None, *toks[i]]
+        threes.update(zip(t, t[1:], t[2:], strict=False))
     n, v = sum(ones.values()), len(ones)
+    once, twice = (sum(c == k for c in threes.values()) for k in (1, 2))
+    d = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+    sums, kinds = collections.Counter(), collections.Counter()
+    for g, c in threes.items():
+        sums[g[:2]] += 2 ** (c.bit_length() - 1)
+        kinds[g[:2]] += 1
 
-    def one(h, w):
-        p, c = (ones[w] + 0.1) / (n + 0.1 * (v + 1)), twos[h, w]
-        return math.log10(0.3 * (2 ** (c.bit_length() - 1) if c >= least else 0) / ones[h] + 0.7 * p if ones[h] else p)
+    def p(w, *h):
+        plain = (ones[w] + 0.1) / (n + 0.1 * (v + 1))
+        c = threes[(*h, w)]
+        return (max((2 ** (c.bit_length() - 1) if c else 0) - d, 0) + d * kinds[h] * plain) / sums[h] if sums[h] else plain
 
-    return {i: sum(one(h, w) for h, w in zip([None] + t[:-1], t, strict=True)) for i, t in toks.items()}
+    scores = {}
+    for i, x in toks.items():
+        t = [None, None, *x]
+        scores[i] = sum(math.log10(p(w, a, b)) for a, b, w in zip(t, t[1:], t[2:], strict=False))
+    return p, scores, ones, sums
 
 
-def test_lm_scores_keep_bigrams_and_histories_whatever_the_size(spark, monkeypatch):
+def near(got, want, share):
+    assert all(got[i].score >= want[i] - 0.3 for i in want)  # a history falsely found costs -log10(D), a trigram raises the score; both are seldom
+    assert sum(math.isclose(got[i].score, want[i], abs_tol=1e-6) for i in want) > share * len(want)
+
+
+@pytest.mark.parametrize("hot", [0, 4])
+def test_lm_scores_against_brute_force_whatever_the_size(spark, monkeypatch, hot):
     monkeypatch.setattr(lm_score, "HEAD", 4)  # nearly all words are outside the head
-    monkeypatch.setattr(lm_score, "FILTER_BITS", 64, raising=False)  # a filter of a fixed size holds next to nothing of this
-    monkeypatch.setattr(lm_score, "CHUNK", 500, raising=False)
-    rows = [(i, prose(i % 40, 30 + i % 9, 80)) for i in range(200)]
+    monkeypatch.setattr(lm_score, "HOT", hot)  # histories that are dealt out
+    monkeypatch.setattr(lm_score, "CHUNK", 500)
+    monkeypatch.setattr(lm_score, "HELD", 700)
+    rows = [(i, "the very " + prose(i % 40, 30 + i % 9, 80)) for i in range(200)] + [(i + 1000, t) for i, t in EDGES]
     trained = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
-    got, want = collected(lm_score.score(docs_of(spark, rows), ~lm_score.held_out())), brute_lm(rows, trained)
-    assert all(got[i].score >= want[i] - 1e-6 for i in want)  # the filter errs upward only, and seldom
-    assert sum(math.isclose(got[i].score, want[i], abs_tol=1e-6) for i in want) > 0.7 * len(want)
+    got, (_, want, _, _) = collected(lm_score.score(docs_of(spark, rows), ~lm_score.held_out())), brute_lm(rows, trained)
+    near(got, want, 0.9)
     assert math.isclose(sum(r.score for r in got.values()), sum(want.values()), rel_tol=0.005)
 
 
-def test_lm_scores_learn_from_bigrams_seen_once(spark):
+def test_lm_scores_of_all_documents_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = collected(queries.op7_lm_score(spark, "/root/testdata/sf0.01"))
+    trained = [r.doc_id for r in docs if zlib.crc32(str(r.doc_id).encode()) % 10]
+    _, want, _, _ = brute_lm([(r.doc_id, r.text) for r in docs], trained)
+    near(got, want, 0.9)
+    assert math.isclose(sum(r.score for r in got.values()), sum(want.values()), rel_tol=0.002)
+    assert all(got[i].score >= got[i].base_score for i in trained)
+
+
+def test_lm_probabilities_sum_to_one():
+    rows = [(i, prose(i, 60, 30)) for i in range(20)]
+    p, _, words, histories = brute_lm(rows, range(20))
+    for h in [*list(histories)[:50], (b"never", b"seen")]:
+        assert math.isclose(sum(p(w, *h) for w in [*words, b"never seen"]), 1)
+
+
+def test_lm_scores_learn_from_trigrams_seen_once(spark):
     rows = [(i, f"a{i} b{i} c{i}") for i in range(60)] + [(1000 + i, f"a{i} b{i} c{i}") for i in range(60)]
     got = collected(lm_score.score(docs_of(spark, rows), F.col("doc_id") < 1000))
-    want = brute_lm(rows, range(60))
-    assert sum(math.isclose(got[i].score, want[i], abs_tol=1e-6) for i in want) > 0.9 * len(want)
-    assert all(got[i].score > got[i].base_score and got[i].score >= want[i] - 1e-6 for i in want)
+    near(got, brute_lm(rows, range(60))[1], 0.9)
+    assert all(r.score > r.base_score for r in got.values())
+    once = collected(lm_score.score(docs_of(spark, [(1, "a b c d e f"), (2, "")]), F.lit(True)))
+    assert all(r.score > r.base_score for r in once.values())
+
+
+def test_lm_scores_tell_texts_seen_twice_from_texts_seen_once(spark):
+    rows = [(i, prose(i, 80, 3000)) for i in range(120)] + [(1000 + i, prose(i, 80, 3000)) for i in range(20)]
+    got = collected(lm_score.score(docs_of(spark, rows), F.lit(True)))
+    mean = lambda ids: [got[i].score / got[i].n_tokens for i in ids]
+    assert min(mean(range(20))) > max(mean(range(20, 120)))
+
+
+def test_lm_scores_take_null_keys_repeats_and_no_rows(spark):
+    df = docs_of(spark, [(None, "a b"), (1, "a b"), (1, "a b"), (2, None)]).withColumn("chunk", F.lit(1)).withColumn("rows", F.lit(2))
+    got = lm_score.score(df, ~lm_score.held_out())
+    assert got.columns == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert sorted((r.doc_id or 0, r.n_tokens, r.train_tokens) for r in got.collect()) == [(0, 3, 7), (1, 3, 7), (1, 3, 7), (2, 1, 7)]
+    assert lm_score.score(df.limit(0), F.lit(True)).count() == 0
 
 
 def test_lm_scores_without_training_text(spark):
