@@ -8,9 +8,9 @@ up much of a sample of the texts (HOT at most) are dealt out over PARTS parts by
 the sample decides on places only, not on results.
 
 The filter. A trigram's count c is stored as its quantised logarithm q = 1 + floor(log_BASE c): the filter gets the items
-(trigram, 1) ... (trigram, q), HASHES bits each, and its history as an item of level 0. A probe asks for level 1, 2, ... until
+(trigram, 1) ... (trigram, q), HASHES bits each, and its history as an item of level 0 with HASHES_OF_HISTORY bits. A probe asks for level 1, 2, ... until
 one is missing; the level reached is q, or more with a small probability. Each shard writes the filter of its own trigrams,
-BITS_EACH bits an item, with the sums of those histories that have more than a single trigram seen once. So the filter grows with the
+BITS_EACH bits to each bit set, with the sums of those histories that have more than a single trigram seen once. So the filter grows with the
 corpus and is never in one place, and all trigrams are stored.
 
 Asking. Texts are taken in chunks. A chunk sends the different trigrams it holds, and its words outside the head, to the shards
@@ -39,12 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import crc_of_id, map_rows, prepare, release, words
+from larkspur.llm.common import crc_of_id, map_rows, prepare, release, sweep, words
 from larkspur.llm.jaccard_join import POWERS, WordHashes, mix
 from larkspur.session import written
 
-ALPHA, BASE, HASHES, DISCOUNTS = 0.1, 2.0, 5, (0.1, 0.95)
-BITS_EACH, HEAD = 15, 1 << 21
+ALPHA, BASE, DISCOUNTS = 0.1, 2.0, (0.1, 0.95)
+#: Bits set for a trigram's level and for a history (of which a false one costs a token log10 D), bits of the filter to each.
+HASHES, HASHES_OF_HISTORY, BITS_EACH, HEAD = 5, 3, 3, 1 << 21
 #: Histories dealt out, if they are a share of 1 / HOT_SHARE of the sample at least; their parts; bytes of text in the sample, about.
 HOT, HOT_SHARE, PARTS, SAMPLED = 256, 1000, 1024, 4_000_000
 #: Bits of the filter to a stretch.
@@ -54,8 +55,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 HELD, TOGETHER = 3_000_000, 4_000_000
 #: Tokens of a chunk, at least; texts aren't split.
 CHUNK = 2_000_000
-#: A trigram's key: its history in 40 bits, inside a shard, and its last word in 24.
-HISTORY = np.uint64(0xFFFFFFFFFF000000)
+#: A trigram's key: its history in 34 bits, inside a shard, and its last word in 20. The other bits are 0 and take no room.
+HISTORY, LAST = np.uint64(0xFFFFFFFFC0000000), 20
 
 
 class Tokens:
@@ -91,7 +92,7 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def last_word(tokens: np.ndarray) -> np.ndarray:
-    return mix(tokens) >> np.uint64(40)
+    return mix(tokens) >> np.uint64(64 - LAST)
 
 
 def place(history: np.ndarray, last: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -111,7 +112,7 @@ def shard_of(places: np.ndarray, partitions: int) -> np.ndarray:
 
 
 def keyed(places: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return mix(places) & HISTORY | last
+    return mix(places) & HISTORY | last << np.uint64(30 - LAST)
 
 
 def in_shards(shard: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +271,7 @@ class Filter:
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
         """Which keys the filter holds at a level."""
         left = np.arange(len(keys))
-        for h in range(HASHES):
+        for h in range(HASHES if level else HASHES_OF_HISTORY):
             at = self.places(keys[left], level, h)
             left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
         out = np.zeros(len(keys), bool)
@@ -331,10 +332,10 @@ def sealed(keys: np.ndarray, counts: np.ndarray, always: np.ndarray) -> bytes:
     c, n = np.add.reduceat(lower_end(level), starts).astype(np.uint64), np.diff(np.r_[starts, len(h)])
     h = h[starts]
     more = (c > 1) | (n > 1) | np.isin(h, always)
-    stretches, top = max(1, -(-(int(level.sum()) + len(h)) * BITS_EACH // STRETCH)), int(level.max(initial=0))
+    stretches, top = max(1, -(-(int(level.sum()) * HASHES + len(h) * HASHES_OF_HISTORY) * BITS_EACH // STRETCH)), int(level.max(initial=0))
     bits, f = np.zeros(stretches * STRETCH, bool), Filter(stretches, np.zeros(0, np.uint8))
     for q in range(top + 1):
-        for k in range(HASHES):
+        for k in range(HASHES if q else HASHES_OF_HISTORY):
             bits[f.places(keys[level >= q] if q else h, q, k)] = True
     table = pack(h[more], c[more], n[more])
     return np.array([stretches, len(table)], "<u4").tobytes() + table + np.packbits(bits, bitorder="little").tobytes()
@@ -390,17 +391,21 @@ class Chunk:
         rank[order] = np.arange(len(order), dtype=np.uint32)
         return cls(found[order], rank[number], size)
 
-    def pack(self) -> bytes:
-        planes = np.ascontiguousarray(self.tokens.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
-        head = np.array([len(self.vocabulary), len(self.tokens), len(self.size)], "<u8").tobytes()
-        return head + self.vocabulary.astype("<u8").tobytes() + self.size.astype("<u8").tobytes() + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+    def pack(self, head: np.ndarray) -> bytes:
+        """Words of the head go by their number in it."""
+        v = self.vocabulary
+        at = np.minimum(np.searchsorted(head, v), max(0, len(head) - 1))
+        known = head[at] == v if len(head) else np.zeros(len(v), bool)
+        parts = [pack(np.where(known, at + 1, 0)), pack(v[~known]), pack(self.tokens), pack(self.size)]
+        return np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
 
     @classmethod
-    def unpack(cls, blob: bytes) -> Chunk:
-        v, t, n = (int(x) for x in np.frombuffer(blob, "<u8", 3))
-        at = 24 + 8 * (v + n)
-        planes = np.frombuffer(pa.Codec("zstd").decompress(blob[at:], 4 * t, asbytes=True), np.uint8)
-        return cls(np.frombuffer(blob, "<u8", v, 24), np.ascontiguousarray(planes.reshape(4, t).T).view("<u4").ravel(), np.frombuffer(blob, "<u8", n, 24 + 8 * v).astype(np.int64))
+    def unpack(cls, blob: bytes, head: np.ndarray) -> Chunk:
+        ends = np.cumsum(np.r_[32, np.frombuffer(blob, "<u8", 4).astype(np.int64)])
+        at, rest, tokens, size = (unpack(blob[a:b], 1)[0] for a, b in zip(ends[:-1], ends[1:], strict=True))
+        v = head[at.astype(np.int64) - 1] if len(head) else np.zeros(len(at), np.uint64)
+        v[at == 0] = rest
+        return cls(v, tokens.astype(np.uint32), size.astype(np.int64))
 
     def words(self, head: np.ndarray, counts: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
         """The count of each word, as far as the head tells, and the words to ask for. whole: words outside the head weren't seen."""
@@ -442,6 +447,7 @@ def score(docs: DataFrame, trains: Column, text: str = "text", key: str = "doc_i
     learned = docs.filter(trains).select(text)
     hot = hot_histories(learned, size)
     table = written(counted(learned, partitions, hot))
+    sweep(spark)
     distinct, total, hist, discount = hist_of(table)
     # the least power of two with which the head keeps to its bound
     low = next(i for i in range(64) if hist[i] <= HEAD)
@@ -478,7 +484,7 @@ def score(docs: DataFrame, trains: Column, text: str = "text", key: str = "doc_i
             ks = pa.concat_arrays([h[0] for h in held])
             held.clear()
             _, missing, own, *_, shard, keys = wanted(chunk)
-            rows = [(0, number, chunk.pack()), *((1, s, pack(x)) for s, (x,) in by_shard(own, chunk.vocabulary[missing])), *((3, s, pack(x)) for s, (x,) in by_shard(shard, keys))]
+            rows = [(0, number, chunk.pack(shared.value[0])), *((1, s, pack(x)) for s, (x,) in by_shard(own, chunk.vocabulary[missing])), *((3, s, pack(x)) for s, (x,) in by_shard(shard, keys))]
             for a in range(0, len(rows), 256):
                 part = rows[a : a + 256]
                 mine = pa.ListArray.from_arrays(pa.array([0] + [len(ks) if not a else 0] * len(part), pa.int32()), ks if not a else ks[:0])
@@ -526,7 +532,7 @@ def score(docs: DataFrame, trains: Column, text: str = "text", key: str = "doc_i
         at, ks, blob, got = None, None, None, {1: [], 3: []}
 
         def scored() -> pa.RecordBatch:
-            chunk = Chunk.unpack(blob)
+            chunk = Chunk.unpack(blob, shared.value[0])
             c, missing, _, number, last, history, asked, _, _ = wanted(chunk)
             told, (level, sums, kinds) = ([np.concatenate([x[i] for x in got[n]]) if got[n] else np.zeros(0, np.uint64) for i in range(n)] for n in (1, 3))
             if len(told[0]) != len(missing) or len(level) != len(asked):
