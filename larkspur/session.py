@@ -46,16 +46,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a folder of this process's own only where that is unset."""
+    """A new path in the shared folder of spark.checkpoint.dir; where that is unset, in a folder of this process's own if the session is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.sparkContext._larkspur_scratch = getattr(spark.sparkContext, "_larkspur_scratch", None) or tempfile.mkdtemp(prefix="larkspur-")
     return f"{base.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
 
 
+#: With this, Spark removes the files of a query's shuffles when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back. Unlike cached blocks, the files outlive a lost executor."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it back. Unlike cached blocks, the files outlive a lost executor; the shuffles behind them are removed."""
     spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
+    path, before = scratch(spark), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
