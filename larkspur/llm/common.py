@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,12 +48,6 @@ def release() -> None:
         trim(0)
 
 
-def sweep(spark: SparkSession) -> None:
-    """After a large table was written: let the driver's JVM collect, whose cleaner then removes the files of shuffles that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """df through a Python function of Arrow batches. make() runs once a task and returns the function, which returns columns."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema

