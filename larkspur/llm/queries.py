@@ -26,8 +26,8 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, bags = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
-    rows = toxicity.score(bags, model).withColumnRenamed("k", "doc_id")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    rows = toxicity.score(docs, model).withColumnRenamed("k", "doc_id")
     return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("nearest").alias("evidence"), "cosine")
 
 

@@ -1,44 +1,43 @@
 """Toxicity (operator 3): nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Learning takes labelled rows only: up to SAMPLE of each class in hash order (a documented bound; all of them where there
-are fewer). Their words, and beginnings of PREFIXES letters of longer words, are candidate terms; the TERMS whose
-presence, or relative frequency, in a text tells the classes apart best (z or Welch's t of at least Z, toward toxic)
-are the vocabulary.
-One more term stands for all other words, at OTHER of their count, so that the angle between two vectors also tells how
-much of a text its terms make up. Document frequencies are counted over all documents. The labelled examples' vectors,
-of unit length, form an inverted index with postings in blocks of BLOCK examples, each block with the largest weight of
-every term; it is broadcast, and its size is bounded by SAMPLE and TERMS.
-
-A text is scored against the index: the blocks with the highest bounds first, then those whose bound reaches the K-th
-best cosine so far; no other can hold one of the K nearest (examples as near as the K-th all count). The neighbours vote with their cosines, each class weighed by its share among
-the labels, and with a prior vote of PRIOR. Votes are calibrated by isotonic regression on the examples themselves,
-each left out of its own vote. The evidence is the nearest example's key and cosine.
-
-Null and empty texts, and those without words, have no neighbours: their score is the calibrated prior vote.
+Learning takes labelled rows only: up to SAMPLE of each class in hash order and up to SAMPLE_BYTES of their text (documented
+bounds; all rows where there are fewer). All their words, and beginnings of PREFIXES letters of longer words, are the terms: none
+is left out. A term weighs (1 + ln tf) idf rf: its document frequency is counted over all documents, and the relevance rf =
+log2(2 + a / max(1, c n1 / n0)), from its a of n1 toxic and c of n0 other examples, lets words count by what labels tell of them.
+The examples' vectors, of unit length, are the index: posting lists by term and, for the DENSE terms with the longest lists, rows in
+blocks of BLOCK examples, with the largest weight of every such term in each block. It is broadcast; the sample bounds its size.
+
+A text's vector has the same weights and unit length over the terms of the index. Its short lists are added up; then the blocks
+with the highest bounds are scored first, and of the others those whose bound reaches the K-th best cosine so far: no other can
+hold one of the K nearest (examples as near as the K-th all count). The neighbours vote with their cosines, each class weighed by its
+share among the labels over that in the sample, and with a prior vote of PRIOR. Votes are calibrated by isotonic regression on the
+examples themselves, each left out of its own vote. The evidence is the nearest example's key and cosine.
+
+Null and empty texts, and those without a known term, have no neighbours: their score is the calibrated prior vote.
 Without labels, or with one class only, every score is the rate of toxic labels (0 without labels). Repeated rows are
-scored alike. Repeated labels of a key count once, as the largest. Null labels are no labels.
+scored alike. Repeated labels of a key count once, as the largest; of repeated rows of a key the least text is learned from. Null labels
+are no labels. An empty table gives an empty table. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import crc_of_id, map_rows, prepare
+from larkspur.llm.common import crc_of_id, map_rows, prepare, release
 from larkspur.session import written
 
-SAMPLE, TERMS, Z, PREFIXES, OTHER, BLOCK, K, PRIOR = 3000, 256, 5.0, (3, 4, 5, 6), 0.1, 64, 15, 0.5
+SAMPLE, SAMPLE_BYTES, PREFIXES, DENSE, BLOCK, K, PRIOR = 2000, 32 << 20, (3, 4, 5, 6), 2048, 64, 15, 0.5
 WORD = re.compile(r"[^\W\d_]+")
-#: So many words and vectors are remembered in a task.
-REMEMBERED = 200_000
+#: So many words are remembered in a task; so many texts and entries of lists are taken at once.
+REMEMBERED, TEXTS, ENTRIES = 200_000, 256, 2_000_000
 #: So many blocks are visited before the others are held against the K-th best.
 FIRST = 3
 
@@ -56,90 +55,111 @@ class Bag:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> dict[int, int]:
+        out: dict[int, int] = {}
         if not text:
-            return {}
+            return out
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        out: Counter[int] = Counter()
         known, at = self.known, self.at
         for w, n in Counter(WORD.findall(text.lower())).items():
             ids = known.get(w)
             if ids is None:
                 ids = known[w] = tuple(at[t] for t in terms_of(w) if t in at)
-            for i in ids or (-1,):
-                out[i] += n
-        if -1 in out:
-            out[len(at)] = out.pop(-1)
+            for i in ids:
+                out[i] = out.get(i, 0) + n
         return out
 
 
-def vector(bag: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and weights, of unit length; the last term is that of all other words."""
-    ids = np.array(sorted(bag), np.int64)
-    w = np.array([bag[i] for i in ids.tolist()], float) * idf[ids]
-    return ids, w / np.sqrt((w**2).sum()) if len(ids) else w
-
-
 @dataclass
-class Index:
-    """Postings by term, in blocks of BLOCK examples, with the largest weight by term and block."""
+class Vectors:
+    """Sparse rows of unit length: row k has terms ids[ptr[k] : ptr[k + 1]] with weights w."""
 
-    keys: np.ndarray
-    labels: np.ndarray
-    share: np.ndarray  # of each class among all labels over its share in the sample
-    rate: float
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # examples, weights, starts by block
-    largest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    ptr: np.ndarray
+    ids: np.ndarray
+    w: np.ndarray
 
     @classmethod
-    def of(cls, keys: np.ndarray, labels: np.ndarray, share: np.ndarray, rate: float, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Index:
-        blocks = -(-len(vectors) // BLOCK)
-        own: list[tuple[list[int], list[float]]] = [([], []) for _ in range(terms)]
-        for d, (ids, w) in enumerate(vectors):
-            for i, x in zip(ids.tolist(), w.tolist(), strict=True):
-                own[i][0].append(d)
-                own[i][1].append(x)
-        out = cls(keys, labels, share, rate, largest=np.zeros((terms, blocks)))
-        for t, (d, w) in enumerate(own):
-            d_, w_ = np.array(d, np.int64), np.array(w)
-            np.maximum.at(out.largest[t], d_ // BLOCK, w_)
-            out.postings.append((d_, w_, np.searchsorted(d_, np.arange(blocks + 1) * BLOCK)))
-        return out
+    def of(cls, bags: list[dict[int, int]], weight: np.ndarray) -> Vectors:
+        size = [len(b) for b in bags]
+        ids = np.fromiter((i for b in bags for i in b), np.int64, sum(size))
+        w = (1 + np.log(np.fromiter((n for b in bags for n in b.values()), float, sum(size)))) * weight[ids]
+        own = np.repeat(np.arange(len(bags)), size)
+        return cls(np.r_[0, np.cumsum(size)], ids, w / np.sqrt(np.bincount(own, weights=w**2, minlength=len(bags)))[own])
 
-    def nearest(self, ids: np.ndarray, w: np.ndarray, skip: int = -1, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and all as near as the last of them, by exact cosine above 0: examples and cosines, nearest first."""
-        bound = w @ self.largest[ids] if len(ids) else np.zeros(0)
-        found_d, found_s = np.zeros(0, np.int64), np.zeros(0)
-        first = np.zeros(len(bound), bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
-        for turn in range(2):
-            least = np.partition(found_s, -k)[-k] if len(found_s) >= k else 0.0
-            blocks = (bound > 0) & (first if turn == 0 else ~first & (bound >= least - 1e-9))
-            score = np.zeros(len(bound) * BLOCK)
-            for i, x in zip(ids.tolist(), w.tolist(), strict=True):
-                d, weights, starts = self.postings[i]
-                if turn == 0 or blocks.sum() * 8 < len(blocks):
-                    for b in np.flatnonzero(blocks & (self.largest[i] > 0)).tolist():
-                        score[d[starts[b] : starts[b + 1]]] += x * weights[starts[b] : starts[b + 1]]
-                else:
-                    held = blocks[d // BLOCK]
-                    score[d[held]] += x * weights[held]
-            d = np.flatnonzero(score > 0)
-            d = d[d != skip]
-            found_d, found_s = np.r_[found_d, d], np.r_[found_s, np.round(score[d], 9)]
-        keep = found_s >= (np.partition(found_s, -k)[-k] if len(found_s) >= k else 0.0)
-        found_d, found_s = found_d[keep], found_s[keep]
-        order = np.lexsort((found_d, -found_s))
-        return found_d[order], found_s[order]
+    def own(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
 
-    def vote(self, d: np.ndarray, s: np.ndarray) -> float:
-        y = self.labels[d]
-        w = s * self.share[y]
-        return float(((w * y).sum() + PRIOR * self.rate) / (w.sum() + PRIOR))
+    def part(self, a: int, b: int) -> Vectors:
+        return Vectors(self.ptr[a : b + 1] - self.ptr[a], self.ids[self.ptr[a] : self.ptr[b]], self.w[self.ptr[a] : self.ptr[b]])
+
+
+class Index:
+    """Examples in blocks of BLOCK: rows of the terms with the longest lists, their largest weight by block, and the lists of the others."""
+
+    def __init__(self, vectors: Vectors, terms: int) -> None:
+        self.count = len(vectors.ptr) - 1
+        self.blocks = max(1, -(-self.count // BLOCK))
+        held = np.bincount(vectors.ids, minlength=terms)
+        longest = np.argsort(-held, kind="stable")[:DENSE]
+        self.row = np.full(terms, -1)
+        self.row[longest] = np.arange(len(longest))
+        own, row = vectors.own(), self.row[vectors.ids]
+        self.dense = np.zeros((len(longest), self.blocks * BLOCK), np.float32)
+        self.dense[row[row >= 0], own[row >= 0]] = vectors.w[row >= 0]
+        self.largest = self.dense.reshape(len(longest), self.blocks, BLOCK).max(2)
+        listed = np.flatnonzero(row < 0)
+        listed = listed[np.argsort(vectors.ids[listed], kind="stable")]
+        self.starts = np.searchsorted(vectors.ids[listed], np.arange(terms + 1))
+        self.examples, self.weights = own[listed].astype(np.int32), vectors.w[listed]
+
+    def nearest(self, texts: Vectors, skip: np.ndarray | None = None, k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the k nearest examples and all as near as the last of them, by exact cosine above 0: examples and cosines, nearest first."""
+        lists = np.where(self.row[texts.ids] < 0, self.starts[texts.ids + 1] - self.starts[texts.ids], 0)
+        total, a = np.r_[0, np.cumsum(lists)][texts.ptr], 0
+        while a < len(texts.ptr) - 1:
+            b = max(a + 1, min(a + TEXTS, int(np.searchsorted(total, total[a] + ENTRIES, "right")) - 1))
+            yield from self.some(texts.part(a, b), None if skip is None else skip[a:b], k)
+            a = b
+
+    def some(self, texts: Vectors, skip: np.ndarray | None, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, width, own = len(texts.ptr) - 1, self.blocks * BLOCK, texts.own()
+        row = self.row[texts.ids]
+        q = np.zeros((n, len(self.dense)))
+        q[own[row >= 0], row[row >= 0]] = texts.w[row >= 0]
+        # the lists of all texts, one behind the other
+        ids, of, w = texts.ids[row < 0], own[row < 0], texts.w[row < 0]
+        size = self.starts[ids + 1] - self.starts[ids]
+        at = np.repeat(self.starts[ids] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(ids) else np.zeros(0, int)
+        listed = np.bincount(np.repeat(of * width, size) + self.examples[at], weights=np.repeat(w, size) * self.weights[at], minlength=n * width).reshape(n, width)
+        if skip is not None:
+            listed[np.arange(n), skip] = -np.inf
+        narrow = q.astype(np.float32)
+        bound = narrow @ self.largest + listed.reshape(n, self.blocks, BLOCK).max(2) + 1e-5
+        score = np.full((n, width), -np.inf)
+
+        def visit(todo: np.ndarray) -> np.ndarray:
+            for b in np.flatnonzero(todo.any(0)).tolist():
+                i, s = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                score[i, s] = narrow[i] @ self.dense[:, s] + listed[i, s]
+            return np.partition(score, -k, 1)[:, -k] if width >= k else np.full(n, -np.inf)
+
+        first = np.zeros((n, self.blocks), bool)
+        first[np.arange(n)[:, None], np.argsort(-bound, 1, kind="stable")[:, :FIRST]] = True
+        least = visit(first)
+        least = visit(~first & (bound >= least[:, None] - 1e-5))
+        # what single precision can't tell apart is computed again
+        i, e = np.nonzero((score >= least[:, None] - 1e-5) & (score > 1e-9))
+        exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ji->i", q[i[a : a + 4096]], self.dense[:, e[a : a + 4096]].astype(float)) for a in range(0, len(i), 4096))]) + listed[i, e]
+        exact = np.round(exact, 7)
+        cuts = np.searchsorted(i, np.arange(1, n))
+        for d, s in zip(np.split(e, cuts), np.split(exact, cuts), strict=True):
+            keep = s >= (np.partition(s, -k)[-k] if len(s) >= k else 0.0)
+            order = np.lexsort((d[keep], -s[keep]))
+            yield d[keep][order], s[keep][order]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: bounds and rising values, with a little shrinkage toward the bounds' mean."""
+    """Pool adjacent violators: upper ends of the pools and their rising values."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []
     for a, b, c in zip(x[order], y[order], w[order], strict=True):
@@ -156,31 +176,33 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass
 class Model:
-    vocabulary: list[str]
-    idf: np.ndarray
-    index: Index | None
-    x: np.ndarray
-    y: np.ndarray
-    rate: float
+    """The vocabulary with its weights, the index with its examples' keys and labels, and the calibration."""
 
-    def score(self, ids: np.ndarray, w: np.ndarray) -> tuple[float, int, float]:
-        """Calibrated score; position and cosine of the nearest example, or -1 and 0. Votes that isotonic regression ties are told apart in the sixth decimal."""
-        if self.index is None:
-            return self.rate, -1, 0.0
-        d, s = self.index.nearest(ids, w)
-        v = self.index.vote(d, s)
-        p = float(np.interp(v, self.x, self.y)) if len(self.x) else self.rate
-        return min(1.0, max(0.0, p * (1 - 1e-6) + 1e-6 * v)), int(d[0]) if len(d) else -1, float(s[0]) if len(d) else 0.0
+    rate: float
+    vocabulary: list[str]
+    weight: np.ndarray
+    index: Index | None = None
+    keys: np.ndarray | None = None
+    labels: np.ndarray | None = None
+    share: np.ndarray | None = None  # of each class among all labels over its share in the sample
+    x: np.ndarray | None = None
+    y: np.ndarray | None = None
 
+    def vote(self, d: np.ndarray, s: np.ndarray) -> float:
+        y = self.labels[d]
+        w = s * self.share[y]
+        return float(((w * y).sum() + PRIOR * self.rate) / (w.sum() + PRIOR))
 
-def shares(text: str | None) -> dict[str, float]:
-    """The relative frequency of every candidate term of a text."""
-    out: Counter[str] = Counter()
-    words = WORD.findall((text or "").lower())
-    for w, n in Counter(words).items():
-        for t in terms_of(w):
-            out[t] += n
-    return {t: n / len(words) for t, n in out.items()}
+    def scores(self, bags: list[dict[int, int]]) -> list[tuple[float, int, float]]:
+        """Of each text the calibrated score; position and cosine of the nearest example, or -1 and 0. Votes that isotonic regression ties are told apart in the sixth decimal."""
+        if self.index is None:
+            return [(self.rate, -1, 0.0)] * len(bags)
+        out = []
+        for d, s in self.index.nearest(Vectors.of(bags, self.weight)):
+            v = self.vote(d, s)
+            p = float(np.interp(v, self.x, self.y))
+            out.append((min(1.0, max(0.0, p * (1 - 1e-6) + 1e-6 * v)), int(d[0]) if len(d) else -1, float(s[0]) if len(d) else 0.0))
+        return out
 
 
 def identity(text: str, key: str) -> list[Column]:
@@ -188,30 +210,28 @@ def identity(text: str, key: str) -> list[Column]:
     return [F.xxhash64(key, text).alias("h1"), F.xxhash64(text, key, F.lit(1)).alias("h2")]
 
 
-def bags(docs: DataFrame, vocabulary: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """k, h1, h2 and the counts (ids, tf) of the vocabulary's terms of each row, written: texts are read once for frequencies and scores.
-
-    The first row of each batch also has seen: how many rows of the batch hold each term, and how many there are.
-    """
+def frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> tuple[np.ndarray, int]:
+    """How many of all documents hold each term, and how many there are. Every task counts in one array."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def make() -> Callable[[pa.RecordBatch], dict]:
-        bag = Bag(vocabulary)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bag, seen, rows = Bag(shared.value), np.zeros(len(shared.value), np.int64), 0
+        for b in batches:
+            rows += b.num_rows
+            held = [np.fromiter(bag(x), np.int64) for x in b.column(0).to_pylist()]
+            seen += np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[seen[at], rows])], ["i", "n"])
+        release()
 
-        def f(b: pa.RecordBatch) -> dict:
-            found = [sorted(bag(x).items()) for x in b.column(3).to_pylist()]
-            ids = [[i for i, _ in x] for x in found]
-            seen = np.bincount(np.array([i for x in ids for i in x if i < len(vocabulary)], np.int64), minlength=len(vocabulary) + 1).astype(np.int64)
-            seen[-1] = len(ids)
-            return {"k": b.column(0), "h1": b.column(1), "h2": b.column(2), "ids": ids, "tf": [[n for _, n in x] for x in found], "seen": [seen.tolist(), *[None] * (len(ids) - 1)]}
+    found = docs.select(text).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    df, i, n = np.zeros(len(vocabulary)), found["i"].to_numpy(), found["n"].to_numpy()
+    df[i[i >= 0]] = n[i >= 0]
+    return df, int(n[i < 0].sum())
 
-        return f
 
-    rows = docs.select(F.col(key).alias("k"), *identity(text, key), F.col(text).alias("t"))
-    return written(map_rows(rows, f"k {rows.schema['k'].dataType.simpleString()}, h1 long, h2 long, ids array<int>, tf array<int>, seen array<long>", make))
-
-
-def learn(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[Model, DataFrame]:
-    """The model, and the bags of docs, from docs (document frequencies) and the labelled rows for which learns, an expression over key, holds."""
+def learn(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
+    """The model, from docs (document frequencies) and the labelled rows for which learns, an expression over key, holds."""
     spark = docs.sparkSession
     prepare(spark)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & learns).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("__y"))
@@ -219,76 +239,66 @@ def learn(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text"
     totals = {int(y): int(n) for y, n in known.groupBy("__y").count().collect() if y in (0, 1)}
     rate = totals.get(1, 0) / max(1, sum(totals.values()))
     if len(totals) < 2:
-        return Model([], np.full(1, OTHER), None, np.zeros(0), np.zeros(0), rate), bags(docs, [], text, key)
+        return Model(rate, [], np.zeros(0))
     chosen = known.filter("__y = 1").orderBy(F.xxhash64(key), key).limit(SAMPLE).unionByName(known.filter("__y = 0").orderBy(F.xxhash64(key), key).limit(SAMPLE))
-    sample = written(docs.select(key, F.col(text).alias("__t")).join(F.broadcast(chosen), key).groupBy(key, "__y").agg(F.min("__t").alias("__t")))
+    texts = docs.select(key, F.col(text).alias("__t")).join(F.broadcast(chosen), key).groupBy(key, "__y").agg(F.min("__t").alias("__t"))
+    # at most SAMPLE rows of a class are left, so a window of each is bounded
+    order = Window.partitionBy("__y").orderBy(F.xxhash64(key), key)
+    texts = texts.withColumn("__n", F.row_number().over(order)).withColumn("__s", F.sum(F.coalesce(F.octet_length("__t"), F.lit(0))).over(order))
+    sample = written(texts.filter((F.col("__s") <= SAMPLE_BYTES) | (F.col("__n") == 1)).select(key, "__y", "__t"))
 
     def make_terms() -> Callable[[pa.RecordBatch], dict]:
+        return lambda b: {"y": b.column(0), "terms": [list({t for w in set(WORD.findall((x or "").lower())) for t in terms_of(w)}) for x in b.column(1).to_pylist()]}
+
+    words = map_rows(sample.select("__y", "__t"), "y int, terms array<string>", make_terms).select("y", F.explode("terms").alias("term"))
+    terms = words.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("c")).orderBy("term").toArrow()
+    vocabulary, a, c = terms["term"].to_pylist(), terms["a"].to_numpy(), terms["c"].to_numpy()
+    df, count = frequencies(docs, vocabulary, text)
+
+    def make_bags() -> Callable[[pa.RecordBatch], dict]:
+        bag = Bag(vocabulary)
+
         def f(b: pa.RecordBatch) -> dict:
-            found = [shares(x) for x in b.column(1).to_pylist()]
-            return {"y": b.column(0), "terms": [list(x) for x in found], "f": [list(x.values()) for x in found]}
+            found = [bag(x) for x in b.column(2).to_pylist()]
+            return {"k": b.column(0), "y": b.column(1), "ids": [np.fromiter(x, "<i4").tobytes() for x in found], "tf": [np.fromiter(x.values(), "<i4").tobytes() for x in found]}
 
         return f
 
-    words = map_rows(sample.select("__y", "__t"), "y int, terms array<string>, f array<double>", make_terms).select("y", F.explode(F.arrays_zip("terms", "f")).alias("x")).select("y", F.col("x.terms").alias("term"), F.col("x.f").alias("f"))
-    sums = [F.sum(F.when(F.col("y") == y, F.pow("f", p)).otherwise(0.0)).alias(f"s{y}{p}") for y in (1, 0) for p in (1, 2)]
-    by_term = words.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"), *sums).filter("a >= 3")
-    n1, n0 = (min(SAMPLE, totals[y]) for y in (1, 0))
-
-    def spread(y: int, n: int) -> Column:
-        return (F.col(f"s{y}2") / n - F.pow(F.col(f"s{y}1") / n, 2)) / n
-
-    mean = (F.col("a") + F.col("b") + 1) / (n1 + n0 + 2)
-    presence = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))
-    z = F.greatest((F.col("s11") / n1 - F.col("s01") / n0) / F.sqrt(spread(1, n1) + spread(0, n0) + 1e-18), presence)
-    vocabulary = [r[0] for r in by_term.withColumn("z", z).filter(F.col("z") >= min(Z, 0.3 * math.sqrt(min(n0, n1)))).orderBy(F.desc("z"), "term").limit(TERMS).select("term").collect()]
-    count = len(vocabulary)
-
-    found = bags(docs, vocabulary, text, key)
-    df = np.zeros(count + 1)
-    for i, n in found.filter("seen is not null").select(F.posexplode("seen").alias("i", "n")).groupBy("i").agg(F.sum("n")).collect():
-        df[i] = n
-    idf = np.r_[np.log((1 + df[-1]) / (1 + df[:-1])) + 1, OTHER]
-
-    own = found.join(F.broadcast(sample.select(F.col(key).alias("k"), "__y", *identity("__t", key))), ["k", "h1", "h2"]).dropDuplicates(["k"])
-    rows = sorted(own.select("k", F.col("__y").alias("y"), "ids", "tf").collect(), key=lambda r: (tuple(r.ids), r.k))
-    y = np.array([r.y for r in rows])
-    sampled = np.bincount(y, minlength=2)
-    share = np.array([totals[0] / max(1, sampled[0]), totals[1] / max(1, sampled[1])])
-    vectors = [vector(dict(zip(r.ids, r.tf, strict=True)), idf) for r in rows]
-    index = Index.of(np.array([r.k for r in rows]), y, share, rate, vectors, count + 1)
-    votes = np.array([index.vote(*index.nearest(ids, w, skip=d)) for d, (ids, w) in enumerate(vectors)])
-    x, p = isotonic(votes, y.astype(float), share[y])
-    return Model(vocabulary, idf, index, x, p, rate), found
-
-
-def score(found: DataFrame, model: Model) -> DataFrame:
-    """k, h1, h2, score, nearest (an example's key or null) and cosine of each row of bags."""
-    spark = found.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+    rows = map_rows(sample.select(key, "__y", "__t"), f"k {kind}, y int, ids binary, tf binary", make_bags).toArrow().to_pylist()
+    bags = [dict(zip(np.frombuffer(r["ids"], "<i4").tolist(), np.frombuffer(r["tf"], "<i4").tolist(), strict=True)) for r in rows]
+    # alike examples share a block: those of one class that hold the same rare terms of the most examples
+    held = a + c
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["y"], sorted(bags[i], key=lambda t: (-held[t], t))[:8], rows[i]["k"]))
+    rows, bags = [rows[i] for i in order], [bags[i] for i in order]
+    y = np.array([r["y"] for r in rows])
+    n0, n1 = np.bincount(y, minlength=2)
+    weight = (np.log((1 + count) / (1 + df)) + 1) * np.log2(2 + a / np.maximum(1, c * n1 / n0))
+    vectors = Vectors.of(bags, weight)
+    model = Model(rate, vocabulary, weight, Index(vectors, len(vocabulary)), np.array([r["k"] for r in rows]), y, np.array([totals[0] / n0, totals[1] / n1]))
+    votes = np.array([model.vote(d, s) for d, s in model.index.nearest(vectors, np.arange(len(rows)))])
+    model.x, model.y = isotonic(votes, y.astype(float), model.share[y])
+    return model
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """k, h1, h2, score, nearest (an example's key or null) and cosine of each row of docs."""
+    spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def make() -> Callable[[pa.RecordBatch], dict]:
-        m, known = shared.value, {}
-
-        def one(counts: dict[int, int]) -> tuple[float, int, float]:
-            # without a term of the vocabulary, only whether there are words at all counts
-            at = tuple(sorted(counts.items())) if len(counts) > 1 or len(m.vocabulary) not in counts else "others"
-            if at not in known:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                known[at] = m.score(*vector(counts, m.idf))
-            return known[at]
+        m = shared.value
+        bag = Bag(m.vocabulary)
 
         def f(b: pa.RecordBatch) -> dict:
-            got = [one(dict(zip(i, n, strict=True))) for i, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            return {"k": b.column(0), "h1": b.column(1), "h2": b.column(2), "score": [g[0] for g in got], "nearest": [None if g[1] < 0 else m.index.keys[g[1]].item() for g in got], "cosine": [g[2] for g in got]}
+            got = m.scores([bag(t) for t in b.column(3).to_pylist()])
+            return {"k": b.column(0), "h1": b.column(1), "h2": b.column(2), "score": [g[0] for g in got], "nearest": [None if g[1] < 0 else m.keys[g[1]].item() for g in got], "cosine": [g[2] for g in got]}
 
         return f
 
-    kind = found.schema["k"].dataType.simpleString()
-    # bags are small next to the work they mean: deal them out anew
-    rows = found.select("k", "h1", "h2", "ids", "tf").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h1", "h2")
+    rows = docs.select(F.col(key).alias("k"), *identity(text, key), F.col(text).alias("t"))
+    kind = rows.schema["k"].dataType.simpleString()
     return map_rows(rows, f"k {kind}, h1 long, h2 long, score double, nearest {kind}, cosine double", make)
 
 

@@ -219,8 +219,8 @@ def test_toxicity_finds_held_out_cases_and_explains_them(spark):
     rows, labels = toxic_docs()
     df = docs_of(spark, rows + [(i + 1000, t) for i, t in EDGES])
     lab = spark.createDataFrame(labels + [(5, 1), (99999, 1)], "doc_id long, toxic int")
-    model, bags = toxicity.learn(df, lab, ~toxicity.held_out())
-    got = collected(toxicity.score(bags, model), "k")
+    model = toxicity.learn(df, lab, ~toxicity.held_out())
+    got = collected(toxicity.score(df, model), "k")
     assert len(got) == len(rows) + len(EDGES) and all(0 <= r.score <= 1 for r in got.values())
     held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
     wrong = [i for i in held if (got[i].score >= 0.7) != (i % 5 == 0)]
@@ -228,31 +228,93 @@ def test_toxicity_finds_held_out_cases_and_explains_them(spark):
     assert got[1001].score == got[1002].score and got[1001].nearest is None and got[1004].score == got[1005].score
 
 
-def test_block_max_search_is_exact():
-    rng = np.random.default_rng(0)
-    vectors = []
+def vectors_of(rows):
+    size = [len(i) for i, _ in rows]
+    return toxicity.Vectors(np.r_[0, np.cumsum(size)], np.concatenate([i for i, _ in rows]), np.concatenate([w for _, w in rows]))
+
+
+@pytest.mark.parametrize("dense", [0, 7, 100])
+def test_block_max_search_is_exact(monkeypatch, dense):
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    monkeypatch.setattr(toxicity, "ENTRIES", 3000)
+    rng, rows = np.random.default_rng(0), []
     for _ in range(500):
         ids = np.sort(rng.choice(30, rng.integers(1, 6), replace=False))
         w = rng.random(len(ids))
-        vectors.append((ids, w / np.linalg.norm(w)))
-    index = toxicity.Index.of(np.arange(500), rng.integers(0, 2, 500), np.ones(2), 0.5, vectors, 30)
-    full = np.zeros((500, 30))
-    for d, (ids, w) in enumerate(vectors):
+        rows.append((ids, w / np.linalg.norm(w)))
+    rows[7] = (np.zeros(0, int), np.zeros(0))
+    index, full = toxicity.Index(vectors_of(rows), 30), np.zeros((500, 30))
+    for d, (ids, w) in enumerate(rows):
         full[d, ids] = w
-    for q in range(0, 500, 7):
-        ids, w = vectors[q]
-        d, s = index.nearest(ids, w, skip=q)
-        want = np.round(full @ full[q], 9)
-        want[q] = -1
-        least = np.sort(want)[-toxicity.K]
-        assert set(d) == set(np.flatnonzero((want >= max(least, 1e-12)) & (want > 0))) and np.allclose(s, want[d])
+    for skip in (None, np.arange(500)):
+        for q, (d, s) in enumerate(index.nearest(vectors_of(rows), skip)):
+            want = np.round(full @ full[q], 6)
+            if skip is not None:
+                want[q] = -1
+            least = np.sort(want)[-toxicity.K]
+            sure = np.flatnonzero((want > max(least, 0) + 2e-6) & (want > 0))
+            assert set(sure) <= set(d) and np.allclose(s, want[d], atol=2e-6) and (np.diff(s) <= 0).all() and (s >= least - 2e-6).all()
+            assert len(d) >= min(toxicity.K, (want > 0).sum())
+
+
+def test_toxicity_cosines_over_all_terms_against_brute_force(spark):
+    """The nearest example and its cosine for every document of sf0.01, from plain counts of all words and beginnings."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None and r.doc_id in docs}
+
+    def bag(t):
+        out = collections.Counter()
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            out.update([w, *(w[:n] + "~" for n in (3, 4, 5, 6) if len(w) > n)])
+        return out
+
+    bags = {i: bag(t) for i, t in docs.items()}
+    train = [i for i in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    df, a, c = (collections.Counter() for _ in range(3))
+    for i, b in bags.items():
+        df.update(b.keys())
+    for i in train:
+        (a if labels[i] else c).update(bags[i].keys())
+    n1 = sum(labels[i] for i in train)
+    n0 = len(train) - n1
+    weight = {t: (math.log((1 + len(docs)) / (1 + df[t])) + 1) * math.log2(2 + a[t] / max(1, c[t] * n1 / n0)) for t in {*a, *c}}
+
+    def vector(b):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in b.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    examples = {i: vector(bags[i]) for i in train}
+    got = collected(queries.op3_toxicity(spark, sf))
+    assert len(got) == len(docs)
+    for i in list(docs)[::9]:
+        v = vector(bags[i])
+        want = max((sum(x * e.get(t, 0.0) for t, x in v.items()) for e in examples.values()), default=0.0)
+        assert math.isclose(got[i].cosine, want, abs_tol=1e-5)
+        if want:
+            assert math.isclose(sum(x * examples[got[i].evidence].get(t, 0.0) for t, x in v.items()), want, abs_tol=1e-5)
+    held = [i for i in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i].predicted for i in held if labels[i]) >= 0.8 * sum(labels[i] for i in held)
+    assert not any(got[i].predicted for i in held if not labels[i])
 
 
 def test_toxicity_without_labels_or_with_one_class(spark):
     df = docs_of(spark, EDGES)
     for rows, rate in (([], 0.0), ([(4, 1), (5, 1)], 1.0)):
-        model, bags = toxicity.learn(df, spark.createDataFrame(rows, "doc_id long, toxic int"), F.lit(True))
-        assert {r.score for r in toxicity.score(bags, model).collect()} == {rate}
+        model = toxicity.learn(df, spark.createDataFrame(rows, "doc_id long, toxic int"), F.lit(True))
+        assert {r.score for r in toxicity.score(df, model).collect()} == {rate}
+
+
+def test_toxicity_takes_repeated_rows_and_keys_and_no_rows(spark):
+    rows, labels = toxic_docs(100)
+    df = docs_of(spark, [*rows, *rows[:9], (0, "another text of the same key"), (None, rows[5][1])]).withColumn("score", F.lit(1)).withColumn("t", F.lit(1))
+    lab = spark.createDataFrame(labels + labels[:5], "doc_id long, toxic int")
+    model = toxicity.learn(df, lab, F.lit(True))
+    got = toxicity.score(df, model).collect()
+    assert len(got) == 111 and len({r.score for r in got if r.h1 == got[0].h1}) == 1
+    assert toxicity.score(df.limit(0), model).count() == 0
+    assert toxicity.learn(df.limit(0), lab, F.lit(True)).index is None
 
 
 # 4: token counts
