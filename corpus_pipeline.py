@@ -19,8 +19,8 @@ from larkspur.session import table, written
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7."""
-    model, bags = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
-    rejected = written(toxicity.score(bags, model).filter("score >= 0.7").select("h1", "h2").distinct())
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    rejected = written(toxicity.score(docs, model).filter("score >= 0.7").select("h1", "h2").distinct())
     rows = docs.select("*", *toxicity.identity("text", "doc_id"))
     return rows.join(sized_broadcast(rejected), ["h1", "h2"], "left_anti").select(*docs.columns)
 
