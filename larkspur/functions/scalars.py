@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Hosts of job boards and the kind each stands for.
 BOARD_HOSTS = {"boards.greenhouse.io": "greenhouse", "job-boards.greenhouse.io": "greenhouse", "jobs.ashbyhq.com": "ashby", "jobs.lever.co": "lever"}
@@ -129,15 +133,35 @@ def materiality(event_type: Column | str, headline: Column | str, excerpt: Colum
 def shard_of(*parts: Column | str, shards: int) -> Column:
     """The first 8 bytes of a SHA-256 over the parts, joined by line breaks, modulo the number of shards."""
     digest = F.sha2(F.concat_ws("\n", *[col(p).cast("string") for p in parts]), 256)
-    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(shards)).cast("int")
+    return (F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(shards).cast("decimal(20,0)")).cast("int")
 
 
 def hash_fraction(seed: int, key: Column | str) -> Column:
-    """A stable position in [0, 1) for a key."""
+    """A stable position in [0, 1) for a key, by SHA-256 on the JVM."""
     digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), col(key).cast("string")), 256)
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+@F.pandas_udf(T.StringType())
+def _blake_key(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=16).hexdigest())
+
+
+@F.pandas_udf(T.DoubleType())
+def _blake_position(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") / 2.0**64).astype("float64")
+
+
+def stable_key(seed: int, key: Column | str) -> Column:
+    """A stable order of keys for a seed: the 16-byte BLAKE2b of seed:key in hex, which the JVM lacks."""
+    return _blake_key(F.concat(F.lit(f"{seed}:"), col(key).cast("string")))
+
+
+def stable_position(seed: int, key: Column | str) -> Column:
+    """A stable position in [0, 1) for a key: the 8-byte BLAKE2b of seed:key as a fraction. Put it on distinct keys."""
+    return _blake_position(F.concat(F.lit(f"{seed}:"), col(key).cast("string")))
+
+
 def recheck_days(expiry: Column | str, now: Column | str, default: int = 14, cap: int = 14) -> Column:
     """Whole days until a declared expiry, within 0 and the cap; the default without one."""
     return F.when(col(expiry).isNull(), F.lit(default)).otherwise(F.greatest(F.lit(0), F.least(F.lit(cap), F.floor(days_between(expiry, now))))).cast("int")

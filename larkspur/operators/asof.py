@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.scalars import grid, hash_fraction
+from larkspur.functions.scalars import grid, hash_fraction, stable_key
 
 
 def as_of(rows: DataFrame, stamp: str, moment: Column) -> DataFrame:
@@ -57,12 +57,16 @@ def stable_split(seed: int, key: Column | str, fractions: tuple[float, float, fl
     return F.when(x < fractions[0], "dev").when(x < fractions[0] + fractions[1], "validation").otherwise("test")
 
 
-def greedy_split(sizes: DataFrame, key: str, size: str, fractions: dict[str, float] | None = None, most: int = 100_000) -> DataFrame:
-    """Keys by falling size, each to the split furthest below its target. sizes has a row per key; the choice is sequential, so more than `most` keys are refused (use stable_split)."""
+def greedy_split(sizes: DataFrame, key: str, size: str, fractions: dict[str, float] | None = None, most: int = 100_000, seed: int = 0) -> DataFrame:
+    """Keys by falling size, ties in the seed's stable order, each to the split furthest below its target.
+
+    sizes has a row per key, and each choice depends on all before it, so the walk over the keys is sequential by nature: it takes up to `most` keys.
+    More are refused; their exact way is a split by hash (stable_companies), which needs no order.
+    """
     fractions = fractions or {"dev": 0.6, "validation": 0.2, "test": 0.2}
-    rows = sizes.orderBy(F.desc(size), key).limit(most + 1).collect()
+    rows = sizes.withColumn("__order", stable_key(seed, key)).orderBy(F.desc(size), "__order").limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError("too many keys for a sequential split")
+        raise ValueError("too many keys for a sequential split: use a split by hash")
     total, held, out = sum(r[size] for r in rows), dict.fromkeys(fractions, 0), []
     for r in rows:
         to = max(fractions, key=lambda s: fractions[s] * total - held[s])

@@ -19,10 +19,16 @@ def carried(rows: DataFrame, key: list[str], order: list[str], value: str, stamp
     return last.filter(F.col(value) == F.col("__last")).groupBy(*key, F.col("__last").alias(value)).agg(F.min(stamp).alias("first_carried_at"))
 
 
-def refreshes(stamps: DataFrame, found: DataFrame, key: list[str], tolerance_days: int = 3) -> DataFrame:
-    """For each key, the latest stated update (stated_at) within the tolerance of an observed change, with the earliest change that detects it."""
-    slack = F.expr(f"interval {int(tolerance_days)} days")
-    rows = stamps.join(found, key).filter((F.col("stated_at") >= F.col("changed_after") - slack) & (F.col("stated_at") <= F.col("changed_by") + slack))
+def refreshes(stamps: DataFrame, found: DataFrame, key: list[str], tolerance_days: int = 3, days: int = 30) -> DataFrame:
+    """For each key, the latest stated update (stated_at) within the tolerance of an observed change, with the earliest change that detects it.
+
+    Changes stand in every stretch of so many days that they and their tolerance touch, so a stamp meets those of its stretch only.
+    """
+    slack, width = F.expr(f"interval {int(tolerance_days)} days"), days * 86_400_000_000
+    low, high = F.col("changed_after") - slack, F.col("changed_by") + slack
+    stretch = lambda c: F.floor(F.unix_micros(c) / F.lit(width))
+    held = found.select(*key, low.alias("__low"), high.alias("__high"), "changed_by", F.explode(F.sequence(stretch(low), stretch(high))).alias("__s"))
+    rows = stamps.select(*key, "stated_at").distinct().withColumn("__s", stretch("stated_at")).join(held, [*key, "__s"]).filter(F.col("stated_at").between(F.col("__low"), F.col("__high")))
     per = rows.groupBy(*key, "stated_at").agg(F.min("changed_by").alias("detected_by"))
     return per.groupBy(*key).agg(F.max("stated_at").alias("refreshed_at"), F.max_by("detected_by", "stated_at").alias("detected_by"))
 

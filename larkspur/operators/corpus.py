@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import host
 from larkspur.operators import policy
+from larkspur.operators.running import at_moments
 from larkspur.session import written
 
 # Words by which a reason is counted to a family of claims.
@@ -29,12 +30,24 @@ def snapshot_status(companies: DataFrame, captures: DataFrame) -> DataFrame:
     return companies.join(found, "company_id", "left").withColumn("gaps", F.coalesce("gaps", F.lit(0)))
 
 
-def cached(asks: DataFrame, cache: DataFrame, key: list[str], asked: str) -> DataFrame:
-    """Each ask with the latest response that was fetched by then and hadn't expired, or nulls. cache: key, fetched_at, expires_at, response."""
+def cached(asks: DataFrame, cache: DataFrame, key: list[str], asked: str, days: float = 1.0) -> DataFrame:
+    """Each ask with the latest response that was fetched by then and hadn't expired, or nulls. cache: key, fetched_at, expires_at, response.
+
+    One sorted pass gives the latest response and the latest expiry so far. Where the latest response has expired but an earlier, longer one
+    hasn't, the ask meets the responses of its key that hold in its stretch of so many days.
+    """
     asks = written(asks.withColumn("__id", F.monotonically_increasing_id()))
-    hit = asks.join(cache, key).filter((F.col("fetched_at") <= F.col(asked)) & (F.col(asked) < F.col("expires_at")))
-    hit = hit.groupBy("__id").agg(F.max(F.struct("fetched_at", "response")).alias("x")).select("__id", "x.*")
-    return asks.join(hit, "__id", "left").drop("__id")
+    cache = cache.filter(F.col("expires_at") > F.col("fetched_at"))
+    row = F.struct("fetched_at", "expires_at", "response")
+    seen = written(at_moments(asks, cache, key, "fetched_at", {"__last": ("max", row), "__until": ("max", F.col("expires_at"))}, asked, 30.0))
+    fresh = F.col("__last.expires_at") > F.col(asked)
+    width = int(days * 86_400_000_000)
+    stretch = lambda c: F.floor(F.unix_micros(c) / F.lit(width))
+    left = seen.filter(~fresh & (F.col("__until") > F.col(asked))).select(*key, "__id", F.col(asked).alias("__asked"), stretch(asked).alias("__s"))
+    held = cache.withColumn("__s", F.explode(F.sequence(stretch("fetched_at"), stretch("expires_at"))))
+    hit = held.join(left, [*key, "__s"]).filter((F.col("fetched_at") <= F.col("__asked")) & (F.col("__asked") < F.col("expires_at"))).groupBy("__id").agg(F.max(row).alias("__older"))
+    found = seen.join(hit, "__id", "left").withColumn("__x", F.when(fresh, F.col("__last")).otherwise(F.col("__older")))
+    return found.select(*[c for c in asks.columns if c != "__id"], "__x.fetched_at", "__x.response")
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
@@ -85,37 +98,46 @@ DOMAINS = {
     "material_negative_event": (True, False),
     "repost_pattern": ("none", "changed", "repeated_unchanged"),
     "corroborating_hiring_signal": (True, False),
-    "publish_recency": ("recent", "old"),
+    "publish_recency": ("recent", "not_recent"),
 }
 
 
+#: Dates that may be unknown, and the columns that tell whether they are known; where inputs have no such column they are.
+DATES = {"declared_expiry": "expiry_known", "last_material_event_at": "events_searched"}
+
+
 def could_change(inputs: DataFrame) -> DataFrame:
     """inputs with could_change: the unknown inputs of which some value, with some values of the other unknown ones, leads to another action than if they stayed unknown.
 
     The decision table has finitely many rows in these inputs. What doesn't depend on them (quality, dates) makes up a small signature; for each
-    signature and set of known values, all fillings of the unknown ones are decided once, and cases are joined to the outcome.
+    signature and set of known values, all fillings of the unknown ones are decided once, and cases are joined to the outcome. Of an unknown expiry it
+    matters whether one is declared, of an unknown event whether there is one and on which side of the last refresh it lies.
     """
     rest = ["quality", "long_lived", "declared_expiry", "last_material_event_at", "last_refreshed_at"]
     answered = policy.yes(F.col("last_refreshed_at") > F.col("last_material_event_at"))
-    flags = F.struct(F.col("quality"), F.col("long_lived"), F.col("declared_expiry").isNotNull().alias("expiry"), F.col("last_material_event_at").isNotNull().alias("event"), answered.alias("answered"), *DOMAINS)
+    open_ = {c: ~policy.yes(F.col(known)) if known in inputs.columns else F.lit(False) for c, known in DATES.items()}
+    flags = F.struct(F.col("quality"), F.col("long_lived"), F.col("declared_expiry").isNotNull().alias("expiry"), F.col("last_material_event_at").isNotNull().alias("event"), answered.alias("answered"), F.col("last_refreshed_at").isNotNull().alias("refreshed"), *[c.alias(f"open_{n}") for n, c in open_.items()], *DOMAINS)
     rows = inputs.withColumn("__sig", F.to_json(flags, {"ignoreNullFields": "false"}))
-    each = rows.groupBy("__sig").agg(*[F.first(c).alias(c) for c in (*rest, *DOMAINS)])
-    now = each.withColumn("branch", policy.branch()).withColumn("__now", action("branch"))
-    filled = now
+    each = rows.groupBy("__sig").agg(*[F.first(c).alias(c) for c in (*rest, *DOMAINS)], *[F.first(c).alias(f"__open_{n}") for n, c in open_.items()])
+    filled = each
     for c, values in DOMAINS.items():
         options = F.when(F.col(c).isNull(), F.array(F.lit(None).cast(inputs.schema[c].dataType), *map(F.lit, values))).otherwise(F.array(F.col(c)))
-        filled = filled.withColumn(f"__had_{c}", F.col(c).isNotNull()).withColumn(c, F.explode(options))
+        filled = filled.withColumn(f"__open_{c}", F.col(c).isNull()).withColumn(c, F.explode(options))
+    anchor = F.coalesce(F.col("last_refreshed_at").cast("timestamp"), F.lit("2000-01-02").cast("timestamp"))
+    dates = {"declared_expiry": [F.lit("2000-01-01").cast("timestamp")], "last_material_event_at": [anchor - F.expr("interval 1 day"), anchor + F.expr("interval 1 day")]}
+    for c, values in dates.items():
+        kind = inputs.schema[c].dataType
+        filled = filled.withColumn(c, F.explode(F.when(F.col(f"__open_{c}"), F.array(F.lit(None).cast(kind), *[v.cast(kind) for v in values])).otherwise(F.array(F.col(c)))))
     filled = filled.withColumn("branch", policy.branch()).withColumn("__act", action("branch"))
     # an input matters if two fillings that differ in it alone lead to different actions
-    marks = []
-    for c in DOMAINS:
-        others = [F.col(o) for o in DOMAINS if o != c]
-        w = Window.partitionBy("__sig", *others)
-        filled = filled.withColumn(f"__m_{c}", ~F.col(f"__had_{c}") & (F.min("__act").over(w) != F.max("__act").over(w)))
+    names, marks = [*DOMAINS, *DATES], []
+    for c in names:
+        w = Window.partitionBy("__sig", *[F.col(o) for o in names if o != c])
+        filled = filled.withColumn(f"__m_{c}", F.col(f"__open_{c}") & (F.min("__act").over(w) != F.max("__act").over(w)))
         marks.append(F.max(f"__m_{c}").alias(f"__m_{c}"))
     found = filled.groupBy("__sig").agg(*marks)
-    names = F.filter(F.array(*[F.when(F.col(f"__m_{c}"), F.lit(c)) for c in DOMAINS]), lambda x: x.isNotNull())
-    return rows.join(found, "__sig").withColumn("could_change", names).drop("__sig", *[f"__m_{c}" for c in DOMAINS])
+    out = F.filter(F.array(*[F.when(F.col(f"__m_{c}"), F.lit(c)) for c in names]), lambda x: x.isNotNull())
+    return rows.join(found, "__sig").withColumn("could_change", out).drop("__sig", *[f"__m_{c}" for c in names])
 
 
 def action(branch: str) -> Column:

@@ -61,23 +61,45 @@ def company_features(intervals: DataFrame, links: DataFrame, now: Column) -> Dat
     ).withColumn("repost_rate", ratio("reposted_count", "closed_count"))
 
 
-def team_activity(intervals: DataFrame, now: Column, new_days: int = 30, closure_days: int = 60) -> DataFrame:
-    """Per company and team, as of now: open, new and closed jobs, and how many are known from archives only."""
-    rows = intervals.filter(F.col("first_observed") <= now).withColumn("team_key", team_key("team")).filter("team_key is not null")
-    new, gone = days_between(now, "first_observed").between(0, new_days), days_between(now, "first_seen_absent").between(0, closure_days)
-    return rows.groupBy("company_id", "team_key").agg(
+def in_days(when: str, now: Column, days: int) -> Column:
+    """Whether a time lies in the days up to now, both ends included."""
+    return F.coalesce(F.col(when).between(now - F.expr(f"interval {int(days)} days"), now), F.lit(False))
+
+
+def scoped(intervals: DataFrame, now: Column, whole: bool) -> DataFrame:
+    """The jobs seen by now with their team_key: those with a team, or (whole) all jobs of a company, which a question without a team asks for (team_key is null)."""
+    rows = intervals.filter(F.col("first_observed") <= now)
+    return rows.withColumn("team_key", F.lit(None).cast("string")) if whole else rows.withColumn("team_key", team_key("team")).filter("team_key is not null")
+
+
+def team_activity(intervals: DataFrame, now: Column, new_days: int = 30, closure_days: int = 60, whole: bool = False) -> DataFrame:
+    """Per company and team (or whole company), as of now: open, new and closed jobs, and how many are known from archives only."""
+    end = F.col("first_seen_absent")
+    return scoped(intervals, now, whole).groupBy("company_id", "team_key").agg(
         F.count("*").alias("jobs"),
-        F.count_if(F.col("first_seen_absent").isNull() | (F.col("first_seen_absent") > now)).alias("open_jobs"),
-        F.count_if(new).alias("new_jobs"),
-        F.count_if(gone).alias("closed_jobs"),
+        F.count_if(end.isNull() | (end > now)).alias("open_jobs"),
+        F.count_if(in_days("first_observed", now, new_days)).alias("new_jobs"),
+        F.count_if(in_days("first_seen_absent", now, closure_days)).alias("closed_jobs"),
         F.count_if(~F.array_contains("sources", "own")).alias("archive_only_jobs"),
         F.max("first_observed").alias("latest_new_at"),
     )
 
 
-def team_verdict(minimum_new: int = 1, minimum_closed: int = 1, bar: float = 0.5) -> Column:
-    """Whether a team is hiring: true, false, or null (unknown) below the coverage bar."""
-    return F.when(F.coalesce("history_coverage", F.lit(0.0)) < bar, F.lit(None)).when(F.col("new_jobs") >= minimum_new, True).when(F.col("closed_jobs") >= minimum_closed, False)
+def team_events(intervals: DataFrame, now: Column, new_days: int = 30, closure_days: int = 60, whole: bool = False, most: int = 20) -> DataFrame:
+    """The newest `most` new and closed jobs per company and team, newest first and then by job: company_id, team_key, kind, place, job_id, title, at, archive_only."""
+    rows = scoped(intervals, now, whole)
+    kinds = []
+    for kind, when, days in (("new", "first_observed", new_days), ("closed", "first_seen_absent", closure_days)):
+        kinds.append(rows.filter(in_days(when, now, days)).select("company_id", "team_key", F.lit(kind).alias("kind"), "job_id", "title", F.col(when).alias("at"), (~F.array_contains("sources", "own")).alias("archive_only")))
+    w = Window.partitionBy("company_id", "team_key", "kind").orderBy(F.desc("at"), "job_id")
+    return kinds[0].unionByName(kinds[1]).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+
+
+def team_verdict(minimum_new: int = 1, minimum_closed: int = 1, bar: float = 0.5, min_history_days: float = 30.0) -> Column:
+    """Whether a team is active, over new_jobs, closed_jobs, history_days and history_coverage: new or closed jobs say true, whatever is covered; none of either says false only where history and coverage suffice to have seen them; else null (unknown)."""
+    new, closed = F.coalesce("new_jobs", F.lit(0)), F.coalesce("closed_jobs", F.lit(0))
+    seen = (F.coalesce("history_days", F.lit(0.0)) >= min_history_days) & (F.coalesce("history_coverage", F.lit(0.0)) >= bar)
+    return F.when((new >= minimum_new) | (closed >= minimum_closed), True).when((new == 0) & (closed == 0) & seen, False)
 
 
 def repost_pattern(rows: DataFrame, min_history_days: float = 30.0, title_min: float = 0.85, description_min: float = 0.80) -> DataFrame:
@@ -94,12 +116,17 @@ def repost_pattern(rows: DataFrame, min_history_days: float = 30.0, title_min: f
     return rows.withColumn("repost_pattern", pattern)
 
 
-def posting_features(intervals: DataFrame, published: DataFrame, now: Column, long_lived_days: int = 180) -> DataFrame:
-    """Age from the earliest of its origins (sighting, stated publication), and whether it is long-lived. published: company_id, job_id, published_at."""
+def posting_features(intervals: DataFrame, published: DataFrame, archived: DataFrame, now: Column, long_lived_days: int = 180) -> DataFrame:
+    """Age from the earliest of its three origins (stated publication, earliest archive capture, sighting), whether it is long-lived, and its censoring: interval if it was seen absent and never again, right if it was ever seen open, else null.
+
+    published: company_id, job_id, published_at. archived: company_id, job_id, captured_at of archive captures that list the job.
+    """
     first = published.groupBy("company_id", "job_id").agg(F.min("published_at").alias("published_at"))
-    rows = intervals.join(first, ["company_id", "job_id"], "left")
-    rows = rows.withColumn("origin", F.least("first_observed", "published_at")).withColumn("age_days", days_between(now, "origin"))
-    return rows.select("company_id", "job_id", "origin", "age_days", (F.col("age_days") >= long_lived_days).alias("long_lived"), "censoring")
+    early = archived.groupBy("company_id", "job_id").agg(F.min("captured_at").alias("archived_at"))
+    rows = intervals.join(first, ["company_id", "job_id"], "left").join(early, ["company_id", "job_id"], "left")
+    rows = rows.withColumn("origin", F.least("published_at", "archived_at", "first_observed")).withColumn("age_days", days_between(now, "origin"))
+    censoring = F.when(F.col("first_seen_absent").isNotNull() & F.col("reappeared_at").isNull(), "interval").when(F.col("last_seen_open").isNotNull(), "right")
+    return rows.select("company_id", "job_id", "origin", "age_days", (F.col("age_days") >= long_lived_days).alias("long_lived"), censoring.alias("censoring"))
 
 
 def dominant_title(rows: DataFrame, key: list[str], title: Column, limit: float = 0.60, least: int = 3) -> DataFrame:

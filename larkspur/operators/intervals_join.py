@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def merged_windows(windows: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Touching and overlapping windows as one (gaps and islands)."""
-    part = Window.partitionBy(*key or [F.lit(0)]).orderBy("started_at", "finished_at")
-    rows = windows.withColumn("reach", F.max("finished_at").over(part.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("started_at") > F.col("reach")), 1).otherwise(0)).over(part.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*key or [], "island").agg(F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at")).drop("island")
+from larkspur.operators.running import running
+
+
+def merged_windows(windows: DataFrame, key: list[str] | None = None, days: float = 30.0) -> DataFrame:
+    """Touching and overlapping windows as one (gaps and islands). Windows are read in stretches of so many days, so that even without a key no task reads all."""
+    key = key or []
+    rows = windows.select(*key, "started_at", "finished_at", F.monotonically_increasing_id().alias("__id"))
+    order, stretch = [F.col("started_at"), F.col("finished_at"), F.col("__id")], F.floor(F.unix_micros("started_at") / F.lit(int(days * 86_400_000_000)))
+    rows = running(rows, key, order, stretch, {"reach": ("max", "finished_at")}, inclusive=False)
+    rows = rows.withColumn("opens", F.when(F.col("reach").isNull() | (F.col("started_at") > F.col("reach")), 1).otherwise(0))
+    rows = running(rows, key, order, stretch, {"island": ("sum", "opens")})
+    return rows.groupBy(*key, "island").agg(F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at")).drop("island")
 
 
 def latest_before(moments: DataFrame, windows: DataFrame, key: list[str], moment: str) -> DataFrame:

@@ -21,7 +21,13 @@ GENERIC_TITLES = (
     "view", "view job", "view jobs", "view role", "view posting", "view details", "view opening",
     "see job", "see details", "see more", "learn more", "read more", "more", "more info", "more information", "details",
     "click here", "here", "link", "submit", "submit application", "start application",
-    "job", "jobs", "role", "roles", "position", "positions", "opening", "openings", "open role", "open roles", "open position", "unknown",
+    "job", "jobs", "role", "roles", "position", "positions", "opening", "openings", "open role", "open roles", "open position", "open positions",
+    "current openings", "all openings", "all jobs", "all roles", "career", "careers", "vacancy", "vacancies", "listing", "listings", "posting", "postings",
+    "department", "departments", "team", "teams", "location", "locations",
+    "home", "menu", "search", "back", "next", "previous", "sign in", "log in", "login", "share", "print", "email", "contact", "contact us", "about", "about us",
+    "join us", "join our team", "we are hiring", "hiring", "work with us",
+    "remote", "onsite", "on site", "hybrid", "full time", "part time", "fulltime", "parttime", "contract", "temporary", "permanent", "internship", "intern",
+    "n a", "na", "tbd", "untitled", "unknown",
 )
 LINK_WORDS = ("view", "see", "read", "learn", "browse", "explore", "show", "discover", "check")
 LINK_MOST_WORDS = 4
@@ -117,12 +123,37 @@ def combined(pairs: DataFrame, cfg: Matching = Matching()) -> DataFrame:
     return rows.withColumn("passes", F.coalesce((F.col("title_score") >= bar) & (F.col("combined") >= cfg.combined_min) & (F.col("title_only") | F.col("corroborated")), F.lit(False)))
 
 
+#: Keys with so many candidates at most are assigned in one pass each; others in rounds.
+FEW_CANDIDATES = 50_000
+
+
 def assigned(candidates: DataFrame, key: list[str], old: str, new: str, score: str) -> DataFrame:
     """The greedy one-to-one assignment in order of (-score, old, new), with candidates as rows of key, old, new and score.
 
-    In a total order, the greedy choice is what rounds of mutual best candidates give: a candidate that is the best of its old
-    and of its new side is taken, and what shares a side with it goes. Rounds are shuffles, not loops over rows.
+    Keys of a bounded number of candidates are walked through in order, each in one group. For larger keys, rounds of mutual
+    best candidates give the same in a total order: a candidate that is the best of its old and of its new side is taken, and what shares
+    a side with it goes. Rounds are shuffles, not loops over rows.
     """
+    candidates = written(candidates)
+    large = written(candidates.groupBy(*key).count().filter(F.col("count") > FEW_CANDIDATES).select(*key))
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([score, old, new], ascending=[False, True, True])
+        olds, news, keep = set(), set(), []
+        for a, b in zip(rows[old], rows[new], strict=True):
+            free = a not in olds and b not in news
+            keep.append(free)
+            if free:
+                olds.add(a)
+                news.add(b)
+        return rows[keep]
+
+    few = candidates.join(large, key, "left_anti").groupBy(*key).applyInPandas(walk, candidates.schema)
+    return few.unionByName(rounds(candidates.join(large, key, "left_semi"), key, old, new, score)) if large.limit(1).count() else few
+
+
+def rounds(candidates: DataFrame, key: list[str], old: str, new: str, score: str) -> DataFrame:
+    """The same by rounds of mutual best candidates."""
     rank = F.struct(-F.col(score), F.col(old), F.col(new))
     left, taken = written(candidates), None
     while left.limit(1).count():

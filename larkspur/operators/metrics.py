@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import ratio
+from larkspur.session import sized_broadcast
 
 
 def latest_by_case(runs: DataFrame, case: list[str], order: list[str]) -> DataFrame:
@@ -82,7 +83,7 @@ def step_metrics(runs: DataFrame, steps: DataFrame, costs: DataFrame) -> DataFra
     """Per system: probe executions by tier, repeats (the same probe and arguments again in a run), cost, latency and hits."""
     probes = steps.filter("component = 'probe'")
     again = probes.groupBy("run_id", "probe_name", "args_hash").agg(F.count("*").alias("k")).groupBy("run_id").agg(F.sum(F.greatest(F.col("k") - 1, F.lit(0))).alias("repeats"))
-    tiers = probes.join(F.broadcast(costs), "probe_name", "left").groupBy("run_id").agg(*[F.count_if(F.col("tier") == t).alias(f"{t}_probes") for t in ("low", "medium", "high")], F.count_if(F.col("cache_status") == "hit").alias("hits"), F.count("*").alias("probes"))
+    tiers = probes.join(sized_broadcast(costs), "probe_name", "left").groupBy("run_id").agg(*[F.count_if(F.col("tier") == t).alias(f"{t}_probes") for t in ("low", "medium", "high")], F.count_if(F.col("cache_status") == "hit").alias("hits"), F.count("*").alias("probes"))
     own = steps.groupBy("run_id").agg(F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("cost"), F.sum(F.coalesce("latency_s", F.lit(0.0))).alias("latency"))
     rows = runs.select("run_id", "system").join(own, "run_id", "left").join(tiers, "run_id", "left").join(again, "run_id", "left")
     sums = ("low_probes", "medium_probes", "high_probes", "hits", "probes", "repeats")
@@ -102,7 +103,7 @@ def unnecessary_steps(steps: DataFrame, evidence: DataFrame) -> DataFrame:
     return steps.filter("component = 'probe'").join(made, ["run_id", "probe_name"], "left_anti").groupBy("run_id").agg(F.count("*").alias("unnecessary"))
 
 
-def missed_probes(pairs: DataFrame, reference: str, system: str) -> Column:
+def missed_probes(reference: Column | str, system: Column | str) -> Column:
     """Probes that the reference ran and the system didn't."""
     return F.array_except(reference, system)
 
@@ -115,6 +116,12 @@ def citation_support(reasons: DataFrame, evidence: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("reasons"), F.count_if(F.col("ids") > 0).alias("cited"), F.count_if((F.col("ids") > 0) & (F.col("ids") == F.col("found"))).alias("supported"), ratio(F.count_if((F.col("ids") > 0) & (F.col("ids") == F.col("found"))), F.count("*")).alias("support_rate"))
 
 
+def latest_actions(runs: DataFrame) -> DataFrame:
+    """posting_id, action of the latest completed run of each posting that decided on one, by (started_at, run_id)."""
+    known = runs.filter((F.col("status") == "completed") & F.col("action").isNotNull() & F.col("posting_id").isNotNull())
+    return known.groupBy("posting_id").agg(F.max_by("action", F.struct("started_at", "run_id")).alias("action"))
+
+
 def outcome_funnel(outcomes: DataFrame, actions: DataFrame) -> DataFrame:
     """Per recommended action: how many postings reached each outcome, and effort for each reply and interview."""
     rows = outcomes.join(actions, "posting_id", "left").withColumn("action", F.coalesce("action", F.lit("none")))
@@ -123,6 +130,59 @@ def outcome_funnel(outcomes: DataFrame, actions: DataFrame) -> DataFrame:
     return out.withColumn("applied_per_reply", ratio("applied", "reply")).withColumn("applied_per_interview", ratio("applied", "interview"))
 
 
+def product_gate(outcomes: DataFrame, splits: DataFrame | None, actions: DataFrame, allowed: tuple[str, ...] = ("test",), recommended: tuple[str, ...] = ("apply_now", "quick_apply"), least: int = 30) -> DataFrame:
+    """One row: whether recommended postings took less effort for each screen and interview than the others, over held-out postings.
+
+    outcomes: posting_id, outcome_type. splits: posting_id, split, or None, which shows no posting to be held out. actions: posting_id, action. status is
+    unproven, with what is missing, unless there are `least` outcomes, held-out postings, runs of theirs, and all four ratios.
+    """
+    rows = outcomes.withColumn("held", F.lit(False)) if splits is None else outcomes.join(splits.filter(F.col("split").isin(*allowed)).select("posting_id", F.lit(True).alias("held")).distinct(), "posting_id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    rows = rows.join(actions, "posting_id", "left").withColumn("scoped", F.lit(True) if splits is None else F.col("held"))
+    matched, chosen = F.col("scoped") & F.col("action").isNotNull(), F.col("action").isin(*recommended)
+    count = lambda side, kind: F.count_if(matched & side & (F.col("outcome_type") == kind))
+    out = rows.agg(
+        F.count("*").alias("outcomes"), F.countDistinct("posting_id").alias("postings"), F.countDistinct(F.when(F.col("held"), F.col("posting_id"))).alias("held_out"), F.countDistinct(F.when(matched, F.col("posting_id"))).alias("matched"),
+        *[count(side, kind).alias(f"{n}_{kind}") for n, side in (("recommended", chosen), ("other", ~chosen)) for kind in ("applied", "screen", "interview")],
+    )
+    for n in ("recommended", "other"):
+        for kind in ("screen", "interview"):
+            out = out.withColumn(f"{n}_per_{kind}", ratio(f"{n}_applied", f"{n}_{kind}"))
+    missing = [
+        F.when(F.col("outcomes") == 0, "no outcomes").when(F.col("outcomes") < least, "too few outcomes"),
+        F.lit("no splits") if splits is None else F.when(F.col("held_out") == 0, "no held-out postings"),
+        F.when((F.col("outcomes") > 0) & (F.col("matched") == 0), "no runs"),
+        F.when(F.col("recommended_per_screen").isNull() | F.col("other_per_screen").isNull(), "no screens"),
+        F.when(F.col("recommended_per_interview").isNull() | F.col("other_per_interview").isNull(), "no interviews"),
+    ]
+    out = out.withColumn("missing", F.array_join(F.filter(F.array(*missing), lambda x: x.isNotNull()), "; "))
+    better = (F.col("recommended_per_screen") < F.col("other_per_screen")) & (F.col("recommended_per_interview") < F.col("other_per_interview"))
+    return out.withColumn("status", F.when(F.col("missing") != "", "unproven").when(better, "pass").otherwise("fail"))
+
+
+def evidence_quality_coverage(evidence: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per system and source quality: evidence, runs and cases that have any, and the share of the system's runs."""
+    rows = evidence.join(runs.select("run_id", "system"), "run_id")
+    total = runs.groupBy("system").agg(F.count("*").alias("runs_of_system"))
+    out = rows.groupBy("system", "source_quality").agg(F.count("*").alias("evidence"), F.countDistinct("run_id").alias("runs"))
+    return out.join(total, "system").withColumn("share", ratio("runs", "runs_of_system")).drop("runs_of_system")
+
+
+def efficiency(orders: DataFrame, reference: str, system: str, settled: str, final: str) -> DataFrame:
+    """One row over cases with each system's probes (arrays) and actions: probes saved and missed against the reference, cases in which a missed probe cost the reference's action (regret), and in which probes moved the action to it (recovery).
+
+    orders: <system>_probes and <system>_action for both systems; settled is the action before dynamic probes, final the system's action.
+    """
+    ref, own = F.col(f"{reference}_probes"), F.col(f"{system}_probes")
+    missed, extra = missed_probes(ref, own), missed_probes(own, ref)
+    right = F.coalesce(F.col(final) == F.col(f"{reference}_action"), F.lit(False))
+    before = F.coalesce(F.col(settled) == F.col(f"{reference}_action"), F.lit(False))
+    out = orders.agg(
+        F.count("*").alias("cases"), F.sum(F.size(ref)).alias("reference_probes"), F.sum(F.size(own)).alias("probes"), F.sum(F.size(missed)).alias("missed"), F.sum(F.size(extra)).alias("extra"),
+        F.count_if(~right & (F.size(missed) > 0)).alias("regret"), F.count_if(right & ~before).alias("recovered"), F.count_if(~right & before).alias("spoiled"),
+    )
+    return out.withColumn("saving", ratio(F.col("reference_probes") - F.col("probes"), "reference_probes"))
+
+
 def agent_gate(candidate: DataFrame, baseline: DataFrame, cost_ratio: float = 0.70, margin: float = 0.02, tolerance: float = 1e-9) -> DataFrame:
     """One row each (agreement, macro_agreement, cost): the legs of the gate and whether all hold."""
     rows = candidate.select(*[F.col(c).alias(f"c_{c}") for c in ("agreement", "macro_agreement", "cost")]).crossJoin(F.broadcast(baseline.select(*[F.col(c).alias(f"b_{c}") for c in ("agreement", "macro_agreement", "cost")])))

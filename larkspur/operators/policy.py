@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import days_between, recheck_days
+from larkspur.operators.running import at_moments
 
 # States that count as active, kinds of primary sources and of events.
 ACTIVE = ("open", "reposted")
@@ -23,14 +24,15 @@ def yes(condition: Column) -> Column:
 def event_signals(cases: DataFrame, events: DataFrame, window_days: int = 180) -> DataFrame:
     """cases (case_id, company_id, replay_at, searched) with material_negative_event, freeze_or_pause and last_material_event_at.
 
-    Events count if they were available at replay_at and not older than the window; a company that was never searched has unknown signals.
+    Events count if they were available at replay_at and not older than the window; a company that was never searched has unknown signals. Some
+    event counts if and only if the latest one available does, so a running maximum of each kind answers all cases of a company in one pass.
     """
-    seen = cases.join(events, "company_id").filter((F.col("available_at") <= F.col("replay_at")) & (F.to_date("event_at") >= F.date_sub(F.to_date("replay_at"), window_days)))
     material = F.col("event_type").isin(*MATERIAL_NEGATIVE) & (F.col("materiality") == "material")
-    found = seen.groupBy("case_id").agg(F.bool_or(material).alias("m"), F.bool_or(F.col("event_type").isin(*FREEZES)).alias("f"), F.max(F.when(material, F.col("event_at"))).alias("last_material_event_at"))
-    rows = cases.join(found, "case_id", "left")
-    signal = lambda c: F.when(yes(F.col("searched")), F.coalesce(c, F.lit(False)))
-    return rows.withColumn("material_negative_event", signal(F.col("m"))).withColumn("freeze_or_pause", signal(F.col("f"))).drop("m", "f")
+    latest = {"__m": ("max", F.when(material, F.col("event_at"))), "__f": ("max", F.when(F.col("event_type").isin(*FREEZES), F.col("event_at")))}
+    rows = at_moments(cases, events, ["company_id"], "available_at", latest)
+    inside = lambda c: yes(F.to_date(c) >= F.date_sub(F.to_date("replay_at"), window_days))
+    signal = lambda c: F.when(yes(F.col("searched")), inside(c))
+    return rows.withColumn("last_material_event_at", F.when(inside("__m"), F.col("__m"))).withColumn("material_negative_event", signal("__m")).withColumn("freeze_or_pause", signal("__f")).drop("__m", "__f")
 
 
 def contradictions(evidence: DataFrame, days: float = 3.0) -> DataFrame:
@@ -93,9 +95,9 @@ def decided(inputs: DataFrame, now: str = "replay_at") -> DataFrame:
 
 
 def publish_recency(latest: Column | str, now: Column | str, recent_days: float = 30.0) -> Column:
-    """recent or old; a date in the future counts as recent; null without a date."""
+    """recent or not_recent; a date in the future counts as recent; null without a date."""
     age = days_between(now, latest)
-    return F.when(age <= recent_days, "recent").when(age > recent_days, "old")
+    return F.when(age <= recent_days, "recent").when(age > recent_days, "not_recent")
 
 
 def unpopulated(names: list[str]) -> Column:
@@ -110,13 +112,25 @@ def routed(costs: dict[str, float], cap: int = 4) -> Column:
     return F.slice(F.transform(useful, lambda x: x["probe"]), 1, cap)
 
 
-def budget(steps: DataFrame, caps: dict[str, float]) -> DataFrame:
-    """steps (run_id, step_index and a column per cap) with what was spent before each and whether the step is still allowed."""
-    from pyspark.sql import Window
+def budget(steps: DataFrame, caps: dict[str, float], most: int | None = None) -> DataFrame:
+    """steps (run_id, step_index and a column per cap) with what was spent up to each and whether it is allowed.
 
-    w = Window.partitionBy("run_id").orderBy("step_index").rowsBetween(Window.unboundedPreceding, 0)
-    allowed = F.lit(True)
-    for c, cap in caps.items():
-        steps = steps.withColumn(f"spent_{c}", F.sum(F.coalesce(c, F.lit(0.0))).over(w))
-        allowed = allowed & (F.col(f"spent_{c}") <= cap)
-    return steps.withColumn("allowed", allowed)
+    A step runs while what its run spent before keeps to every cap together with the step itself; a step that doesn't fit is refused
+    and costs nothing, and later ones may fit. most: how many steps of a run may be allowed. A run's steps are folded in order (runs are short by their caps' nature).
+    """
+    names = list(caps)
+    costs = F.struct("step_index", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    runs = steps.groupBy("run_id").agg(F.sort_array(F.collect_list(costs)).alias("__steps"))
+    entry = "struct<step_index:bigint,allowed:boolean," + ",".join(f"spent_{c}:double" for c in names) + ">"
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in names], F.lit(0).alias("n"), F.array().cast(f"array<{entry}>").alias("out"))
+
+    def take(acc: Column, step: Column) -> Column:
+        fits = F.lit(True) if most is None else acc["n"] < most
+        for c, cap in caps.items():
+            fits = fits & (acc[c] + step[c] <= cap + 1e-9)
+        spent = {c: acc[c] + F.when(fits, step[c]).otherwise(0.0) for c in names}
+        row = F.struct(step["step_index"].cast("long").alias("step_index"), fits.alias("allowed"), *[spent[c].alias(f"spent_{c}") for c in names])
+        return F.struct(*[spent[c].alias(c) for c in names], (acc["n"] + fits.cast("int")).alias("n"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    found = runs.select("run_id", F.explode(F.aggregate("__steps", zero, take)["out"]).alias("x")).select("run_id", "x.*")
+    return steps.join(found, ["run_id", "step_index"])

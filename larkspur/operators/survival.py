@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import days_between
+from larkspur.operators.running import running
+from larkspur.session import written
 
 
 def durations(intervals: DataFrame) -> DataFrame:
@@ -19,19 +21,18 @@ def durations(intervals: DataFrame) -> DataFrame:
 def kaplan_meier(sample: DataFrame, group: list[str] | None = None) -> DataFrame:
     """time, at_risk, events, survival and the bounds of its exponential Greenwood interval; events count at their upper bound.
 
-    The curve has a row for each distinct time, made by one aggregate; only these rows are sorted in a window. Survival is 0 from the time on at which all at risk fail.
+    The curve has a row for each distinct time, made by one aggregate; its running sums run by day, with what other days hold from a row a day. Survival is 0 from the time on at which all at risk fail.
     """
     key = group or []
     t = F.coalesce("high", "low")
-    counts = sample.filter("dropped is null").groupBy(*key, t.alias("time")).agg(F.count_if(F.col("event")).alias("events"), F.count("*").alias("left"))
-    back = Window.partitionBy(*key or [F.lit(0)]).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy(*key or [F.lit(0)]).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    rows = counts.withColumn("at_risk", F.sum("left").over(back))
+    rows = sample.filter("dropped is null").groupBy(*key, t.alias("time")).agg(F.count_if(F.col("event")).alias("events"), F.count("*").alias("left"))
+    rows = written(rows)
+    days = F.floor("time")
+    rows = running(rows, key, [F.desc("time")], days, {"at_risk": ("sum", "left")}, falling=True)
     d, n = F.col("events").cast("double"), F.col("at_risk").cast("double")
-    over = F.max((F.col("events") == F.col("at_risk")).cast("int")).over(on) == 1
-    logs = F.sum(F.when(d < n, F.log1p(-d / n)).otherwise(0.0)).over(on)
-    rows = rows.withColumn("survival", F.when(over, 0.0).otherwise(F.exp(logs)))
-    rows = rows.withColumn("v", F.sum(F.when(d < n, d / (n * (n - d))).otherwise(0.0)).over(on))
+    rows = rows.withColumn("ends", (F.col("events") == F.col("at_risk")).cast("int")).withColumn("log", F.when(d < n, F.log1p(-d / n)).otherwise(0.0)).withColumn("var", F.when(d < n, d / (n * (n - d))).otherwise(0.0))
+    rows = running(rows, key, [F.col("time")], days, {"over": ("max", "ends"), "logs": ("sum", "log"), "v": ("sum", "var")})
+    rows = rows.withColumn("survival", F.when(F.col("over") == 1, 0.0).otherwise(F.exp("logs")))
     inner = (F.col("survival") > 0) & (F.col("survival") < 1)
     theta = 1.959963984540054 * F.sqrt("v") / F.log("survival")
     low, high = (F.when(inner, F.exp(-F.exp(F.log(-F.log("survival")) + s * theta))) for s in (-1, 1))
@@ -49,11 +50,16 @@ def survival_at(curve: DataFrame, horizons: list[float], group: list[str] | None
 def turnbull(sample: DataFrame, rounds: int = 2000, tolerance: float = 1e-9, most: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nonparametric maximum likelihood for interval-censored lifetimes: (left, right, mass) of its support.
 
-    Lifetimes are reduced to distinct whole-day intervals with counts first, so their number is bounded by the span in days, not by the data; more than `most` are refused.
+    The fit takes distinct intervals with their counts, of which at most `most` reach the driver. Where the data hold more, bounds are widened
+    outward to multiples of a step of days, the smallest power of two from 2^-20 (a tenth of a second) on with which they fit: the support is then known to that step.
     """
-    rows = sample.filter("dropped is null").select(F.floor("low").alias("l"), F.ceil("high").alias("r")).groupBy("l", "r").agg(F.count("*").alias("n")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many distinct intervals")
+    base, step = sample.filter("dropped is null").select("low", "high"), 0.0
+    while True:
+        low_, high_ = (F.col("low"), F.col("high")) if not step else (F.floor(F.col("low") / step) * step, F.ceil(F.col("high") / step) * step)
+        rows = base.groupBy(low_.cast("double").alias("l"), high_.cast("double").alias("r")).agg(F.count("*").alias("n")).limit(most + 1).collect()
+        if len(rows) <= most:
+            break
+        step = step * 2 if step else 2.0**-20
     low = np.array([r.l for r in rows], float)
     high = np.array([np.inf if r.r is None else max(r.r, r.l) for r in rows])
     n = np.array([r.n for r in rows], float)
@@ -83,3 +89,21 @@ def era_split(rows: DataFrame, moment: str, boundary: Column) -> DataFrame:
     from larkspur.operators.metrics import era
 
     return rows.withColumn("era", era(moment, boundary))
+
+
+def interval_survival(left: np.ndarray, right: np.ndarray, mass: np.ndarray, horizon: float) -> float | None:
+    """S(horizon) of a fitted support: 1 before it, the mean of its bounds inside an interval, null beyond the last finite bound."""
+    if not len(mass) or horizon < left[0]:
+        return 1.0 if len(mass) else None
+    finite = right[np.isfinite(right)]
+    if not len(finite) or horizon > finite.max():
+        return None
+    upper, lower = 1 - mass[right <= horizon].sum(), 1 - mass[left < horizon].sum()
+    return float(np.clip((upper + lower) / 2, 0.0, 1.0))
+
+
+def median_interval(curve: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """The median of a curve with its confidence interval: the first times at which survival, its lower and its upper bound reach a half; null where they don't."""
+    key = group or []
+    at = [F.min(F.when(F.col(c) <= 0.5, F.col("time"))).alias(n) for n, c in (("median_days", "survival"), ("median_low", "ci_low"), ("median_high", "ci_high"))]
+    return curve.groupBy(*key).agg(*at) if key else curve.agg(*at)

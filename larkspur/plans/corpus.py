@@ -26,10 +26,10 @@ def coverage_by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cached_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """The response a cache would have served at each probe step's moment."""
+    """The response a cache would have served at each piece of evidence's moment. Responses live for 1 to 7 days, so an older one may outlive the latest."""
     e = part(spark, sf, "evidence")
-    cache = e.filter("evidence_id % 30 = 1").select("probe", (F.col("run_id") % 20).alias("args_hash"), "fetched_at", F.expr("fetched_at + interval 10 days").alias("expires_at"), F.col("evidence_id").alias("response"))
-    asks = e.filter("evidence_id % 50 = 2").select("evidence_id", "probe", (F.col("run_id") % 20).alias("args_hash"), F.col("available_at").alias("asked_at"))
+    cache = e.select("probe", (F.col("run_id") % 20).alias("args_hash"), "fetched_at", F.expr("fetched_at + make_dt_interval(cast(1 + evidence_id % 4 * 2 as int))").alias("expires_at"), F.col("evidence_id").alias("response"))
+    asks = e.select("evidence_id", "probe", (F.col("run_id") % 20).alias("args_hash"), F.col("available_at").alias("asked_at"))
     return C.cached(asks, cache, ["probe", "args_hash"], "asked_at").select("evidence_id", "response", "fetched_at")
 
 
@@ -116,8 +116,8 @@ QUERIES = {
 ORACLE_SQL = {
     "snapshot_status": f"WITH {DUCK}, own AS (SELECT * FROM snap WHERE company_id <> 4), la AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY captured_at DESC, snapshot_id DESC) = 1), gp AS (SELECT company_id, count(*) FILTER (coverage_status = 'gap') AS gaps FROM own GROUP BY company_id) SELECT c.company_id, captured_at AS last_captured_at, coverage_status AS last_coverage, coalesce(gaps, 0) AS gaps FROM (SELECT DISTINCT company_id FROM snap) c LEFT JOIN la USING (company_id) LEFT JOIN gp USING (company_id)",
     "coverage_by_source": f"WITH {DUCK} SELECT company_id, source, nullif(count(*) FILTER (coverage_status = 'complete'), 0) AS complete, nullif(count(*) FILTER (coverage_status = 'partial'), 0) AS partial, nullif(count(*) FILTER (coverage_status = 'gap'), 0) AS gap FROM snap GROUP BY ALL",
-    "cached_responses": f"""WITH {RUN_DUCK}, cache AS (SELECT probe, run_id % 20 AS args_hash, fetched_at, fetched_at + INTERVAL 10 DAY AS expires_at, evidence_id AS response FROM evidence WHERE evidence_id % 30 = 1), asks AS (SELECT evidence_id, probe, run_id % 20 AS args_hash, available_at AS asked_at FROM evidence WHERE evidence_id % 50 = 2),
- hit AS (SELECT a.evidence_id, c.response, c.fetched_at FROM asks a JOIN cache c ON a.probe = c.probe AND a.args_hash = c.args_hash AND c.fetched_at <= asked_at AND asked_at < c.expires_at QUALIFY row_number() OVER (PARTITION BY a.evidence_id ORDER BY c.fetched_at DESC, c.response DESC) = 1) SELECT a.evidence_id, response, fetched_at FROM asks a LEFT JOIN hit USING (evidence_id)""",
+    "cached_responses": f"""WITH {RUN_DUCK}, cache AS (SELECT probe, run_id % 20 AS args_hash, fetched_at, fetched_at + to_days(CAST(1 + evidence_id % 4 * 2 AS INT)) AS expires_at, evidence_id AS response FROM evidence), asks AS (SELECT evidence_id, probe, run_id % 20 AS args_hash, available_at AS asked_at FROM evidence),
+ hit AS (SELECT a.evidence_id, c.response, c.fetched_at FROM asks a JOIN cache c ON a.probe = c.probe AND a.args_hash = c.args_hash AND c.fetched_at <= asked_at AND asked_at < c.expires_at QUALIFY row_number() OVER (PARTITION BY a.evidence_id ORDER BY c.fetched_at DESC, c.expires_at DESC, c.response DESC) = 1) SELECT a.evidence_id, response, fetched_at FROM asks a LEFT JOIN hit USING (evidence_id)""",
     "reason_families": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'posting_state' WHEN 1 THEN 'publish,company_event' WHEN 2 THEN 'expiry' WHEN 3 THEN 'posting_state,repost,requirements' ELSE '' END AS families FROM documents",
     "rebuilt_companies": f"WITH {DUCK} SELECT company_id FROM snap UNION SELECT company_id + 5 FROM snap",
     "known_postings": f"WITH {RUN_DUCK} SELECT case_id % 500 AS company_id, action AS ats_job_id, min(run_id) AS posting_id, count(*) AS matches FROM run GROUP BY ALL",

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import asof, leakage, metrics, policy
+from larkspur.operators import corpus, routing
+from larkspur.operators import inputs as I
+from larkspur.operators.running import at_moments
 from larkspur.session import table
 
 ACTIONS = "CASE o_totalprice_bucket % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'wait' WHEN 2 THEN 'apply_now' ELSE 'quick_apply' END"
@@ -26,16 +29,25 @@ def ctes(dialect: str) -> str:
 run AS (SELECT o_orderkey AS run_id, {div("o_orderkey", "3.0")} AS case_id, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'R' END AS system,
   CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE {plus("TIMESTAMP '1998-01-01'", div("o_orderkey", "3.0") + " % 900")} END AS replay_at, {ts("o_orderdate")} AS started_at,
   CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN 'failed' ELSE 'completed' END AS status,
-  CASE {div("o_totalprice", "50000.0")} % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'wait' WHEN 2 THEN 'apply_now' ELSE 'quick_apply' END AS action FROM {orders}),
+  CASE {div("o_totalprice", "50000.0")} % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'wait' WHEN 2 THEN 'apply_now' ELSE 'quick_apply' END AS action, {div("o_custkey", "10.0")} AS company_id FROM {orders}),
 step AS (SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS step_index, CASE l_returnflag WHEN 'A' THEN 'probe' WHEN 'N' THEN 'controller' ELSE 'model' END AS component,
   'probe' || CAST(l_suppkey % 6 AS {"STRING" if spark else "VARCHAR"}) AS probe_name, l_partkey % 4 AS args_hash, CASE WHEN l_linestatus = 'O' THEN 'hit' ELSE 'miss' END AS cache_status, l_discount AS cost_usd, l_tax AS latency_s,
-  CASE WHEN l_quantity > 45 THEN 'net_call:GET' WHEN l_quantity > 20 THEN 'policy_decision:P' || CAST(l_linenumber AS {"STRING" if spark else "VARCHAR"}) ELSE 'model_call:tokens=' || CAST(l_partkey AS {"STRING" if spark else "VARCHAR"}) || '/12' END AS decision_type FROM {lineitem}),
+  CASE WHEN l_quantity > 47 THEN 'replay_violation:missing_probe_result' WHEN l_quantity > 45 THEN 'replay_violation:net_call' WHEN l_quantity > 20 THEN 'policy_decision:P' || CAST(l_linenumber AS {"STRING" if spark else "VARCHAR"}) ELSE 'model_call:tokens=' || CAST(l_partkey AS {"STRING" if spark else "VARCHAR"}) || '/12' END AS decision_type FROM {lineitem}),
 evidence AS (SELECT l_orderkey AS run_id, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS evidence_id, 'probe' || CAST(l_suppkey % 7 AS {"STRING" if spark else "VARCHAR"}) AS probe,
   CASE l_linenumber % 4 WHEN 0 THEN 'first_published' WHEN 1 THEN 'posting_state' WHEN 2 THEN 'board_absent' ELSE 'event' END AS claim_type, CASE WHEN l_partkey % 3 = 0 THEN 'closed' ELSE ' Open ' END AS value,
   CASE l_suppkey % 3 WHEN 0 THEN 'ats_native' WHEN 1 THEN 'page_structured' ELSE 'archive' END AS source_quality, 'u' || CAST(l_suppkey % 5 AS {"STRING" if spark else "VARCHAR"}) AS source_url,
   {ts("l_shipdate")} AS available_at, {plus("l_shipdate", "l_linenumber")} AS fetched_at, CASE WHEN l_partkey % 6 <> 0 THEN {plus("l_shipdate", "l_partkey % 9 - 4")} END AS source_event_at FROM {lineitem}),
-event AS (SELECT o_custkey % 10 AS company_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'layoff' WHEN '2-HIGH' THEN 'hiring_freeze' WHEN '3-MEDIUM' THEN 'funding' WHEN '4-NOT SPECIFIED' THEN 'expansion' ELSE 'other' END AS event_type,
-  {ts("o_orderdate")} AS event_at, {plus("o_orderdate", "o_orderkey % 20")} AS available_at, CASE WHEN o_orderkey % 4 = 0 THEN 'minor' ELSE 'material' END AS materiality FROM {orders} WHERE o_orderkey % 50 < 3)"""
+event AS (SELECT {div("o_custkey", "10.0")} AS company_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'layoff' WHEN '2-HIGH' THEN 'hiring_freeze' WHEN '3-MEDIUM' THEN 'funding' WHEN '4-NOT SPECIFIED' THEN 'expansion' ELSE 'other' END AS event_type,
+  {ts("o_orderdate")} AS event_at, {plus("o_orderdate", "o_orderkey % 20")} AS available_at, CASE WHEN o_orderkey % 4 = 0 THEN 'minor' ELSE 'material' END AS materiality FROM {orders}),
+claim AS (SELECT l_orderkey AS case_id, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS evidence_id,
+  CASE (l_partkey + l_linenumber) % 8 WHEN 1 THEN 'board_snapshot' WHEN 3 THEN 'case' WHEN 5 THEN 'team_signal' WHEN 6 THEN 'company_events' WHEN 7 THEN 'company_events' ELSE 'resolve_posting' END AS probe,
+  CASE (l_partkey + l_linenumber) % 8 WHEN 2 THEN 'first_published' WHEN 3 THEN 'refreshed_at' WHEN 4 THEN 'declared_expiry' WHEN 5 THEN 'corroborating_hiring_signal' WHEN 6 THEN 'company_events_searched'
+   WHEN 7 THEN CASE l_suppkey % 4 WHEN 0 THEN 'layoff' WHEN 1 THEN 'hiring_freeze' WHEN 2 THEN 'funding' ELSE 'shutdown' END ELSE 'posting_state' END AS claim_type,
+  CASE (l_partkey + l_linenumber) % 8 WHEN 5 THEN CASE l_suppkey % 3 WHEN 0 THEN 'True ' WHEN 1 THEN 'no' ELSE 'maybe' END WHEN 7 THEN CASE l_suppkey % 5 WHEN 0 THEN 'minor: a' WHEN 1 THEN 'Material : b' ELSE 'cuts: c' END
+   ELSE CASE l_suppkey % 5 WHEN 0 THEN 'closed' WHEN 1 THEN 'Reposted ' WHEN 2 THEN 'bogus' ELSE ' Open' END END AS value,
+  CASE l_suppkey % 3 WHEN 0 THEN 'ats_native' WHEN 1 THEN 'page_structured' ELSE 'archive' END AS source_quality, {ts("l_shipdate")} AS available_at, {plus("l_shipdate", "l_linenumber")} AS fetched_at,
+  CASE WHEN l_partkey % 6 <> 0 THEN {plus("l_shipdate", "l_partkey % 60 - 50")} END AS source_event_at FROM {lineitem}),
+asked AS (SELECT o_orderkey AS case_id, {plus("o_orderdate", "75")} AS replay_at, o_orderkey % 5 <> 0 AS resolver_ok FROM {orders})"""
 
 
 DUCK = ctes("duck")
@@ -133,7 +145,7 @@ def token_sums(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_signals(spark: SparkSession, sf: str) -> DataFrame:
-    cases = part(spark, sf, "run").filter("system = 'A' and replay_at is not null").select("case_id", (F.col("case_id") % 10).alias("company_id"), "replay_at", (F.col("case_id") % 11 != 0).alias("searched"))
+    cases = part(spark, sf, "run").filter("system = 'A' and replay_at is not null").select("case_id", "company_id", "replay_at", (F.col("case_id") % 11 != 0).alias("searched"))
     return policy.event_signals(cases, part(spark, sf, "event"), 30).select("case_id", "material_negative_event", "freeze_or_pause", "last_material_event_at")
 
 
@@ -151,7 +163,7 @@ INPUTS = {
     "long_lived": "CASE WHEN case_id % 3 = 0 THEN NULL ELSE case_id % 2 = 0 END",
     "repost_pattern": "CASE case_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'changed' WHEN 2 THEN 'repeated_unchanged' END",
     "corroborating_hiring_signal": "CASE case_id % 6 WHEN 0 THEN NULL WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE false END",
-    "publish_recency": "CASE case_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'old' ELSE 'recent' END",
+    "publish_recency": "CASE case_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'not_recent' ELSE 'recent' END",
 }
 
 
@@ -185,14 +197,73 @@ def budget_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("run_id").agg(F.count("*").alias("steps"), F.count_if(F.col("allowed")).alias("allowed"), F.round(F.max("spent_cost_usd"), 4).alias("spent"))
 
 
+def inputs_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Policy inputs from the evidence that was available at each case's moment."""
+    cases = part(spark, sf, "asked")
+    claims = part(spark, sf, "claim").join(cases.select("case_id", "replay_at"), "case_id").filter("available_at <= replay_at").drop("replay_at")
+    history = cases.select("case_id", F.expr("CASE case_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'changed' WHEN 2 THEN 'repeated_unchanged' END").alias("repost_pattern"))
+    return I.policy_inputs(cases, claims, history)
+
+
+def policy_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs_of(spark, sf).select("case_id", *I.NAMES, "last_refreshed_at", "expiry_known", "primary_publish", F.array_join(I.unresolved(), ",").alias("unresolved"))
+
+
+def decided_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Those inputs with their evidence quality and what a history says of the posting."""
+    rows = inputs_of(spark, sf).withColumn("failures", (F.col("case_id") % 23 == 0).cast("int")).withColumn("contradiction", F.col("case_id") % 9 == 0).withColumn("long_lived", F.expr("CASE WHEN case_id % 3 <> 0 THEN case_id % 2 = 0 END"))
+    return rows.withColumn("quality", policy.evidence_quality()["quality"])
+
+
+def decisions_from_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence to action, end to end."""
+    return policy.decided(decided_inputs(spark, sf)).select("case_id", "quality", "branch", "action", "recheck_after_days")
+
+
+def flipping_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """The claims that alone set a signal."""
+    cases, claims = part(spark, sf, "asked"), part(spark, sf, "claim")
+    kinds = [I.flipping_claims(cases, claims, k).withColumn("kind", F.lit(k)) for k in ("material", "freeze")]
+    return kinds[0].unionByName(kinds[1])
+
+
+def routes(spark: SparkSession, sf: str) -> DataFrame:
+    """What the routing tree makes of each case, and what eligibility and the cap leave of it."""
+    rows = decided_inputs(spark, sf).withColumn("first_seen_absent", F.when(F.col("case_id") % 4 == 0, F.col("replay_at"))).withColumn("reappeared_at", F.when(F.col("case_id") % 6 == 0, F.col("replay_at")))
+    rows = rows.withColumn("r", routing.route()).withColumn("routed", F.col("r.probes")).withColumn("eligible", F.expr("CASE WHEN case_id % 10 <> 0 THEN CASE WHEN case_id % 3 = 0 THEN array('company_events', 'team_signal') ELSE array('repost_history', 'requirements_drift', 'company_events', 'team_signal') END END"))
+    rows = rows.withColumn("s", routing.selected("routed", "eligible", 2))
+    return rows.select("case_id", "r.rule", F.array_join("routed", ",").alias("routed"), F.array_join("s.probes", ",").alias("probes"), F.array_join(F.transform("s.dropped", lambda d: F.concat_ws(":", d["probe"], d["why"])), ",").alias("dropped"))
+
+
+def relevant_from_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of all eight inputs could still change the action, what that makes the system that asks for all eligible probes propose, and what the controller does."""
+    rows = corpus.could_change(decided_inputs(spark, sf)).withColumn("executed", F.expr("CASE WHEN case_id % 4 = 0 THEN array('repost_history') ELSE array() END"))
+    rows = routing.proposed(rows, {"repost_history": 1.0, "requirements_drift": 2.0, "company_events": 3.0, "team_signal": 1.0})
+    step = routing.next_step(F.col("case_id") % 4 * 1.0, F.size("executed"), 4, 4.0)
+    return rows.withColumn("step", step).select("case_id", F.array_join("could_change", ",").alias("could_change"), F.array_join(F.transform("proposed", lambda p: p["probe"]), ",").alias("proposed"), "step.verdict", "step.probe", "step.why")
+
+
 def outcome_funnel(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.expr("CASE (conv_id + turn) % 7 WHEN 0 THEN 'applied' WHEN 1 THEN 'reply' WHEN 2 THEN 'screen' WHEN 3 THEN 'interview' WHEN 4 THEN 'offer' WHEN 5 THEN 'rejection' ELSE 'silence' END")
     rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("posting_id"), kind.alias("outcome_type"))
-    actions = part(spark, sf, "run").filter("system = 'A'").groupBy(F.col("case_id").alias("posting_id")).agg(F.max("action").alias("action")).filter("posting_id % 6 <> 0")
-    out = metrics.outcome_funnel(rows, actions)
+    out = metrics.outcome_funnel(rows, actions_of(spark, sf))
     return out.withColumn("applied_per_reply", F.round("applied_per_reply", 6)).withColumn("applied_per_interview", F.round("applied_per_interview", 6))
 
 
+def actions_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest action of each posting; a third of the postings have several runs."""
+    return metrics.latest_actions(part(spark, sf, "run").withColumn("posting_id", F.floor(F.col("case_id") / 3)).withColumn("action", F.when(F.col("run_id") % 8 != 0, F.col("action"))).filter("posting_id % 6 <> 0"))
+
+
+def product_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations stand for outcomes of the posting of their number."""
+    kind = F.expr("CASE (conv_id + turn) % 4 WHEN 0 THEN 'applied' WHEN 1 THEN 'screen' WHEN 2 THEN 'interview' ELSE 'silence' END")
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("posting_id"), kind.alias("outcome_type"))
+    splits = part(spark, sf, "run").select(F.floor(F.col("case_id") / 3).alias("posting_id")).distinct().withColumn("split", F.when(F.col("posting_id") % 3 == 0, "dev").otherwise("test"))
+    out = metrics.product_gate(rows, splits, actions_of(spark, sf))
+    return out.select("outcomes", "postings", "held_out", "matched", "missing", "status", *[F.round(f"{n}_per_{k}", 6).alias(f"{n}_per_{k}") for n in ("recommended", "other") for k in ("screen", "interview")])
+
+
 def gate(spark: SparkSession, sf: str) -> DataFrame:
     rows = pairs_of(spark, sf)
     b, r = (metrics.agreement(metrics.compared(rows, "A", s), "A", s).withColumn("cost", F.lit(c)) for s, c in (("B", 0.6), ("R", 1.0)))
@@ -200,19 +271,50 @@ def gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cache_of(spark: SparkSession, sf: str) -> DataFrame:
-    return part(spark, sf, "evidence").filter("evidence_id % 40 = 1").select("probe", "fetched_at", F.expr("fetched_at + interval 2 days").alias("expires_at"))
+    return part(spark, sf, "evidence").select(F.concat_ws("/", "probe", "source_url").alias("probe"), "fetched_at", F.expr("fetched_at + interval 6 hours").alias("expires_at"))
 
 
 def leakage_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """All eight kinds of violations, and a model's cache misses apart."""
     runs, steps, evidence = (part(spark, sf, n) for n in ("run", "step", "evidence"))
-    needs = spark.createDataFrame([("apply_now", "published", "first_published"), ("apply_now", "state", "posting_state"), ("skip", "state", "posting_state"), ("skip", "state", "board_absent")], "branch string, input string, claim_type string")
-    branches = runs.select("run_id", F.col("action").alias("branch"))
-    return leakage.audit([leakage.after_moment(evidence, runs), leakage.cache_misses(steps), leakage.net_calls(steps), leakage.missing_moment(runs), leakage.unbacked_inputs(branches, needs, evidence)])
+    parts = [leakage.after_moment(evidence, runs), fetched(spark, sf), captured(spark, sf), leakage.cache_misses(steps), leakage.cache_misses(steps, model=True), leakage.violations(steps, "net_call"), leakage.violations(steps, "missing_probe_result"), leakage.missing_moment(runs)]
+    return leakage.audit([*parts, leakage.unbacked_inputs(branched(steps), runs, evidence)])
+
+
+def branched(steps: DataFrame) -> DataFrame:
+    """Steps whose decisions name branches of the table."""
+    names = F.array(*map(F.lit, policy.ACTIONS))
+    return steps.withColumn("decision_type", F.when(F.startswith("decision_type", F.lit("policy_decision:")), F.concat(F.lit("policy_decision:"), F.element_at(names, (F.col("args_hash") + F.col("step_index") % 7 + 1).cast("int")), F.lit(":x"))).otherwise(F.col("decision_type")))
+
+
+def fetched(spark: SparkSession, sf: str) -> DataFrame:
+    evidence = part(spark, sf, "evidence").withColumn("probe", F.concat_ws("/", "probe", "source_url"))
+    return leakage.fetched_after(evidence, cache_of(spark, sf), part(spark, sf, "run").withColumn("replay_at", F.col("started_at") + F.expr("interval 20 days")), 24)
+
+
+def captured(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders' days stand for captures, runs of snapshots start every tenth day and last up to four."""
+    runs = part(spark, sf, "run").select("run_id", "company_id", (F.col("started_at") + F.expr("interval 30 hours")).alias("replay_at"))
+    captures = part(spark, sf, "event").select("company_id", F.col("event_at").alias("captured_at"), F.when(F.col("materiality") == "minor", "archive").otherwise("own").alias("source"))
+    windows = part(spark, sf, "run").select("started_at").distinct().filter("datediff(started_at, date '1992-01-01') % 10 = 0").select("started_at", F.expr("started_at + make_dt_interval(cast(1 + datediff(started_at, date '1992-01-01') % 4 as int))").alias("finished_at"))
+    return leakage.capture_fetched_after(runs, captures, windows)
 
 
 def leakage_fetched_after(spark: SparkSession, sf: str) -> DataFrame:
-    evidence = part(spark, sf, "evidence").filter("run_id % 50 = 0")
-    return leakage.fetched_after(evidence, cache_of(spark, sf).filter("unix_micros(fetched_at) % 7 < 4"), part(spark, sf, "run"), 24)
+    return fetched(spark, sf)
+
+
+def leakage_captures(spark: SparkSession, sf: str) -> DataFrame:
+    return captured(spark, sf).select("kind", "run_id", F.substring("item", 1, 10).alias("day"))
+
+
+def leakage_exposures(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored records that answer an input which no available evidence of their run backs. Steps stand for executed probes, their details for records."""
+    rows = part(spark, sf, "step").filter("component = 'probe'").select("run_id", F.col("run_id").alias("posting_id"), F.lit(0).alias("replay_at"), F.when(F.col("step_index") % 2 == 0, "team_signal").otherwise("company_events").alias("probe_name"), F.col("step_index").alias("args_hash"))
+    data = F.expr("CASE args_hash % 5 WHEN 0 THEN '{\"corroborating_hiring_signal\": true, \"freeze_or_pause\": null}' WHEN 1 THEN '{\"freeze_or_pause\": false, \"material_negative_event\": {\"unknown\": 1}, \"last_material_event_at\": \"2024-01-01\"}' WHEN 2 THEN '{\"corroborating_hiring_signal\": null}' WHEN 3 THEN 'broken' ELSE '{\"material_negative_event\": true, \"corroborating_hiring_signal\": [1]}' END")
+    records = rows.drop("run_id").withColumn("ok", F.col("posting_id") % 7 != 0).withColumn("data", data)
+    evidence = part(spark, sf, "claim").withColumnRenamed("case_id", "run_id")
+    return leakage.exposed_inputs(rows, records, part(spark, sf, "asked").withColumnRenamed("case_id", "run_id"), evidence)
 
 
 def resume(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +325,7 @@ def resume(spark: SparkSession, sf: str) -> DataFrame:
 def shard_counts(spark: SparkSession, sf: str) -> DataFrame:
     from larkspur.functions.scalars import shard_of
 
-    return part(spark, sf, "run").withColumn("shard", shard_of("case_id", "system", shards=8)).groupBy("shard").agg(F.count("*").alias("n"))
+    return part(spark, sf, "run").withColumn("shard", shard_of("case_id", "system", shards=7)).groupBy("shard").agg(F.count("*").alias("n"))
 
 
 def holdout_breach(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,8 +339,8 @@ def repeated_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def visible_events(spark: SparkSession, sf: str) -> DataFrame:
-    cases = part(spark, sf, "run").filter("system = 'B' and replay_at is not null and case_id % 20 = 0").select("case_id", (F.col("case_id") % 10).alias("company_id"), "replay_at")
-    return asof.at_each(cases, part(spark, sf, "event").withColumnRenamed("available_at", "seen_at"), ["company_id"], "seen_at").groupBy("case_id").agg(F.count("*").alias("events"), F.max("event_at").alias("latest_event_at"))
+    cases = part(spark, sf, "run").filter("system = 'B' and replay_at is not null").select("case_id", "company_id", F.expr("replay_at - make_dt_interval(cast(case_id % 2000 as int))").alias("replay_at"))
+    return at_moments(cases, part(spark, sf, "event"), ["company_id"], "available_at", {"events": ("sum", F.lit(1).cast("long")), "latest_event_at": ("max", F.col("event_at"))}).select("case_id", "events", "latest_event_at")
 
 
 def ranker(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,7 +361,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_runs, paired_cases, agreement, confusion, exclusive_gains, step_metrics, probe_order, unnecessary_steps, citation_support, branch_counts, token_sums, event_signals, contradictions, decisions, unpopulated_inputs,
-        routed_probes, budget_ledger, outcome_funnel, gate, value_comparison, probe_dependence, leakage_audit, leakage_fetched_after, resume, shard_counts, holdout_breach, repeated_cases, visible_events, ranker,
+        routed_probes, budget_ledger, outcome_funnel, product_gate, gate, value_comparison, probe_dependence, leakage_audit, leakage_fetched_after, leakage_captures, leakage_exposures, policy_inputs, decisions_from_evidence, flipping_claims, routes, relevant_from_evidence, resume, shard_counts, holdout_breach, repeated_cases, visible_events, ranker,
     )
 }
 
@@ -271,6 +373,31 @@ b AS (SELECT *, CASE WHEN posting_state = 'closed' THEN 'P1_closed' WHEN posting
  WHEN material_negative_event AND ev IS NOT NULL AND (rf IS NULL OR rf <= ev) THEN 'P3c_material_event_unrefreshed' WHEN repost_pattern = 'repeated_unchanged' AND long_lived AND corroborating_hiring_signal = false THEN 'P4_repeated_repost' WHEN posting_state = 'open' AND publish_recency = 'recent' AND material_negative_event IS DISTINCT FROM true AND quality = 'strong' THEN 'P5_open_recent_strong'
  WHEN posting_state = 'open' AND quality = 'strong' AND material_negative_event IS DISTINCT FROM true AND corroborating_hiring_signal THEN 'P5b_hiring_activity' WHEN quality IN ('mixed', 'weak') THEN 'P6_active_mixed_or_weak' ELSE 'P7_default' END AS branch FROM q2),
 a AS (SELECT *, CASE WHEN branch IN ('P1_closed', 'P4_repeated_repost') THEN 'skip' WHEN branch LIKE 'P2%' OR branch LIKE 'P3%' THEN 'wait' WHEN branch LIKE 'P5%' THEN 'apply_now' ELSE 'quick_apply' END AS action FROM b)"""
+LATEST_ACTION = "act AS (SELECT CAST(floor(case_id / 3.0) AS BIGINT) AS posting_id, action FROM run WHERE status = 'completed' AND run_id % 8 <> 0 AND CAST(floor(case_id / 3.0) AS BIGINT) % 6 <> 0 QUALIFY row_number() OVER (PARTITION BY CAST(floor(case_id / 3.0) AS BIGINT) ORDER BY started_at DESC, run_id DESC) = 1)"
+RECHECK = "CASE WHEN action = 'wait' THEN CASE WHEN declared_expiry IS NULL THEN 14 ELSE CAST(greatest(0, least(14, floor((epoch_us(declared_expiry) - epoch_us(replay_at)) / 86400e6))) AS INT) END END"
+LADDER = DECIDE[DECIDE.index("q AS (SELECT *, CASE WHEN failures") :]
+FETCHED = f"""{DUCK}, cache AS (SELECT probe || '/' || source_url AS k, fetched_at, fetched_at + INTERVAL 6 HOUR AS expires_at FROM evidence), cl AS (SELECT e.run_id, e.evidence_id, e.probe || '/' || e.source_url AS k, e.available_at, r.started_at + INTERVAL 20 DAY AS t FROM evidence e JOIN run r USING (run_id)),
+ nx AS (SELECT cl.run_id, cl.evidence_id, t, bool_or(c.fetched_at <= available_at AND available_at < c.expires_at) AS ok, min(c.fetched_at) FILTER (c.fetched_at > available_at) AS f FROM cl JOIN cache c ON c.k = cl.k AND c.fetched_at <= available_at + INTERVAL 24 HOUR AND c.expires_at > available_at GROUP BY ALL),
+ fet AS (SELECT 'evidence_fetched_after_t' AS kind, run_id, CAST(evidence_id AS VARCHAR) AS item FROM nx WHERE NOT ok AND f > t)"""
+CAPTURED = """win AS (SELECT DISTINCT started_at AS a, started_at + to_days(CAST(1 + date_diff('day', DATE '1992-01-01', CAST(started_at AS DATE)) % 4 AS INT)) AS b FROM run WHERE date_diff('day', DATE '1992-01-01', CAST(started_at AS DATE)) % 10 = 0), st AS (SELECT e.company_id, e.event_at AS at_, b FROM event e JOIN win ON e.event_at >= a AND e.event_at < b WHERE materiality = 'material'),
+ capt AS (SELECT r.run_id, min(at_) AS at_ FROM run r JOIN st ON st.company_id = r.company_id AND at_ <= r.started_at + INTERVAL 30 HOUR AND r.started_at + INTERVAL 30 HOUR < b GROUP BY r.run_id)"""
+CAPTURED_ALONE = f"{DUCK}, {CAPTURED}"
+BRANCHES = "['" + "', '".join(policy.ACTIONS) + "']"
+EVENT_CLAIMS = "['company_events_searched', 'layoff', 'hiring_freeze', 'hiring_pause', 'shutdown', 'funding', 'expansion', 'acquisition', 'other']"
+NEEDS = f"""bs AS (SELECT s.run_id, {BRANCHES}[args_hash + step_index % 7 + 1] AS branch FROM step s JOIN run r USING (run_id) WHERE component = 'controller' AND starts_with(decision_type, 'policy_decision:') AND r.replay_at IS NOT NULL),
+ want AS (SELECT run_id, 'posting_state' AS input, ['posting_state'] AS claims FROM bs WHERE branch <> 'P2_state_unresolved' UNION SELECT run_id, 'freeze_or_pause', {EVENT_CLAIMS} FROM bs WHERE branch LIKE 'P3a%' UNION SELECT run_id, 'declared_expiry', ['declared_expiry'] FROM bs WHERE branch LIKE 'P3b%' UNION SELECT run_id, 'material_negative_event', {EVENT_CLAIMS} FROM bs WHERE branch LIKE 'P3c%'
+  UNION SELECT run_id, 'corroborating_hiring_signal', ['corroborating_hiring_signal'] FROM bs WHERE branch LIKE 'P4%' OR branch LIKE 'P5b%' UNION SELECT run_id, 'publish_recency', ['first_published', 'refreshed_at'] FROM bs WHERE branch LIKE 'P5\\_%' ESCAPE '\\')"""
+NEWEST = "QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY available_at DESC, fetched_at DESC, evidence_id DESC) = 1"
+DERIVED = f"""{DUCK}, cv AS (SELECT c.*, q.replay_at FROM claim c JOIN asked q USING (case_id) WHERE c.available_at <= q.replay_at),
+ st1 AS (SELECT case_id, lower(trim(value)) AS v FROM cv WHERE claim_type = 'posting_state' AND (probe = 'resolve_posting' OR case_id NOT IN (SELECT case_id FROM cv WHERE claim_type = 'posting_state' AND probe = 'resolve_posting')) {NEWEST}),
+ pb AS (SELECT case_id, source_event_at AS t FROM cv WHERE claim_type = 'first_published' AND source_event_at IS NOT NULL AND source_quality IN ('ats_native', 'page_structured') QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY source_quality, source_event_at, evidence_id) = 1),
+ rfr AS (SELECT case_id, source_event_at AS t FROM cv WHERE claim_type = 'refreshed_at' AND source_event_at IS NOT NULL {NEWEST}), xp AS (SELECT case_id, source_event_at AS t FROM cv WHERE claim_type = 'declared_expiry' AND source_event_at IS NOT NULL {NEWEST}),
+ tm AS (SELECT case_id, lower(trim(value)) AS v FROM cv WHERE claim_type = 'corroborating_hiring_signal' {NEWEST}), rn AS (SELECT DISTINCT case_id FROM cv WHERE probe = 'resolve_posting'), se AS (SELECT DISTINCT case_id FROM cv WHERE claim_type = 'company_events_searched'),
+ mv AS (SELECT case_id, max(CAST(source_event_at AS DATE)) FILTER (claim_type IN ('layoff', 'shutdown') AND lower(trim(split_part(value, ':', 1))) <> 'minor') AS m, bool_or(claim_type = 'hiring_freeze') AS f FROM cv WHERE probe = 'company_events' AND source_event_at IS NOT NULL AND CAST(source_event_at AS DATE) >= CAST(replay_at AS DATE) - 180 GROUP BY case_id),
+ d0 AS (SELECT q.case_id, q.replay_at, q.resolver_ok, CASE WHEN st1.v IN ('open', 'closed', 'reposted', 'unknown') THEN st1.v END AS posting_state, greatest(pb.t, rfr.t) AS rf, xp.t AS declared_expiry, CASE WHEN tm.v = 'true' THEN true WHEN tm.v = 'no' THEN false END AS corroborating_hiring_signal, se.case_id IS NOT NULL AS searched, pb.case_id IS NOT NULL AS primary_publish, rn.case_id IS NOT NULL AS ran, mv.m, mv.f
+  FROM asked q LEFT JOIN st1 USING (case_id) LEFT JOIN pb USING (case_id) LEFT JOIN rfr USING (case_id) LEFT JOIN xp USING (case_id) LEFT JOIN tm USING (case_id) LEFT JOIN rn USING (case_id) LEFT JOIN se USING (case_id) LEFT JOIN mv USING (case_id)),
+ derived AS (SELECT *, CASE WHEN rf >= replay_at - INTERVAL 30 DAY THEN 'recent' WHEN rf IS NOT NULL THEN 'not_recent' END AS publish_recency, CASE WHEN searched THEN m IS NOT NULL END AS material_negative_event, CASE WHEN searched THEN coalesce(f, false) END AS freeze_or_pause, CASE WHEN searched THEN CAST(m AS TIMESTAMP) END AS last_material_event_at,
+  declared_expiry IS NOT NULL OR (resolver_ok AND ran AND coalesce(posting_state IN ('open', 'closed', 'reposted'), false)) AS expiry_known, CASE case_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'changed' WHEN 2 THEN 'repeated_unchanged' END AS repost_pattern FROM d0)"""
 UNPOP = "array_to_string(list_filter([CASE WHEN posting_state IS NULL THEN 'posting_state' END, CASE WHEN freeze_or_pause IS NULL THEN 'freeze_or_pause' END, CASE WHEN long_lived IS NULL THEN 'long_lived' END, CASE WHEN repost_pattern IS NULL THEN 'repost_pattern' END, CASE WHEN corroborating_hiring_signal IS NULL THEN 'corroborating_hiring_signal' END, CASE WHEN publish_recency IS NULL THEN 'publish_recency' END], lambda x: x IS NOT NULL), ',')"
 
 ORACLE_SQL = {
@@ -289,7 +416,7 @@ ORACLE_SQL = {
  SELECT count(*) AS reasons, count(*) FILTER (cited) AS cited, count(*) FILTER (supported) AS supported, round(count(*) FILTER (supported) / count(*), 6) AS support_rate FROM c""",
     "branch_counts": f"WITH {DUCK} SELECT split_part(decision_type, ':', 2) AS branch, count(*) AS n FROM step WHERE starts_with(decision_type, 'policy_decision:') GROUP BY ALL",
     "token_sums": f"WITH {DUCK} SELECT component, sum(CAST(regexp_extract(decision_type, '=([0-9]+)/', 1) AS BIGINT))::BIGINT AS tokens_in, sum(12)::BIGINT AS tokens_out FROM step WHERE starts_with(decision_type, 'model_call:') GROUP BY component",
-    "event_signals": f"""WITH {DUCK}, ca AS (SELECT case_id, case_id % 10 AS company_id, replay_at, case_id % 11 <> 0 AS searched FROM run WHERE system = 'A' AND replay_at IS NOT NULL), f AS (SELECT case_id, bool_or(event_type IN ('layoff', 'shutdown') AND materiality = 'material') AS m, bool_or(event_type IN ('hiring_freeze', 'hiring_pause')) AS f, max(event_at) FILTER (event_type IN ('layoff', 'shutdown') AND materiality = 'material') AS last_material_event_at
+    "event_signals": f"""WITH {DUCK}, ca AS (SELECT case_id, company_id, replay_at, case_id % 11 <> 0 AS searched FROM run WHERE system = 'A' AND replay_at IS NOT NULL), f AS (SELECT case_id, bool_or(event_type IN ('layoff', 'shutdown') AND materiality = 'material') AS m, bool_or(event_type IN ('hiring_freeze', 'hiring_pause')) AS f, max(event_at) FILTER (event_type IN ('layoff', 'shutdown') AND materiality = 'material') AS last_material_event_at
  FROM ca JOIN event e USING (company_id) WHERE e.available_at <= replay_at AND CAST(event_at AS DATE) >= CAST(replay_at AS DATE) - 30 GROUP BY case_id) SELECT ca.case_id, CASE WHEN searched THEN coalesce(m, false) END AS material_negative_event, CASE WHEN searched THEN coalesce(f, false) END AS freeze_or_pause, last_material_event_at FROM ca LEFT JOIN f USING (case_id)""",
     "contradictions": f"""WITH {DUCK}, s AS (SELECT run_id, source_quality, source_url, min(source_event_at) AS t FROM evidence WHERE claim_type = 'first_published' AND source_event_at IS NOT NULL GROUP BY ALL), c1 AS (SELECT run_id, (epoch_us(max(t)) - epoch_us(min(t))) / 86400e6 > 3 AS x FROM s GROUP BY run_id),
  st AS (SELECT run_id, value, available_at FROM evidence WHERE claim_type = 'posting_state' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY available_at DESC, fetched_at DESC, evidence_id DESC) = 1), ab AS (SELECT run_id, max(available_at) AS t FROM evidence WHERE claim_type = 'board_absent' GROUP BY run_id)
@@ -304,17 +431,36 @@ ORACLE_SQL = {
     "unpopulated_inputs": f"WITH {CASES} SELECT case_id, {UNPOP} AS unpopulated FROM inp",
     "routed_probes": f"""WITH {CASES}, u AS (SELECT case_id, unnest(['board_history', 'team_signal', 'company_events', 'resolve']) AS probe, unnest([CAST(long_lived IS NULL AS INT) + CAST(repost_pattern IS NULL AS INT), CAST(corroborating_hiring_signal IS NULL AS INT) / 3.0, CAST(freeze_or_pause IS NULL AS INT) / 3.0, (CAST(posting_state IS NULL AS INT) + CAST(publish_recency IS NULL AS INT)) / 10.0]) AS s FROM inp),
  k AS (SELECT * FROM u WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY s DESC, probe) <= 2) SELECT i.case_id, coalesce(string_agg(k.probe, ',' ORDER BY k.s DESC, k.probe), '') AS probes FROM inp i LEFT JOIN k USING (case_id) GROUP BY i.case_id""",
-    "budget_ledger": f"WITH {DUCK}, w AS (SELECT run_id, sum(cost_usd) OVER x AS c, sum(latency_s) OVER x AS l FROM step WINDOW x AS (PARTITION BY run_id ORDER BY step_index)) SELECT run_id, count(*) AS steps, count(*) FILTER (c <= 0.15 AND l <= 0.12) AS allowed, round(max(c), 4) AS spent FROM w GROUP BY run_id",
-    "outcome_funnel": f"""WITH {DUCK}, ac AS (SELECT case_id AS posting_id, max(action) AS action FROM run WHERE system = 'A' AND case_id % 6 <> 0 GROUP BY case_id), o AS (SELECT coalesce(action, 'none') AS action, (conv_id + turn) % 7 AS k FROM conversations c LEFT JOIN ac ON ac.posting_id = c.conv_id)
+    "budget_ledger": f"WITH RECURSIVE {DUCK}, go AS (SELECT run_id, 0 AS i, 0.0::DOUBLE AS c, 0.0::DOUBLE AS l, 0 AS n FROM (SELECT DISTINCT run_id FROM step) UNION ALL SELECT g.run_id, g.i + 1, CASE WHEN c + cost_usd <= 0.15 + 1e-9 AND l + latency_s <= 0.12 + 1e-9 THEN c + cost_usd ELSE c END, CASE WHEN c + cost_usd <= 0.15 + 1e-9 AND l + latency_s <= 0.12 + 1e-9 THEN l + latency_s ELSE l END, n + CAST(c + cost_usd <= 0.15 + 1e-9 AND l + latency_s <= 0.12 + 1e-9 AS INT) FROM go g JOIN step s ON s.run_id = g.run_id AND s.step_index = g.i + 1) SELECT run_id, max(i) AS steps, max(n) AS allowed, round(max(c), 4) AS spent FROM go GROUP BY run_id",
+    "outcome_funnel": f"""WITH {DUCK}, {LATEST_ACTION}, o AS (SELECT coalesce(action, 'none') AS action, (conv_id + turn) % 7 AS k FROM conversations c LEFT JOIN act ON act.posting_id = c.conv_id)
  SELECT action, count(*) FILTER (k = 0) AS applied, count(*) FILTER (k = 1) AS reply, count(*) FILTER (k = 2) AS screen, count(*) FILTER (k = 3) AS interview, count(*) FILTER (k = 4) AS offer, count(*) FILTER (k = 5) AS rejection, count(*) FILTER (k = 6) AS silence, round(count(*) FILTER (k = 0) / nullif(count(*) FILTER (k = 1), 0), 6) AS applied_per_reply, round(count(*) FILTER (k = 0) / nullif(count(*) FILTER (k = 3), 0), 6) AS applied_per_interview FROM o GROUP BY action""",
-    "leakage_audit": f"""WITH {DUCK}, nb AS (SELECT 'apply_now' AS branch, 'published' AS input, ['first_published'] AS claims UNION ALL SELECT 'apply_now', 'state', ['posting_state'] UNION ALL SELECT 'skip', 'state', ['posting_state', 'board_absent']),
- v AS (SELECT 'evidence_after_t' AS kind, e.run_id FROM evidence e JOIN run r USING (run_id) WHERE e.available_at > r.replay_at UNION ALL SELECT 'cache_miss', run_id FROM step WHERE component = 'probe' AND cache_status = 'miss' UNION ALL SELECT 'net_call', run_id FROM step WHERE starts_with(decision_type, 'net_call:') UNION ALL SELECT 'missing_replay_at', run_id FROM run WHERE replay_at IS NULL
- UNION ALL SELECT 'input_without_evidence', r.run_id FROM run r JOIN nb ON nb.branch = r.action WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.run_id = r.run_id AND list_contains(nb.claims, e.claim_type))) SELECT kind, count(*) AS violations, count(DISTINCT run_id) AS runs FROM v GROUP BY kind""",
-    "leakage_fetched_after": f"""WITH {DUCK}, cache AS (SELECT probe, fetched_at, fetched_at + INTERVAL 2 DAY AS expires_at FROM evidence WHERE evidence_id % 40 = 1 AND epoch_us(fetched_at) % 7 < 4), cl AS (SELECT e.run_id, e.evidence_id, e.probe, e.available_at, r.replay_at FROM evidence e JOIN run r USING (run_id) WHERE run_id % 50 = 0)
- SELECT 'evidence_fetched_after_t' AS kind, run_id, CAST(evidence_id AS VARCHAR) AS item FROM cl WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.probe = cl.probe AND c.fetched_at <= available_at AND available_at < c.expires_at) AND (SELECT min(c.fetched_at) FROM cache c WHERE c.probe = cl.probe AND c.fetched_at > available_at AND c.fetched_at <= available_at + INTERVAL 24 HOUR) > replay_at""",
+    "leakage_audit": f"""WITH {FETCHED}, {CAPTURED}, {NEEDS},
+ v AS (SELECT 'evidence_after_t' AS kind, e.run_id FROM evidence e JOIN run r USING (run_id) WHERE e.available_at > r.replay_at UNION ALL SELECT 'evidence_fetched_after_t', run_id FROM fet UNION ALL SELECT 'capture_fetched_after_t', run_id FROM capt UNION ALL SELECT 'cache_miss', run_id FROM step WHERE component <> 'model' AND cache_status = 'miss' UNION ALL SELECT 'model_cache_miss', run_id FROM step WHERE component = 'model' AND cache_status = 'miss'
+ UNION ALL SELECT substr(decision_type, 18), run_id FROM step WHERE starts_with(decision_type, 'replay_violation:') UNION ALL SELECT 'missing_replay_at', run_id FROM run WHERE replay_at IS NULL
+ UNION ALL SELECT 'input_without_evidence', run_id FROM (SELECT DISTINCT w.run_id, w.input, w.claims FROM want w) w WHERE NOT EXISTS (SELECT 1 FROM evidence e JOIN run r USING (run_id) WHERE e.run_id = w.run_id AND e.available_at <= r.replay_at AND list_contains(w.claims, e.claim_type))) SELECT kind, count(*) AS violations, count(DISTINCT run_id) AS runs FROM v GROUP BY kind""",
+    "leakage_fetched_after": f"WITH {FETCHED} SELECT * FROM fet",
+    "leakage_captures": f"WITH {CAPTURED_ALONE} SELECT 'capture_fetched_after_t' AS kind, run_id, strftime(at_, '%Y-%m-%d') AS day FROM capt",
+    "leakage_exposures": f"""WITH {DUCK}, ex AS (SELECT DISTINCT run_id, step_index, CASE WHEN step_index % 2 = 0 THEN 'team_signal' ELSE 'company_events' END AS probe FROM step WHERE component = 'probe' AND run_id % 7 <> 0),
+ an AS (SELECT run_id, unnest(CASE WHEN probe = 'team_signal' AND step_index % 5 = 0 THEN ['corroborating_hiring_signal'] WHEN probe = 'company_events' AND step_index % 5 = 1 THEN ['freeze_or_pause', 'last_material_event_at'] WHEN probe = 'company_events' AND step_index % 5 = 4 THEN ['material_negative_event'] ELSE [] END) AS item FROM ex)
+ SELECT DISTINCT run_id, item FROM an WHERE NOT EXISTS (SELECT 1 FROM claim c JOIN asked q USING (case_id) WHERE c.case_id = an.run_id AND c.available_at <= q.replay_at AND CASE WHEN item = 'corroborating_hiring_signal' THEN c.claim_type = item ELSE c.claim_type IN ('company_events_searched', 'layoff', 'hiring_freeze', 'funding', 'shutdown') END)""",
+    "policy_inputs": f"WITH {DERIVED} SELECT case_id, posting_state, publish_recency, material_negative_event, freeze_or_pause, declared_expiry, repost_pattern, corroborating_hiring_signal, last_material_event_at, rf AS last_refreshed_at, expiry_known, primary_publish, array_to_string(list_filter([CASE WHEN posting_state IS NULL THEN 'posting_state' END, CASE WHEN publish_recency IS NULL THEN 'publish_recency' END, CASE WHEN NOT searched THEN 'material_negative_event' END, CASE WHEN NOT searched THEN 'freeze_or_pause' END, CASE WHEN NOT expiry_known THEN 'declared_expiry' END, CASE WHEN repost_pattern IS NULL THEN 'repost_pattern' END, CASE WHEN corroborating_hiring_signal IS NULL THEN 'corroborating_hiring_signal' END, CASE WHEN NOT searched THEN 'last_material_event_at' END], lambda x: x IS NOT NULL), ',') AS unresolved FROM derived",
+    "decisions_from_evidence": f"WITH {DERIVED}, inp AS (SELECT *, last_material_event_at AS ev, CAST(case_id % 23 = 0 AS INT) AS failures, case_id % 9 = 0 AS contradiction, CASE WHEN case_id % 3 <> 0 THEN case_id % 2 = 0 END AS long_lived FROM derived), {LADDER} SELECT case_id, quality, branch, action, {RECHECK} AS recheck_after_days FROM a",
+    "flipping_claims": f"WITH {DUCK}, m AS (SELECT c.*, CASE WHEN lower(trim(split_part(value, ':', 1))) = 'minor' THEN 'minor' ELSE 'material' END AS mat FROM claim c JOIN asked q USING (case_id) WHERE probe = 'company_events' AND source_event_at IS NOT NULL AND CAST(source_event_at AS DATE) >= CAST(q.replay_at AS DATE) - 180) SELECT case_id, evidence_id, 'material' AS kind FROM m WHERE claim_type IN ('layoff', 'shutdown') AND mat = 'material' UNION ALL SELECT case_id, evidence_id, 'freeze' FROM m WHERE claim_type = 'hiring_freeze'",
+    "routes": f"""WITH {DERIVED}, inp AS (SELECT *, last_material_event_at AS ev, CAST(case_id % 23 = 0 AS INT) AS failures, case_id % 9 = 0 AS contradiction, CASE WHEN case_id % 3 <> 0 THEN case_id % 2 = 0 END AS long_lived FROM derived), {LADDER},
+ t AS (SELECT *, CASE WHEN posting_state IS NULL OR posting_state NOT IN ('open', 'reposted') THEN 'R0_terminal' WHEN publish_recency IS DISTINCT FROM 'recent' OR long_lived OR case_id % 4 = 0 OR case_id % 6 = 0 THEN 'R1_repost_suspicious' WHEN quality = 'strong' THEN 'R2_healthy' ELSE 'R3_uncertain' END AS rl, NOT searched OR freeze_or_pause OR material_negative_event AS matters,
+  corroborating_hiring_signal IS NULL AND (coalesce(repost_pattern = 'repeated_unchanged' AND long_lived, false) OR (posting_state = 'open' AND quality = 'strong' AND publish_recency IS DISTINCT FROM 'recent' AND material_negative_event IS DISTINCT FROM true)) AS reach FROM a),
+ n AS (SELECT case_id, rl AS rule, CASE WHEN rl = 'R0_terminal' THEN [] ELSE list_filter([CASE WHEN rl <> 'R2_healthy' THEN 'repost_history' END, CASE WHEN rl = 'R1_repost_suspicious' THEN 'requirements_drift' END, CASE WHEN rl = 'R2_healthy' OR matters THEN 'company_events' END, CASE WHEN reach THEN 'team_signal' END], lambda x: x IS NOT NULL) END AS routed FROM t),
+ f AS (SELECT *, CASE WHEN case_id % 10 = 0 THEN [] WHEN case_id % 3 = 0 THEN ['company_events', 'team_signal'] ELSE ['repost_history', 'requirements_drift', 'company_events', 'team_signal'] END AS el FROM n),
+ k AS (SELECT *, list_filter(routed, lambda x: list_contains(el, x))[1:2] AS probes FROM f)
+ SELECT case_id, rule, array_to_string(routed, ',') AS routed, array_to_string(probes, ',') AS probes, array_to_string(list_transform(list_filter(routed, lambda x: NOT list_contains(probes, x)), lambda x: x || ':' || CASE WHEN case_id % 10 = 0 THEN 'identity_unresolved' WHEN NOT list_contains(el, x) THEN 'ineligible' ELSE 'step_cap' END), ',') AS dropped FROM k""",
+    "product_gate": f"""WITH {DUCK}, {LATEST_ACTION}, o AS (SELECT conv_id AS p, (conv_id + turn) % 4 AS k FROM conversations), h AS (SELECT DISTINCT CAST(floor(case_id / 3.0) AS BIGINT) AS p FROM run WHERE CAST(floor(case_id / 3.0) AS BIGINT) % 3 <> 0),
+ j AS (SELECT o.p, k, h.p IS NOT NULL AS held, action FROM o LEFT JOIN h ON h.p = o.p LEFT JOIN act ON act.posting_id = o.p), g AS (SELECT count(*) AS outcomes, count(DISTINCT p) AS postings, count(DISTINCT p) FILTER (held) AS held_out, count(DISTINCT p) FILTER (held AND action IS NOT NULL) AS matched,
+ {', '.join(f"count(*) FILTER (held AND action {op} ('apply_now', 'quick_apply') AND k = {k}) AS {n}{k}" for n, op in (('r', 'IN'), ('o', 'NOT IN')) for k in (0, 1, 2))} FROM j), e AS (SELECT *, round(r0 / nullif(r1, 0), 6) AS rs, round(o0 / nullif(o1, 0), 6) AS os, round(r0 / nullif(r2, 0), 6) AS ri, round(o0 / nullif(o2, 0), 6) AS oi FROM g),
+ m AS (SELECT *, array_to_string(list_filter([CASE WHEN outcomes = 0 THEN 'no outcomes' WHEN outcomes < 30 THEN 'too few outcomes' END, CASE WHEN held_out = 0 THEN 'no held-out postings' END, CASE WHEN outcomes > 0 AND matched = 0 THEN 'no runs' END, CASE WHEN rs IS NULL OR os IS NULL THEN 'no screens' END, CASE WHEN ri IS NULL OR oi IS NULL THEN 'no interviews' END], lambda x: x IS NOT NULL), '; ') AS missing FROM e)
+ SELECT outcomes, postings, held_out, matched, missing, CASE WHEN missing <> '' THEN 'unproven' WHEN rs < os AND ri < oi THEN 'pass' ELSE 'fail' END AS status, rs AS recommended_per_screen, ri AS recommended_per_interview, os AS other_per_screen, oi AS other_per_interview FROM m""",
     "resume": f"WITH {DUCK} SELECT count(*) AS n, min(case_id) AS first, max(case_id) AS last FROM (SELECT DISTINCT case_id FROM run) c WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.case_id = c.case_id AND system = 'B' AND status = 'completed')",
-    "shard_counts": f"WITH {DUCK} SELECT CAST(CAST(('0x' || substr(sha256(case_id || chr(10) || system), 1, 15)) AS BIGINT) % 8 AS INT) AS shard, count(*) AS n FROM run GROUP BY ALL",
+    "shard_counts": f"WITH {DUCK} SELECT CAST(CAST(('0x' || substr(sha256(case_id || chr(10) || system), 1, 16)) AS UBIGINT) % 7 AS INT) AS shard, count(*) AS n FROM run GROUP BY ALL",
     "holdout_breach": f"WITH {DUCK} SELECT case_id % 37 AS company_id, count(*) AS cases FROM run WHERE (case_id % 37) % 9 = 4 GROUP BY ALL",
     "repeated_cases": f"WITH {DUCK} SELECT run_id, probe_name, args_hash, count(*) AS n FROM step GROUP BY ALL HAVING count(*) > 1",
-    "visible_events": f"WITH {DUCK}, ca AS (SELECT case_id, case_id % 10 AS company_id, replay_at FROM run WHERE system = 'B' AND replay_at IS NOT NULL AND case_id % 20 = 0) SELECT case_id, count(*) AS events, max(event_at) AS latest_event_at FROM ca JOIN event e USING (company_id) WHERE e.available_at <= replay_at GROUP BY case_id",
+    "visible_events": f"WITH {DUCK}, ca AS (SELECT case_id, company_id, replay_at - to_days(CAST(case_id % 2000 AS INT)) AS replay_at FROM run WHERE system = 'B' AND replay_at IS NOT NULL) SELECT case_id, count(event_at) AS events, max(event_at) AS latest_event_at FROM ca LEFT JOIN event e ON e.company_id = ca.company_id AND e.available_at <= replay_at GROUP BY case_id",
 }

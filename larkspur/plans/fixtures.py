@@ -1,6 +1,6 @@
 """Projections of the driver's tables onto the engine's schemas, as Spark SQL and, for oracles, as DuckDB SQL.
 
-Users of events stand for jobs, user_id mod 10 for companies, and calendar days for captures of a company's listing.
+Users of events stand for jobs, ten companies for each 150 of them, and calendar days for captures of a company's listing.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def capture_ctes(dialect: str) -> str:
     mid = "sha2(CAST(j.job_n % 9 AS STRING), 256)" if dialect == "spark" else "sha256(CAST(j.job_n % 9 AS VARCHAR))"
     text = "STRING" if dialect == "spark" else "VARCHAR"
     return f"""
-ev AS (SELECT user_id AS job_n, user_id % 10 AS company_n, CAST(date_trunc('day', ts) AS DATE) AS d FROM {events}),
+ev AS (SELECT user_id AS job_n, CAST(user_id % 10 + 10 * floor(user_id / 150.0) AS BIGINT) AS company_n, CAST(date_trunc('day', ts) AS DATE) AS d FROM {events}),
 cap AS (SELECT DISTINCT company_n, d, {DAYS[dialect]} AS e FROM ev),
 snap AS (SELECT company_n AS company_id, company_n * 100000 + e AS snapshot_id, {START[dialect]} AS captured_at, d, e,
   CASE WHEN (e + company_n) % 7 = 3 THEN 'partial' WHEN (e + company_n) % 11 = 5 THEN 'gap' ELSE 'complete' END AS coverage_status,

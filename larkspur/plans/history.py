@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import days_between, normalized_text
-from larkspur.operators import asof, changes, features, intervals_join, lifecycle, matching, metrics, survival
+from larkspur.operators import asof, changes, features, intervals_join, lifecycle, matching, metrics, splits, survival
 from larkspur.plans.fixtures import INTERVALS_SQL, capture_ctes, captures, listings
 
 def now():
@@ -76,6 +76,22 @@ def team_activity(spark: SparkSession, sf: str) -> DataFrame:
     return features.team_activity(jobs_of(spark, sf), now())
 
 
+def company_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """What a question without a team asks for: all jobs of a company."""
+    return features.team_activity(jobs_of(spark, sf), now(), whole=True).drop("team_key", "latest_new_at")
+
+
+def team_events(spark: SparkSession, sf: str) -> DataFrame:
+    return features.team_events(jobs_of(spark, sf), now(), most=3).select("company_id", "team_key", "kind", "place", "job_id", "at", "archive_only")
+
+
+def team_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each team is active, where every third company is hardly covered. New and closed jobs count within few days, so that there are teams without."""
+    covered = features.coverage_window(captures(spark, sf)).select("company_id", "history_days", F.when(F.col("company_id") % 3 == 0, 0.4).otherwise(F.col("history_coverage")).alias("history_coverage"))
+    rows = features.team_activity(jobs_of(spark, sf), now(), 15, 4).join(covered, "company_id")
+    return rows.select("company_id", "team_key", features.team_verdict(min_history_days=20.0).alias("verdict"))
+
+
 def title_mode(spark: SparkSession, sf: str) -> DataFrame:
     return features.mode_by(jobs_of(spark, sf), ["company_id"], "title")
 
@@ -118,7 +134,8 @@ def company_features(spark: SparkSession, sf: str) -> DataFrame:
 def posting_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = jobs_of(spark, sf)
     published = rows.select("company_id", "job_id", F.expr("first_observed - make_dt_interval(cast(job_id % 300 as int))").alias("published_at")).filter("job_id % 2 = 0")
-    return features.posting_features(rows, published, now()).select("company_id", "job_id", "origin", r6("age_days"), "long_lived", "censoring")
+    archived = captures(spark, sf).filter("source = 'archive'").join(listings(spark, sf), "snapshot_id").select("company_id", "job_id", F.expr("captured_at - make_dt_interval(cast(job_id % 3 * 90 as int))").alias("captured_at"))
+    return features.posting_features(rows, published, archived, now()).select("company_id", "job_id", "origin", r6("age_days"), "long_lived", "censoring")
 
 
 def repost_patterns(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,6 +237,22 @@ def company_splits(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("company_id", "job_id", asof.stable_split(20260607, "job_id").alias("stable"), asof.temporal_split("first_observed", F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-05").cast("timestamp")).alias("temporal"))
 
 
+def stable_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Companies and their jobs by the stable hash and by time."""
+    rows = jobs_of(spark, sf).select(F.concat_ws("/", "company_id", "job_id").alias("posting_id"), F.col("company_id").cast("string").alias("company_id"), "first_observed")
+    return splits.assigned_splits(rows, F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-05").cast("timestamp"), 7, method="hash").select("posting_id", "company_split", "temporal_split")
+
+
+def dataset_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second job has a frozen split, and some runs have another job than their case."""
+    rows = jobs_of(spark, sf).select(F.col("job_id").alias("posting_id"), "company_id", "first_observed", F.col("url").alias("canonical_url"))
+    base = rows.filter("posting_id % 5 <> 0").select("posting_id", F.lit("dev").alias("split"))
+    cases = rows.filter("posting_id % 2 = 0").select("posting_id", "canonical_url", F.col("first_observed").alias("replay_at"), F.when(F.col("posting_id") % 4 == 0, "test").alias("split"))
+    runs = cases.select((F.col("posting_id") + 1).alias("posting_id"), F.col("canonical_url").alias("input_url"), "replay_at").filter("posting_id % 3 = 0")
+    rebuilt = rows.filter("posting_id % 7 = 0").select("posting_id", F.lit("validation").alias("split"))
+    return splits.dataset_splits(base, cases, runs, rebuilt)
+
+
 def greedy_splits(spark: SparkSession, sf: str) -> DataFrame:
     return asof.greedy_split(jobs_of(spark, sf).groupBy("company_id").agg(F.count("*").alias("n")), "company_id", "n")
 
@@ -234,9 +267,9 @@ def eras(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lifecycle_intervals, lifecycle_companies, lifecycle_archive_only, lifecycle_merge, lifecycle_daily, coverage_gaps, coverage_window, open_trend, team_activity, title_mode, degenerate_pages, gated_pairs, equal_title_links, repost_links,
+        lifecycle_intervals, lifecycle_companies, lifecycle_archive_only, lifecycle_merge, lifecycle_daily, coverage_gaps, coverage_window, open_trend, team_activity, company_activity, team_events, team_verdicts, title_mode, degenerate_pages, gated_pairs, equal_title_links, repost_links,
         links_in_order, company_features, posting_features, repost_patterns, hash_changes, carried_values, matched_refreshes, survival_curve, survival_horizons, survival_turnbull, survival_sample, windows_merged, moments_shifted, latest_capture,
-        visible_captures, intervals_as_of, case_grid, turns, company_splits, greedy_splits, eras,
+        visible_captures, intervals_as_of, case_grid, turns, company_splits, stable_splits, dataset_splits, greedy_splits, eras,
     )
 }
 
@@ -277,6 +310,11 @@ ORACLE_SQL = {
  a AS (SELECT company_id, count(*) AS points, arg_min(n, captured_at) AS open_first, arg_max(n, captured_at) AS open_last, CASE WHEN count(*) > 1 THEN regr_slope(n, x) END AS slope, max(x) AS span FROM x GROUP BY company_id) SELECT company_id, points, open_first, open_last, round(slope, 6) AS slope_per_day, CASE WHEN slope IS NULL THEN NULL WHEN abs(slope * span) < 1 THEN 'flat' WHEN slope > 0 THEN 'up' ELSE 'down' END AS direction FROM a""",
     "team_activity": f"""WITH {INTERVALS_SQL} SELECT company_id, lower(trim(team)) AS team_key, count(*) AS jobs, count(*) FILTER (first_seen_absent IS NULL OR first_seen_absent > {NOW_SQL}) AS open_jobs, count(*) FILTER (first_observed >= {NOW_SQL} - INTERVAL 30 DAY) AS new_jobs, count(*) FILTER (first_seen_absent BETWEEN {NOW_SQL} - INTERVAL 60 DAY AND {NOW_SQL}) AS closed_jobs, count(*) FILTER (NOT list_contains(sources, 'own')) AS archive_only_jobs, max(first_observed) AS latest_new_at
  FROM intervals WHERE first_observed <= {NOW_SQL} AND trim(team) <> '' GROUP BY ALL""",
+    "company_activity": f"""WITH {INTERVALS_SQL} SELECT company_id, count(*) AS jobs, count(*) FILTER (first_seen_absent IS NULL OR first_seen_absent > {NOW_SQL}) AS open_jobs, count(*) FILTER (first_observed >= {NOW_SQL} - INTERVAL 30 DAY) AS new_jobs, count(*) FILTER (first_seen_absent BETWEEN {NOW_SQL} - INTERVAL 60 DAY AND {NOW_SQL}) AS closed_jobs, count(*) FILTER (NOT list_contains(sources, 'own')) AS archive_only_jobs FROM intervals WHERE first_observed <= {NOW_SQL} GROUP BY ALL""",
+    "team_events": f"""WITH {INTERVALS_SQL}, e AS (SELECT *, 'new' AS kind, first_observed AS "at" FROM intervals WHERE first_observed BETWEEN {NOW_SQL} - INTERVAL 30 DAY AND {NOW_SQL} UNION ALL SELECT *, 'closed', first_seen_absent FROM intervals WHERE first_seen_absent BETWEEN {NOW_SQL} - INTERVAL 60 DAY AND {NOW_SQL} AND first_observed <= {NOW_SQL}),
+ n AS (SELECT company_id, lower(trim(team)) AS team_key, kind, row_number() OVER (PARTITION BY company_id, lower(trim(team)), kind ORDER BY "at" DESC, job_id) AS place, job_id, "at", NOT list_contains(sources, 'own') AS archive_only FROM e WHERE trim(team) <> '') SELECT * FROM n WHERE place <= 3""",
+    "team_verdicts": f"""WITH {INTERVALS_SQL}, cov AS (SELECT company_id, (epoch_us(max(captured_at)) - epoch_us(min(captured_at))) / 86400e6 AS h, CASE WHEN company_id % 3 = 0 THEN 0.4 ELSE count(DISTINCT d) FILTER (coverage_status = 'complete') / count(DISTINCT d) END AS c FROM snap GROUP BY company_id),
+ t AS (SELECT company_id, lower(trim(team)) AS team_key, count(*) FILTER (first_observed >= {NOW_SQL} - INTERVAL 15 DAY) + count(*) FILTER (first_seen_absent BETWEEN {NOW_SQL} - INTERVAL 4 DAY AND {NOW_SQL}) AS n FROM intervals WHERE first_observed <= {NOW_SQL} AND trim(team) <> '' GROUP BY ALL) SELECT company_id, team_key, CASE WHEN n > 0 THEN true WHEN h >= 20 AND c >= 0.5 THEN false END AS verdict FROM t JOIN cov USING (company_id)""",
     "title_mode": f"WITH {INTERVALS_SQL}, c AS (SELECT company_id, title, count(*) AS n FROM intervals GROUP BY ALL) SELECT company_id, title, n FROM c QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY n DESC, title) = 1",
     "degenerate_pages": f"WITH {DUCK}, c AS (SELECT snapshot_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t, count(*) AS n FROM job GROUP BY ALL), a AS (SELECT snapshot_id, CAST(sum(n) AS BIGINT) AS jobs, max(n) AS most FROM c GROUP BY snapshot_id) SELECT snapshot_id, jobs, round(most / jobs, 6) AS dominant_fraction, (most / jobs > 0.2 AND jobs >= 3) AS degenerate FROM a",
     "gated_pairs": f"WITH {GATED} SELECT company_id, old_job_id, new_job_id, round(gap_days, 6) AS gap_days FROM gated",
@@ -286,7 +324,7 @@ ORACLE_SQL = {
     "company_features": f"""WITH {INTERVALS_SQL} SELECT company_id, count(first_seen_absent) AS closed_count, count(*) - count(first_seen_absent) AS right_censored_count, count(*) FILTER (first_seen_absent BETWEEN {NOW_SQL} - INTERVAL 30 DAY AND {NOW_SQL}) AS closures_last_30_days, count(*) FILTER (first_seen_absent BETWEEN {NOW_SQL} - INTERVAL 90 DAY AND {NOW_SQL}) AS closures_last_90_days,
  round(median((epoch_us(last_seen_open) - epoch_us(first_observed)) / 86400e6) FILTER (first_seen_absent IS NOT NULL), 6) AS median_lifetime_low, round(median((epoch_us(first_seen_absent) - epoch_us(first_observed)) / 86400e6) FILTER (first_seen_absent IS NOT NULL), 6) AS median_lifetime_high, count(*) FILTER (first_seen_absent IS NOT NULL AND job_id % 4 = 1) AS reposted_count,
  round(count(*) FILTER (first_seen_absent IS NOT NULL AND job_id % 4 = 1) / nullif(count(first_seen_absent), 0), 6) AS repost_rate FROM intervals GROUP BY company_id""",
-    "posting_features": f"WITH {INTERVALS_SQL}, o AS (SELECT *, CASE WHEN job_id % 2 = 0 THEN first_observed - to_days(CAST(job_id % 300 AS INT)) ELSE first_observed END AS origin FROM intervals) SELECT company_id, job_id, origin, round((epoch_us({NOW_SQL}) - epoch_us(origin)) / 86400e6, 6) AS age_days, (epoch_us({NOW_SQL}) - epoch_us(origin)) / 86400e6 >= 180 AS long_lived, CASE WHEN closure_absent_at IS NULL THEN 'right' ELSE 'interval' END AS censoring FROM o",
+    "posting_features": f"WITH {INTERVALS_SQL}, ar AS (SELECT company_id, job_id, min(captured_at) - to_days(CAST(any_value(job_id) % 3 * 90 AS INT)) AS t FROM dense WHERE present AND source = 'archive' GROUP BY ALL), o AS (SELECT i.*, least(CASE WHEN job_id % 2 = 0 THEN first_observed - to_days(CAST(job_id % 300 AS INT)) ELSE first_observed END, ar.t) AS origin FROM intervals i LEFT JOIN ar USING (company_id, job_id)) SELECT company_id, job_id, origin, round((epoch_us({NOW_SQL}) - epoch_us(origin)) / 86400e6, 6) AS age_days, (epoch_us({NOW_SQL}) - epoch_us(origin)) / 86400e6 >= 180 AS long_lived, CASE WHEN first_seen_absent IS NOT NULL AND reappeared_at IS NULL THEN 'interval' ELSE 'right' END AS censoring FROM o",
     "repost_patterns": f"WITH {INTERVALS_SQL}, p AS (SELECT company_id, CASE WHEN company_id = 3 THEN 'unknown' WHEN first_seen_absent IS NULL OR job_id % 3 <> 0 THEN 'none' WHEN job_id % 5 = 0 THEN 'unknown' WHEN job_id % 7 <> 0 AND job_id % 2 = 0 THEN 'repeated_unchanged' ELSE 'changed' END AS repost_pattern FROM intervals) SELECT company_id, repost_pattern, count(*) AS n FROM p GROUP BY ALL",
     "hash_changes": f"WITH {VERSIONS_SQL}, k AS (SELECT *, lag(value) OVER w AS old, lag(captured_at) OVER w AS changed_after FROM vers WHERE value IS NOT NULL WINDOW w AS (PARTITION BY job_id ORDER BY captured_at, snapshot_id)) SELECT job_id, changed_after, captured_at AS changed_by, old, value AS new FROM k WHERE old <> value",
     "carried_values": f"WITH {VERSIONS_SQL}, l AS (SELECT job_id, arg_max(value, captured_at) AS value FROM vers WHERE value IS NOT NULL GROUP BY job_id) SELECT job_id, l.value, min(captured_at) AS first_carried_at FROM l JOIN vers v USING (job_id) WHERE v.value = l.value GROUP BY ALL",
@@ -303,6 +341,8 @@ ORACLE_SQL = {
     "case_grid": f"WITH {INTERVALS_SQL}, e AS (SELECT company_id, job_id, first_observed AS a, least({NOW_SQL}, coalesce(first_seen_absent, {NOW_SQL})) AS b FROM intervals), g AS (SELECT company_id, job_id, unnest(generate_series(a, b, INTERVAL 7 DAY)) AS t FROM e WHERE a <= b UNION SELECT company_id, job_id, b FROM e WHERE a <= b) SELECT company_id, job_id, count(*) AS cases, min(t) AS first_case, max(t) AS last_case FROM g GROUP BY ALL",
     "turns": f"WITH {INTERVALS_SQL} SELECT company_id, job_id, count(*) OVER (PARTITION BY company_id) AS company_size, row_number() OVER (PARTITION BY company_id ORDER BY substr(sha256('20260607|' || job_id), 1, 13), job_id) AS turn FROM intervals",
     "company_splits": f"WITH {INTERVALS_SQL}, h AS (SELECT company_id, job_id, first_observed, CAST(('0x' || substr(sha256('20260607|' || job_id), 1, 13)) AS BIGINT) / 4503599627370496.0 AS x FROM intervals) SELECT company_id, job_id, CASE WHEN x < 0.6 THEN 'dev' WHEN x < 0.8 THEN 'validation' ELSE 'test' END AS stable, CASE WHEN first_observed >= TIMESTAMP '2024-01-10' THEN 'test' WHEN first_observed >= TIMESTAMP '2024-01-05' THEN 'validation' ELSE 'dev' END AS temporal FROM h",
+    "dataset_splits": f"""WITH {DUCK}, j AS (SELECT DISTINCT job_n AS p FROM jobs WHERE job_n IN (SELECT job_id FROM job)), m AS (SELECT p, coalesce(CASE WHEN p % 4 = 0 THEN 'test' END, CASE WHEN p % 7 = 0 THEN 'validation' END, CASE WHEN p % 5 <> 0 THEN 'dev' END) AS split FROM j), al AS (SELECT p + 1 AS p, split AS a FROM m WHERE p % 2 = 0 AND (p + 1) % 3 = 0 AND split IS NOT NULL)
+ SELECT coalesce(m.p, al.p) AS posting_id, coalesce(a, split) AS split FROM (SELECT * FROM m WHERE split IS NOT NULL) m FULL JOIN al ON m.p = al.p""",
     "eras": f"WITH {INTERVALS_SQL}, b AS (SELECT company_id, min(captured_at) AS boundary FROM snap WHERE source = 'own' GROUP BY company_id), e AS (SELECT i.*, CASE WHEN boundary IS NULL THEN 'unknown' WHEN first_observed < boundary THEN 'archive' ELSE 'live' END AS era FROM intervals i LEFT JOIN b USING (company_id)) SELECT company_id, era, count(*) AS n, round(avg((epoch_us(last_seen_open) - epoch_us(first_observed)) / 86400e6), 6) AS mean_days FROM e GROUP BY ALL",
     "lifecycle_merge": f"""WITH {INTERVALS_SQL}, ord2 AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY captured_at) AS i FROM snap WHERE source = 'own'), den2 AS (SELECT u.company_id, u.job_id, o.captured_at, o.i, o.coverage_status, j.job_id IS NOT NULL AS present FROM (SELECT DISTINCT o.company_id, j.job_id FROM job j JOIN ord2 o USING (snapshot_id)) u JOIN ord2 o USING (company_id) LEFT JOIN job j ON j.snapshot_id = o.snapshot_id AND j.job_id = u.job_id),
  f2 AS (SELECT company_id, job_id, min(i) FILTER (present) AS fi, min(captured_at) FILTER (present) AS first_observed, max(captured_at) FILTER (present) AS last_seen_open FROM den2 GROUP BY ALL), a2 AS (SELECT d.company_id, d.job_id, min(i) FILTER (coverage_status = 'complete' AND NOT present AND i > fi) AS ai FROM den2 d JOIN f2 USING (company_id, job_id) GROUP BY ALL),

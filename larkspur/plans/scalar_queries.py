@@ -50,15 +50,23 @@ def junk_titles(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def generic_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part under one of the fixed titles, written in capitals and with signs, or under its own name."""
+    titles = F.array(*map(F.lit, matching.GENERIC_TITLES))
+    at = (F.col("p_partkey") % (len(matching.GENERIC_TITLES) + 1)).cast("int")
+    title = F.when(at == 0, F.col("p_name")).otherwise(F.concat(F.lit(" "), F.upper(F.translate(F.element_at(titles, at), " ", "-")), F.lit("!")))
+    return table(spark, sf, "part").select("p_partkey", matching.junk_title(title).alias("reason"))
+
+
 def event_materiality(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").filter("o_orderkey % 10 = 0")
-    kind = F.expr("CASE o_orderkey % 40 WHEN 0 THEN 'layoff' WHEN 10 THEN 'layoff' WHEN 20 THEN 'shutdown' ELSE 'funding' END")
+    rows = table(spark, sf, "orders")
+    kind = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'layoff' WHEN 1 THEN 'layoff' WHEN 2 THEN 'shutdown' ELSE 'funding' END")
     headline = F.expr("CASE o_custkey % 4 WHEN 0 THEN concat('cuts ', o_custkey % 20, '.5% of staff') WHEN 1 THEN concat('lets go 1,', lpad(o_custkey % 90, 3, '0'), ' employees') WHEN 2 THEN concat(o_custkey % 150, ' Jobs go') ELSE 'lays off people' END")
     return rows.select("o_orderkey", kind.alias("event_type"), S.materiality(kind, headline, F.lit(None).cast("string")).alias("materiality"))
 
 
 def times(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").filter("event_id % 7 = 0")
+    rows = table(spark, sf, "events")
     text = F.expr("CASE event_id % 3 WHEN 0 THEN date_format(ts, 'yyyy-MM-dd') WHEN 1 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss') ELSE 'soon' END")
     return rows.select("event_id", S.utc_text("ts").alias("text"), S.flexible_time(text).alias("parsed"), S.wayback_time(F.date_format("ts", "yyyyMMddHHmmss")).alias("stamp"))
 
@@ -94,7 +102,7 @@ def packed_values(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", head.alias("head"), rest.alias("rest"))
 
 
-QUERIES = {f.__name__: f for f in (url_parts, board_urls, normalized_titles, title_overlap, content_hashes, content_versions, junk_titles, event_materiality, times, recheck, json_paths, page_titles, target_filter, packed_values)}
+QUERIES = {f.__name__: f for f in (url_parts, board_urls, normalized_titles, title_overlap, content_hashes, content_versions, junk_titles, generic_titles, event_materiality, times, recheck, json_paths, page_titles, target_filter, packed_values)}
 
 ORACLE_SQL = {
     "url_parts": r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS host, regexp_extract(regexp_replace(url, '^[a-z]+://', ''), '^[^/?#]*(/[^?#]*)', 1) AS path, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, regexp_replace(lower(trim(url)), '/+$', '') AS watch_key FROM pages""",
@@ -104,10 +112,11 @@ ORACLE_SQL = {
     "content_hashes": "SELECT doc_id, CASE WHEN text <> '' THEN sha256(text) END AS content_hash FROM documents",
     "content_versions": "SELECT source, count(*) AS rows, count(DISTINCT text) AS versions FROM documents GROUP BY source",
     "junk_titles": "SELECT CASE p_partkey % 9 WHEN 0 THEN 'blank' WHEN 1 THEN 'short' WHEN 2 THEN 'generic' WHEN 3 THEN 'digits' WHEN 5 THEN 'blank' WHEN 6 THEN 'link' WHEN 7 THEN 'apply link' END AS reason, count(*) AS n FROM part GROUP BY ALL",
-    "event_materiality": """WITH o AS (SELECT o_orderkey, o_custkey, CASE o_orderkey % 40 WHEN 0 THEN 'layoff' WHEN 10 THEN 'layoff' WHEN 20 THEN 'shutdown' ELSE 'funding' END AS event_type FROM orders WHERE o_orderkey % 10 = 0)
+    "generic_titles": f"SELECT p_partkey, CASE WHEN p_partkey % {len(matching.GENERIC_TITLES) + 1} <> 0 THEN CASE WHEN p_partkey % {len(matching.GENERIC_TITLES) + 1} IN ({', '.join(str(i + 1) for i, t in enumerate(matching.GENERIC_TITLES) if len(t) < 3)}) THEN 'short' ELSE 'generic' END END AS reason FROM part",
+    "event_materiality": """WITH o AS (SELECT o_orderkey, o_custkey, CASE o_orderkey % 4 WHEN 0 THEN 'layoff' WHEN 1 THEN 'layoff' WHEN 2 THEN 'shutdown' ELSE 'funding' END AS event_type FROM orders)
  SELECT o_orderkey, event_type, CASE WHEN event_type = 'shutdown' THEN 'material' WHEN event_type = 'funding' THEN 'minor' WHEN o_custkey % 4 = 0 AND o_custkey % 20 + 0.5 < 10 THEN 'minor' WHEN o_custkey % 4 = 2 AND o_custkey % 150 < 100 THEN 'minor' ELSE 'material' END AS materiality FROM o""",
-    "times": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') || 'Z' AS text, CASE event_id % 3 WHEN 0 THEN date_trunc('day', ts)::TIMESTAMP WHEN 1 THEN date_trunc('second', ts) END AS parsed, date_trunc('second', ts) AS stamp FROM events WHERE event_id % 7 = 0""",
-    "recheck": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 14 ELSE greatest(0, least(14, o_orderkey % 30 - 5)) END AS days, CASE WHEN o_orderkey % 3 <> 0 THEN CASE WHEN 20 - (o_orderkey % 30 - 5 + 11 / 24.0) <= 14 THEN 'recent' ELSE 'old' END END AS recency FROM orders""",
+    "times": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') || 'Z' AS text, CASE event_id % 3 WHEN 0 THEN date_trunc('day', ts)::TIMESTAMP WHEN 1 THEN date_trunc('second', ts) END AS parsed, date_trunc('second', ts) AS stamp FROM events""",
+    "recheck": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 14 ELSE greatest(0, least(14, o_orderkey % 30 - 5)) END AS days, CASE WHEN o_orderkey % 3 <> 0 THEN CASE WHEN 20 - (o_orderkey % 30 - 5 + 11 / 24.0) <= 14 THEN 'recent' ELSE 'not_recent' END END AS recency FROM orders""",
     "json_paths": "SELECT event_type, count(json_extract(props, '$.k')) AS known, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total, count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS distinct_values FROM events GROUP BY event_type",
     "page_titles": """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS anchors, regexp_extract_all(html, '<a href="([^"]*)"', 1)[1] AS first_anchor FROM pages""",
     "target_filter": "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_brand) LIKE '%ring%' OR lower(p_type) LIKE '%ring%'",

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -69,3 +70,17 @@ def written(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: So many rows of so many bytes of text, at most, are broadcast; more are joined by a shuffle.
+FEW, FEW_BYTES = 1_000_000, 64 << 20
+
+
+def sized_broadcast(rows: DataFrame) -> DataFrame:
+    """rows, broadcast if their number and their size are within FEW and FEW_BYTES. Columns of variable length are measured, others count 16 bytes."""
+    size = F.lit(0).cast("long")
+    for f in rows.schema.fields:
+        long = f.dataType.simpleString() in ("string", "binary")
+        size = size + (F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if long else F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) if f.dataType.simpleString()[:5] in ("array", "struc", "map<") else F.lit(16))
+    n, total = rows.limit(FEW + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(rows) if n <= FEW and (total or 0) <= FEW_BYTES else rows

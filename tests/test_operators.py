@@ -109,7 +109,8 @@ def test_asof_join_is_inclusive_and_keeps_empty(spark):
 def test_kaplan_meier_ends_at_zero_and_turnbull_sums_to_one(spark):
     rows = spark.createDataFrame([("c", 1, 1.0, 2.0, True, None), ("c", 2, 1.0, 3.0, True, None), ("c", 3, 2.0, None, False, None), ("c", 4, 3.0, 5.0, True, None)], "company_id string, job_id int, low double, high double, event boolean, dropped string")
     curve = survival.kaplan_meier(rows).orderBy("time").collect()
-    assert [round(r.survival, 6) for r in curve] == [0.75 if i == 0 else v for i, v in enumerate([0.75, 0.375, 0.0])] or curve[-1].survival == 0.0
+    # the censored one leaves at 2: of four at risk one fails at 2, of two one at 3, and the last at 5
+    assert [(r.time, r.at_risk, r.events, round(r.survival, 6)) for r in curve] == [(2.0, 4, 1, 0.75), (3.0, 2, 1, 0.375), (5.0, 1, 1, 0.0)]
     left, right, mass = survival.turnbull(rows)
     assert math.isclose(mass.sum(), 1.0) and (left <= right).all()
 
@@ -173,9 +174,21 @@ def test_daily_stream_is_idempotent(spark, tmp_path):
     assert sum(seen) == 3
 
 
-def test_team_verdict_is_unknown_below_the_bar(spark):
-    rows = spark.createDataFrame([(0.4, 5, 0), (0.6, 0, 1), (0.6, 1, 1), (0.6, 0, 0)], "history_coverage double, new_jobs int, closed_jobs int")
-    assert [r[0] for r in rows.select(features.team_verdict()).collect()] == [None, False, True, None]
+def test_team_verdict_needs_coverage_for_a_no_only(spark):
+    rows = [(0.4, 5, 0, 99.0), (0.6, 0, 1, 99.0), (None, 0, 1, None), (0.6, 0, 0, 99.0), (0.4, 0, 0, 99.0), (0.6, 0, 0, 29.0), (None, 0, 0, None)]
+    df = spark.createDataFrame(rows, "history_coverage double, new_jobs int, closed_jobs int, history_days double")
+    assert [r[0] for r in df.select(features.team_verdict()).collect()] == [True, True, True, False, None, None, None]
+    assert df.select(features.team_verdict(minimum_new=9, minimum_closed=2)).first()[0] is None  # some activity, but too little: neither
+
+
+def test_a_question_without_a_team_pools_the_company(spark):
+    cols = "company_id string, job_id string, team string, title string, first_observed timestamp, first_seen_absent timestamp, sources array<string>"
+    rows = [("a", "1", "Eng ", "x", D(0), None, ["own"]), ("a", "2", "", "y", D(95), D(99), ["archive"]), ("a", "3", None, "z", D(96), None, ["own"]), ("a", "4", "eng", "w", D(200), None, ["own"])]
+    df, now = spark.createDataFrame(rows, cols), F.lit(D(100))
+    own, whole = features.team_activity(df, now).collect(), features.team_activity(df, now, whole=True).collect()
+    assert [(r.team_key, r.jobs, r.new_jobs) for r in own] == [("eng", 1, 0)]
+    assert [(r.team_key, r.jobs, r.new_jobs, r.closed_jobs, r.open_jobs, r.archive_only_jobs) for r in whole] == [(None, 3, 2, 1, 2, 1)]
+    assert [(r.kind, r.place, r.job_id) for r in features.team_events(df, now, whole=True).orderBy("kind", "place").collect()] == [("closed", 1, "2"), ("new", 1, "3"), ("new", 2, "2")]
 
 
 def test_relevance_agrees_with_enumeration(spark):
@@ -183,7 +196,7 @@ def test_relevance_agrees_with_enumeration(spark):
 
     names = list(C.DOMAINS)
     kinds = "posting_state string, freeze_or_pause boolean, material_negative_event boolean, repost_pattern string, corroborating_hiring_signal boolean, publish_recency string"
-    cases = [(1, None, False, False, "none", False, "recent"), (2, "open", None, None, None, None, None), (3, "closed", None, None, None, None, None), (4, "open", False, False, "none", False, None), (5, "open", False, False, "repeated_unchanged", None, "old")]
+    cases = [(1, None, False, False, "none", False, "recent"), (2, "open", None, None, None, None, None), (3, "closed", None, None, None, None, None), (4, "open", False, False, "none", False, None), (5, "open", False, False, "repeated_unchanged", None, "not_recent")]
     rest = "case_id int, " + kinds + ", quality string, long_lived boolean, declared_expiry timestamp, last_material_event_at timestamp, last_refreshed_at timestamp"
     df = spark.createDataFrame([(*c, "strong", True, None, D(1), None) for c in cases], rest)
     got = {r.case_id: set(r.could_change) for r in C.could_change(df).collect()}
@@ -259,3 +272,226 @@ def test_fetched_after_meets_no_response_one_by_one(spark):
     got = [(r.run_id, r.item) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
     assert not re.search(r"Join \[probe#\d+\], \[probe#\d+\]", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_splits_are_those_of_the_seeded_hash(spark):
+    import hashlib
+
+    from larkspur.operators import splits
+
+    rows = [(f"p{i}", f"c{i % 17}", D(i)) for i in range(60)] + [("q1", "c1", D(70)), ("q2", "c1", D(71))]
+    df = spark.createDataFrame(rows, "posting_id string, company_id string, first_observed timestamp")
+    got = {r.posting_id: r for r in splits.assigned_splits(df, F.lit(D(40)), F.lit(D(30)), 11, method="hash").collect()}
+    for p, c, t in rows:
+        x = int.from_bytes(hashlib.blake2b(f"11:{c}".encode(), digest_size=8).digest(), "big") / 2.0**64
+        assert got[p].company_split == ("dev" if x < 0.6 else "validation" if x < 0.6 + 0.2 else "test")
+        assert got[p].temporal_split == ("test" if t >= D(40) else "validation" if t >= D(30) else "dev")
+    sizes, held, want = {}, dict.fromkeys(("dev", "validation", "test"), 0), {}
+    for _, c, _ in rows:
+        sizes[c] = sizes.get(c, 0) + 1
+    share = {"dev": 0.6, "validation": 0.2, "test": 0.2}
+    for c in sorted(sizes, key=lambda c: (-sizes[c], hashlib.blake2b(f"11:{c}".encode(), digest_size=16).hexdigest())):
+        want[c] = max(held, key=lambda s: share[s] * len(rows) - held[s])
+        held[want[c]] += sizes[c]
+    assert {r.company_id: r.company_split for r in splits.assigned_splits(df, F.lit(D(40)), seed=11).collect()} == want
+    tests = {r[0] for r in splits.stable_test_companies(df.select("company_id").limit(0), df, 11).collect()}
+    assert tests == {c for p, c, _ in rows if got[p].company_split == "test"}
+    with pytest.raises(ValueError):
+        splits.stable_companies(df, 1, (0.5, 0.2, 0.2))
+
+
+def test_datasets_retire_once_and_share_no_companies(spark):
+    from larkspur.operators import splits
+
+    sets = spark.createDataFrame([("a", None), ("b", D(1))], "dataset_id string, retired_at timestamp")
+    gone = splits.retired(sets, F.lit(True), F.lit(D(5)))
+    assert {r.dataset_id: r.retired_at for r in gone.collect()} == {"a": D(5), "b": D(1)}
+    assert {r.retired_at for r in splits.unretired(gone, F.col("dataset_id") == "b").collect()} == {D(5), None}
+    cases = spark.createDataFrame([("a", "x", "dev"), ("b", "y", None), ("b", "z", "test")], "dataset_id string, company_id string, split string")
+    assert [r.company_id for r in splits.usable(cases, sets).collect()] == ["x"]
+    assert {r.company_id for r in splits.excluded_companies(cases, "a").collect()} == {"y", "z"}
+    assert [r.company_id for r in splits.permitted(cases).collect()] == ["x"] and splits.permitted(cases, ("test",)).count() == 1
+
+
+def test_rounds_and_one_pass_assign_alike(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = sorted({("k%d" % rng.randrange(3), rng.randrange(9), rng.randrange(9)) for _ in range(150)})
+    df = spark.createDataFrame([(*p, rng.choice([0.7, 0.8, 0.9])) for p in pairs], "k string, o int, n int, s double")
+    one = {tuple(r) for r in matching.assigned(df, ["k"], "o", "n", "s").collect()}
+    monkeypatch.setattr(matching, "FEW_CANDIDATES", 40)
+    assert {tuple(r) for r in matching.assigned(df, ["k"], "o", "n", "s").collect()} == one
+    assert {tuple(r) for r in matching.rounds(df, ["k"], "o", "n", "s").collect()} == one
+
+
+def test_repost_links_against_brute_force(spark):
+    """Every pair of jobs of a company, gated, scored and assigned the plain way."""
+    from difflib import SequenceMatcher
+
+    rng, rows = random.Random(8), []
+    titles = ["Data Engineer", "Senior Data Engineer", "data-engineer", "Data Engineer II", "Line Cook", "Cook", "View all jobs", "Remote", "Account Executive"]
+    for i in range(70):
+        first = rng.randrange(150)
+        last = first + rng.randrange(40)
+        gone = last + rng.randrange(1, 9) if rng.random() < 0.8 else None
+        rows.append((f"c{i % 3}", i, D(first), D(last), None if gone is None else D(gone), rng.choice(titles), rng.choice(["Eng", "eng ", "Ops", None]), rng.choice(["Paris", "Paris, FR", None]), rng.choice(["h1", "h2", None]), rng.choice([f"u{i}", "u0/", None]), [rng.randrange(400) for _ in range(3)]))
+    cols = "company_id string, job_id int, first_observed timestamp, last_seen_open timestamp, first_seen_absent timestamp, title string, team string, location string, description_hash string, url string, present_snapshot_ids array<int>"
+    got = {(r.company_id, r.old_job_id, r.new_job_id): round(r.combined, 9) for r in matching.repost_links(spark.createDataFrame(rows, cols)).collect()}
+
+    def norm(x):
+        return re.sub(r"[\W_]+", " ", (x or "").lower()).strip()
+
+    def alike(a, b):
+        a, b = norm(a), norm(b)
+        if not a or not b:
+            return None
+        x, y = set(a.split()), set(b.split())
+        return 1.0 if a == b else (len(x & y) / len(x | y) + SequenceMatcher(None, a, b).ratio()) / 2
+
+    found, day = [], dt.timedelta(days=1)
+    for o in rows:
+        for n in rows:
+            key = [(r[9] or "").strip().rstrip("/") or None for r in (o, n)]
+            junk = any(norm(r[5]) in ("view all jobs", "remote") for r in (o, n))
+            if junk or o[0] != n[0] or o[1] == n[1] or o[4] is None or key[0] is not None and key[0] == key[1] or n[2] <= o[3] or not -7 < (n[2] - o[4]) / day <= 120 or set(o[10]) & set(n[10]):
+                continue
+            parts = [alike(o[5], n[5]), None if not o[8] or not n[8] else float(o[8] == n[8]), alike(o[6], n[6]), alike(o[7], n[7])]
+            known = [(p, w) for p, w in zip(parts, (0.45, 0.25, 0.15, 0.15), strict=True) if p is not None]
+            score = sum(p * w for p, w in known) / sum(w for _, w in known)
+            alone = all(p is None for p in parts[1:])
+            backed = any(p is not None and p >= m for p, m in zip(parts[1:], (0.80, 0.80, 0.90), strict=True))
+            if parts[0] >= (0.95 if alone else 0.85) and score >= 0.70 and (alone or backed):
+                found.append((-score, o[1], n[1], o[0]))
+    used, want = [set(), set()], {}
+    for score, o, n, c in sorted(found):
+        if o not in used[0] and n not in used[1]:
+            used[0].add(o), used[1].add(n)
+            want[(c, o, n)] = round(-score, 9)
+    assert got == want and len(want) >= 5
+
+
+def test_running_aggregates_against_brute_force(spark):
+    from larkspur.operators.running import at_moments
+
+    rng = random.Random(2)
+    facts = [("a" if rng.random() < 0.8 else "b", D(rng.randrange(90)), rng.choice([1, 2, None])) for _ in range(200)] + [("a", None, 9), (None, D(3), 9)]
+    cases = [(i, rng.choice(["a", "b", "c"]), D(rng.randrange(-5, 95))) for i in range(80)] + [(900, "a", None), (901, None, D(5))]
+    out = at_moments(spark.createDataFrame(cases, "case_id int, k string, replay_at timestamp"), spark.createDataFrame(facts, "k string, at timestamp, v int"), ["k"], "at", {"n": ("sum", F.col("v")), "last": ("max", F.col("at")), "least": ("min", F.col("v"))}, days=7)
+    got = {r.case_id: (r.n, r["last"], r.least) for r in out.collect()}
+    for i, k, t in cases:
+        seen = [(a, v) for x, a, v in facts if x is not None and x == k and a is not None and t is not None and a <= t]
+        assert got[i] == (sum(v or 0 for _, v in seen), max((a for a, _ in seen), default=None), min((v for _, v in seen if v is not None), default=None)), i
+
+
+def test_cached_responses_may_be_older_than_the_latest(spark):
+    from larkspur.operators import corpus as C
+
+    rng = random.Random(4)
+    at = lambda: D(0) + dt.timedelta(hours=rng.randrange(300))
+    cache = [(rng.choice("ab"), f, f + dt.timedelta(hours=rng.choice([-1, 0, 3, 30, 200])), i) for i, f in enumerate(at() for _ in range(60))]
+    asks = [(i, rng.choice("abc"), at()) for i in range(150)]
+    out = C.cached(spark.createDataFrame(asks, "i int, k string, asked timestamp"), spark.createDataFrame(cache, "k string, fetched_at timestamp, expires_at timestamp, response int"), ["k"], "asked")
+    got = {r.i: (r.fetched_at, r.response) for r in out.collect()}
+    for i, k, t in asks:
+        hits = [(f, e, r) for x, f, e, r in cache if x == k and f <= t < e]
+        want = max(hits, default=None)
+        assert got[i] == ((None, None) if want is None else (want[0], want[2])), i
+
+
+def test_refreshes_against_brute_force(spark):
+    from larkspur.operators import changes
+
+    rng = random.Random(6)
+    found = [("k", D(a), D(a + rng.randrange(1, 70))) for a in (rng.randrange(100) for _ in range(25))]
+    stamps = [("k", D(rng.randrange(-10, 190))) for _ in range(9)] + [("z", D(1))]
+    got = changes.refreshes(spark.createDataFrame(stamps, "k string, stated_at timestamp"), spark.createDataFrame(found, "k string, changed_after timestamp, changed_by timestamp"), ["k"], 3).collect()
+    three = dt.timedelta(days=3)
+    hits = {t: min(b for _, a, b in found if a - three <= t <= b + three) for k, t in stamps if k == "k" and any(a - three <= t <= b + three for _, a, b in found)}
+    assert [(r.refreshed_at, r.detected_by) for r in got] == [max(hits.items())]
+
+
+def test_windows_merge_without_a_key(spark):
+    from larkspur.operators.intervals_join import merged_windows
+
+    rng, rows = random.Random(1), []
+    for _ in range(80):
+        a = rng.randrange(400)
+        rows.append((D(a), D(a + rng.randrange(0, 6))))
+    want = []
+    for a, b in sorted(rows):
+        if want and a <= want[-1][1]:
+            want[-1][1] = max(want[-1][1], b)
+        else:
+            want.append([a, b])
+    got = merged_windows(spark.createDataFrame(rows, "started_at timestamp, finished_at timestamp")).orderBy("started_at").collect()
+    assert [[r.started_at, r.finished_at] for r in got] == want
+
+
+def test_refused_steps_cost_nothing(spark):
+    rows = spark.createDataFrame([(1, i, c) for i, c in enumerate([0.5, 0.6, 0.4, 0.2, 0.1])] + [(2, 0, None)], "run_id int, step_index int, usd double")
+    got = {(r.run_id, r.step_index): (r.allowed, round(r.spent_usd, 6)) for r in policy.budget(rows, {"usd": 1.0}).collect()}
+    assert got == {(1, 0): (True, 0.5), (1, 1): (False, 0.5), (1, 2): (True, 0.9), (1, 3): (False, 0.9), (1, 4): (True, 1.0), (2, 0): (True, 0.0)}
+    assert [r.allowed for r in policy.budget(rows, {"usd": 9.0}, most=2).filter("run_id = 1").orderBy("step_index").collect()] == [True, True, False, False, False]
+
+
+def test_claims_are_read_by_the_rules(spark):
+    from larkspur.operators import inputs as I
+
+    cases = spark.createDataFrame([(1, D(100), True), (2, D(100), False), (3, D(100), True)], "case_id int, replay_at timestamp, resolver_ok boolean")
+    cols = "case_id int, evidence_id string, probe string, claim_type string, value string, source_quality string, source_event_at timestamp, available_at timestamp, fetched_at timestamp"
+    rows = [
+        (1, "e1", "board_snapshot", "posting_state", "closed", None, None, D(99), D(99)), (1, "e2", "resolve_posting", "posting_state", " Open", None, None, D(50), D(50)),
+        (1, "e3", "resolve_posting", "first_published", "x", "page_structured", D(10), D(50), D(50)), (1, "e4", "resolve_posting", "first_published", "x", "ats_native", D(20), D(50), D(50)), (1, "e5", "resolve_posting", "first_published", "x", "archive", D(1), D(50), D(50)),
+        (1, "e6", "company_events", "company_events_searched", "x", None, None, D(50), D(50)), (1, "e7", "company_events", "layoff", "cuts: many", None, D(30), D(50), D(50)), (1, "e8", "other", "hiring_freeze", "material: x", None, D(30), D(50), D(50)),
+        (2, "f1", "company_events", "layoff", "material: x", None, D(30), D(50), D(50)), (2, "f2", "team_signal", "corroborating_hiring_signal", " No", None, None, D(50), D(50)), (2, "f3", "resolve_posting", "posting_state", "open", None, None, D(5), D(5)),
+    ]
+    got = {r.case_id: r for r in I.policy_inputs(cases, spark.createDataFrame(rows, cols)).withColumn("open_", I.unresolved()).collect()}
+    a, b, c = got[1], got[2], got[3]
+    assert (a.posting_state, a.first_published, a.publish_recency, a.material_negative_event, a.freeze_or_pause, a.last_material_event_at.date(), a.expiry_known) == ("open", D(20), "not_recent", True, False, D(30).date(), True)
+    assert (b.posting_state, b.material_negative_event, b.corroborating_hiring_signal, b.expiry_known, b.last_material_event_at) == ("open", None, False, False, None)
+    assert c.posting_state is None and set(c.open_) == set(I.NAMES) and "declared_expiry" not in a.open_
+    late = spark.createDataFrame([("first_published", "2026-04-11", D(100) - dt.timedelta(hours=12)), ("first_published", "2026-04-12", D(100) + dt.timedelta(hours=12)), ("first_published", "t", D(100) + dt.timedelta(hours=1)), ("posting_state", "t", D(200))], "claim_type string, value string, source_event_at timestamp").withColumn("first_observed", F.lit(D(100)))
+    assert [r.claim_type for r in I.guarded_publish(late).collect()] == ["first_published", "first_published", "publish_date_after_first_seen", "posting_state"]
+
+
+def test_unknown_dates_are_questions_too(spark):
+    from larkspur.operators import corpus as C
+
+    cols = "case_id int, posting_state string, freeze_or_pause boolean, material_negative_event boolean, repost_pattern string, corroborating_hiring_signal boolean, publish_recency string, quality string, long_lived boolean, declared_expiry timestamp, last_material_event_at timestamp, last_refreshed_at timestamp, expiry_known boolean, events_searched boolean"
+    rows = [(1, "reposted", False, False, "none", False, "recent", "strong", False, None, None, None, False, True), (2, "reposted", False, False, "none", False, "recent", "strong", False, None, None, None, True, True), (3, "open", False, True, "none", False, "recent", "strong", False, None, None, D(5), True, False), (4, "closed", None, None, None, None, None, "strong", None, None, None, None, False, False)]
+    got = {r.case_id: set(r.could_change) for r in C.could_change(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {1: {"declared_expiry"}, 2: set(), 3: {"last_material_event_at"}, 4: set()}
+
+
+def test_controller_runs_or_stops(spark):
+    from larkspur.operators import routing
+
+    rows = spark.createDataFrame([(1, ["repost_pattern", "freeze_or_pause"], []), (2, [], []), (3, ["freeze_or_pause"], ["company_events"]), (4, ["freeze_or_pause", "material_negative_event", "repost_pattern"], [])], "case_id int, could_change array<string>, executed array<string>")
+    out = routing.proposed(rows, {"repost_history": 1.0, "requirements_drift": 1.0, "company_events": 1.0, "team_signal": 1.0})
+    got = {r.case_id: ([p.probe for p in r.proposed], r.s.verdict, r.s.probe, r.s.why) for r in out.withColumn("s", routing.next_step(F.lit(0.0), F.size("executed"), 4, 1.0)).collect()}
+    assert got == {1: (["company_events", "repost_history"], "RUN", "company_events", None), 2: ([], "STOP", None, "action_settled"), 3: ([], "STOP", None, "no_eligible_probe"), 4: (["company_events", "repost_history"], "RUN", "company_events", None)}
+    assert out.select(routing.next_step(F.lit(0.5), F.lit(0), 4, 1.0)["why"]).first()[0] == "budget_exhausted"
+
+
+def test_fitted_intervals_predict_within_their_support():
+    import numpy as np
+
+    left, right, mass = np.array([1.0, 4.0]), np.array([2.0, np.inf]), np.array([0.5, 0.5])
+    assert [survival.interval_survival(left, right, mass, h) for h in (0.5, 1.5, 2.0, 9.0)] == [1.0, 0.75, 0.5, None]
+
+
+def test_efficiency_counts_regret_and_recovery(spark):
+    rows = [(["a", "b"], ["a"], "x", "y", "x"), (["a"], ["a", "c"], "x", "x", "y"), ([], [], "x", "y", "x")]
+    df = spark.createDataFrame(rows, "A_probes array<string>, R_probes array<string>, A_action string, final string, settled string")
+    r = metrics.efficiency(df, "A", "R", "settled", "final").first()
+    assert (r.cases, r.reference_probes, r.probes, r.missed, r.extra, r.regret, r.recovered, r.spoiled) == (3, 3, 3, 1, 1, 1, 1, 2)
+
+
+def test_small_operators_without_tables(spark):
+    from larkspur.sources import boards
+
+    links = spark.createDataFrame([("a", 1, 7, 0.8, 1.0, None), ("a", 1, 5, 0.9, 1.0, 1.0), ("a", 1, 4, 0.9, 0.9, None)], "company_id string, old_job_id int, new_job_id int, combined double, title_score double, description_score double")
+    assert [(r.new_job_id, r.combined) for r in matching.best_link(links).collect()] == [(4, 0.9)]
+    gate = metrics.product_gate(spark.createDataFrame([], "posting_id int, outcome_type string"), None, spark.createDataFrame([], "posting_id int, action string")).first()
+    assert gate.status == "unproven" and gate.missing.startswith("no outcomes; no splits") and boards
+    curve = spark.createDataFrame([(1.0, 0.9, 0.7, 1.0), (2.0, 0.5, 0.3, 0.8), (3.0, 0.4, 0.2, 0.5)], "time double, survival double, ci_low double, ci_high double")
+    assert tuple(survival.median_interval(curve).first()) == (2.0, 2.0, 3.0)
