@@ -22,19 +22,21 @@ are no labels. An empty table gives an empty table. Extra columns are ignored, w
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import crc_of_id, map_rows, prepare, release
 from larkspur.session import written
 
-SAMPLE, SAMPLE_BYTES, PREFIXES, DENSE, BLOCK, K, PRIOR = 2000, 32 << 20, (3, 4, 5, 6), 2048, 64, 15, 0.5
+SAMPLE, SAMPLE_BYTES, PREFIXES, DENSE, BLOCK, K, PRIOR = 1500, 32 << 20, (3, 4, 5, 6), 2048, 64, 15, 0.5
 WORD = re.compile(r"[^\W\d_]+")
 #: So many words are remembered in a task; so many texts and entries of lists are taken at once.
 REMEMBERED, TEXTS, ENTRIES = 200_000, 256, 2_000_000
@@ -47,27 +49,53 @@ def terms_of(word: str) -> tuple[str, ...]:
     return (word, *(word[:n] + "~" for n in PREFIXES if len(word) > n))
 
 
+class Known(dict):
+    """Numbers of words; a word seen for the first time adds its terms to the lists of its Bag."""
+
+    def __init__(self, bag: Bag) -> None:
+        super().__init__()
+        self.bag = bag
+
+    def __missing__(self, word: str) -> int:
+        at, bag = self.bag.at, self.bag
+        bag.terms.extend(at[t] for t in terms_of(word) if t in at)
+        bag.ends.append(len(bag.terms))
+        self[word] = number = len(bag.ends) - 2
+        return number
+
+
 class Bag:
-    """Counts of the vocabulary's terms in a text."""
+    """Counts of the vocabulary's terms in texts."""
 
     def __init__(self, vocabulary: list[str]) -> None:
         self.at = {t: i for i, t in enumerate(vocabulary)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        # the terms of word k are terms[ends[k] : ends[k + 1]]
+        self.terms, self.ends, self.known = array("i"), array("i", [0]), Known(self)
 
-    def __call__(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        if not text:
-            return out
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ptr, ids, tf): text k holds terms ids[ptr[k] : ptr[k + 1]], each tf times."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, at = self.known, self.at
-        for w, n in Counter(WORD.findall(text.lower())).items():
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = tuple(at[t] for t in terms_of(w) if t in at)
-            for i in ids:
-                out[i] = out.get(i, 0) + n
-        return out
+            self.clear()
+        words, times, size = [], [], []
+        for t in texts:
+            found = Counter(WORD.findall(t.lower())) if t else {}
+            words.extend(map(self.known.__getitem__, found))
+            times.extend(found.values())
+            size.append(len(found))
+        if not self.terms or not words:
+            return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        terms, ends, number = np.frombuffer(self.terms, np.int32), np.frombuffer(self.ends, np.int32).astype(np.int64), np.array(words)
+        n = ends[number + 1] - ends[number]
+        at = np.repeat(ends[number] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        key = np.repeat(np.repeat(np.arange(len(texts)), size), n) * len(self.at) + terms[at]
+        order = np.argsort(key)
+        key, tf = key[order], np.repeat(np.array(times), n)[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        key = key[starts]
+        return np.searchsorted(key, np.arange(len(texts) + 1) * len(self.at)), (key % len(self.at)).astype(np.int32), np.add.reduceat(tf, starts) if len(starts) else tf
 
 
 @dataclass
@@ -79,12 +107,12 @@ class Vectors:
     w: np.ndarray
 
     @classmethod
-    def of(cls, bags: list[dict[int, int]], weight: np.ndarray) -> Vectors:
-        size = [len(b) for b in bags]
-        ids = np.fromiter((i for b in bags for i in b), np.int64, sum(size))
-        w = (1 + np.log(np.fromiter((n for b in bags for n in b.values()), float, sum(size)))) * weight[ids]
-        own = np.repeat(np.arange(len(bags)), size)
-        return cls(np.r_[0, np.cumsum(size)], ids, w / np.sqrt(np.bincount(own, weights=w**2, minlength=len(bags)))[own])
+    def of(cls, bags: tuple[np.ndarray, np.ndarray, np.ndarray], weight: np.ndarray) -> Vectors:
+        """From the terms of each row and how often each occurs."""
+        ptr, ids, tf = bags
+        w = (1 + np.log(tf)) * weight[ids]
+        own = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+        return cls(ptr, ids, w / np.sqrt(np.bincount(own, weights=w**2, minlength=len(ptr) - 1))[own])
 
     def own(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
@@ -104,9 +132,9 @@ class Index:
         self.row = np.full(terms, -1)
         self.row[longest] = np.arange(len(longest))
         own, row = vectors.own(), self.row[vectors.ids]
-        self.dense = np.zeros((len(longest), self.blocks * BLOCK), np.float32)
-        self.dense[row[row >= 0], own[row >= 0]] = vectors.w[row >= 0]
-        self.largest = self.dense.reshape(len(longest), self.blocks, BLOCK).max(2)
+        self.dense = np.zeros((self.blocks * BLOCK, len(longest)), np.float32)
+        self.dense[own[row >= 0], row[row >= 0]] = vectors.w[row >= 0]
+        self.largest = self.dense.reshape(self.blocks, BLOCK, len(longest)).max(1)
         listed = np.flatnonzero(row < 0)
         listed = listed[np.argsort(vectors.ids[listed], kind="stable")]
         self.starts = np.searchsorted(vectors.ids[listed], np.arange(terms + 1))
@@ -124,7 +152,7 @@ class Index:
     def some(self, texts: Vectors, skip: np.ndarray | None, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, width, own = len(texts.ptr) - 1, self.blocks * BLOCK, texts.own()
         row = self.row[texts.ids]
-        q = np.zeros((n, len(self.dense)))
+        q = np.zeros((n, self.dense.shape[1]))
         q[own[row >= 0], row[row >= 0]] = texts.w[row >= 0]
         # the lists of all texts, one behind the other
         ids, of, w = texts.ids[row < 0], own[row < 0], texts.w[row < 0]
@@ -134,13 +162,13 @@ class Index:
         if skip is not None:
             listed[np.arange(n), skip] = -np.inf
         narrow = q.astype(np.float32)
-        bound = narrow @ self.largest + listed.reshape(n, self.blocks, BLOCK).max(2) + 1e-5
+        bound = narrow @ self.largest.T + listed.reshape(n, self.blocks, BLOCK).max(2) + 1e-5
         score = np.full((n, width), -np.inf)
 
         def visit(todo: np.ndarray) -> np.ndarray:
             for b in np.flatnonzero(todo.any(0)).tolist():
                 i, s = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-                score[i, s] = narrow[i] @ self.dense[:, s] + listed[i, s]
+                score[i, s] = narrow[i] @ self.dense[s].T + listed[i, s]
             return np.partition(score, -k, 1)[:, -k] if width >= k else np.full(n, -np.inf)
 
         first = np.zeros((n, self.blocks), bool)
@@ -149,7 +177,7 @@ class Index:
         least = visit(~first & (bound >= least[:, None] - 1e-5))
         # what single precision can't tell apart is computed again
         i, e = np.nonzero((score >= least[:, None] - 1e-5) & (score > 1e-9))
-        exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ji->i", q[i[a : a + 4096]], self.dense[:, e[a : a + 4096]].astype(float)) for a in range(0, len(i), 4096))]) + listed[i, e]
+        exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[i[a : a + 4096]], self.dense[e[a : a + 4096]]) for a in range(0, len(i), 4096))]) + listed[i, e]
         exact = np.round(exact, 7)
         cuts = np.searchsorted(i, np.arange(1, n))
         for d, s in zip(np.split(e, cuts), np.split(exact, cuts), strict=True):
@@ -193,10 +221,10 @@ class Model:
         w = s * self.share[y]
         return float(((w * y).sum() + PRIOR * self.rate) / (w.sum() + PRIOR))
 
-    def scores(self, bags: list[dict[int, int]]) -> list[tuple[float, int, float]]:
+    def scores(self, bags: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[float, int, float]]:
         """Of each text the calibrated score; position and cosine of the nearest example, or -1 and 0. Votes that isotonic regression ties are told apart in the sixth decimal."""
         if self.index is None:
-            return [(self.rate, -1, 0.0)] * len(bags)
+            return [(self.rate, -1, 0.0)] * (len(bags[0]) - 1)
         out = []
         for d, s in self.index.nearest(Vectors.of(bags, self.weight)):
             v = self.vote(d, s)
@@ -210,22 +238,20 @@ def identity(text: str, key: str) -> list[Column]:
     return [F.xxhash64(key, text).alias("h1"), F.xxhash64(text, key, F.lit(1)).alias("h2")]
 
 
-def frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> tuple[np.ndarray, int]:
-    """How many of all documents hold each term, and how many there are. Every task counts in one array."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def frequencies(docs: DataFrame, shared: Broadcast, text: str = "text") -> tuple[np.ndarray, int]:
+    """How many of all documents hold each term of the broadcast vocabulary, and how many there are. Every task counts in one array."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bag, seen, rows = Bag(shared.value), np.zeros(len(shared.value), np.int64), 0
         for b in batches:
             rows += b.num_rows
-            held = [np.fromiter(bag(x), np.int64) for x in b.column(0).to_pylist()]
-            seen += np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=len(seen))
+            seen += np.bincount(bag(b.column(0).to_pylist())[1], minlength=len(seen))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[seen[at], rows])], ["i", "n"])
         release()
 
     found = docs.select(text).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    df, i, n = np.zeros(len(vocabulary)), found["i"].to_numpy(), found["n"].to_numpy()
+    df, i, n = np.zeros(len(shared.value)), found["i"].to_numpy(), found["n"].to_numpy()
     df[i[i >= 0]] = n[i >= 0]
     return df, int(n[i < 0].sum())
 
@@ -253,31 +279,37 @@ def learn(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text"
     words = map_rows(sample.select("__y", "__t"), "y int, terms array<string>", make_terms).select("y", F.explode("terms").alias("term"))
     terms = words.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("c")).orderBy("term").toArrow()
     vocabulary, a, c = terms["term"].to_pylist(), terms["a"].to_numpy(), terms["c"].to_numpy()
-    df, count = frequencies(docs, vocabulary, text)
+    del terms
+    shared = spark.sparkContext.broadcast(vocabulary)
+    df, count = frequencies(docs, shared, text)
 
     def make_bags() -> Callable[[pa.RecordBatch], dict]:
-        bag = Bag(vocabulary)
+        bag = Bag(shared.value)
 
         def f(b: pa.RecordBatch) -> dict:
-            found = [bag(x) for x in b.column(2).to_pylist()]
-            return {"k": b.column(0), "y": b.column(1), "ids": [np.fromiter(x, "<i4").tobytes() for x in found], "tf": [np.fromiter(x.values(), "<i4").tobytes() for x in found]}
+            ptr, ids, tf = bag(b.column(2).to_pylist())
+            return {"k": b.column(0), "y": b.column(1), **{c: [v[a:z].astype("<i4").tobytes() for a, z in zip(ptr[:-1], ptr[1:], strict=True)] for c, v in (("ids", ids), ("tf", tf))}}
 
         return f
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = map_rows(sample.select(key, "__y", "__t"), f"k {kind}, y int, ids binary, tf binary", make_bags).toArrow().to_pylist()
-    bags = [dict(zip(np.frombuffer(r["ids"], "<i4").tolist(), np.frombuffer(r["tf"], "<i4").tolist(), strict=True)) for r in rows]
-    # alike examples share a block: those of one class that hold the same rare terms of the most examples
+    # examples stay packed on the driver: their number and their texts' bytes are bounded
+    rows = map_rows(sample.select(key, "__y", "__t"), f"k {kind}, y int, ids binary, tf binary", make_bags).toArrow()
+    keys, y = np.array(rows["k"].to_pylist()), rows["y"].to_numpy()
+    ids, tf = ([np.frombuffer(x.as_py(), "<i4") for x in rows[c]] for c in ("ids", "tf"))
+    del rows
+    # alike examples share a block: those of one class that hold the same of the terms of the most examples
     held = a + c
-    order = sorted(range(len(rows)), key=lambda i: (rows[i]["y"], sorted(bags[i], key=lambda t: (-held[t], t))[:8], rows[i]["k"]))
-    rows, bags = [rows[i] for i in order], [bags[i] for i in order]
-    y = np.array([r["y"] for r in rows])
+    common = [tuple(sorted(i.tolist(), key=lambda t: (-held[t], t))[:8]) for i in ids]
+    order = sorted(range(len(keys)), key=lambda i: (y[i], common[i], keys[i]))
+    keys, y, ids, tf = keys[order], y[order], [ids[i] for i in order], [tf[i] for i in order]
     n0, n1 = np.bincount(y, minlength=2)
     weight = (np.log((1 + count) / (1 + df)) + 1) * np.log2(2 + a / np.maximum(1, c * n1 / n0))
-    vectors = Vectors.of(bags, weight)
-    model = Model(rate, vocabulary, weight, Index(vectors, len(vocabulary)), np.array([r["k"] for r in rows]), y, np.array([totals[0] / n0, totals[1] / n1]))
-    votes = np.array([model.vote(d, s) for d, s in model.index.nearest(vectors, np.arange(len(rows)))])
+    vectors = Vectors.of((np.r_[0, np.cumsum([len(x) for x in ids])], np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int32), *tf])), weight)
+    model = Model(rate, vocabulary, weight, Index(vectors, len(vocabulary)), keys, y, np.array([totals[0] / n0, totals[1] / n1]))
+    votes = np.array([model.vote(d, s) for d, s in model.index.nearest(vectors, np.arange(len(keys)))])
     model.x, model.y = isotonic(votes, y.astype(float), model.share[y])
+    shared.destroy()
     return model
 
 
@@ -292,7 +324,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
         bag = Bag(m.vocabulary)
 
         def f(b: pa.RecordBatch) -> dict:
-            got = m.scores([bag(t) for t in b.column(3).to_pylist()])
+            got = m.scores(bag(b.column(3).to_pylist()))
             return {"k": b.column(0), "h1": b.column(1), "h2": b.column(2), "score": [g[0] for g in got], "nearest": [None if g[1] < 0 else m.keys[g[1]].item() for g in got], "cosine": [g[2] for g in got]}
 
         return f
