@@ -20,10 +20,10 @@ lie in different components are compared: those of short runs as rows, those of
 chunks) as bit sets inside a task, which returns links only. A pair of several long runs is compared in the first. What is left out of comparison therefore lies within a component or shares
 too few signatures: no link between texts is lost, and a group of copies costs its size, not its square.
 
-Null texts and those without words have an empty set and link with nothing, as do rows with a null key, whose other
-columns are null in the result; with fewer than five words the whole
-sequence is one shingle. Rows that repeat a key must repeat its text; each such row gets the key's class. Extra columns
-are ignored. Hashes of 64 bits are taken for shingles: two different ones in a pair of texts are mixed up less than once in 10^12 pairs.
+Null texts and those without words have an empty set and link with nothing; with fewer than five words the whole
+sequence is one shingle. Rows with a null key link with nothing either: they have their set's size and a null class. A key stands for
+one document: rows that repeat it get the key's class, and of different texts under one key that with the least digest stands for it. An empty table gives
+an empty table. Extra columns are ignored, whatever their names. Hashes of 64 bits are taken for shingles: two different ones in a pair of texts are mixed up less than once in 10^12 pairs.
 """
 
 from __future__ import annotations
@@ -331,9 +331,15 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     spark = docs.sparkSession
     prepare(spark)
     digest = F.coalesce(F.md5(F.encode(F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "utf-8")), F.lit(""))
-    missing = docs.filter(F.col(key).isNull()).select(key, F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    missing = sizes_alone(docs.filter(F.col(key).isNull()).select(F.col(text).alias("t"))).select(F.lit(None).cast(docs.schema[key].dataType).alias(key), "n_shingles", F.lit(None).cast("long").alias("component_id"))
     docs = docs.filter(F.col(key).isNotNull())
-    rows = written(docs.select(F.col(key).cast("long").alias("k"), digest.alias("d"), F.octet_length(text).alias("o")))
+    all_ = written(docs.select(F.col(key).cast("long").alias("k"), digest.alias("d"), F.octet_length(text).alias("o")))
+    # keys with several texts, of which there ought to be none
+    torn = written(all_.groupBy("k").agg(F.min("d").alias("least"), F.max("d").alias("most")).filter("least <> most").select("k", "least"))
+    rows = all_
+    if torn.limit(1).count():
+        rows = written(all_.join(sized_broadcast(torn), "k", "left").withColumn("d", F.coalesce("least", "d")).drop("least"))
+        docs = docs.join(sized_broadcast(torn.select(F.col("k").alias("__k"), F.col("least").alias("__least"))), F.col(key).cast("long") == F.col("__k"), "left").filter(F.col("__least").isNull() | (F.col("__least") == digest)).select(F.col(key), F.col(text)).dropDuplicates([key])
     firsts = written(rows.groupBy("d").agg(F.min("k").alias("rep"), F.max("o").alias("o")))
     total = firsts.agg(F.sum("o")).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (BYTES_EACH * TOGETHER)))
@@ -368,3 +374,13 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     out = rows.join(firsts.select("d", "rep"), "d").join(sizes, "rep").join(final, F.col("rep") == F.col("node"), "left")
     found = out.select(F.col("k").cast(docs.schema[key].dataType).alias(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("k")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
     return found.unionByName(missing)
+
+
+def sizes_alone(texts: DataFrame) -> DataFrame:
+    """n_shingles of each text (column t)."""
+
+    def make() -> Callable[[pa.RecordBatch], dict]:
+        shingles = Shingles()
+        return lambda b: {"n_shingles": [len(shingles.one(t)) for t in b.column(0).to_pylist()]}
+
+    return map_rows(texts, "n_shingles long", make)

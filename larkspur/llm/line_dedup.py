@@ -5,10 +5,10 @@ A window that occurs again, in any document, is kept at its first place in the o
 later place its three lines are marked, and the marked positions of overlapping windows merge into what is removed.
 
 Groups of equal windows are only ever reduced to their first place (combined before the shuffle), and each window meets
-at most one such row, so a passage that a third of all rows share costs a row each. Windows that hold a blank line only
-count if a line of theirs isn't blank. Null texts stay null, empty ones and those of fewer than three lines stay as they
+at most one such row. The windows that make up more than one in HOT_SHARE of all are at most so many: their first places are broadcast, and
+others meet theirs by a shuffle, so no task gets the rows of a passage that a third of all documents share. Windows of blank lines alone don't count. Null texts stay null, empty ones and those of fewer than three lines stay as they
 are. A text that loses all its lines becomes empty. Rows that repeat a key are told apart by a number that their text
-gives them; equal rows share their fate. Other columns are kept as they are.
+gives them; equal rows share their fate. An empty table gives an empty table. Other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,18 +40,41 @@ def windows(rows: DataFrame, lines: str) -> DataFrame:
     return rows.select("__id", F.posexplode(packed).alias("pos", "w")).filter("w.f").select("__id", "pos", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
 
 
+def added(docs: DataFrame) -> tuple[str, str, str]:
+    """The names of the columns that line_dedup adds to docs: the text's lines, the sorted positions of the removed ones, and what is left. They don't clash with those of docs."""
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    return f"{mark}lines", f"{mark}gone", f"{mark}text"
+
+
+#: A window is hot if this many would make up all windows: hot ones are so few that their first places are broadcast.
+HOT_SHARE, LEAST_HOT = 10_000, 1_000
+
+
+def later_places(found: DataFrame) -> DataFrame:
+    """__id, pos of the windows that occurred before. The windows of most rows meet their first places without a shuffle, so no task holds all rows of a common passage."""
+    first = written(found.groupBy("h1", "h2").agg(F.min(F.struct("__id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    bar = max(LEAST_HOT, found.count() // HOT_SHARE)
+    hot, cold = F.broadcast(first.filter(F.col("n") > bar).drop("n")), first.filter(F.col("n") <= bar).drop("n")
+    rest = found.join(F.broadcast(first.filter(F.col("n") > bar).select("h1", "h2")), ["h1", "h2"], "left_anti")
+    met = found.join(hot, ["h1", "h2"]).unionByName(rest.join(cold, ["h1", "h2"]))
+    return met.filter(F.struct("__id", "pos") > F.col("first")).select("__id", "pos")
+
+
 def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with __lines, __gone (sorted positions of the removed lines) and __text (what is left) added; the columns of docs stay."""
-    # the same key with different texts: both hashes are part of the identity
-    rows = docs.withColumn("__id", F.struct(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"))).withColumn("__lines", F.split(F.col(text), "\n", -1))
-    found = written(windows(rows.select("__id", "__lines"), "__lines"))
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("__id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, ["h1", "h2"]).filter(F.struct("__id", "pos") > F.col("first"))
-    gone = later.select("__id", F.explode(F.sequence(F.col("pos"), F.col("pos") + WINDOW - 1)).alias("p")).groupBy("__id").agg(F.sort_array(F.collect_set("p")).alias("__gone"))
-    out = rows.join(gone, "__id", "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
-    kept = F.filter("__lines", lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    left = F.when(F.size("__gone") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
-    return out.withColumn("__text", left).drop("__id")
+    """docs with the three columns that added() names; the columns of docs stay, whatever their names."""
+    lines, gone, left = added(docs)
+    rows = docs.withColumn(lines, F.split(F.col(text), "\n", -1))
+    # the same key with different texts: both are part of the identity
+    identity = F.struct(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"))
+    found = written(windows(rows.select(identity.alias("__id"), F.col(lines).alias("__lines")), "__lines"))
+    removed = later_places(found).select("__id", F.explode(F.sequence(F.col("pos"), F.col("pos") + WINDOW - 1)).alias("p")).groupBy("__id").agg(F.sort_array(F.collect_set("p")).alias("__p"))
+    # one struct carries the columns of docs, so that none of theirs can clash with one of the join's
+    packed = rows.select(identity.alias("__id"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"))
+    out = packed.join(removed, "__id", "left").select("__row.*", F.coalesce("__p", F.array().cast("array<int>")).alias(gone))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(F.col(lines), i))
+    return out.withColumn(left, F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col(text)))
 
 
 ORACLE = """

@@ -2,19 +2,20 @@
 
 Each source has a weight schedule over training time 0..1: w(t) = 1 + a (2 t - 1), with a slope a that runs from -SLOPE
 (early sources) to +SLOPE (late ones) with the source's rank. Its integral t + a (t^2 - t) is the share of the source's
-demand that training has met by time t. A document that stands at share u of its source's demand is assigned the
-time at which the integral reaches u, found by inverting the quadratic; sorting by these positions by range gives the
-training order. A source's target may exceed its size: then its documents are passed over again, up to LIMIT times.
+demand that training has met by time t. A document that stands at share u of its source's demand (of all words taken from it, full passes
+first, then those of the documents taken once more) is assigned the time at which the integral reaches u, found by inverting the quadratic; sorting
+by these positions by range gives the training order. A source's target may exceed its size: then its documents are passed over again, up to LIMIT times.
 
 Targets: sources in code point order (null last) weigh WEIGHTS in turn and share all words; a target stops at LIMIT
 times its source's size and the excess is shared again by weight until none is above. Every document is taken
 floor(target / size of source) times; the first documents in hash order are taken once more while they fit into the rest.
-What is left then (less than a document) is filled up FILLS times with further documents of half of it at most, so that a
-long document at the bound doesn't keep its source from its target.
+What is left then (less than a document) is filled up FILLS times with further documents of half of it at most, and FITS times with
+the longest one that fits, so that a long document at the bound doesn't keep its source from its target.
 
 Running sums are taken over hash buckets within sources, so that a source with a third of all rows is spread over BUCKETS
 groups. Null texts have size 0; documents of size 0 are taken 0 words (but keep a position). Equal rows take equal
-places: ties in hash order are broken by key, and rows that repeat a key follow one another. Reruns agree.
+places: ties in hash order are broken by key, and rows that repeat a key follow one another; the curriculum takes rows of one key and text as often as the
+one of them that is taken most. An empty table gives an empty table. Extra columns stay, whatever their names. Reruns agree.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """A row per document: __key, __copy (tells texts of one key apart), __source, __words, __source_size, __slope, __target, __start, __times, __taken, __position."""
+    """A row per document: __key, __copy (tells texts of one key apart), __source, __words, __source_size, __slope, __target, __start (words before it in its source), __full (full passes), __last (words before it in the last pass), __demand (all words taken from its source), __times, __taken, __position (of its first taking; null if it isn't taken)."""
     prepare(docs.sparkSession)
     order = F.xxhash64(F.col(key).cast("string"), F.lit("mix"))
     rows = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__copy"), F.col(source).alias("__source"), sized(F.col(text)).alias("__words"), order.alias("__hash"))
@@ -85,18 +86,32 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     full = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(0)
     out = by_source(running(rows), want).withColumn("__full", full).withColumn("__rest", F.col("__target") - F.col("__full") * F.col("__source_size"))
     out = written(out.withColumn("__more", (F.col("__start") + F.col("__words") <= F.col("__rest") + 1e-6).cast("long")))
-    for _ in range(FILLS):
+    for i in range(FILLS + FITS):
         left = out.groupBy("__source").agg((F.max("__rest") - F.sum(F.col("__more") * F.col("__words"))).alias("__left"))
-        free = by_source(out.filter("__more = 0 and __words > 0").select(*rows.columns), left).filter(F.col("__words") <= F.col("__left") / 2)
-        more = written(running(written(free)).filter(F.col("__start") + F.col("__words") <= F.col("__left")).select("__row", F.lit(1).cast("long").alias("__fill")))
+        free = by_source(out.filter((F.col("__more") == 0) & (F.col("__words") > 0) & (F.col("__full") < LIMIT)).select(*rows.columns), left)
+        if i < FILLS:
+            more = running(written(free.filter(F.col("__words") <= F.col("__left") / 2))).filter(F.col("__start") + F.col("__words") <= F.col("__left")).select("__row")
+        else:
+            more = free.filter(F.col("__words") <= F.col("__left")).groupBy("__source").agg(F.max_by("__row", F.struct("__words", "__hash", "__row")).alias("__row")).select("__row")
+        more = written(more.withColumn("__fill", F.lit(1).cast("long")))
         out = written(out.join(more, "__row", "left").withColumn("__more", F.coalesce("__fill", "__more")).drop("__fill"))
     out = out.withColumn("__times", F.least(F.col("__full") + F.col("__more"), F.lit(LIMIT)).cast("long"))
-    share = F.when(F.col("__target") > 0, F.least(F.lit(1.0), (F.col("__start") + F.col("__words") / 2) / F.col("__target"))).otherwise(F.lit(0.0))
-    return out.select("__key", "__copy", "__source", "__words", "__source_size", "__slope", "__target", "__start", "__times", (F.col("__times") * F.col("__words")).alias("__taken"), when_met(share, F.col("__slope")).alias("__position"))
+    # the last pass goes over the documents taken once more, in hash order: their demand starts where the full passes end
+    last = running(out.filter("__more = 1").select(*rows.columns)).select("__row", F.col("__start").alias("__last"))
+    taken = out.groupBy("__source").agg(F.sum(F.col("__times") * F.col("__words")).alias("__demand"))
+    out = by_source(out.join(last, "__row", "left"), taken)
+    return out.select("__key", "__copy", "__source", "__words", "__source_size", "__slope", "__target", "__start", "__full", "__last", "__demand", "__times", (F.col("__times") * F.col("__words")).alias("__taken"), position(F.lit(0)).alias("__position"))
 
 
-#: How often what is left of a target is filled up.
-FILLS = 3
+def position(pass_: Column) -> Column:
+    """When training reaches a document's pass_-th taking: the inverse of its source's demand at the middle of the document. Documents that aren't taken have none."""
+    start = F.when(pass_ < F.col("__full"), pass_ * F.col("__source_size") + F.col("__start")).otherwise(F.col("__full") * F.col("__source_size") + F.col("__last"))
+    share = F.coalesce(F.try_divide(start + F.col("__words") / 2, F.col("__demand")), F.lit(0.0))
+    return F.when(pass_ < F.col("__times"), when_met(F.least(F.lit(1.0), share), F.col("__slope")))
+
+
+#: How often what is left of a target is filled up with documents of half of it at most, and then with the longest one that fits.
+FILLS, FITS = 3, 2
 #: Targets are broadcast up to so many sources and joined by a shuffle beyond.
 FEW = 10_000
 
@@ -108,8 +123,8 @@ def small(rows: DataFrame) -> bool:
 def curriculum(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """docs in training order: each document as often as the mix takes it, range-sorted by its positions. The columns of docs stay."""
     plan = mix(docs, text, key, source)
-    plan = plan.filter("__times > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    share = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("__pass") * F.col("__source_size") + F.col("__start") + F.col("__words") / 2, F.col("__target"))), F.lit(0.0))
-    plan = plan.groupBy("__key", "__copy", "__pass").agg(F.min(when_met(share, F.col("__slope"))).alias("__position"))
-    out = docs.join(plan, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__copy")))
-    return out.repartitionByRange(F.col("__position")).sortWithinPartitions("__position", "__key", "__pass").select(*docs.columns)
+    plan = plan.filter("__times > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).withColumn("__at", position(F.col("__pass")))
+    plan = plan.groupBy("__key", "__copy", "__pass").agg(F.min("__at").alias("__at"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(key).alias("__k"), F.xxhash64(F.col(text)).alias("__c"))
+    out = row.join(plan, F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__c") == F.col("__copy")))
+    return out.repartitionByRange("__at", "__key", "__pass").sortWithinPartitions("__at", "__key", "__pass").select("__row.*")

@@ -51,8 +51,9 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.when(F.col("text").isNotNull(), F.size("__lines")).cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"), F.col("__text").alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines, gone, left = line_dedup.added(docs)
+    return line_dedup.line_dedup(docs).select("doc_id", F.when(F.col("text").isNotNull(), F.size(lines)).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.col(left).alias("text"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

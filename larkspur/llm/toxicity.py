@@ -158,7 +158,7 @@ class Index:
         ids, of, w = texts.ids[row < 0], own[row < 0], texts.w[row < 0]
         size = self.starts[ids + 1] - self.starts[ids]
         at = np.repeat(self.starts[ids] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(ids) else np.zeros(0, int)
-        listed = np.bincount(np.repeat(of * width, size) + self.examples[at], weights=np.repeat(w, size) * self.weights[at], minlength=n * width).reshape(n, width)
+        listed = np.bincount(np.repeat(of * width, size) + self.examples[at], weights=np.repeat(w, size) * self.weights[at], minlength=n * width).astype(float, copy=False).reshape(n, width)
         if skip is not None:
             listed[np.arange(n), skip] = -np.inf
         narrow = q.astype(np.float32)
