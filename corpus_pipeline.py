@@ -27,8 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that earlier documents hold; n_chars follows."""
+    _, _, left = line_dedup.added(docs)
     out = line_dedup.line_dedup(docs)
-    return out.select(*[(F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])
+    return out.select(*[(F.col(left).alias(c) if c == "text" else F.length(left).cast("long").alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +39,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, each as often as the mix takes it."""
+    """Documents in training order, each as often as the mix takes it: the files of the written stage, and the rows in them, stand in that order."""
     return mixing.curriculum(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their pieces, the number of these, and whether decoding gives the text back."""
+    """Documents with the ids of their pieces, the number of these, whether decoding gives the text back, and training_order: sorting by it gives the order that the mix assigned.
+
+    The stages between have the columns of documents only, so the order comes as that of files and rows; where docs isn't read from files, its own order counts.
+    """
     vocab = pieces.vocabulary_for(spark, vocabulary("piece_bpe_32k.model"))
-    return pieces.encode_checked(docs, vocab).select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip")
+    place = F.concat_ws("/", F.substring_index("_metadata.file_name", "-", 2), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")) if docs.inputFiles() else F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+    rows = docs.select("*", place.alias("training_order"))
+    return pieces.encode_checked(rows, vocab).select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip", "training_order")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
