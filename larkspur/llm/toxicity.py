@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import crc_of_id, map_rows, prepare, release
 from larkspur.session import written
 
-SAMPLE, SAMPLE_BYTES, PREFIXES, DENSE, BLOCK, K, PRIOR = 1500, 32 << 20, (3, 4, 5, 6), 2048, 64, 15, 0.5
+SAMPLE, SAMPLE_BYTES, PREFIXES, DENSE, BLOCK, K, PRIOR = 1250, 32 << 20, (3, 4, 5, 6), 3072, 64, 15, 0.5
 WORD = re.compile(r"[^\W\d_]+")
-#: So many words are remembered in a task; so many texts and entries of lists are taken at once.
-REMEMBERED, TEXTS, ENTRIES = 200_000, 256, 2_000_000
+#: So many words are remembered in a task; so many texts and entries of lists are taken at once; bits for how often a word occurs in a text.
+REMEMBERED, TEXTS, ENTRIES, TIMES = 200_000, 256, 2_000_000, 24
 #: So many blocks are visited before the others are held against the K-th best.
 FIRST = 3
 
@@ -90,9 +90,10 @@ class Bag:
         terms, ends, number = np.frombuffer(self.terms, np.int32), np.frombuffer(self.ends, np.int32).astype(np.int64), np.array(words)
         n = ends[number + 1] - ends[number]
         at = np.repeat(ends[number] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        key = np.repeat(np.repeat(np.arange(len(texts)), size), n) * len(self.at) + terms[at]
-        order = np.argsort(key)
-        key, tf = key[order], np.repeat(np.array(times), n)[order]
+        # sorted numbers of text, term and times in one; longer counts than TIMES bits hold are written as the most they hold
+        key = np.repeat(np.repeat(np.arange(len(texts)) * len(self.at), size), n) + terms[at]
+        key = np.sort(key << TIMES | np.repeat(np.minimum(np.array(times), (1 << TIMES) - 1), n))
+        tf, key = key & ((1 << TIMES) - 1), key >> TIMES
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         key = key[starts]
         return np.searchsorted(key, np.arange(len(texts) + 1) * len(self.at)), (key % len(self.at)).astype(np.int32), np.add.reduceat(tf, starts) if len(starts) else tf
@@ -166,7 +167,9 @@ class Index:
         score = np.full((n, width), -np.inf)
 
         def visit(todo: np.ndarray) -> np.ndarray:
-            for b in np.flatnonzero(todo.any(0)).tolist():
+            if 2 * todo.sum() > todo.size:  # most blocks of most texts: all at once
+                score[:] = narrow @ self.dense.T + listed
+            for b in [] if 2 * todo.sum() > todo.size else np.flatnonzero(todo.any(0)).tolist():
                 i, s = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
                 score[i, s] = narrow[i] @ self.dense[s].T + listed[i, s]
             return np.partition(score, -k, 1)[:, -k] if width >= k else np.full(n, -np.inf)
