@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.plans import corpus, evaluation, history, scalar_queries
+from larkspur.plans import corpus, evaluation, history, scalar_queries, summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (history, corpus, evaluation, scalar_queries)
+MODULES = (history, corpus, evaluation, scalar_queries, summaries)
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
