@@ -9,8 +9,8 @@ by these positions by range gives the training order. A source's target may exce
 Targets: sources in code point order (null last) weigh WEIGHTS in turn and share all words; a target stops at LIMIT
 times its source's size and the excess is shared again by weight until none is above. Every document is taken
 floor(target / size of source) times; the first documents in hash order are taken once more while they fit into the rest.
-What is left then (less than a document) is filled up FILLS times with further documents of half of it at most, and FITS times with
-the longest one that fits, so that a long document at the bound doesn't keep its source from its target.
+What is left then (less than a document) takes FITS times the longest document that fits, so that a long document at the bound doesn't
+keep its source from its target.
 
 Running sums are taken over hash buckets within sources, so that a source with a third of all rows is spread over BUCKETS
 groups. Null texts have size 0; documents of size 0 are taken 0 words (but keep a position). Equal rows take equal
@@ -85,16 +85,15 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     want = written(targets(rows.groupBy("__source").agg(F.sum("__words").alias("__size"))).withColumnRenamed("__size", "__source_size").drop("__rank"))
     full = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(0)
     out = by_source(running(rows), want).withColumn("__full", full).withColumn("__rest", F.col("__target") - F.col("__full") * F.col("__source_size"))
-    out = written(out.withColumn("__more", (F.col("__start") + F.col("__words") <= F.col("__rest") + 1e-6).cast("long")))
-    for i in range(FILLS + FITS):
+    base = written(out.withColumn("__more", (F.col("__start") + F.col("__words") <= F.col("__rest") + 1e-6).cast("long")))
+    picks, out = base.limit(0).select("__row", F.lit(1).cast("long").alias("__fill")), base
+    for _ in range(FITS):
         left = out.groupBy("__source").agg((F.max("__rest") - F.sum(F.col("__more") * F.col("__words"))).alias("__left"))
         free = by_source(out.filter((F.col("__more") == 0) & (F.col("__words") > 0) & (F.col("__full") < LIMIT)).select(*rows.columns), left)
-        if i < FILLS:
-            more = running(written(free.filter(F.col("__words") <= F.col("__left") / 2))).filter(F.col("__start") + F.col("__words") <= F.col("__left")).select("__row")
-        else:
-            more = free.filter(F.col("__words") <= F.col("__left")).groupBy("__source").agg(F.max_by("__row", F.struct("__words", "__hash", "__row")).alias("__row")).select("__row")
-        more = written(more.withColumn("__fill", F.lit(1).cast("long")))
-        out = written(out.join(more, "__row", "left").withColumn("__more", F.coalesce("__fill", "__more")).drop("__fill"))
+        longest = free.filter(F.col("__words") <= F.col("__left")).groupBy("__source").agg(F.max_by("__row", F.struct("__words", "__hash", "__row")).alias("__row"))
+        picks = written(picks.unionByName(longest.select("__row", F.lit(1).cast("long").alias("__fill"))))
+        out = base.join(picks, "__row", "left").withColumn("__more", F.coalesce("__fill", "__more")).drop("__fill")
+    out = written(out)
     out = out.withColumn("__times", F.least(F.col("__full") + F.col("__more"), F.lit(LIMIT)).cast("long"))
     # the last pass goes over the documents taken once more, in hash order: their demand starts where the full passes end
     last = running(out.filter("__more = 1").select(*rows.columns)).select("__row", F.col("__start").alias("__last"))
@@ -110,8 +109,8 @@ def position(pass_: Column) -> Column:
     return F.when(pass_ < F.col("__times"), when_met(F.least(F.lit(1.0), share), F.col("__slope")))
 
 
-#: How often what is left of a target is filled up with documents of half of it at most, and then with the longest one that fits.
-FILLS, FITS = 3, 2
+#: How often what is left of a target takes the longest document that fits.
+FITS = 4
 #: Targets are broadcast up to so many sources and joined by a shuffle beyond.
 FEW = 10_000
 
