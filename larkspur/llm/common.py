@@ -66,12 +66,3 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Calla
         release()
 
     return df.mapInArrow(run, schema)
-
-
-#: So many keys are broadcast; more are joined by a shuffle.
-FEW = 1_000_000
-
-
-def sized_broadcast(ids: DataFrame) -> DataFrame:
-    """ids, broadcast if their number is bounded by FEW."""
-    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids

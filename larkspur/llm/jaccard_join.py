@@ -39,9 +39,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_rows, prepare, sized_broadcast, words
+from larkspur.llm.common import map_rows, prepare, words
 from larkspur.llm.components import components
-from larkspur.session import written
+from larkspur.session import sized_broadcast, written
 
 WORDS, SIMILAR = 5, Fraction(4, 5)
 #: Bands start at STEP^i and reach STEP / SIMILAR times as far: sizes a <= b with a >= 0.8 b share the last band that starts at a or below.
