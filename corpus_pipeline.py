@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import jaccard_join, line_dedup, mixing, pieces, toxicity
-from larkspur.llm.common import sized_broadcast
 from larkspur.llm.queries import vocabulary
-from larkspur.session import table, written
+from larkspur.session import sized_broadcast, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
