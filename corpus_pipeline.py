@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +49,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The stages between have the columns of documents only, so the order comes as that of files and rows; where docs isn't read from files, its own order counts.
     """
     vocab = pieces.vocabulary_for(spark, vocabulary("piece_bpe_32k.model"))
-    place = F.concat_ws("/", F.substring_index("_metadata.file_name", "-", 2), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")) if docs.inputFiles() else F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
-    rows = docs.select("*", place.alias("training_order"))
+    try:
+        rows = docs.select("*", F.concat_ws("/", F.substring_index("_metadata.file_name", "-", 2), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")).alias("training_order"))
+    except AnalysisException:  # not read from files
+        rows = docs.select("*", F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0").alias("training_order"))
     return pieces.encode_checked(rows, vocab).select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip", "training_order")
 
 
