@@ -178,9 +178,13 @@ class Index:
         first[np.arange(n)[:, None], np.argsort(-bound, 1, kind="stable")[:, :FIRST]] = True
         least = visit(first)
         least = visit(~first & (bound >= least[:, None] - 1e-5))
-        # what single precision can't tell apart is computed again
+        # what single precision can't tell from the K-th is computed again
         i, e = np.nonzero((score >= least[:, None] - 1e-5) & (score > 1e-9))
-        exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[i[a : a + 4096]], self.dense[e[a : a + 4096]]) for a in range(0, len(i), 4096))]) + listed[i, e]
+        exact = score[i, e]
+        close = np.flatnonzero(exact <= least[i] + 1e-5)
+        for a in range(0, len(close), 1024):
+            x, y = i[close[a : a + 1024]], e[close[a : a + 1024]]
+            exact[close[a : a + 1024]] = np.einsum("ij,ij->i", q[x], self.dense[y]) + listed[x, y]
         exact = np.round(exact, 7)
         cuts = np.searchsorted(i, np.arange(1, n))
         for d, s in zip(np.split(e, cuts), np.split(exact, cuts), strict=True):
