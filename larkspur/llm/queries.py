@@ -7,7 +7,7 @@ import importlib.resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import embedding_dedup, html_extract, jaccard_join, line_dedup, lm_score, media, mixing, pieces, token_counts, toxicity
+from larkspur.llm import embedding_dedup, html_extract, importance, jaccard_join, line_dedup, lm_score, media, mixing, pieces, token_counts, toxicity, vector_codes
 from larkspur.session import table
 
 
@@ -65,5 +65,17 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_embedding_dedup, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_pieces, op7_lm_score, op8_line_dedup, op9_mixing, op10_media)}
-ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(F.col("__key").alias("doc_id"), F.col("__features").alias("n_features"), F.col("__weight").alias("weight"), F.col("__score").alias("score"), F.col("__rank").alias("rank"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_extraction, op2_embedding_dedup, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_pieces, op7_lm_score, op8_line_dedup, op9_mixing, op10_media, op12_vector_codes, op13_importance)
+}
+ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_importance": importance.ORACLE}
