@@ -128,7 +128,7 @@ counts AS (SELECT b, sum(n) FILTER (kind = 0) AS s, coalesce(sum(n) FILTER (kind
 totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s, coalesce(sum(t), 0)::DOUBLE AS t FROM counts),
 gain AS (SELECT b, CAST(floor(1000 * ln((c.t::DOUBLE + 1) * (a.s + {BUCKETS}) / ((c.s::DOUBLE + 1) * (a.t + {BUCKETS})))) AS BIGINT) AS g FROM counts c, totals a WHERE c.s IS NOT NULL),
 weights AS (SELECT id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * g) AS BIGINT) AS w FROM feats JOIN hashed USING (f) JOIN gain USING (b) WHERE kind = 0 GROUP BY id),
-scored AS (SELECT id AS doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(g.w, 0) AS weight,
+scored AS (SELECT id AS doc_id, len(d.w) AS n_words, coalesce(n, 0) AS n_features, coalesce(g.w, 0) AS weight,
   coalesce(g.w, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
   FROM worded d LEFT JOIN weights g USING (id) WHERE kind = 0),
 drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= {LEAST}
