@@ -7,7 +7,7 @@ import importlib.resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import embedding_dedup, html_extract, importance, jaccard_join, line_dedup, lm_score, media, mixing, pieces, token_counts, toxicity, vector_codes
+from larkspur.llm import embedding_dedup, html_extract, importance, jaccard_join, line_dedup, lm_score, media, mixing, pieces, quality, token_counts, toxicity, vector_codes
 from larkspur.session import table
 
 
@@ -65,6 +65,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.media(table(spark, sf_dir, "documents")))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), ~quality.held_out())
+    rows = quality.score(docs, model).withColumnRenamed("k", "doc_id")
+    return rows.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("nearest").alias("evidence"), "cosine")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(table(spark, sf_dir, "embeddings"))
 
@@ -76,6 +83,6 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_embedding_dedup, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_pieces, op7_lm_score, op8_line_dedup, op9_mixing, op10_media, op12_vector_codes, op13_importance)
+    for f in (op1_html_extraction, op2_embedding_dedup, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_pieces, op7_lm_score, op8_line_dedup, op9_mixing, op10_media, op11_quality, op12_vector_codes, op13_importance)
 }
 ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_importance": importance.ORACLE}
