@@ -1,69 +1,155 @@
 """Claims that probes make of a case: what evidence is before it is numbered. Each is a projection with one row per claim.
 
-Columns of claims: case_id, probe, claim_type, value, source_quality, source_event_at, available_at, excerpt.
+Columns of claims: case_id, probe, claim_type, value, source_url, source_quality, source_event_at, available_at, fetched_at, excerpt. A claim is available
+from the observation that supports it on, never from the moment that asks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.inputs import EVENT_CLAIMS, EVENTS_PROBE, SEARCHED, TEAM_CLAIM, TEAM_PROBE
+from larkspur.functions.scalars import utc_text
+from larkspur.operators.inputs import EVENT_CLAIMS, EVENTS_PROBE, FIRST_PUBLISHED, SEARCHED, STATE, TEAM_CLAIM, TEAM_PROBE
 
-COLUMNS = ("case_id", "probe", "claim_type", "value", "source_quality", "source_event_at", "available_at", "excerpt")
+COLUMNS = ("case_id", "probe", "claim_type", "value", "source_url", "source_quality", "source_event_at", "available_at", "fetched_at", "excerpt")
+# Probes, qualities and the addresses of what has none.
+BOARD_STATE_PROBE, REPOST_PROBE = "archive_board_state", "repost_history"
+NATIVE, ARCHIVE, NEWS, ENRICHMENT, STRUCTURED = "ats_native", "archive", "news", "enrichment", "page_structured"
+SEARCH_SOURCE, WHOLE_COMPANY = "file:data/events/collection_status.csv", "_all_"
 
 
-def source_quality(source: Column, coverage: Column | None = None) -> Column:
-    """What a capture's source is worth: own captures observe, archives recall; a partial archive capture is less."""
-    base = F.when(source == "own", "own_observation").when(source == "archive", "archive")
-    return base if coverage is None else F.when((source == "archive") & (coverage != "complete"), "archive_partial").otherwise(base)
+def source_quality(source: Column) -> Column:
+    """What a capture's source is worth: own captures are the board's own answer; all else, unknown sources too, is an archive."""
+    return F.when(F.coalesce(source == "own", F.lit(False)), NATIVE).otherwise(ARCHIVE)
 
 
 def provenance(archive_only: Column, all_: Column) -> Column:
-    """An aggregate's quality: archive only if everything it counts is known from archives alone."""
-    return F.when((all_ > 0) & (archive_only == all_), "archive").otherwise("own_observation")
+    """An aggregate's quality: archive if all it counts is known from archives alone, and for nothing at all."""
+    return F.when(archive_only == all_, ARCHIVE).otherwise(NATIVE)
 
 
-def excerpt(labels: Column, shown: int = 3) -> Column:
-    """The first labels and how many more there are."""
-    more = F.size(labels) - shown
-    return F.concat(F.array_join(F.slice(labels, 1, shown), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+def board_url(company: Column, job: Column) -> Column:
+    return F.concat(F.lit("board-history:"), company.cast("string"), F.lit("/"), job.cast("string"))
 
 
-def claim(case: Column, probe: str, kind: Column, value: Column, quality: Column, at: Column, available: Column, text: Column) -> list[Column]:
+def excerpt(labels: Column, total: Column) -> Column:
+    """The labels that are shown, and how many more there are."""
+    more = total - F.size(labels)
+    return F.concat(F.array_join(labels, "; "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+
+
+def claim(case: Column, probe: str, kind: Column, value: Column, quality: Column, at: Column, available: Column, text: Column, url: Column, fetched: Column) -> list[Column]:
     null = lambda c, t: c.cast(t)
-    return [case.alias("case_id"), F.lit(probe).alias("probe"), kind.alias("claim_type"), null(value, "string").alias("value"), null(quality, "string").alias("source_quality"), null(at, "timestamp").alias("source_event_at"), null(available, "timestamp").alias("available_at"), null(text, "string").alias("excerpt")]
+    cols = (case, F.lit(probe), kind, null(value, "string"), null(url, "string"), null(quality, "string"), null(at, "timestamp"), null(available, "timestamp"), null(fetched, "timestamp"), null(text, "string"))
+    return [c.alias(n) for c, n in zip(cols, COLUMNS, strict=True)]
+
+
+def board_claims(states: DataFrame) -> DataFrame:
+    """From moments.lifecycles_at: the state and the matching board_present or board_absent of each case that some capture had listed, dated by the capture that witnesses it."""
+    rows = states.filter("state is not null")
+    closed, url = F.col("state") == "closed", board_url(F.col("company_id"), F.col("job_id"))
+    url = F.when(closed, url).otherwise(F.coalesce("url", url))
+    at, quality = F.col("witnessed_at"), source_quality(F.col("witness_source"))
+    capture = F.concat(F.lit("board capture "), utc_text("witnessed_at"), F.lit(" (source="), F.col("witness_source"), F.lit(", coverage="), F.col("witness_coverage"), F.lit(")"))
+    missing = F.concat(F.col("listed").cast("string"), F.lit(" job(s) listed at capture, none with id "), F.col("job_id").cast("string"))
+    state = rows.select(*claim(F.col("case_id"), BOARD_STATE_PROBE, F.lit(STATE), F.col("state"), quality, at, at, capture, url, at))
+    seen = rows.select(*claim(F.col("case_id"), BOARD_STATE_PROBE, F.when(closed, "board_absent").otherwise("board_present"), F.col("job_id"), quality, at, at, F.when(closed, missing).otherwise(F.col("title")), url, at))
+    return state.unionByName(seen)
 
 
-def team_claims(cases: DataFrame) -> DataFrame:
-    """From cases with case_id, verdict, jobs, archive_only_jobs, last_capture_at and labels (the newest events' titles): the team's signal, true or false; unknown makes no claim."""
-    rows = cases.filter("verdict is not null")
-    return rows.select(*claim(F.col("case_id"), TEAM_PROBE, F.lit(TEAM_CLAIM), F.col("verdict").cast("string"), provenance(F.col("archive_only_jobs"), F.col("jobs")), F.lit(None), F.col("last_capture_at"), excerpt(F.coalesce("labels", F.array().cast("array<string>")))))
+def stated_claims(dates: DataFrame) -> DataFrame:
+    """From moments.stated_dates_at: a claim for each stated date, available from the first capture that carried it."""
+    url = F.coalesce("url", board_url(F.col("company_id"), F.col("job_id")))
+    text = F.concat(F.lit("own board capture "), utc_text("carried_at"), F.lit(" states "), F.col("kind"), F.lit("="), F.col("raw"), F.lit("; latest "), utc_text("latest_at"))
+    return dates.select(*claim(F.col("case_id"), BOARD_STATE_PROBE, F.col("kind"), F.col("raw"), F.lit(NATIVE), F.try_to_timestamp("raw"), F.col("carried_at"), text, url, F.col("carried_at")))
 
 
-def repost_claims(cases: DataFrame) -> DataFrame:
-    """From cases with case_id, repost_pattern, first_seen_absent, reappeared_at, absent_source and replay_at: the pattern, and the dated absence and return that had been seen; unknown patterns make no claim."""
-    pattern = cases.filter("repost_pattern is not null and repost_pattern <> 'unknown'").select(*claim(F.col("case_id"), "repost_history", F.lit("repost_pattern"), F.col("repost_pattern"), source_quality(F.col("absent_source")), F.lit(None), F.col("replay_at"), F.lit(None)))
-    dated = []
-    for kind, c in (("disappeared", "first_seen_absent"), ("reappeared", "reappeared_at")):
-        seen = cases.filter(F.col(c).isNotNull() & (F.col(c) <= F.col("replay_at")))
-        dated.append(seen.select(*claim(F.col("case_id"), "repost_history", F.lit(kind), F.date_format(c, "yyyy-MM-dd"), source_quality(F.col("absent_source")), F.col(c), F.col(c), F.lit(None))))
-    return pattern.unionByName(dated[0]).unionByName(dated[1])
+def inferred_claims(found: DataFrame) -> DataFrame:
+    """From moments.first_publications: the first publication that absence before it proves."""
+    url = F.coalesce("url", board_url(F.col("company_id"), F.col("job_id")))
+    text = F.concat(F.lit("not listed at "), utc_text("absent_at"), F.lit(", first seen at "), utc_text("first_observed"), F.lit(", stated in between: "), F.col("raw"))
+    return found.select(*claim(F.col("case_id"), BOARD_STATE_PROBE, F.lit(FIRST_PUBLISHED), F.col("raw"), F.lit(NATIVE), F.col("published_at"), F.col("carried_at"), text, url, F.col("carried_at")))
 
 
-def event_claims(cases: DataFrame, events: DataFrame, most: int = 50) -> DataFrame:
-    """From cases (case_id, company_id, replay_at, searched_at) and events (company_id, event_type, event_at, available_at, materiality, headline): a claim for each event available at the moment, and that the company was searched, if it was by then.
+def page_claims(cases: DataFrame, pages: DataFrame) -> DataFrame:
+    """From cases and pages (company_id, job_id, page_url, status, date_posted_raw, date_posted, fetched_at): the date a job's page states, if it had been read by the moment."""
+    rows = cases.join(pages.filter("status = 'ok' and date_posted is not null and fetched_at is not null"), ["company_id", "job_id"]).filter(F.col("fetched_at") <= F.col("replay_at"))
+    text = F.concat(F.lit("datePosted read from the job page at "), utc_text("fetched_at"))
+    return rows.select(*claim(F.col("case_id"), BOARD_STATE_PROBE, F.lit(FIRST_PUBLISHED), F.coalesce("date_posted_raw", F.col("date_posted").cast("string")), F.lit(STRUCTURED), F.col("date_posted"), F.col("fetched_at"), text, F.col("page_url"), F.col("fetched_at")))
 
-    A case's report is of its `most` newest events (top-k per case); the signals themselves come from policy.event_signals over all.
+
+def team_claims(cases: DataFrame, minimum_new: int = 1) -> DataFrame:
+    """From moments.team_at and coverage_at, with verdict (true, false or null): the new roles, the closures and the hiring signal of a team.
+
+    Counts of 0 make no claim, nor does an unknown signal. A positive signal has the quality and the date of the count that drove it (new roles, if they
+    reach their minimum); a negative one rests on all jobs in scope and on the last capture.
     """
-    from pyspark.sql import Window
+    moment = F.col("replay_at")
+    team = F.coalesce("team_key", F.lit(WHOLE_COMPANY))
+    url = F.concat(F.lit("board-history:"), F.col("company_id").cast("string"), F.lit("/team/"), team)
+
+    def label(x: Column) -> Column:
+        return F.concat(F.coalesce(x["title"], F.concat(F.lit("<untitled "), x["job_id"].cast("string"), F.lit(">"))), F.lit(" ("), utc_text(x["at"]), F.lit(")"))
 
+    def counted(kind: str) -> tuple[Column, Column]:
+        return provenance(F.col(f"{kind}_archive"), F.col(f"{kind}_jobs")), F.least(F.coalesce(f"{kind}_at", moment), moment)
+
+    out = []
+    for kind, name in (("new", "team_new_roles"), ("closed", "team_closures")):
+        quality, at = counted(kind)
+        text = excerpt(F.transform(f"{kind}_events", label), F.col(f"{kind}_jobs"))
+        out.append(cases.filter(f"{kind}_jobs > 0").select(*claim(F.col("case_id"), TEAM_PROBE, F.lit(name), F.col(f"{kind}_jobs"), quality, F.lit(None), at, text, url, moment)))
+    new, closed = counted("new"), counted("closed")
+    by_new = F.col("new_jobs") >= minimum_new
+    quality = F.when(~F.col("verdict"), provenance(F.col("archive_only"), F.col("in_scope"))).when(by_new, new[0]).otherwise(closed[0])
+    at = F.when(~F.col("verdict"), F.least(F.coalesce("last_capture_at", moment), moment)).when(by_new, new[1]).otherwise(closed[1])
+    text = F.concat_ws("; ", F.concat(F.lit("team="), team), *[F.concat(F.lit(f"{c}="), F.round(F.col(c), 3).cast("string")) for c in ("new_jobs", "closed_jobs", "open_roles", "history_days", "history_coverage")])
+    signal = cases.filter("verdict is not null").select(*claim(F.col("case_id"), TEAM_PROBE, F.lit(TEAM_CLAIM), F.col("verdict").cast("string"), quality, F.lit(None), at, text, url, moment))
+    return out[0].unionByName(out[1]).unionByName(signal)
+
+
+def capture_sources(captures: DataFrame) -> DataFrame:
+    """company_id, captured_at, source: of captures of one company and instant the first one's."""
+    return captures.groupBy("company_id", "captured_at").agg(F.min_by("source", "snapshot_id").alias("source"))
+
+
+def repost_claims(cases: DataFrame, captures: DataFrame, min_history_days: float = 30.0) -> DataFrame:
+    """From moments.lifecycles_at with history_days: the dated absence and return of each job. Without enough history nothing is claimed: it would not tell absence from a gap.
+
+    The quality of each is that of the capture taken at that very instant.
+    """
+    rows = cases.filter(F.coalesce(F.col("history_days") >= min_history_days, F.lit(False)))
+    url, sources = F.coalesce("url", board_url(F.col("company_id"), F.col("job_id"))), capture_sources(captures)
+    pair = lambda a, b: F.concat(F.lit(f"{a}="), F.coalesce(utc_text(a), F.lit("unknown")), F.lit(f" {b}="), utc_text(b))
+    out = []
+    for kind, at, value in (("disappeared_interval", "first_seen_absent", pair("last_seen_open", "first_seen_absent")), ("reappeared", "reappeared_at", pair("first_seen_absent", "reappeared_at"))):
+        seen = rows.filter(F.col(at) <= F.col("replay_at")).join(sources.withColumnRenamed("captured_at", at), ["company_id", at], "left")
+        out.append(seen.select(*claim(F.col("case_id"), REPOST_PROBE, F.lit(kind), value, source_quality(F.col("source")), F.col(at), F.col(at), F.lit(None), url, F.col("replay_at"))))
+    return out[0].unionByName(out[1])
+
+
+def version_claims(cases: DataFrame, versions: DataFrame) -> DataFrame:
+    """From cases and versions (company_id, job_id, id, captured_at, source, content_hash, capture_url): each change of content up to the moment. Versions without a hash neither change anything nor break the chain."""
+    w = Window.partitionBy("company_id", "job_id").orderBy("captured_at", "id")
+    changed = versions.filter("content_hash is not null").withColumn("__before", F.lag("content_hash").over(w)).filter("__before <> content_hash")
+    rows = cases.join(changed, ["company_id", "job_id"]).filter(F.col("captured_at") <= F.col("replay_at"))
+    own = F.concat(F.lit("posting-snapshot:"), F.col("job_id").cast("string"), F.lit(":"), utc_text("captured_at"))
+    value = F.concat("__before", F.lit("->"), "content_hash")
+    return rows.select(*claim(F.col("case_id"), REPOST_PROBE, F.lit("version_change"), value, source_quality(F.col("source")), F.col("captured_at"), F.col("captured_at"), F.lit(None), F.coalesce("capture_url", own), F.col("replay_at")))
+
+
+def event_claims(cases: DataFrame, events: DataFrame) -> DataFrame:
+    """From cases (case_id, company_id, replay_at, searched_at) and events (company_id, event_type, event_at, available_at, materiality, headline): that the company was searched, if it was by the moment, and a claim for each event available by then."""
+    searched = cases.filter(F.col("searched_at") <= F.col("replay_at"))
+    at = F.col("searched_at")
+    first = searched.select(*claim(F.col("case_id"), EVENTS_PROBE, F.lit(SEARCHED), utc_text("searched_at"), F.lit(ENRICHMENT), at, at, F.lit(None), F.lit(SEARCH_SOURCE), F.col("replay_at")))
     rows = cases.join(events.filter(F.col("event_type").isin(*EVENT_CLAIMS)), "company_id").filter(F.col("available_at") <= F.col("replay_at"))
-    newest = Window.partitionBy("case_id").orderBy(F.desc("event_at"), "event_type", "headline", "available_at")
-    rows = rows.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= most)
-    found = rows.select(*claim(F.col("case_id"), EVENTS_PROBE, F.col("event_type"), F.concat_ws(": ", "materiality", "headline"), F.lit("reported"), F.col("event_at"), F.col("available_at"), F.col("headline")))
-    searched = cases.filter(F.col("searched_at") <= F.col("replay_at")).select(*claim(F.col("case_id"), EVENTS_PROBE, F.lit(SEARCHED), F.lit("searched"), F.lit("own_observation"), F.lit(None), F.col("searched_at"), F.lit(None)))
-    return found.unionByName(searched)
+    url = F.col("source_url") if "source_url" in events.columns else F.lit(None)
+    text = F.col("raw_excerpt") if "raw_excerpt" in events.columns else F.lit(None)
+    value = F.concat_ws(": ", "materiality", "headline")
+    found = rows.select(*claim(F.col("case_id"), EVENTS_PROBE, F.col("event_type"), value, F.lit(NEWS), F.to_date("event_at").cast("timestamp"), F.col("available_at"), text, url, F.col("replay_at")))
+    return first.unionByName(found)
 
 
 def not_cited(claims: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -75,5 +161,8 @@ def not_cited(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return claims.join(evidence, same, "left_anti")
 
 
-def board_claim(present: Column) -> Column:
-    return F.when(present, "board_present").otherwise("board_absent")
+def numbered(claims: DataFrame, probes: list[str]) -> DataFrame:
+    """claims as evidence: evidence_id e1, e2, ... within each case, in the order in which probes run, then by date and type."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, probes)), F.col("probe")), F.lit(0))
+    w = Window.partitionBy("case_id").orderBy(F.when(place == 0, len(probes) + 1).otherwise(place), "probe", "available_at", F.col("claim_type") != STATE, "claim_type", "value", "source_event_at")
+    return claims.withColumn("evidence_id", F.concat(F.lit("e"), F.row_number().over(w).cast("string")))

@@ -86,13 +86,17 @@ def team_activity(intervals: DataFrame, now: Column, new_days: int = 30, closure
 
 
 def team_events(intervals: DataFrame, now: Column, new_days: int = 30, closure_days: int = 60, whole: bool = False, most: int = 20) -> DataFrame:
-    """The newest `most` new and closed jobs per company and team, newest first and then by job: company_id, team_key, kind, place, job_id, title, at, archive_only."""
+    """The newest `most` new and closed jobs per company and team, newest first and then by job: company_id, team_key, kind, place, job_id, title, at, archive_only, and total, how many of the kind there are in all."""
     rows = scoped(intervals, now, whole)
     kinds = []
     for kind, when, days in (("new", "first_observed", new_days), ("closed", "first_seen_absent", closure_days)):
         kinds.append(rows.filter(in_days(when, now, days)).select("company_id", "team_key", F.lit(kind).alias("kind"), "job_id", "title", F.col(when).alias("at"), (~F.array_contains("sources", "own")).alias("archive_only")))
     w = Window.partitionBy("company_id", "team_key", "kind").orderBy(F.desc("at"), "job_id")
-    return kinds[0].unionByName(kinds[1]).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+    rows = kinds[0].unionByName(kinds[1])
+    totals = rows.groupBy(F.col("company_id").alias("__c"), F.col("team_key").alias("__t"), F.col("kind").alias("__k")).agg(F.count(F.lit(1)).alias("total"))
+    rows = rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+    same = (F.col("company_id") == F.col("__c")) & F.col("team_key").eqNullSafe(F.col("__t")) & (F.col("kind") == F.col("__k"))
+    return rows.join(totals, same).drop("__c", "__t", "__k")
 
 
 def team_verdict(minimum_new: int = 1, minimum_closed: int = 1, bar: float = 0.5, min_history_days: float = 30.0) -> Column:

@@ -52,3 +52,22 @@ def at_moments(cases: DataFrame, rows: DataFrame, key: list[str], stamp: str, va
     for n, (kind, _) in values.items():
         rest = rest.withColumn(n, F.lit(0 if kind == "sum" else None).cast(found.schema[n].dataType))
     return found.unionByName(rest)
+
+
+def newest(rows: DataFrame, key: list[str], order: str, stretch: Column, value: Column, k: int, name: str = "newest") -> DataFrame:
+    """rows with an array of the last k values of their key up to each, the latest first. order is a column that tells rows of a key apart; stretch rises with it.
+
+    Arrays of k merge like other aggregates: a stretch hands on its last k, and k stretches before are enough to fill an array.
+    """
+    rows = rows.withColumn("__stretch", stretch).withColumn("__value", value)
+    own = Window.partitionBy(*key, "__stretch").orderBy(order).rowsBetween(-(k - 1), 0)
+    rows = rows.withColumn("__own", F.collect_list("__value").over(own))
+    tails = rows.groupBy(*key, "__stretch").agg(F.max_by("__own", order).alias("__tail"))
+    past = Window.partitionBy(*key).orderBy("__stretch").rowsBetween(-k, -1)
+    before = tails.select(*[F.col(c).alias(f"__k_{i}") for i, c in enumerate(key)], F.col("__stretch").alias("__s"), F.flatten(F.collect_list("__tail").over(past)).alias("__before"))
+    same = F.col("__stretch") == F.col("__s")
+    for i, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{i}"))
+    out = rows.join(before, same)
+    both = F.slice(F.reverse(F.concat("__before", "__own")), 1, k)
+    return out.select(*[c for c in rows.columns if c not in ("__stretch", "__value", "__own")], both.alias(name))

@@ -28,9 +28,18 @@ def uncovered_batches(captures: DataFrame, windows: DataFrame) -> DataFrame:
     return own.join(inside, "captured_at", "left_anti").drop("__day")
 
 
-def fallback_windows(captures: DataFrame, windows: DataFrame, hours: float = 1.0) -> DataFrame:
-    """Windows for uncovered batches: each starts at its batch and is taken to last so many hours."""
-    return uncovered_batches(captures, windows).select(F.col("captured_at").alias("started_at"), (F.col("captured_at") + F.expr(f"interval {int(hours * 3600)} seconds")).alias("finished_at"))
+def fallback_windows(captures: DataFrame, windows: DataFrame, before: Column | None = None, most_hours: int = 24) -> DataFrame:
+    """Windows for the uncovered batches before a cut-off: started_at, finished_at. Each runs from its batch to the next own batch of any company, as the run can't have lasted beyond that, and most_hours at most."""
+    rows = uncovered_batches(captures, windows)
+    rows = rows if before is None else rows.filter(F.col("captured_at") < before)
+    hours, day = F.expr(f"interval {int(most_hours)} hours"), F.lit(86_400_000_000)
+    span = lambda c: F.floor(F.unix_micros(c) / day)
+    # the next batch lies in one of the days that the longest window touches, so no task sorts all batches
+    starts = rows.select(F.col("captured_at").alias("started_at"), (F.col("captured_at") + hours).alias("__end"))
+    near = starts.withColumn("__day", F.explode(F.sequence(span("started_at"), span("__end"))))
+    later = batches(captures).select("captured_at", span("captured_at").alias("__day"))
+    following = near.join(later, "__day").filter((F.col("captured_at") > F.col("started_at")) & (F.col("captured_at") < F.col("__end"))).groupBy("started_at").agg(F.min("captured_at").alias("__next"))
+    return starts.join(following, "started_at", "left").select("started_at", F.coalesce("__next", "__end").alias("finished_at"))
 
 
 def run_summary(runs: DataFrame) -> DataFrame:

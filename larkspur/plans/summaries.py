@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators import claims, features, summaries
+from larkspur.operators import features, summaries
 from larkspur.plans.evaluation import DUCK as RUN_DUCK
 from larkspur.plans.evaluation import PAIRS, pairs_of, part
 from larkspur.plans.fixtures import INTERVALS_SQL, capture_ctes, captures
@@ -31,7 +31,7 @@ def uncovered_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fallback_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.fallback_windows(captures(spark, sf), windows_of(spark, sf), 2)
+    return summaries.fallback_windows(captures(spark, sf), windows_of(spark, sf), F.lit("2024-01-20").cast("timestamp"), 30)
 
 
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,32 +92,10 @@ def latest_share(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("run_id", "is_test")
 
 
-def team_claims(spark: SparkSession, sf: str) -> DataFrame:
-    """The signal of every team of every company as of a moment, as a claim with the newest events' titles."""
-    rows, moment = jobs_of(spark, sf), now()
-    labels = features.team_events(rows, moment, 15, 4, most=5).groupBy("company_id", "team_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "place", "job_id"))), lambda x: x["job_id"].cast("string")).alias("labels"))
-    covered = features.coverage_window(captures(spark, sf)).select("company_id", "history_days", "history_coverage", F.col("last_capture_at"))
-    cases = features.team_activity(rows, moment, 15, 4).join(covered, "company_id").join(labels, ["company_id", "team_key"], "left").withColumn("verdict", features.team_verdict(min_history_days=20.0)).withColumn("case_id", F.concat_ws("/", "company_id", "team_key"))
-    return claims.team_claims(cases).select("case_id", "claim_type", "value", "source_quality", "available_at", "excerpt")
-
-
-def repost_claims(spark: SparkSession, sf: str) -> DataFrame:
-    pattern = F.expr("CASE job_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'changed' WHEN 2 THEN 'unknown' END")
-    cases = jobs_of(spark, sf).select(F.col("job_id").alias("case_id"), pattern.alias("repost_pattern"), "first_seen_absent", "reappeared_at", F.when(F.col("job_id") % 2 == 0, "own").otherwise("archive").alias("absent_source"), F.lit("2024-01-20").cast("timestamp").alias("replay_at"))
-    return claims.repost_claims(cases).select("case_id", "claim_type", "value", "source_quality", "source_event_at")
-
-
-def event_claims(spark: SparkSession, sf: str) -> DataFrame:
-    cases = part(spark, sf, "run").filter("system = 'A'").select(F.col("run_id").alias("case_id"), "company_id", F.col("started_at").alias("replay_at"), F.expr("CASE WHEN run_id % 5 <> 0 THEN started_at + make_dt_interval(cast(run_id % 3 - 1 as int)) END").alias("searched_at"))
-    events = part(spark, sf, "event").select("*", F.concat_ws(" ", "event_type", F.date_format("event_at", "yyyyMMdd"), "materiality").alias("headline")).distinct()
-    return claims.event_claims(cases, events, 5).select("case_id", "claim_type", "value", "source_event_at", "available_at")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        earliest_own, capture_batches, uncovered_batches, fallback_windows, run_summary, completed_runs, sample_sizes, scored_sample, event_coverage, coverage_summary, repost_summary, visible_links, lifecycles_as_seen, latest_share, team_claims,
-        repost_claims, event_claims,
+        earliest_own, capture_batches, uncovered_batches, fallback_windows, run_summary, completed_runs, sample_sizes, scored_sample, event_coverage, coverage_summary, repost_summary, visible_links, lifecycles_as_seen, latest_share,
     )
 }
 
@@ -126,7 +104,7 @@ ORACLE_SQL = {
     "earliest_own": f"WITH {DUCK} SELECT min(captured_at) AS earliest_own_at FROM snap WHERE source = 'own'",
     "capture_batches": f"WITH {DUCK} SELECT captured_at, count(DISTINCT company_id) AS companies FROM snap WHERE source = 'own' GROUP BY ALL",
     "uncovered_batches": f"WITH {DUCK}, {WIN} SELECT * FROM un",
-    "fallback_windows": f"WITH {DUCK}, {WIN} SELECT captured_at AS started_at, captured_at + INTERVAL 2 HOUR AS finished_at FROM un",
+    "fallback_windows": f"WITH {DUCK}, {WIN}, nx AS (SELECT captured_at, lead(captured_at) OVER (ORDER BY captured_at) AS n FROM ba) SELECT captured_at AS started_at, least(coalesce(n, captured_at + INTERVAL 30 HOUR), captured_at + INTERVAL 30 HOUR) AS finished_at FROM un JOIN nx USING (captured_at) WHERE captured_at < TIMESTAMP '2024-01-20'",
     "run_summary": f"WITH {RUN_DUCK}, g AS (SELECT system, status, CASE WHEN status = 'completed' THEN action END AS action, count(*) AS runs FROM run GROUP BY ALL) SELECT *, round(runs / sum(runs) OVER (PARTITION BY system), 6) AS share FROM g",
     "completed_runs": f"WITH {RUN_DUCK} SELECT system, count(*) AS runs FROM run WHERE status = 'completed' GROUP BY ALL",
     "sample_sizes": f"WITH {RUN_DUCK} SELECT CASE company_id % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' WHEN 2 THEN 'dev' ELSE 'unassigned' END AS split, count(*) AS cases, count(DISTINCT case_id % 700) AS postings, count(DISTINCT company_id) AS companies FROM run GROUP BY ALL",
@@ -137,14 +115,4 @@ ORACLE_SQL = {
     "visible_links": f"WITH {LINKS_SQL}, s AS (SELECT * FROM lk WHERE gone_at <= TIMESTAMP '2024-01-20' AND new_at <= TIMESTAMP '2024-01-20') SELECT company_id, old_job_id, new_job_id, row_number() OVER (PARTITION BY company_id, old_job_id ORDER BY combined DESC, new_job_id) = 1 AS winner FROM s",
     "lifecycles_as_seen": f"WITH {INTERVALS_SQL} SELECT company_id, job_id, first_observed, least(last_seen_open, TIMESTAMP '2024-01-16') AS last_seen_open, CASE WHEN first_seen_absent <= TIMESTAMP '2024-01-16' THEN first_seen_absent END AS first_seen_absent, CASE WHEN reappeared_at <= TIMESTAMP '2024-01-16' THEN reappeared_at END AS reappeared_at FROM intervals WHERE first_observed <= TIMESTAMP '2024-01-16'",
     "latest_share": f"WITH {RUN_DUCK} SELECT run_id, epoch_us(started_at) > (SELECT quantile_cont(epoch_us(started_at), 0.8) FROM run) AS is_test FROM run",
-    "team_claims": f"""WITH {INTERVALS_SQL}, cov AS (SELECT company_id, max(captured_at) AS l, (epoch_us(max(captured_at)) - epoch_us(min(captured_at))) / 86400e6 AS h, count(DISTINCT d) FILTER (coverage_status = 'complete') / count(DISTINCT d) AS c FROM snap GROUP BY company_id),
- j AS (SELECT *, lower(trim(team)) AS tk, first_observed >= {NOW_SQL} - INTERVAL 15 DAY AS nw, coalesce(first_seen_absent BETWEEN {NOW_SQL} - INTERVAL 4 DAY AND {NOW_SQL}, false) AS gn FROM intervals WHERE first_observed <= {NOW_SQL} AND trim(team) <> ''),
- t AS (SELECT company_id, tk, count(*) AS jobs, count(*) FILTER (NOT list_contains(sources, 'own')) AS ar, count(*) FILTER (nw) + count(*) FILTER (gn) AS n FROM j GROUP BY ALL), e AS (SELECT company_id, tk, job_id, 'new' AS k, first_observed AS a FROM j WHERE nw UNION ALL SELECT company_id, tk, job_id, 'closed', first_seen_absent FROM j WHERE gn),
- p AS (SELECT *, row_number() OVER (PARTITION BY company_id, tk, k ORDER BY a DESC, job_id) AS pl FROM e), lb AS (SELECT company_id, tk, list(CAST(job_id AS VARCHAR) ORDER BY k, pl) AS l FROM p WHERE pl <= 5 GROUP BY ALL), v AS (SELECT t.*, cov.l AS at_, CASE WHEN n > 0 THEN 'true' WHEN h >= 20 AND c >= 0.5 THEN 'false' END AS value, coalesce(lb.l, []) AS ls FROM t JOIN cov USING (company_id) LEFT JOIN lb ON lb.company_id = t.company_id AND lb.tk = t.tk)
- SELECT company_id || '/' || tk AS case_id, 'corroborating_hiring_signal' AS claim_type, value, CASE WHEN ar = jobs THEN 'archive' ELSE 'own_observation' END AS source_quality, at_ AS available_at, array_to_string(ls[1:3], ', ') || CASE WHEN len(ls) > 3 THEN ' (+' || (len(ls) - 3) || ' more)' ELSE '' END AS excerpt FROM v WHERE value IS NOT NULL""",
-    "repost_claims": f"""WITH {INTERVALS_SQL}, q AS (SELECT *, CASE WHEN job_id % 2 = 0 THEN 'own_observation' ELSE 'archive' END AS sq FROM intervals) SELECT job_id AS case_id, 'repost_pattern' AS claim_type, CASE job_id % 4 WHEN 0 THEN 'none' ELSE 'changed' END AS value, sq AS source_quality, CAST(NULL AS TIMESTAMP) AS source_event_at FROM q WHERE job_id % 4 IN (0, 1)
- UNION ALL SELECT job_id, 'disappeared', strftime(first_seen_absent, '%Y-%m-%d'), sq, first_seen_absent FROM q WHERE first_seen_absent <= TIMESTAMP '2024-01-20' UNION ALL SELECT job_id, 'reappeared', strftime(reappeared_at, '%Y-%m-%d'), sq, reappeared_at FROM q WHERE reappeared_at <= TIMESTAMP '2024-01-20'""",
-    "event_claims": f"""WITH {RUN_DUCK}, c AS (SELECT run_id AS case_id, company_id, started_at AS t, CASE WHEN run_id % 5 <> 0 THEN started_at + to_days(CAST(run_id % 3 - 1 AS INT)) END AS s FROM run WHERE system = 'A'), e AS (SELECT DISTINCT *, event_type || ' ' || strftime(event_at, '%Y%m%d') || ' ' || materiality AS headline FROM event),
- f AS (SELECT case_id, event_type AS claim_type, materiality || ': ' || headline AS value, event_at AS source_event_at, e.available_at FROM c JOIN e USING (company_id) WHERE e.available_at <= t QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY event_at DESC, event_type, headline, e.available_at) <= 5)
- SELECT * FROM f UNION ALL SELECT case_id, 'company_events_searched', 'searched', CAST(NULL AS TIMESTAMP), s FROM c WHERE s <= t""",
 }
