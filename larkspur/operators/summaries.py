@@ -108,11 +108,6 @@ def latest_share(rows: DataFrame, stamp: str, share: float) -> DataFrame:
     return rows.crossJoin(F.broadcast(cut)).withColumn("is_test", F.unix_micros(stamp) > F.col("__cut")).drop("__cut")
 
 
-def keep_rule(auc: Column, accuracy: Column, deterministic: Column, positives: Column, rows: Column, least_rows: int = 200, margin: float = 0.02) -> Column:
-    """Whether a learned ranking is kept: degenerate without both classes or with too few rows, kept if it beats the deterministic one by the margin, else dropped."""
-    return F.when((rows < least_rows) | (positives == 0) | (positives == rows) | auc.isNull(), "degenerate").when(accuracy >= deterministic + margin, "kept").otherwise("dropped")
-
-
 def age_at(intervals: DataFrame, moment: Column) -> DataFrame:
     """company_id, job_id and age in days at a moment of the jobs seen by then; a first sighting after it is none."""
     first = F.when(F.col("first_observed") <= moment, F.col("first_observed"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import asof, leakage, metrics, policy
 from larkspur.operators import corpus, routing
 from larkspur.operators import inputs as I
+from larkspur.operators import ranker as ranking
 from larkspur.operators.running import at_moments
 from larkspur.session import table
 
@@ -343,25 +344,44 @@ def visible_events(spark: SparkSession, sf: str) -> DataFrame:
     return at_moments(cases, part(spark, sf, "event"), ["company_id"], "available_at", {"events": ("sum", F.lit(1).cast("long")), "latest_event_at": ("max", F.col("event_at"))}).select("case_id", "events", "latest_event_at")
 
 
+COSTS = {"probe0": ranking.TIERS["low"], "probe1": ranking.TIERS["medium"], "probe3": ranking.TIERS["high"], "probe4": ranking.TIERS["low"]}
+
+
+def ranker_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows of the finished runs, some of whose evidence says that it comes from their first probes."""
+    runs = part(spark, sf, "run").filter("status = 'completed' and replay_at is not null").withColumn("action", F.expr("CASE WHEN run_id % 13 <> 0 THEN action END"))
+    claimed = part(spark, sf, "evidence").withColumn("claim_type", F.expr("CASE WHEN claim_type = 'event' THEN 'board_present' ELSE claim_type END"))
+    return ranking.training_rows(runs, part(spark, sf, "step").filter("component = 'probe'"), claimed, COSTS)
+
+
+def ranker_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What a learned order of probes is trained on: the evidence before each probe of a run, and whether the probe mattered."""
+    return ranker_input(spark, sf).drop("n_evidence_news", "n_evidence_enrichment")
+
+
+def ranker_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    """The split by time, by probe."""
+    rows = ranking.temporal_holdout(ranker_input(spark, sf).select("case_id", "replay_at", "probe", "label"))
+    return rows.groupBy("holdout", "probe").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"), F.min("replay_at").alias("first_at"), F.max("replay_at").alias("last_at"))
+
+
 def ranker(spark: SparkSession, sf: str) -> DataFrame:
-    """Logistic regression of the quality label on embeddings joined by id, against the majority: what a learned ranker would have to beat."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.functions import array_to_vector
+    """Whether a learned order of probes beats the order by cost. What the fit decides has no SQL; tests hold it against a plain fit."""
+    return ranking.evaluated(ranker_input(spark, sf)).select("status", "rows", "train_rows", "holdout_rows", *[F.round(c, 4).alias(c) for c in ("positive_rate", "holdout_positive_rate", "learned_auc", "learned_accuracy", "deterministic_auc", "deterministic_accuracy")], "keep")
+
 
-    rows = table(spark, sf, "labels").filter("quality is not null").join(table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"))
-    rows = rows.select("doc_id", F.col("quality").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    train, test = rows.filter("pmod(xxhash64(doc_id), 4) <> 0"), rows.filter("pmod(xxhash64(doc_id), 4) = 0")
-    found = LogisticRegression(maxIter=100, regParam=0.01).fit(train).transform(test)
-    auc = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(found)
-    return found.agg(F.count("*").alias("tested"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 4).alias("accuracy"), F.round(F.avg("label"), 4).alias("share")).withColumn("auc", F.lit(round(auc, 4)))
+def ranker_by_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """AUC and accuracy of the order by cost on the holdout."""
+    held = ranking.temporal_holdout(ranker_input(spark, sf)).filter("holdout")
+    auc, accuracy = ranking.by_cost(held)
+    return held.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives")).withColumn("auc", F.lit(None if auc is None else round(auc, 6)).cast("double")).withColumn("accuracy", F.lit(round(accuracy, 6)))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         latest_runs, paired_cases, agreement, confusion, exclusive_gains, step_metrics, probe_order, unnecessary_steps, citation_support, branch_counts, token_sums, event_signals, contradictions, decisions, unpopulated_inputs,
-        routed_probes, budget_ledger, outcome_funnel, product_gate, gate, value_comparison, probe_dependence, leakage_audit, leakage_fetched_after, leakage_captures, leakage_exposures, policy_inputs, decisions_from_evidence, flipping_claims, routes, relevant_from_evidence, resume, shard_counts, holdout_breach, repeated_cases, visible_events, ranker,
+        routed_probes, budget_ledger, outcome_funnel, product_gate, gate, value_comparison, probe_dependence, leakage_audit, leakage_fetched_after, leakage_captures, leakage_exposures, policy_inputs, decisions_from_evidence, flipping_claims, routes, relevant_from_evidence, resume, shard_counts, holdout_breach, repeated_cases, visible_events, ranker, ranker_rows, ranker_holdout, ranker_by_cost,
     )
 }
 
@@ -400,6 +420,15 @@ DERIVED = f"""{DUCK}, cv AS (SELECT c.*, q.replay_at FROM claim c JOIN asked q U
   declared_expiry IS NOT NULL OR (resolver_ok AND ran AND coalesce(posting_state IN ('open', 'closed', 'reposted'), false)) AS expiry_known, CASE case_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'changed' WHEN 2 THEN 'repeated_unchanged' END AS repost_pattern FROM d0)"""
 UNPOP = "array_to_string(list_filter([CASE WHEN posting_state IS NULL THEN 'posting_state' END, CASE WHEN freeze_or_pause IS NULL THEN 'freeze_or_pause' END, CASE WHEN long_lived IS NULL THEN 'long_lived' END, CASE WHEN repost_pattern IS NULL THEN 'repost_pattern' END, CASE WHEN corroborating_hiring_signal IS NULL THEN 'corroborating_hiring_signal' END, CASE WHEN publish_recency IS NULL THEN 'publish_recency' END], lambda x: x IS NOT NULL), ',')"
 
+RANKED = f"""{DUCK}, rr AS (SELECT * REPLACE (CASE WHEN run_id % 13 <> 0 THEN action END AS action) FROM run WHERE status = 'completed' AND replay_at IS NOT NULL), pl AS (SELECT s.run_id, probe_name AS probe, row_number() OVER (PARTITION BY s.run_id ORDER BY step_index) - 1 AS i FROM step s JOIN rr USING (run_id) WHERE component = 'probe'),
+po AS MATERIALIZED (SELECT run_id, probe, min(i) AS i FROM pl GROUP BY ALL), ca AS (SELECT r.run_id, r.case_id, r.replay_at, r.action, p.probe, p.i FROM rr r JOIN po p USING (run_id) WHERE r.system = 'A'),
+fe AS (SELECT c.run_id, c.probe, count(e.run_id) AS n, count(*) FILTER (e.source_quality = 'ats_native') AS na, count(*) FILTER (e.source_quality = 'page_structured') AS np, count(*) FILTER (e.source_quality = 'archive') AS nr, coalesce(bool_or(e.claim_type = 'first_published'), false) AS hp, coalesce(bool_or(e.claim_type = 'event'), false) AS hb, coalesce(bool_or(e.claim_type = 'board_absent'), false) AS ha
+  FROM ca c LEFT JOIN (po q JOIN evidence e ON e.run_id = q.run_id AND e.probe = q.probe) ON q.run_id = c.run_id AND q.i < c.i GROUP BY ALL),
+la AS (SELECT c.run_id, c.probe, bool_or(coalesce(o.action <> c.action, false) AND o.system <> 'A' AND NOT EXISTS (SELECT 1 FROM po WHERE po.run_id = o.run_id AND po.probe = c.probe)) AND NOT bool_or(coalesce(o.action <> c.action, false) AND EXISTS (SELECT 1 FROM po WHERE po.run_id = o.run_id AND po.probe = c.probe)) AS label FROM ca c JOIN rr o USING (case_id) GROUP BY ALL),
+tr AS MATERIALIZED (SELECT case_id, replay_at, probe, CAST(label AS INT) AS label, CAST(n AS DOUBLE) AS n_evidence, CAST(na AS DOUBLE) AS n_evidence_ats_native, CAST(np AS DOUBLE) AS n_evidence_page_structured, CAST(nr AS DOUBLE) AS n_evidence_archive, CAST(hp AS DOUBLE) AS has_publish_evidence, CAST(hb AS DOUBLE) AS has_board_present, CAST(ha AS DOUBLE) AS has_board_absent,
+  CAST(i AS DOUBLE) AS n_probes_before, CASE probe WHEN 'probe1' THEN 3.0 WHEN 'probe3' THEN 10.0 ELSE 1.0 END::DOUBLE AS probe_cost_points, CAST(probe = 'probe0' AS DOUBLE) AS probe_is_probe0, CAST(probe = 'probe1' AS DOUBLE) AS probe_is_probe1, CAST(probe = 'probe3' AS DOUBLE) AS probe_is_probe3, CAST(probe = 'probe4' AS DOUBLE) AS probe_is_probe4
+  FROM ca JOIN fe USING (run_id, probe) JOIN la USING (run_id, probe) WHERE probe IN ('probe0', 'probe1', 'probe3', 'probe4')),
+ho AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY replay_at, case_id, probe) > count(*) OVER () - least(greatest(1, round_even(count(*) OVER () * 0.25, 0)), count(*) OVER () - 1) AS holdout FROM tr)"""
 ORACLE_SQL = {
     "latest_runs": f"WITH {LATEST} SELECT system, case_id, run_id, action, duplicates FROM lat",
     "paired_cases": f"WITH {PAIRS} SELECT * FROM par",
@@ -463,4 +492,8 @@ ORACLE_SQL = {
     "holdout_breach": f"WITH {DUCK} SELECT case_id % 37 AS company_id, count(*) AS cases FROM run WHERE (case_id % 37) % 9 = 4 GROUP BY ALL",
     "repeated_cases": f"WITH {DUCK} SELECT run_id, probe_name, args_hash, count(*) AS n FROM step GROUP BY ALL HAVING count(*) > 1",
     "visible_events": f"WITH {DUCK}, ca AS (SELECT case_id, company_id, replay_at - to_days(CAST(case_id % 2000 AS INT)) AS replay_at FROM run WHERE system = 'B' AND replay_at IS NOT NULL) SELECT case_id, count(event_at) AS events, max(event_at) AS latest_event_at FROM ca LEFT JOIN event e ON e.company_id = ca.company_id AND e.available_at <= replay_at GROUP BY case_id",
+    "ranker_rows": f"WITH {RANKED} SELECT * FROM tr",
+    "ranker_holdout": f"WITH {RANKED} SELECT holdout, probe, count(*) AS n, sum(label)::BIGINT AS positives, min(replay_at) AS first_at, max(replay_at) AS last_at FROM ho GROUP BY ALL",
+    "ranker_by_cost": f"""WITH {RANKED}, h AS (SELECT label, -probe_cost_points AS s FROM ho WHERE holdout), t AS (SELECT median(s) AS m FROM h), k AS (SELECT s, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM h GROUP BY s),
+ a AS (SELECT sum(x.p * (y.n * CASE WHEN y.s < x.s THEN 1 WHEN y.s = x.s THEN 0.5 ELSE 0 END)) AS r FROM k x, k y) SELECT (SELECT count(*) FROM h) AS n, (SELECT sum(label)::BIGINT FROM h) AS positives, round((SELECT r FROM a) / (SELECT sum(p) * sum(n) FROM k), 6) AS auc, (SELECT round(avg(CAST((s >= m) = (label = 1) AS DOUBLE)), 6) FROM h, t) AS accuracy""",
 }
