@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import grid, hash_fraction, stable_key
+from larkspur.operators.running import running
 
 
 def as_of(rows: DataFrame, stamp: str, moment: Column) -> DataFrame:
@@ -57,22 +60,50 @@ def stable_split(seed: int, key: Column | str, fractions: tuple[float, float, fl
     return F.when(x < fractions[0], "dev").when(x < fractions[0] + fractions[1], "validation").otherwise("test")
 
 
-def greedy_split(sizes: DataFrame, key: str, size: str, fractions: dict[str, float] | None = None, most: int = 100_000, seed: int = 0) -> DataFrame:
-    """Keys by falling size, ties in the seed's stable order, each to the split furthest below its target.
+def dealt(deficits: dict[str, Fraction], size: int, count: int) -> list[tuple[int, list[str]]]:
+    """Where count equal items of a size go, each to the split furthest below its target (of equal ones the first): blocks of (items dealt before, splits that take turns). deficits are updated.
 
-    sizes has a row per key, and each choice depends on all before it, so the walk over the keys is sequential by nature: it takes up to `most` keys.
-    More are refused; their exact way is a split by hash (stable_companies), which needs no order.
+    A split's deficits before its own items fall by size, so the items go to the merge of a few arithmetic progressions of one step: level by level, and
+    within a level to the splits that reach it, in order of what is left over.
+    """
+    if not size:
+        return [(0, [max(deficits, key=lambda s: deficits[s])])]
+    level = {s: d // size for s, d in deficits.items()}
+    order = sorted(deficits, key=lambda s: -(deficits[s] - level[s] * size))
+    blocks, taken, steps = [], 0, sorted(set(level.values()), reverse=True)
+    for top, below in zip(steps, [*steps[1:], None], strict=True):
+        turn = [s for s in order if level[s] >= top]
+        n = count - taken if below is None else min(count - taken, len(turn) * (top - below))
+        if n:
+            blocks.append((taken, turn))
+        for i, s in enumerate(turn):
+            deficits[s] -= size * (n // len(turn) + (i < n % len(turn)))
+        taken += n
+    return blocks
+
+
+def greedy_split(sizes: DataFrame, key: str, size: str, fractions: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
+    """Keys by falling size, ties in the seed's stable order, each to the split furthest below its target: key, split.
+
+    sizes has a row per key. Every choice depends on all before it, but keys of one size differ in their rank alone. So the driver walks over the distinct sizes
+    with their counts (fewer than the root of twice the summed sizes) and finds by arithmetic how each run of equal sizes is dealt; keys
+    look their split up by size and rank. Ranks are counted in stretches of the stable order, so a size that most keys share is no hot key.
     """
     fractions = fractions or {"dev": 0.6, "validation": 0.2, "test": 0.2}
-    rows = sizes.withColumn("__order", stable_key(seed, key)).orderBy(F.desc(size), "__order").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many keys for a sequential split: use a split by hash")
-    total, held, out = sum(r[size] for r in rows), dict.fromkeys(fractions, 0), []
-    for r in rows:
-        to = max(fractions, key=lambda s: fractions[s] * total - held[s])
-        held[to] += r[size]
-        out.append((r[key], to))
-    return sizes.sparkSession.createDataFrame(out, f"{key} {sizes.schema[key].dataType.simpleString()}, split string")
+    spark = sizes.sparkSession
+    runs = sorted(((int(r[0]), r[1]) for r in sizes.groupBy(size).count().collect()), reverse=True)
+    total = sum(s * n for s, n in runs)
+    deficits = {name: Fraction(f * total) for name, f in fractions.items()}
+    blocks = []
+    for s, n in runs:
+        found = dealt(deficits, s, n)
+        blocks += [(s, start, end, turn) for (start, turn), end in zip(found, [*(f[0] for f in found[1:]), n], strict=True)]
+    table = spark.createDataFrame(blocks, "__size long, __start long, __end long, __turn array<string>")
+    rows = sizes.select(key, F.col(size).alias("__n"), stable_key(seed, key).alias("__order"), F.lit(1).alias("__one"))
+    rows = running(rows, ["__n"], [F.col("__order"), F.col(key)], F.conv(F.substring("__order", 1, 3), 16, 10).cast("int"), {"__place": ("sum", "__one")})
+    # a few rows for each distinct size
+    rows = rows.join(F.broadcast(table), F.col("__n") == F.col("__size")).filter((F.col("__place") > F.col("__start")) & (F.col("__place") <= F.col("__end")))
+    return rows.select(key, F.get("__turn", ((F.col("__place") - F.col("__start") - 1) % F.size("__turn")).cast("int")).alias("split"))
 
 
 def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:

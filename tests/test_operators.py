@@ -1,10 +1,13 @@
 """Small hand-made cases for what the tables don't exercise."""
 
 import datetime as dt
+import hashlib
 import math
 import random
 import re
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,11 +118,42 @@ def test_kaplan_meier_ends_at_zero_and_turnbull_sums_to_one(spark):
     assert math.isclose(mass.sum(), 1.0) and (left <= right).all()
 
 
-def test_greedy_split_refuses_too_many_and_stable_split_is_stable(spark):
-    rows = spark.createDataFrame([(f"c{i}", 10 - i) for i in range(8)], "company_id string, n int")
-    assert asof.greedy_split(rows, "company_id", "n").count() == 8
+def test_greedy_split_equals_the_walk_at_any_size(spark):
+    rng = random.Random(4)
+    fractions = {"dev": 0.6, "validation": 0.2, "test": 0.2}
+    for n, most in ((1, 5), (40, 3), (3000, 40), (2000, 1)):
+        sizes = [(f"c{i}", rng.randrange(1, most + 1)) for i in range(n)] + ([("huge", 5000)] if n == 3000 else [])
+        order = sorted(sizes, key=lambda r: (-r[1], hashlib.blake2b(f"7:{r[0]}".encode(), digest_size=16).hexdigest()))
+        total, held, want = sum(s for _, s in sizes), dict.fromkeys(fractions, 0), {}
+        for c, s in order:
+            want[c] = max(fractions, key=lambda x: fractions[x] * total - held[x])
+            held[want[c]] += s
+        got = {r.company_id: r.split for r in asof.greedy_split(spark.createDataFrame(sizes, "company_id string, n int"), "company_id", "n", seed=7).collect()}
+        assert got == want
+    deficits = {"a": Fraction(10**12), "b": Fraction(7)}
+    assert asof.dealt(deficits, 3, 10**12 // 3) == [(0, ["a"]), (333333333331, ["a", "b"])] and deficits == {"a": 4, "b": 4}
+
+
+def test_turnbull_on_executors_equals_that_on_the_driver(spark):
+    rng = random.Random(6)
+    rows = []
+    for j in range(200):
+        low = rng.randrange(0, 30) / 2
+        rows.append(("c", j, low, None if rng.random() < 0.3 else low + rng.randrange(0, 12) / 2, True, None))
+    sample = spark.createDataFrame(rows, "company_id string, job_id int, low double, high double, event boolean, dropped string")
+    left, right, mass = survival.turnbull(sample, rounds=12, tolerance=0.0)
+    got = sorted((r.left, r.right, r.mass) for r in survival.turnbull_rounds(sample, rounds=12, tolerance=0.0, width=4).collect())
+    assert [(a, b) for a, b, _ in got] == list(zip(left.tolist(), right.tolist(), strict=True)) and np.allclose([m for *_, m in got], mass)
+    # the plain way: a matrix of intervals by support
+    low = np.array([r[2] for r in rows])
+    high = np.array([np.inf if r[3] is None else r[3] for r in rows])
+    inside, plain = (low[:, None] <= left) & (high[:, None] >= right), np.full(len(left), 1 / len(left))
+    for _ in range(12):
+        share = inside * plain
+        plain = (share / share.sum(1, keepdims=True)).sum(0) / len(rows)
+    assert np.allclose(plain, mass)
     with pytest.raises(ValueError):
-        asof.greedy_split(rows, "company_id", "n", most=3)
+        survival.turnbull(sample, most=3)
 
 
 def test_citations_need_all_their_evidence(spark):
