@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.plans import corpus, evaluation, history, moments, scalar_queries, summaries
+from larkspur.plans import corpus, evaluation, history, moments, records, scalar_queries, summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (history, corpus, evaluation, scalar_queries, summaries, moments)
+MODULES = (history, corpus, evaluation, scalar_queries, summaries, moments, records)
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Landed files as DataFrames with stated schemas: CSV targets, board JSON, logs and JSON-LD."""
+"""Landed files as DataFrames with stated schemas: CSV targets, board JSON and logs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.scalars import blank_to_null, flexible_time, host
+from larkspur.functions.scalars import flexible_time, host
 
 TARGETS = "company_name string, website_domain string, ats string, tenant string, open_job_count int, checked_at string"
 EVENTS = "company_id string, event_type string, event_date string, available_at string, source_url string, headline string, raw_excerpt string, collected_at string"
@@ -69,21 +69,6 @@ def merge_entries(rows: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "job_id").agg(F.get(known, F.lit(0))["url"].alias("url"), F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "titles"))), lambda x: x["titles"]))).alias("titles"))
 
 
-def job_posting(html: Column | str) -> Column:
-    """The first JobPosting node of a page's JSON-LD blocks, also inside arrays and @graph, as JSON text; broken blocks are passed over."""
-    h = F.col(html) if isinstance(html, str) else html
-    blocks = F.regexp_extract_all(h, F.lit("(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>"), 1)
-    plain = lambda b: F.array(b)
-    nodes = F.flatten(F.transform(blocks, lambda b: F.concat(plain(b), F.coalesce(F.from_json(b, "array<string>"), F.array().cast("array<string>")), F.coalesce(F.from_json(F.get_json_object(b, "$.@graph"), "array<string>"), F.array().cast("array<string>")))))
-    kind = lambda n: F.get_json_object(n, "$.@type")
-    return F.get(F.filter(nodes, lambda n: (kind(n) == "JobPosting") | F.contains(kind(n), F.lit('"JobPosting"'))), F.lit(0))
-
-
-def posting_fields(node: Column) -> Column:
-    field = lambda p: F.get_json_object(node, p)
-    return F.struct(blank_to_null(field("$.title")).alias("title"), F.try_to_timestamp(field("$.datePosted")).alias("date_posted"), F.try_to_timestamp(field("$.validThrough")).alias("valid_through"), host(F.coalesce(field("$.hiringOrganization.sameAs"), field("$.hiringOrganization.url"))).alias("org_domain"))
-
-
 def run_windows(lines: DataFrame) -> DataFrame:
     """(started_at, finished_at) of finished runs. lines: place, line; a start line is followed by a stamped line of its end, or else the run was broken off."""
     stamp = F.try_to_timestamp(F.regexp_extract("line", "([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+Z?)", 1))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import json
 import math
 import random
 import re
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
 from larkspur.operators import asof, features, leakage, lifecycle, matching, metrics, policy, survival
-from larkspur.sources import landed, sinks
+from larkspur.operators import tagged as G
+from larkspur.sources import json_ld, landed, sinks
 
 D = lambda n: dt.datetime(2026, 1, 1, 12) + dt.timedelta(days=n)
 SNAP = "company_id string, snapshot_id long, captured_at timestamp, coverage_status string, source string"
@@ -172,11 +174,61 @@ def test_boards_parse_each_kind(spark):
     assert one("ashby", '{"jobs": [{"id": "a", "department": "D"}]}')[0].team == "D"
 
 
-def test_json_ld_finds_nested_postings(spark):
-    html = '<script type="application/ld+json">{bad</script><script type="application/ld+json">{"@graph": [{"@type": "Thing"}, {"@type": "JobPosting", "title": " Chef ", "datePosted": "2026-01-03", "hiringOrganization": {"sameAs": "https://www.acme.com/x"}}]}</script>'
-    node = spark.createDataFrame([(html,), ("<p>no</p>",)], "h string").select(landed.job_posting("h").alias("n")).select(landed.posting_fields(F.col("n")).alias("f")).collect()
-    assert node[0].f.title == "Chef" and node[0].f.org_domain == "acme.com" and node[0].f.date_posted.day == 3
-    assert node[1].f.title is None
+def test_json_ld_finds_postings_at_any_depth_in_order(spark):
+    def page(*blocks):
+        return "".join(f"<script type='application/ld+json'>{b if isinstance(b, str) else json.dumps(b)}</script>" for b in blocks)
+
+    def post(t, **more):
+        return {"@type": "JobPosting", "title": t, **more}
+
+    cases = {
+        1: ([], None),
+        2: (["{bad", {"@graph": [{"@type": "Thing"}, post(" Chef ", datePosted="2026-01-03", hiringOrganization={"sameAs": "", "url": "https://www.acme.com/x"})]}], " Chef "),
+        3: ([[[[[post("deep")]]], post("late")]], "deep"),
+        4: ([{"@type": ["X", "JobPosting"], "title": "outer", "@graph": [{"@graph": [[{"@graph": [post("inner")]}]]}]}], "inner"),
+        5: ([{"@type": "JobPosting", "title": "kept", "@graph": {"@type": "JobPosting", "title": "no list"}}], "kept"),
+        6: ([{"@type": "Thing"}, post("second block")], "second block"),
+        7: ([post(5)], None),
+    }
+    pages = spark.createDataFrame([(i, page(*b)) for i, (b, _) in cases.items()] + [(8, None)], "page_id int, html string")
+    got = {r.page_id: r for r in json_ld.job_postings(pages).collect()}
+    assert {i: r.title for i, r in got.items()} == {i: t for i, (_, t) in cases.items() if i != 1}
+    assert (got[2].org_domain, got[2].date_posted.day, got[2].valid_through) == ("acme.com", 3, None)
+    assert json_ld.job_postings(pages.filter("page_id in (1, 8)")).count() == 0
+
+
+def test_tagged_records_lose_nothing(spark):
+    rows = [(1, None, None, True, 'a "quoted" \\ text\n', [1, 2]), (2, D(1), True, True, None, []), (3, D(2), None, False, "__type__", None), (4, None, False, True, "é", [None])]
+    df = spark.createDataFrame(rows, "i int, t timestamp, flag boolean, known boolean, s string, xs array<int>")
+    data = G.members(t=G.time(F.col("t")), flag=G.or_unknown(F.col("known"), G.plain(F.col("flag"))), s=G.plain(F.col("s")), xs=G.plain(F.col("xs")))
+    out = df.withColumn("d", data).withColumn("v", F.parse_json("d"))
+    out = out.select("i", "d", G.value(F.col("v"), "$.t", "timestamp").alias("t"), G.value(F.col("v"), "$.flag", "boolean").alias("flag"), (~G.is_unknown(F.col("v"), "$.flag")).alias("known"), G.value(F.col("v"), "$.s", "string").alias("s"), F.try_variant_get("v", "$.xs", "array<int>").alias("xs"), G.foreign_tags(F.col("d")).alias("odd"))
+    got = {r.i: r for r in out.collect()}
+    for i, t, flag, known, s, xs in rows:
+        r = got[i]
+        assert (r.t, r.flag if known else None, r.known, r.s, r.xs, r.odd) == (t, flag if known else None, known, s, xs, [])
+        plain = json.loads(r.d)
+        assert plain["s"] == s and plain["xs"] == xs and r.d == json.dumps(plain, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    odd = spark.createDataFrame([('{"a":{"__type__":"set"},"b":{"__type__":"datetime"},"c":"\\"__type__\\":\\"x\\""}',)], "d string")
+    assert odd.select(G.foreign_tags(F.col("d")).alias("o")).first().o == ["set"]
+
+
+def test_fetch_keys_are_rebuilt_from_records(spark):
+    def key(probe, url, **params):
+        return hashlib.sha256(json.dumps({"probe": probe, "args": {"url": url, "params": params}}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+    green, api = "https://boards-api.greenhouse.io/v1/boards/acme/jobs", "https://api.lever.co/v0/postings/acme"
+    rows = [
+        (1, "resolve_posting", {"ats": "greenhouse", "tenant": "acme", "job_id": "7", "canonical_url": "https://x/y"}, [("resolve_posting", key("resolve_posting", green + "/7", content="true")), ("json_ld", key("json_ld", "https://x/y"))]),
+        (2, "board_snapshot", {"ats": "greenhouse", "tenant": "acme", "job_id": "7"}, [("board_snapshot", key("board_snapshot", green, content="true"))]),
+        (3, "resolve_posting", {"ats": "lever", "tenant": "acme", "job_id": 7, "canonical_url": "ftp://x"}, [("resolve_posting", key("resolve_posting", api, mode="json"))]),
+        (4, "resolve_posting", {"ats": "other", "tenant": "acme"}, []), (5, "board_snapshot", {"ats": "ashby", "tenant": ""}, []), (6, "team_signal", {"ats": "lever", "tenant": "acme"}, []),
+        (7, "requirements_drift", {"posting_id": "p"}, [("requirements_drift", key("requirements_drift", "https://api.ashbyhq.com/posting-api/job-board/t", includeCompensation="false"))]), (8, "requirements_drift", {"posting_id": "q"}, []),
+    ]
+    records = spark.createDataFrame([(i, p, json.dumps(d)) for i, p, d, _ in rows], "record_id int, probe_name string, data string")
+    postings = spark.createDataFrame([("p", "ashby", "t", "1")], "posting_id string, ats string, tenant string, job_id string")
+    got = sorted((r.record_id, r.probe, r.args_hash) for r in G.fetch_keys(records, postings).collect())
+    assert got == sorted((i, *k) for i, _, _, keys in rows for k in keys)
 
 
 def test_run_windows_drop_broken_runs(spark):
