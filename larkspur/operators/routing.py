@@ -88,9 +88,9 @@ def next_step(spent: Column, steps: Column, most_steps: int, most_cost: float) -
     """(verdict, probe, why) of the controller, over action, could_change and proposed: run the best proposal that the budget bears, or stop for the first reason that holds."""
     best = F.get(F.filter("proposed", lambda x: spent + x["cost"] <= most_cost + 1e-9), F.lit(0))
     why = (
-        F.when(F.size("could_change") == 0, "action_settled")
+        F.when(F.size("could_change") == 0, "no_unresolved_question")
         .when(steps >= most_steps, "step_cap")
-        .when(F.size("proposed") == 0, "no_eligible_probe")
-        .when(best.isNull(), "budget_exhausted")
+        .when(F.size("proposed") == 0, "no_eligible_candidate")
+        .when(best.isNull(), "cost_cap")
     )
     return F.struct(F.when(why.isNull(), "RUN").otherwise("STOP").alias("verdict"), F.when(why.isNull(), best["probe"]).alias("probe"), why.alias("why"))

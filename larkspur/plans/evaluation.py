@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import asof, leakage, metrics, policy
-from larkspur.operators import corpus, routing
+from larkspur.operators import controller, corpus, routing
 from larkspur.operators import inputs as I
 from larkspur.operators import ranker as ranking
 from larkspur.operators.running import at_moments
@@ -377,11 +377,32 @@ def ranker_by_cost(spark: SparkSession, sf: str) -> DataFrame:
     return held.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives")).withColumn("auc", F.lit(None if auc is None else round(auc, 6)).cast("double")).withColumn("accuracy", F.lit(round(accuracy, 6)))
 
 
+#: Dialect-free pieces of what a controller is asked: inputs that could change the action, eligible and executed probes.
+COULD = {"repost_pattern": "case_id % 2 = 0", "publish_recency": "case_id % 3 = 0", "freeze_or_pause": "case_id % 5 < 2", "material_negative_event": "case_id % 7 < 3", "corroborating_hiring_signal": "case_id % 11 < 5"}
+ALLOWED = {"company_events": "case_id % 4 <> 1", "repost_history": "case_id % 6 <> 2", "requirements_drift": "case_id % 9 < 6", "team_signal": "case_id % 8 <> 3"}
+DONE = {"company_events": "case_id % 10 = 3", "repost_history": "case_id % 10 = 7"}
+PROBE = "CASE (evidence_id * 7 + case_id) % 6 WHEN 0 THEN 'repost_history' WHEN 1 THEN 'requirements_drift' WHEN 2 THEN 'team_signal' WHEN 3 THEN 'nonsense' ELSE 'company_events' END"
+PRICES, WAITS = {"repost_history": 1.0, "requirements_drift": 3.0, "company_events": 1.0, "team_signal": 3.0}, {"repost_history": 2.0, "requirements_drift": 5.0, "company_events": 2.0, "team_signal": 5.0}
+
+
+def controller_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """What the controller makes of the proposals for every case."""
+    chosen = lambda d: "filter(array(" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in d.items()) + "), x -> x IS NOT NULL)"
+    said = part(spark, sf, "claim").groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("evidence_id", F.expr(PROBE).alias("probe"), F.expr("evidence_id % 5 <> 0").alias("valid")))).alias("c"))
+    rows = part(spark, sf, "asked").join(said, "case_id", "left").selectExpr(
+        "case_id", f"{chosen(COULD)} AS could_change", f"CASE WHEN case_id % 13 <> 4 THEN {chosen(ALLOWED)} END AS eligible", f"transform({chosen(DONE)}, p -> named_struct('probe', p, 'args_hash', 'h0')) AS executed",
+        "map('company_events', concat('h', cast(case_id % 2 as string)), 'repost_history', concat('h', cast(case_id % 2 as string)), 'requirements_drift', 'h1', 'team_signal', 'h1') AS hashes", "cast(4 - case_id % 17 % 5 AS int) AS steps_left",
+        "case_id % 19 % 5 * 1.5D AS spent_cost", "case_id % 23 % 4 * 2.5D AS spent_latency", "CASE WHEN case_id % 29 <> 5 THEN named_struct('stop', case_id % 31 = 6, 'candidates', transform(coalesce(c, array()), x -> named_struct('probe', x.probe, 'valid', x.valid))) END AS output",
+    )
+    out = rows.select("case_id", controller.decision(PRICES, WAITS, 6.5, 9.5, 4).alias("d"))
+    return out.select("case_id", "d.decision", "d.reason", "d.probe", "d.args_hash", F.array_join("d.considered", ",").alias("considered"), F.array_join(F.transform("d.rejected", lambda x: F.concat(x["probe"], F.lit(":"), x["reason"])), ",").alias("rejected"), F.array_join(F.transform("d.ranking", lambda x: x["probe"]), ",").alias("ranking"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         latest_runs, paired_cases, agreement, confusion, exclusive_gains, step_metrics, probe_order, unnecessary_steps, citation_support, branch_counts, token_sums, event_signals, contradictions, decisions, unpopulated_inputs,
-        routed_probes, budget_ledger, outcome_funnel, product_gate, gate, value_comparison, probe_dependence, leakage_audit, leakage_fetched_after, leakage_captures, leakage_exposures, policy_inputs, decisions_from_evidence, flipping_claims, routes, relevant_from_evidence, resume, shard_counts, holdout_breach, repeated_cases, visible_events, ranker, ranker_rows, ranker_holdout, ranker_by_cost,
+        routed_probes, budget_ledger, outcome_funnel, product_gate, gate, value_comparison, probe_dependence, leakage_audit, leakage_fetched_after, leakage_captures, leakage_exposures, policy_inputs, decisions_from_evidence, flipping_claims, routes, relevant_from_evidence, resume, shard_counts, holdout_breach, repeated_cases, visible_events, ranker, controller_decisions, ranker_rows, ranker_holdout, ranker_by_cost,
     )
 }
 
@@ -429,6 +450,16 @@ tr AS MATERIALIZED (SELECT case_id, replay_at, probe, CAST(label AS INT) AS labe
   CAST(i AS DOUBLE) AS n_probes_before, CASE probe WHEN 'probe1' THEN 3.0 WHEN 'probe3' THEN 10.0 ELSE 1.0 END::DOUBLE AS probe_cost_points, CAST(probe = 'probe0' AS DOUBLE) AS probe_is_probe0, CAST(probe = 'probe1' AS DOUBLE) AS probe_is_probe1, CAST(probe = 'probe3' AS DOUBLE) AS probe_is_probe3, CAST(probe = 'probe4' AS DOUBLE) AS probe_is_probe4
   FROM ca JOIN fe USING (run_id, probe) JOIN la USING (run_id, probe) WHERE probe IN ('probe0', 'probe1', 'probe3', 'probe4')),
 ho AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY replay_at, case_id, probe) > count(*) OVER () - least(greatest(1, round_even(count(*) OVER () * 0.25, 0)), count(*) OVER () - 1) AS holdout FROM tr)"""
+CHOSEN = lambda d: "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in d.items()) + "], lambda x: x IS NOT NULL)"
+CONTROL = f"""{DUCK}, q AS MATERIALIZED (SELECT case_id, {CHOSEN(COULD)} AS could, CASE WHEN case_id % 13 <> 4 THEN {CHOSEN(ALLOWED)} END AS elig, CASE WHEN case_id % 2 = 0 THEN {CHOSEN(DONE)} ELSE [] END AS done, 4 - case_id % 17 % 5 AS steps, case_id % 19 % 5 * 1.5 AS cost, case_id % 23 % 4 * 2.5 AS lat, case_id % 29 <> 5 AS said, case_id % 31 = 6 AS stops FROM asked),
+cd AS (SELECT c.case_id, row_number() OVER (PARTITION BY c.case_id ORDER BY evidence_id) AS i, {PROBE} AS probe, evidence_id % 5 <> 0 AS valid FROM claim c JOIN q USING (case_id) WHERE said),
+gv AS (SELECT * FROM (VALUES ('repost_history', ['repost_pattern'], 1.0, 2.0), ('requirements_drift', ['publish_recency'], 3.0, 5.0), ('company_events', ['material_negative_event', 'freeze_or_pause', 'last_material_event_at'], 1.0, 2.0), ('team_signal', ['corroborating_hiring_signal'], 3.0, 5.0)) AS t(probe, gives, price, wait)),
+c1 AS (SELECT cd.*, q.*  EXCLUDE (case_id), len(list_intersect(gives, could)) AS use, price, wait, gives IS NOT NULL AS known FROM cd JOIN q USING (case_id) LEFT JOIN gv USING (probe)),
+c2 AS MATERIALIZED (SELECT *, CASE WHEN i > 4 THEN 'over_candidate_limit' WHEN NOT known THEN 'unknown_probe' WHEN elig IS NULL THEN 'ineligible' WHEN NOT valid THEN 'invalid_args' WHEN NOT list_contains(elig, probe) THEN 'ineligible' WHEN list_contains(done, probe) THEN 'duplicate'
+  WHEN use > 0 AND coalesce(bool_or(valid) OVER (PARTITION BY case_id, probe ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'duplicate' WHEN use = 0 THEN 'no_useful_input' END AS refused FROM c1),
+c3 AS (SELECT case_id, coalesce(list(probe ORDER BY i) FILTER (i <= 4), []) AS considered, coalesce(list(probe || ':' || refused ORDER BY i <= 4, i) FILTER (refused IS NOT NULL), []) AS rejected, coalesce(list(probe ORDER BY use / price DESC, probe) FILTER (refused IS NULL), []) AS ranking FROM c2 GROUP BY case_id),
+c4 AS (SELECT q.*, coalesce(considered, []) AS considered, coalesce(rejected, []) AS rejected, coalesce(ranking, []) AS ranking, gv.price, gv.wait, CASE WHEN len(could) = 0 THEN 'no_unresolved_question' WHEN steps <= 0 THEN 'step_cap' WHEN elig IS NOT NULL AND len(list_filter(elig, lambda p: NOT list_contains(done, p))) = 0 THEN 'no_new_eligible_probe'
+  WHEN NOT said THEN 'investigator_error' WHEN stops THEN 'investigator_stop' WHEN len(coalesce(ranking, [])) = 0 THEN 'no_eligible_candidate' WHEN cost + price > 6.5 THEN 'cost_cap' WHEN lat + wait > 9.5 THEN 'latency_cap' END AS why FROM q LEFT JOIN c3 USING (case_id) LEFT JOIN gv ON gv.probe = ranking[1])"""
 ORACLE_SQL = {
     "latest_runs": f"WITH {LATEST} SELECT system, case_id, run_id, action, duplicates FROM lat",
     "paired_cases": f"WITH {PAIRS} SELECT * FROM par",
@@ -496,4 +527,7 @@ ORACLE_SQL = {
     "ranker_holdout": f"WITH {RANKED} SELECT holdout, probe, count(*) AS n, sum(label)::BIGINT AS positives, min(replay_at) AS first_at, max(replay_at) AS last_at FROM ho GROUP BY ALL",
     "ranker_by_cost": f"""WITH {RANKED}, h AS (SELECT label, -probe_cost_points AS s FROM ho WHERE holdout), t AS (SELECT median(s) AS m FROM h), k AS (SELECT s, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM h GROUP BY s),
  a AS (SELECT sum(x.p * (y.n * CASE WHEN y.s < x.s THEN 1 WHEN y.s = x.s THEN 0.5 ELSE 0 END)) AS r FROM k x, k y) SELECT (SELECT count(*) FROM h) AS n, (SELECT sum(label)::BIGINT FROM h) AS positives, round((SELECT r FROM a) / (SELECT sum(p) * sum(n) FROM k), 6) AS auc, (SELECT round(avg(CAST((s >= m) = (label = 1) AS DOUBLE)), 6) FROM h, t) AS accuracy""",
+    "controller_decisions": f"""WITH {CONTROL}, l AS (SELECT *, why IS NULL OR why IN ('no_eligible_candidate', 'cost_cap', 'latency_cap') AS late FROM c4) SELECT case_id, CASE WHEN why IS NULL THEN 'run' ELSE 'stop' END AS decision, coalesce(why, 'ranked_best') AS reason, CASE WHEN why IS NULL THEN ranking[1] END AS probe,
+ CASE WHEN why IS NULL THEN CASE WHEN ranking[1] IN ('company_events', 'repost_history') THEN 'h' || (case_id % 2) ELSE 'h1' END END AS args_hash, array_to_string(CASE WHEN why = 'no_new_eligible_probe' THEN list_sort(elig) WHEN late THEN considered ELSE [] END, ',') AS considered,
+ array_to_string(CASE WHEN why = 'investigator_error' THEN [':investigator_error'] WHEN late THEN list_concat(rejected, CASE why WHEN 'cost_cap' THEN [ranking[1] || ':budget_cost'] WHEN 'latency_cap' THEN [ranking[1] || ':budget_latency'] ELSE [] END) ELSE [] END, ',') AS rejected, array_to_string(CASE WHEN late THEN ranking ELSE [] END, ',') AS ranking FROM l""",
 }

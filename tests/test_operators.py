@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
-from larkspur.operators import asof, features, leakage, lifecycle, matching, metrics, policy, survival
+from larkspur.operators import asof, controller, features, leakage, lifecycle, matching, metrics, policy, routing, survival
 from larkspur.operators import tagged as G
 from larkspur.sources import json_ld, landed, sinks
 
@@ -549,13 +549,11 @@ def test_unknown_dates_are_questions_too(spark):
 
 
 def test_controller_runs_or_stops(spark):
-    from larkspur.operators import routing
-
     rows = spark.createDataFrame([(1, ["repost_pattern", "freeze_or_pause"], []), (2, [], []), (3, ["freeze_or_pause"], ["company_events"]), (4, ["freeze_or_pause", "material_negative_event", "repost_pattern"], [])], "case_id int, could_change array<string>, executed array<string>")
     out = routing.proposed(rows, {"repost_history": 1.0, "requirements_drift": 1.0, "company_events": 1.0, "team_signal": 1.0})
     got = {r.case_id: ([p.probe for p in r.proposed], r.s.verdict, r.s.probe, r.s.why) for r in out.withColumn("s", routing.next_step(F.lit(0.0), F.size("executed"), 4, 1.0)).collect()}
-    assert got == {1: (["company_events", "repost_history"], "RUN", "company_events", None), 2: ([], "STOP", None, "action_settled"), 3: ([], "STOP", None, "no_eligible_probe"), 4: (["company_events", "repost_history"], "RUN", "company_events", None)}
-    assert out.select(routing.next_step(F.lit(0.5), F.lit(0), 4, 1.0)["why"]).first()[0] == "budget_exhausted"
+    assert got == {1: (["company_events", "repost_history"], "RUN", "company_events", None), 2: ([], "STOP", None, "no_unresolved_question"), 3: ([], "STOP", None, "no_eligible_candidate"), 4: (["company_events", "repost_history"], "RUN", "company_events", None)}
+    assert out.select(routing.next_step(F.lit(0.5), F.lit(0), 4, 1.0)["why"]).first()[0] == "cost_cap"
 
 
 def test_fitted_intervals_predict_within_their_support():
@@ -581,3 +579,70 @@ def test_small_operators_without_tables(spark):
     assert gate.status == "unproven" and gate.missing.startswith("no outcomes; no splits") and boards
     curve = spark.createDataFrame([(1.0, 0.9, 0.7, 1.0), (2.0, 0.5, 0.3, 0.8), (3.0, 0.4, 0.2, 0.5)], "time double, survival double, ci_low double, ci_high double")
     assert tuple(survival.median_interval(curve).first()) == (2.0, 2.0, 3.0)
+
+
+def plain_controller(r, costs, waits, max_cost, max_wait, limit):
+    """The rules one by one, as a person would apply them."""
+    gives = routing.POPULATES
+    done = {(e["probe"], e["args_hash"]) for e in r["executed"]}
+    stop = lambda why, considered=(), rejected=(), ranking=(): ("stop", why, None, list(considered), list(rejected), list(ranking))
+    if not r["could_change"]:
+        return stop("no_unresolved_question")
+    if r["steps_left"] <= 0:
+        return stop("step_cap")
+    if r["eligible"] is not None and all((p, r["hashes"].get(p)) in done for p in r["eligible"]):
+        return stop("no_new_eligible_probe", sorted(r["eligible"]))
+    if r["output"] is None:
+        return stop("investigator_error", rejected=[("", "investigator_error")])
+    if r["output"]["stop"]:
+        return stop("investigator_stop")
+    names = [(c["probe"], c["valid"]) for c in r["output"]["candidates"]]
+    rejected, proposed, passed = [(n, "over_candidate_limit") for n, _ in names[limit:]], set(), []
+    for n, valid in names[:limit]:
+        if n not in gives:
+            rejected.append((n, "unknown_probe"))
+        elif r["eligible"] is None:
+            rejected.append((n, "ineligible"))
+        elif not valid:
+            rejected.append((n, "invalid_args"))
+        elif n not in r["eligible"]:
+            rejected.append((n, "ineligible"))
+        elif (n, r["hashes"].get(n)) in done or n in proposed:
+            rejected.append((n, "duplicate"))
+        elif not set(gives[n]) & set(r["could_change"]):
+            rejected.append((n, "no_useful_input"))
+        else:
+            proposed.add(n)
+            passed.append((len(set(gives[n]) & set(r["could_change"])) / costs[n], n))
+    ranking = [(n, s) for s, n in sorted(passed, key=lambda x: (-x[0], x[1]))]
+    considered = [n for n, _ in names[:limit]]
+    if not ranking:
+        return stop("no_eligible_candidate", considered, rejected)
+    best = ranking[0][0]
+    if r["spent_cost"] + costs[best] > max_cost:
+        return stop("cost_cap", considered, [*rejected, (best, "budget_cost")], ranking)
+    if r["spent_latency"] + waits[best] > max_wait:
+        return stop("latency_cap", considered, [*rejected, (best, "budget_latency")], ranking)
+    return ("run", "ranked_best", best, considered, rejected, ranking)
+
+
+def test_controller_equals_its_rules_one_by_one(spark):
+    rng = random.Random(8)
+    probes, inputs = list(routing.POPULATES), sorted({x for v in routing.POPULATES.values() for x in v})
+    rows = []
+    for i in range(1500):
+        hashes = {p: f"h{rng.randrange(3)}" for p in probes}
+        executed = [{"probe": p, "args_hash": rng.choice([hashes[p], hashes[p], "old"])} for p in rng.sample(probes, rng.randrange(3))]
+        eligible = None if rng.random() < 0.1 else rng.sample(probes, rng.choice([0, 1, 2, 3, 4, 4, 4]))
+        output = None if rng.random() < 0.1 else {"stop": rng.random() < 0.1, "candidates": [{"probe": rng.choice([*probes, "nonsense"]), "valid": rng.random() < 0.8} for _ in range(rng.randrange(6))]}
+        rows.append({"i": i, "could_change": rng.sample(inputs, rng.choice([0, 1, 2, 3, 4, 5])), "eligible": eligible, "executed": executed, "hashes": hashes, "steps_left": rng.choice([0, 1, 2, 3, 4]), "spent_cost": rng.choice([0.0, 0.0, 5.0]), "spent_latency": rng.choice([0.0, 0.0, 8.0]), "output": output})
+    df = spark.createDataFrame(rows, "i int, could_change array<string>, eligible array<string>, executed array<struct<probe:string,args_hash:string>>, hashes map<string,string>, steps_left int, spent_cost double, spent_latency double, output struct<stop:boolean,candidates:array<struct<probe:string,valid:boolean>>>")
+    costs, waits = {"repost_history": 1.0, "requirements_drift": 3.0, "company_events": 1.0, "team_signal": 3.0}, {"repost_history": 2.0, "requirements_drift": 5.0, "company_events": 2.0, "team_signal": 5.0}
+    got = {r.i: r.d for r in df.select("i", controller.decision(costs, waits, 6.5, 9.5, 4).alias("d")).collect()}
+    seen, refused = set(), set()
+    for r in rows:
+        d, want = got[r["i"]], plain_controller(r, costs, waits, 6.5, 9.5, 4)
+        assert (d.decision, d.reason, d.probe, d.considered, [tuple(x) for x in d.rejected], [tuple(x) for x in d.ranking]) == want
+        seen.add(d.reason)
+        refused |= {x.reason for x in d.rejected}
+    assert seen == {*controller.STOPS, "ranked_best"} and refused == {*controller.REFUSALS, "investigator_error"} - {"step_cap"}
