@@ -148,3 +148,14 @@ def fillings(known: dict) -> list[dict]:
     """All ways to fill the unknown inputs of one case: the brute-force form of could_change, for tests."""
     names = list(DOMAINS)
     return [dict(zip(names, v, strict=True)) for v in product(*[(known[n],) if known.get(n) is not None else (None, *DOMAINS[n]) for n in names])]
+
+
+def page_date_candidates(postings: DataFrame, captured: DataFrame, tried: DataFrame, limit: int, most_attempts: int = 3, kind: str = "lever") -> DataFrame:
+    """The postings (posting_id, company_id, ats, url, first_observed, last_seen_open) whose page is to be read for its date: posting_id and url, newest first, `limit` at most.
+
+    captured: company_id, captured_at of this run's captures; a posting counts if that very capture listed it. tried: posting_id, status, attempts of pages read
+    before; only failed ones with attempts left are read again.
+    """
+    rows = postings.filter((F.col("ats") == kind) & F.startswith("url", F.lit("https://"))).join(captured.withColumnRenamed("captured_at", "last_seen_open").distinct(), ["company_id", "last_seen_open"], "left_semi")
+    done = tried.filter((F.col("status") != "failed") | (F.col("attempts") >= most_attempts)).select("posting_id")
+    return rows.join(done, "posting_id", "left_anti").orderBy(F.desc("first_observed"), "posting_id").limit(max(0, limit)).select("posting_id", "url")

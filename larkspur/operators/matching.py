@@ -174,3 +174,18 @@ def repost_links(intervals: DataFrame, cfg: Matching = Matching()) -> DataFrame:
 def best_link(links: DataFrame) -> DataFrame:
     """The best link of each old job: the highest score, then the smallest new job."""
     return links.groupBy("company_id", "old_job_id").agg(F.min_by(F.struct("new_job_id", "combined", "title_score", "description_score"), F.struct(-F.col("combined"), F.col("new_job_id"))).alias("x")).select("company_id", "old_job_id", "x.*")
+
+
+def retained(candidates: DataFrame, k: int) -> DataFrame:
+    """All candidates that pass, and of each company the best k that don't: enough for any ranking of k, without the pairs that no one will look at.
+
+    The rank limit is applied in every task before the shuffle, so a company sends k rejected pairs a task, however many it has.
+    """
+    w = Window.partitionBy("company_id").orderBy(F.desc("combined"), "old_job_id", "new_job_id")
+    best = candidates.filter(~F.col("passes")).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+    return candidates.filter("passes").unionByName(best)
+
+
+def ranked(candidates: DataFrame, n: int) -> DataFrame:
+    """The best n of all companies, by score, then by the jobs: each task keeps n."""
+    return candidates.orderBy(F.desc("combined"), "old_job_id", "new_job_id", "company_id").limit(n)

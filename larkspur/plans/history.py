@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import days_between, normalized_text
-from larkspur.operators import asof, changes, features, intervals_join, lifecycle, matching, metrics, splits, survival
+from larkspur.operators import asof, changes, corpus, features, intervals_join, lifecycle, matching, metrics, splits, survival
 from larkspur.plans.fixtures import INTERVALS_SQL, capture_ctes, captures, listings
 
 def now():
@@ -114,6 +114,21 @@ def equal_title_links(spark: SparkSession, sf: str) -> DataFrame:
     return matching.combined(rows).select("company_id", "old_job_id", "new_job_id", r6("combined"), "title_only", "corroborated", "passes")
 
 
+def top_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """The best 200 of all pairs, passing or not, from what each company retains."""
+    return matching.ranked(matching.retained(equal_title_links(spark, sf), 200), 200).select("company_id", "old_job_id", "new_job_id", "combined", "passes")
+
+
+def page_date_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest postings that the last captures of their companies listed and whose pages are still to be read."""
+    last = captures(spark, sf).groupBy("company_id").agg(F.max("captured_at").alias("captured_at"))
+    rows = jobs_of(spark, sf).select(F.col("job_id").alias("posting_id"), "company_id", F.expr("CASE WHEN job_id % 3 <> 0 THEN 'lever' ELSE 'ashby' END AS ats"), F.expr("CASE WHEN job_id % 8 = 5 THEN replace(url, 'https', 'http') ELSE url END AS url"), "first_observed", "last_seen_open")
+    tried = rows.filter("posting_id % 4 <> 2").selectExpr("posting_id", "CASE WHEN posting_id % 4 = 0 THEN 'ok' ELSE 'failed' END AS status", "cast(posting_id % 5 as int) AS attempts")
+    # every company's last capture is its listing's last day at the latest: that of the last listed day counts too
+    seen = rows.groupBy("company_id").agg(F.max("last_seen_open").alias("captured_at"))
+    return corpus.page_date_candidates(rows, last.unionByName(seen), tried, 100)
+
+
 def repost_links(spark: SparkSession, sf: str) -> DataFrame:
     return matching.repost_links(jobs_of(spark, sf)).select("company_id", "old_job_id", "new_job_id", r6("combined"), r6("gap_days"), r6("title_score"))
 
@@ -268,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lifecycle_intervals, lifecycle_companies, lifecycle_archive_only, lifecycle_merge, lifecycle_daily, coverage_gaps, coverage_window, open_trend, team_activity, company_activity, team_events, team_verdicts, title_mode, degenerate_pages, gated_pairs, equal_title_links, repost_links,
-        links_in_order, company_features, posting_features, repost_patterns, hash_changes, carried_values, matched_refreshes, survival_curve, survival_horizons, survival_turnbull, survival_sample, windows_merged, moments_shifted, latest_capture,
+        links_in_order, company_features, posting_features, repost_patterns, hash_changes, carried_values, matched_refreshes, survival_curve, survival_horizons, survival_turnbull, survival_sample, windows_merged, moments_shifted, latest_capture, top_candidates, page_date_candidates,
         visible_captures, intervals_as_of, case_grid, turns, company_splits, stable_splits, dataset_splits, greedy_splits, eras,
     )
 }
@@ -350,3 +365,8 @@ ORACLE_SQL = {
  m AS (SELECT CASE WHEN s.first_observed IS NULL THEN 'new' WHEN d.first_observed IS NULL THEN 'kept' ELSE 'merged' END AS change, least(s.first_observed, d.first_observed) AS f, greatest(s.last_seen_open, d.last_seen_open) AS l, least(s.first_seen_absent, d.first_seen_absent) AS a, least(s.reappeared_at, d.reappeared_at) AS r FROM s2 s FULL JOIN intervals d USING (company_id, job_id))
  SELECT change, count(*) AS n, min(f) AS first, max(l) AS last, count(a) AS absent, count(r) AS reappeared FROM m GROUP BY change""",
 }
+ORACLE_SQL |= {
+    "top_candidates": f"WITH e AS ({ORACLE_SQL['equal_title_links']}) SELECT company_id, old_job_id, new_job_id, combined, passes FROM e ORDER BY combined DESC, old_job_id, new_job_id, company_id LIMIT 200",
+    "page_date_candidates": f"""WITH {INTERVALS_SQL}, p AS (SELECT *, CASE WHEN job_id % 8 = 5 THEN replace(url, 'https', 'http') ELSE url END AS u, max(last_seen_open) OVER (PARTITION BY company_id) AS listed FROM intervals)
+ SELECT job_id AS posting_id, u AS url FROM p WHERE job_id % 3 <> 0 AND u LIKE 'https://%' AND (last_seen_open = listed OR last_seen_open IN (SELECT max(captured_at) FROM snap WHERE snap.company_id = p.company_id)) AND (job_id % 4 = 2 OR (job_id % 4 <> 0 AND job_id % 5 < 3)) ORDER BY first_observed DESC, job_id LIMIT 100""",
+}

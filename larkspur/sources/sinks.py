@@ -46,3 +46,31 @@ def evidence_ids(claims: DataFrame, start: int = 1) -> DataFrame:
     """Ids e1, e2, ... within each run, in order of place."""
     w = Window.partitionBy("run_id").orderBy("place")
     return claims.withColumn("evidence_id", F.concat(F.lit("e"), (F.row_number().over(w) + start - 1).cast("string")))
+
+
+def deletable(runs: DataFrame, doomed: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """run_id of the runs to delete. With allowed (input_url, replay_at: the cases that this shard owns) any run of another shard's case refuses the whole deletion.
+
+    runs: run_id, input_url, replay_at. doomed: run_id.
+    """
+    ids = runs.join(doomed.select("run_id").distinct(), "run_id", "left_semi")
+    if allowed is not None:
+        own = allowed.select(F.col("input_url").alias("__u"), F.col("replay_at").alias("__t"))
+        foreign = ids.join(own, F.col("input_url").eqNullSafe(F.col("__u")) & F.col("replay_at").eqNullSafe(F.col("__t")), "left_anti").select("run_id").limit(5).collect()
+        if foreign:
+            raise ValueError(f"runs of another shard's cases: {[r[0] for r in foreign]}")
+    return ids.select("run_id")
+
+
+def without(rows: DataFrame, doomed: DataFrame) -> DataFrame:
+    """rows of other runs than the doomed ones: the same for runs, steps and evidence."""
+    return rows.join(doomed.select("run_id"), "run_id", "left_anti")
+
+
+def marked(steps: DataFrame, runs: DataFrame, mark: str) -> DataFrame:
+    """steps (run_id, step_index, decision_type and others) with a last step that marks each of runs; a run that carries the mark isn't marked again."""
+    have = steps.filter(F.col("decision_type") == mark).select("run_id")
+    last = steps.groupBy("run_id").agg(F.max("step_index").alias("__last"))
+    new = runs.select("run_id").distinct().join(have, "run_id", "left_anti").join(last, "run_id", "left")
+    kind = steps.schema["step_index"].dataType
+    return steps.unionByName(new.select("run_id", (F.coalesce("__last", F.lit(0)) + 1).cast(kind).alias("step_index"), F.lit(mark).alias("decision_type")), allowMissingColumns=True)

@@ -646,3 +646,31 @@ def test_controller_equals_its_rules_one_by_one(spark):
         seen.add(d.reason)
         refused |= {x.reason for x in d.rejected}
     assert seen == {*controller.STOPS, "ranked_best"} and refused == {*controller.REFUSALS, "investigator_error"} - {"step_cap"}
+
+
+def test_runs_of_other_shards_are_not_deleted(spark):
+    runs = spark.createDataFrame([(1, "a", D(1)), (2, "a", None), (3, "b", D(1))], "run_id int, input_url string, replay_at timestamp")
+    mine = spark.createDataFrame([("a", D(1)), ("a", None)], "input_url string, replay_at timestamp")
+    doomed = sinks.deletable(runs, runs.filter("run_id < 3"), mine)
+    assert sorted(r.run_id for r in doomed.collect()) == [1, 2] and [r.run_id for r in sinks.without(runs, doomed).collect()] == [3]
+    with pytest.raises(ValueError):
+        sinks.deletable(runs, runs.filter("run_id > 1"), mine)
+    assert sinks.deletable(runs, runs).count() == 3
+
+
+def test_marks_are_set_once(spark):
+    steps = spark.createDataFrame([(1, 1, "x", 0.5), (1, 2, "y", 0.5), (2, 1, "held", None)], "run_id int, step_index int, decision_type string, cost double")
+    runs = spark.createDataFrame([(1,), (2,), (3,)], "run_id int")
+    once = sinks.marked(steps, runs, "held")
+    assert sorted((r.run_id, r.step_index, r.decision_type) for r in sinks.marked(once, runs, "held").collect()) == [(1, 1, "x"), (1, 2, "y"), (1, 3, "held"), (2, 1, "held"), (3, 1, "held")]
+
+
+def test_rejected_candidates_are_limited_before_the_shuffle(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(3), i, rng.randrange(5), rng.randrange(20) / 20, rng.random() < 0.1) for i in range(400)]
+    df = spark.createDataFrame(rows, "company_id int, old_job_id int, new_job_id int, combined double, passes boolean")
+    got = matching.retained(df, 7)
+    best = lambda xs, n: sorted(xs, key=lambda r: (-r[3], r[1], r[2]))[:n]
+    want = [r for r in rows if r[4]] + [r for c in range(3) for r in best([x for x in rows if x[0] == c and not x[4]], 7)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and "WindowGroupLimit" in got._jdf.queryExecution().toString()
+    assert [r.old_job_id for r in matching.ranked(got, 7).collect()] == [r[1] for r in best(rows, 7)]
