@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.scalars import flexible_time, host
+from larkspur.functions.scalars import flexible_time, host, materiality, utc_text
 
 TARGETS = "company_name string, website_domain string, ats string, tenant string, open_job_count int, checked_at string"
 EVENTS = "company_id string, event_type string, event_date string, available_at string, source_url string, headline string, raw_excerpt string, collected_at string"
@@ -22,8 +22,25 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events of companies with their materiality, which the text decides; dates are read as midnight."""
     rows = spark.read.csv(path, header=True, schema=EVENTS, multiLine=True, escape='"')
-    return rows.select("company_id", "event_type", flexible_time("event_date").alias("event_at"), flexible_time("available_at").alias("available_at"), "source_url", "headline", "raw_excerpt")
+    date = F.to_date(flexible_time("event_date")).cast("timestamp")
+    return rows.select("company_id", "event_type", date.alias("event_at"), flexible_time("available_at").alias("available_at"), "source_url", "headline", "raw_excerpt", materiality("event_type", "headline", "raw_excerpt").alias("materiality"), flexible_time("collected_at").alias("collected_at"))
+
+
+#: What tells events apart, and what the others are packed into.
+EVENT_KEY, PACKED = ("company_id", "event_type", "event_at", "source_url"), "headline string, raw_excerpt string, source_quality string, materiality string, collected_at string"
+
+
+def packed_events(events: DataFrame, quality: str = "news") -> DataFrame:
+    """Events as they are stored: EVENT_KEY, available_at and a JSON description of the rest, nulls kept."""
+    rest = F.struct(F.col("headline"), F.col("raw_excerpt"), F.lit(quality).alias("source_quality"), F.col("materiality"), utc_text("collected_at").alias("collected_at"))
+    return events.select(*EVENT_KEY, "available_at", F.to_json(rest, {"ignoreNullFields": "false"}).alias("description"))
+
+
+def unpacked_events(stored: DataFrame) -> DataFrame:
+    rest = F.from_json("description", PACKED)
+    return stored.select(*EVENT_KEY, "available_at", *[rest[c].alias(c) for c in ("headline", "raw_excerpt", "source_quality", "materiality")], F.try_to_timestamp(rest["collected_at"]).alias("collected_at"))
 
 
 def last_status(rows: DataFrame, order: Column | None = None) -> DataFrame:
