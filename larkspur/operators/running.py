@@ -71,3 +71,21 @@ def newest(rows: DataFrame, key: list[str], order: str, stretch: Column, value:
     out = rows.join(before, same)
     both = F.slice(F.reverse(F.concat("__before", "__own")), 1, k)
     return out.select(*[c for c in rows.columns if c not in ("__stretch", "__value", "__own")], both.alias(name))
+
+
+def quantile(rows: DataFrame, value: str, share: float, stretch: Column) -> float | None:
+    """The exact quantile of a numeric column, interpolated between neighbours; null values don't count, and without values there is none.
+
+    Values are counted first, and ranks run in stretches of them (stretch rises with value), so no task and no buffer holds all values: the driver gets two.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    placed = running(counts.withColumn("at", stretch), [], [F.col("value")], F.col("at"), {"upto": ("sum", "n")})
+    total = rows.agg(F.count(value)).first()[0]
+    if not total:
+        return None
+    at = share * (total - 1)
+    low = int(at)
+    near = placed.filter((F.col("upto") > low) & (F.col("upto") - F.col("n") <= min(low + 1, total - 1))).select("value", "upto", "n").collect()
+    of = lambda k: next(r["value"] for r in near if r["upto"] - r["n"] <= k < r["upto"])
+    a, b = of(low), of(min(low + 1, total - 1))
+    return a + (b - a) * (at - low)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import days_between, ratio
+from larkspur.operators.running import quantile
+from larkspur.session import written
 
 
 def earliest_own(captures: DataFrame) -> DataFrame:
@@ -72,10 +74,12 @@ def event_coverage(companies: DataFrame, events: DataFrame) -> DataFrame:
     return companies.select("company_id").distinct().join(found, "company_id", "left").agg(F.count("*").alias("companies"), F.count("n").alias("with_events"), F.sum(F.coalesce("n", F.lit(0))).alias("events"))
 
 
-def spread(rows: DataFrame, value: str) -> DataFrame:
-    """One row: companies with a value, and its least, median, greatest and mean."""
+def spread(rows: DataFrame, value: str, step: float = 0.001) -> DataFrame:
+    """One row: companies with a value, and its least, median, greatest and mean. The median is taken from counts by value, in stretches of step."""
     v = F.col(value)
-    return rows.agg(F.count(v).alias("known"), F.min(v).alias("least"), F.median(v).alias("median"), F.max(v).alias("most"), F.avg(v).alias("mean"))
+    rows = written(rows.select(value))
+    middle = quantile(rows, value, 0.5, F.floor(F.col("value") / F.lit(step)))
+    return rows.agg(F.count(v).alias("known"), F.min(v).alias("least"), F.lit(middle).cast("double").alias("median"), F.max(v).alias("most"), F.avg(v).alias("mean"))
 
 
 def repost_summary(intervals: DataFrame, links: DataFrame) -> DataFrame:
@@ -103,9 +107,10 @@ def as_seen(intervals: DataFrame, moment: Column) -> DataFrame:
 
 
 def latest_share(rows: DataFrame, stamp: str, share: float) -> DataFrame:
-    """rows with is_test: whether they belong to the latest share of all by time, cut at a quantile of the whole; equal times stay together."""
-    cut = rows.agg(F.percentile(F.unix_micros(stamp), 1 - share).alias("__cut"))
-    return rows.crossJoin(F.broadcast(cut)).withColumn("is_test", F.unix_micros(stamp) > F.col("__cut")).drop("__cut")
+    """rows with is_test: whether they belong to the latest share of all by time, cut at a quantile of the whole; equal times stay together, rows without a time have none."""
+    rows = written(rows)
+    cut = quantile(rows.select(F.unix_micros(stamp).alias("t")), "t", 1 - share, F.floor(F.col("value") / F.lit(86_400_000_000)))
+    return rows.withColumn("is_test", F.unix_micros(stamp) > F.lit(cut).cast("double"))
 
 
 def age_at(intervals: DataFrame, moment: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from larkspur.operators import controller, corpus, routing
 from larkspur.operators import inputs as I
 from larkspur.operators import ranker as ranking
 from larkspur.operators.running import at_moments
-from larkspur.session import table
+from larkspur.session import table, written
 
 ACTIONS = "CASE o_totalprice_bucket % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'wait' WHEN 2 THEN 'apply_now' ELSE 'quick_apply' END"
 
@@ -271,14 +271,15 @@ def gate(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.agent_gate(b, r)
 
 
-def cache_of(spark: SparkSession, sf: str) -> DataFrame:
-    return part(spark, sf, "evidence").select(F.concat_ws("/", "probe", "source_url").alias("probe"), "fetched_at", F.expr("fetched_at + interval 6 hours").alias("expires_at"))
+def cache_of(evidence: DataFrame) -> DataFrame:
+    return evidence.select(F.concat_ws("/", "probe", "source_url").alias("probe"), "fetched_at", F.expr("fetched_at + interval 6 hours").alias("expires_at"))
 
 
 def leakage_audit(spark: SparkSession, sf: str) -> DataFrame:
     """All eight kinds of violations, and a model's cache misses apart."""
-    runs, steps, evidence = (part(spark, sf, n) for n in ("run", "step", "evidence"))
-    parts = [leakage.after_moment(evidence, runs), fetched(spark, sf), captured(spark, sf), leakage.cache_misses(steps), leakage.cache_misses(steps, model=True), leakage.violations(steps, "net_call"), leakage.violations(steps, "missing_probe_result"), leakage.missing_moment(runs)]
+    # steps and evidence are numbered by windows: made once, read by nine parts
+    runs, steps, evidence = (written(part(spark, sf, n)) for n in ("run", "step", "evidence"))
+    parts = [leakage.after_moment(evidence, runs), fetched(spark, sf, evidence, runs), captured(spark, sf), leakage.cache_misses(steps), leakage.cache_misses(steps, model=True), leakage.violations(steps, "net_call"), leakage.violations(steps, "missing_probe_result"), leakage.missing_moment(runs)]
     return leakage.audit([*parts, leakage.unbacked_inputs(branched(steps), runs, evidence)])
 
 
@@ -288,9 +289,9 @@ def branched(steps: DataFrame) -> DataFrame:
     return steps.withColumn("decision_type", F.when(F.startswith("decision_type", F.lit("policy_decision:")), F.concat(F.lit("policy_decision:"), F.element_at(names, (F.col("args_hash") + F.col("step_index") % 7 + 1).cast("int")), F.lit(":x"))).otherwise(F.col("decision_type")))
 
 
-def fetched(spark: SparkSession, sf: str) -> DataFrame:
-    evidence = part(spark, sf, "evidence").withColumn("probe", F.concat_ws("/", "probe", "source_url"))
-    return leakage.fetched_after(evidence, cache_of(spark, sf), part(spark, sf, "run").withColumn("replay_at", F.col("started_at") + F.expr("interval 20 days")), 24)
+def fetched(spark: SparkSession, sf: str, evidence: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    evidence, runs = written(part(spark, sf, "evidence")) if evidence is None else evidence, part(spark, sf, "run") if runs is None else runs
+    return leakage.fetched_after(evidence.withColumn("probe", F.concat_ws("/", "probe", "source_url")), cache_of(evidence), runs.withColumn("replay_at", F.col("started_at") + F.expr("interval 20 days")), 24)
 
 
 def captured(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import claims, datasets, moments, ranker, summaries
-from larkspur.operators.running import newest
+from larkspur.operators.running import newest, quantile
 
 
 def D(day, hour=0):
@@ -28,6 +28,15 @@ def test_newest_values_come_over_stretches(spark):
         assert got[k, n] == [v for a, m, v in sorted(rows, key=lambda r: -r[1]) if a == k and m <= n][:5]
 
 
+def test_quantiles_from_counts_equal_those_of_all_values(spark):
+    rng = random.Random(5)
+    values = [rng.randrange(40) / 4 for _ in range(301)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    for share in (0.0, 0.25, 0.5, 0.8, 0.999, 1.0):
+        assert quantile(df, "v", share, F.floor("value")) == pytest.approx(df.agg(F.percentile("v", share)).first()[0])
+    assert quantile(df.filter("v is null"), "v", 0.5, F.floor("value")) is None and quantile(df.limit(1), "v", 0.5, F.floor("value")) == values[0]
+
+
 def test_teams_at_their_moments_equal_brute_force(spark):
     rng = random.Random(2)
     jobs = [(rng.randrange(2), j, rng.choice(["Core ", "core", "", None, "Web"]), f"t{j}", D(rng.randrange(90)), D(rng.randrange(90, 200)) if j % 3 else None, ["own"] if j % 4 else ["archive"]) for j in range(150)]
