@@ -114,7 +114,8 @@ def header(dataset_id: str, cases: DataFrame, found: DataFrame, evidence: DataFr
     kinds = evidence.filter(F.col("probe") == claims.BOARD_STATE_PROBE)
     with_ = kinds.agg(F.countDistinct(F.when(F.col("claim_type") == policy_inputs.STATE, F.col("case_id"))).alias("cases_with_board_state"), F.countDistinct(F.when(F.col("claim_type") == policy_inputs.FIRST_PUBLISHED, F.col("case_id"))).alias("cases_with_publish_date"))
     # one row each
-    rows = held.crossJoin(probes).crossJoin(with_)
+    held, probes, with_ = (x.withColumn("__one", F.lit(1)) for x in (held, probes, with_))
+    rows = held.join(probes, "__one").join(with_, "__one").drop("__one")
     return rows.select(F.lit(dataset_id).alias("dataset_id"), created_at.alias("created_at"), F.lit(split_kind).alias("split_kind"), F.lit(split_name).alias("split_name"), F.lit(step_days).alias("grid_step_days"), *rows.columns)
 
 
