@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions import domains
 from larkspur.operators import tagged as G
 from larkspur.plans.evaluation import DUCK, part
 from larkspur.session import table
@@ -69,7 +70,22 @@ def ld_postings(spark: SparkSession, sf: str) -> DataFrame:
     return json_ld.job_postings(rows).select("page_id", "title", "date_posted_raw", "org_domain")
 
 
-QUERIES = {f.__name__: f for f in (decoded_records, stored_claims, record_fetches, ld_postings)}
+def links(dialect: str) -> str:
+    """What stands behind a page's text: links to its own host, to one of five vendors (1 to 6 times), below a blocked one, to a public body and to a top level that doesn't exist."""
+    text = "STRING" if dialect == "spark" else "VARCHAR"
+    n = lambda k: f"CAST(page_id % {k} AS {text})"
+    return f"""'<a href="' || url || '">own</a>' || repeat('<a class=x href="https://jobs.vendor' || {n(5)} || '.co.uk/apply">v</a>', CAST(1 + page_id % 6 AS INT)) || repeat('<a href="https://m' || {n(3)} || '.widgets.io:443/x">w</a>', CAST(page_id % 4 AS INT))
+ || repeat('<a href="https://www.shop' || {n(7)} || '.if/">typo</a><a href="http://www.labor.gov/">law</a>', 7)"""
+
+
+def mined_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """The owner's domain of every page, by name or by its share of the links."""
+    pages = table(spark, sf, "pages").selectExpr("page_id", f"concat(html, {links('spark')}) AS html", "CASE WHEN page_id % 4 = 0 THEN concat('Vendor-', cast(page_id % 5 as string), ' Ltd.') END AS company_name", "CASE WHEN page_id % 3 = 0 THEN 'Example' ELSE '-' END AS tenant")
+    blocked = spark.createDataFrame([("widgets.io",), ("vendor2.co.uk",), ("example.net",)], "domain string")
+    return domains.mined(pages, blocked)
+
+
+QUERIES = {f.__name__: f for f in (decoded_records, stored_claims, record_fetches, ld_postings, mined_domains)}
 
 FETCH = "sha256('{{\"args\":{{\"params\":{{{0}}},\"url\":\"' || {1} || '\"}},\"probe\":\"' || {2} || '\"}}')"
 RECORDS = f"""{DUCK}, rec AS (SELECT case_id AS record_id, CASE WHEN case_id % 2 = 0 THEN 'resolve_posting' ELSE 'board_snapshot' END AS p, {ATS} AS ats, CASE WHEN case_id % 6 <> 0 THEN 't' || (case_id % 9) END AS tenant, CASE WHEN case_id % 4 <> 0 THEN CAST(case_id AS VARCHAR) END AS job_id,
@@ -85,4 +101,9 @@ n AS (SELECT page_id, [0::BIGINT] AS path, j FROM src WHERE j IS NOT NULL
  UNION ALL SELECT page_id, list_append(path, i - 1), a[i] FROM (SELECT page_id, path, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT page_id, path, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') WHEN json_type(j, '$."@graph"') = 'ARRAY' THEN json_extract(j, '$."@graph"[*]') END AS a FROM n) WHERE a IS NOT NULL)),
 f AS (SELECT * FROM n WHERE json_type(j) = 'OBJECT' AND (json_extract_string(j, '$."@type"') = 'JobPosting' OR list_contains(json_extract_string(j, '$."@type"[*]'), 'JobPosting')) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY list_append(path, 2147483647)) = 1)
 SELECT page_id, json_extract_string(j, '$.title') AS title, json_extract_string(j, '$.datePosted') AS date_posted_raw, CASE WHEN json_extract_string(j, '$.hiringOrganization.url') IS NOT NULL THEN 'org' || (page_id % 4) || '.com' END AS org_domain FROM f""",
+    "mined_domains": rf"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html || {links("duck")}, 'href="https?://(?:www\.)?([^/":?#]+)', 1)) AS host, generate_subscripts(regexp_extract_all(html || {links("duck")}, 'href="https?://(?:www\.)?([^/":?#]+)', 1), 1) AS place FROM pages),
+d AS (SELECT page_id, regexp_extract(host, CASE WHEN host LIKE '%.co.uk' THEN '[^.]+\.co\.uk$' ELSE '[^.]+\.[^.]+$' END) AS domain, count(*) AS n, min(place) AS place FROM h WHERE host NOT LIKE '%.if' AND host NOT LIKE '%.gov' GROUP BY ALL HAVING domain NOT IN ('widgets.io', 'vendor2.co.uk', 'example.net')),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, place) AS i, coalesce(lead(n) OVER (PARTITION BY page_id ORDER BY n DESC, place), 1) AS next, (domain LIKE 'example.%' AND page_id % 3 = 0) OR (page_id % 4 = 0 AND domain LIKE 'vendor%') AS named FROM d),
+b AS (SELECT page_id, arg_min(domain, i) FILTER (named) AS named, arg_min(domain, i) FILTER (i = 1 AND n >= 4 AND n >= 2 * next) AS dominant FROM r GROUP BY page_id)
+SELECT page_id, coalesce(named, dominant) AS domain, CASE WHEN named IS NOT NULL THEN 'name' WHEN dominant IS NOT NULL THEN 'dominant' END AS found_by FROM pages LEFT JOIN b USING (page_id)""",
 }
