@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from larkspur.functions import domains
 from larkspur.operators import tagged as G
 from larkspur.plans.evaluation import DUCK, part
+from larkspur.plans.fixtures import capture_ctes, captures, listings
 from larkspur.session import table
-from larkspur.sources import json_ld
+from larkspur.sources import json_ld, templates
 
 ATS = "CASE case_id % 5 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'ashby' WHEN 2 THEN 'lever' WHEN 3 THEN 'other' END"
 
@@ -85,7 +86,43 @@ def mined_domains(spark: SparkSession, sf: str) -> DataFrame:
     return domains.mined(pages, blocked)
 
 
-QUERIES = {f.__name__: f for f in (decoded_records, stored_claims, record_fetches, ld_postings, mined_domains)}
+BOARD_KIND = "CASE company_id % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END"
+#: A listing as the card of its board's kind. Some say little: junk below a heading, departments only, junk alone.
+CARDS = """CASE company_id % 3
+ WHEN 0 THEN concat('<tr class="job-post"><td><a href="https://job-boards.greenhouse.io/t', company_id, '/jobs/', job_id, '"><p class="body">', CASE WHEN job_id % 19 = 0 THEN 'Apply now' ELSE title END, '<span class="tag-container">New</span></p><p>', location, '</p></a></td></tr><tr><td><a href="https://job-boards.greenhouse.io/zz/jobs/', job_id + 1, '">Elsewhere</a></td></tr>')
+ WHEN 1 THEN concat('<div class="postings-group">', CASE WHEN job_id % 3 = 0 THEN concat('<div class="large-category-header">dept ', job_id, '</div>') ELSE '' END, CASE WHEN job_id % 4 <> 0 THEN concat('<div class="posting-category-title">', team, '</div>') ELSE '' END, '<div class="posting" data-qa-posting-id="', uid, '"><div class="posting-apply"><a href="/t1/', uid, '">Apply</a></div><a class="posting-title" href="/t1/', uid, '"><h5 data-qa="posting-name">', title, '</h5><div class="posting-categories"><span class="sort-by-location">', location, '</span></div></a></div></div>')
+ ELSE to_json(named_struct('id', uid, 'title', CASE WHEN job_id % 7 = 0 THEN 'Apply' ELSE title END, 'locationName', location, 'teamId', cast(job_id % 6 as string))) END"""
+PAGE = """CASE company_id % 3
+ WHEN 0 THEN concat('<div class="job-posts--table--department"><h3 class="section-header">Dept</h3><table>', body, '</table></div><script>{"jobPosts":{"count":1,"total":', n + snapshot_id % 2, '}}</script>')
+ WHEN 1 THEN concat('<html><body>', body, '</body></html>')
+ ELSE concat('<script>window.__appData = {"jobBoard":{"teams":[{"id":"1","name":"One"},{"id":"2","name":"x","externalName":"Two }"}],"jobPostings":[', body, ']}};var z = "}";</script>') END"""
+
+
+def archived_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every capture's listings as the page of an archived board."""
+    rows = listings(spark, sf).join(captures(spark, sf), "snapshot_id").withColumn("uid", F.expr("concat('00000000-0000-4000-8000-', lpad(cast(job_id as string), 12, '0'))")).withColumn("card", F.expr(CARDS))
+    page = rows.groupBy("company_id", "snapshot_id").agg(F.sort_array(F.collect_list(F.struct("job_id", "card"))).alias("cards"), F.count(F.lit(1)).alias("n"))
+    body = F.expr("array_join(transform(cards, c -> c.card), CASE WHEN company_id % 3 = 2 THEN ',' ELSE '' END)")
+    return page.withColumn("body", body).select(F.col("snapshot_id").alias("page_id"), F.expr(BOARD_KIND).alias("kind"), F.concat(F.lit("t"), "company_id").alias("tenant"), F.expr(PAGE).alias("html"))
+
+
+def archived_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """The jobs that archived pages keep."""
+    return templates.read(archived_pages(spark, sf))[0]
+
+
+def archived_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Why archived pages are partial."""
+    rows = templates.read(archived_pages(spark, sf))[1]
+    return rows.withColumn("reasons", F.array_join("reasons", "; "))
+
+
+QUERIES = {f.__name__: f for f in (decoded_records, stored_claims, record_fetches, ld_postings, mined_domains, archived_jobs, archived_verdicts)}
+
+ARCHIVED = f"""{capture_ctes("duck")}, r AS (SELECT s.snapshot_id, s.company_id, s.company_id % 3 AS k, job_id, CASE WHEN s.company_id % 3 = 0 AND job_id % 19 = 0 THEN 'Dept' WHEN NOT (s.company_id % 3 = 2 AND job_id % 7 = 0) THEN title END AS title, team, location, '00000000-0000-4000-8000-' || lpad(CAST(job_id AS VARCHAR), 12, '0') AS uid,
+ last_value(CASE WHEN job_id % 3 = 0 THEN 'dept ' || job_id END IGNORE NULLS) OVER (PARTITION BY s.snapshot_id ORDER BY job_id) AS dept FROM job j JOIN snap s USING (snapshot_id)),
+t AS (SELECT snapshot_id, title, count(*) AS n FROM r WHERE title IS NOT NULL GROUP BY ALL), m AS (SELECT snapshot_id, max(n) AS most, sum(n) AS named FROM t GROUP BY ALL),
+v AS (SELECT r.snapshot_id, any_value(k) AS k, count(*) AS entries, coalesce(any_value(named), 0) AS named, coalesce(any_value(named) >= 3 AND any_value(most) > 0.6 * any_value(named), false) AS one FROM r LEFT JOIN m USING (snapshot_id) GROUP BY r.snapshot_id)"""
 
 FETCH = "sha256('{{\"args\":{{\"params\":{{{0}}},\"url\":\"' || {1} || '\"}},\"probe\":\"' || {2} || '\"}}')"
 RECORDS = f"""{DUCK}, rec AS (SELECT case_id AS record_id, CASE WHEN case_id % 2 = 0 THEN 'resolve_posting' ELSE 'board_snapshot' END AS p, {ATS} AS ats, CASE WHEN case_id % 6 <> 0 THEN 't' || (case_id % 9) END AS tenant, CASE WHEN case_id % 4 <> 0 THEN CAST(case_id AS VARCHAR) END AS job_id,
@@ -106,4 +143,8 @@ d AS (SELECT page_id, regexp_extract(host, CASE WHEN host LIKE '%.co.uk' THEN '[
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, place) AS i, coalesce(lead(n) OVER (PARTITION BY page_id ORDER BY n DESC, place), 1) AS next, (domain LIKE 'example.%' AND page_id % 3 = 0) OR (page_id % 4 = 0 AND domain LIKE 'vendor%') AS named FROM d),
 b AS (SELECT page_id, arg_min(domain, i) FILTER (named) AS named, arg_min(domain, i) FILTER (i = 1 AND n >= 4 AND n >= 2 * next) AS dominant FROM r GROUP BY page_id)
 SELECT page_id, coalesce(named, dominant) AS domain, CASE WHEN named IS NOT NULL THEN 'name' WHEN dominant IS NOT NULL THEN 'dominant' END AS found_by FROM pages LEFT JOIN b USING (page_id)""",
+    "archived_jobs": f"""WITH {ARCHIVED} SELECT r.snapshot_id AS page_id, CASE k WHEN 0 THEN CAST(job_id AS VARCHAR) ELSE uid END AS job_id, title, CASE k WHEN 0 THEN 'Dept' WHEN 1 THEN CASE WHEN job_id % 4 <> 0 THEN team ELSE dept END ELSE CASE job_id % 6 WHEN 1 THEN 'One' WHEN 2 THEN 'Two }}' END END AS team, location,
+ CASE k WHEN 0 THEN 'https://job-boards.greenhouse.io/t' || company_id || '/jobs/' || job_id WHEN 1 THEN '/t1/' || uid ELSE 'https://jobs.ashbyhq.com/t' || company_id || '/' || uid END AS url FROM r JOIN v USING (snapshot_id, k) WHERE title IS NOT NULL AND NOT one""",
+    "archived_verdicts": f"""WITH {ARCHIVED} SELECT snapshot_id AS page_id, entries, CASE WHEN one THEN 0 ELSE named END AS jobs, CASE k WHEN 0 THEN entries + snapshot_id % 2 WHEN 1 THEN entries END AS declared,
+ concat_ws('; ', CASE WHEN entries > named THEN 'junk titles' END, CASE WHEN k = 0 AND snapshot_id % 2 = 1 THEN 'declares more jobs' END, CASE WHEN one THEN 'dominant title' END) AS reasons FROM v""",
 }
