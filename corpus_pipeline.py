@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import jaccard_join, line_dedup, mixing, pieces, toxicity
@@ -43,6 +43,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.curriculum(docs)
 
 
+def place_in_files(name: Column, row: Column) -> Column:
+    """A row's place in the files of one written table: its partition, the file of that partition (a partition may be split into several) and the row, of fixed width, so that order of text is their order."""
+    part, file = (F.lpad(F.regexp_extract(name, pattern, 1), 10, "0") for pattern in ("^part-([0-9]+)", "-c([0-9]+)[.]"))
+    return F.concat(part, F.lit("-"), file, F.lit("/"), F.lpad(row.cast("string"), 19, "0"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their pieces, the number of these, whether decoding gives the text back, and training_order: sorting by it gives the order that the mix assigned.
 
@@ -50,7 +56,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     vocab = pieces.vocabulary_for(spark, vocabulary("piece_bpe_32k.model"))
     try:
-        rows = docs.select("*", F.concat_ws("/", F.substring_index("_metadata.file_name", "-", 2), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")).alias("training_order"))
+        name = F.col("_metadata.file_name")
+        rows = docs.select("*", place_in_files(name, F.col("_metadata.row_index")).alias("training_order"))
     except AnalysisException:  # not read from files
         rows = docs.select("*", F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0").alias("training_order"))
     return pieces.encode_checked(rows, vocab).select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip", "training_order")

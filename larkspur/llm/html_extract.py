@@ -49,7 +49,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ADS = frozenset("ad ads adv advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored promo promotion".split())
 REPLIES = frozenset("comment comments disqus respond replies reply".split())
 MARKS = ADS | frozenset("sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar widget search".split())
-BESIDE = frozenset("site page main top bottom left right list lists box bar links link buttons button area section wrapper wrap container inner outer block blocks item items posts articles stories content contents slot unit form icons message text panel group primary secondary global local sticky fixed the my js v".split())
+BESIDE = frozenset("site page main top bottom left right list lists box bar links link buttons button area section wrapper wrap container inner outer block blocks item items posts articles stories content contents slot unit form icons message text panel group primary secondary global local sticky fixed the my js v reader readers user users visitor visitors".split())
 #: Names of layouts, which tell what else is on the page.
 LAYOUT = re.compile(r"(?:has|with|no|without)[-_].*", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())

@@ -897,3 +897,19 @@ def test_llm_queries_return_a_row_each(spark, tiny, name):
     assert got.count() == spark.read.parquet(f"{tiny}/{source}.parquet").count()
 
 
+
+
+def test_html_leaves_reader_comments_out_under_longer_names():
+    body = "<h1>Title</h1><p>The article has some words of its own, and a second sentence.</p>"
+    for name in ('id="reader-comments"', 'class="user_comments_list"', 'class="visitorComments"'):
+        assert html_extract.main_text(f"<html><body><article>{body}<section {name}><p>I disagree</p></section></article></body></html>") == "Title The article has some words of its own, and a second sentence."
+    kept = html_extract.main_text(f'<html><body><article>{body}<section id="discussion"><p>Results in context.</p></section><div class="reader"><p>For readers.</p></div></article></body></html>')
+    assert kept.endswith("Results in context. For readers.")
+
+
+def test_pipeline_order_holds_for_many_and_for_split_files(spark):
+    import corpus_pipeline
+
+    names = [(f"part-{p:05d}-abc-1-c{c:03d}.snappy.parquet", r) for p in (0, 7, 99_999, 100_000, 1_234_567) for c in (0, 1, 1_000) for r in (0, 9, 10, 10**12)]
+    rows = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "i int, name string, row long").withColumn("at", corpus_pipeline.place_in_files(F.col("name"), F.col("row")))
+    assert [r.i for r in rows.orderBy("at").collect()] == list(range(len(names)))
