@@ -10,7 +10,7 @@ from larkspur.operators import tagged as G
 from larkspur.plans.evaluation import DUCK, part
 from larkspur.plans.fixtures import capture_ctes, captures, listings
 from larkspur.session import table
-from larkspur.sources import json_ld, templates
+from larkspur.sources import json_ld, run_log, templates
 
 ATS = "CASE case_id % 5 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'ashby' WHEN 2 THEN 'lever' WHEN 3 THEN 'other' END"
 
@@ -117,7 +117,26 @@ def archived_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("reasons", F.array_join("reasons", "; "))
 
 
-QUERIES = {f.__name__: f for f in (decoded_records, stored_claims, record_fetches, ld_postings, mined_domains, archived_jobs, archived_verdicts)}
+def endings_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Runs and steps after closing the runs that are open: every seventh was closed before, every eleventh hasn't ended, every fifth of the failed had an error."""
+    run = part(spark, sf, "run").selectExpr("run_id", "started_at", "CASE WHEN run_id % 7 = 0 THEN started_at END AS finished_at", "CASE WHEN run_id % 7 = 0 THEN 'stopped' ELSE 'running' END AS status", "cast(null AS string) AS decision", "cast(null AS double) AS total_cost_usd", "cast(null AS long) AS total_latency_ms", "status AS ends", "action")
+    steps = part(spark, sf, "step").selectExpr("run_id", "step_index AS place", "component", "decision_type", "CASE WHEN step_index % 3 <> 0 THEN cast(cost_usd AS double) END AS cost_usd", "cast(latency_s AS double) AS latency_s", "cast(null AS string) AS error", "cast(null AS timestamp) AS created_at")
+    ends = run.filter("run_id % 11 <> 0").selectExpr("run_id", "ends AS status", "CASE WHEN ends = 'completed' THEN action END AS decision", "CASE WHEN ends = 'failed' THEN concat('error ', run_id) END AS error")
+    return run_log.closed(run.drop("ends", "action"), run_log.numbered(steps).drop("place"), ends)
+
+
+def closed_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs with their status, decision and totals."""
+    rows = endings_of(spark, sf)[0]
+    return rows.withColumn("total_cost_usd", F.round("total_cost_usd", 6))
+
+
+def failure_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The last steps that say why runs failed."""
+    return endings_of(spark, sf)[1].filter(F.col("decision_type") == run_log.RUN_FAILED).select("run_id", "step_index", "component", "error", "created_at")
+
+
+QUERIES = {f.__name__: f for f in (decoded_records, stored_claims, record_fetches, ld_postings, mined_domains, archived_jobs, archived_verdicts, closed_runs, failure_steps)}
 
 ARCHIVED = f"""{capture_ctes("duck")}, r AS (SELECT s.snapshot_id, s.company_id, s.company_id % 3 AS k, job_id, CASE WHEN s.company_id % 3 = 0 AND job_id % 19 = 0 THEN 'Dept' WHEN NOT (s.company_id % 3 = 2 AND job_id % 7 = 0) THEN title END AS title, team, location, '00000000-0000-4000-8000-' || lpad(CAST(job_id AS VARCHAR), 12, '0') AS uid,
  last_value(CASE WHEN job_id % 3 = 0 THEN 'dept ' || job_id END IGNORE NULLS) OVER (PARTITION BY s.snapshot_id ORDER BY job_id) AS dept FROM job j JOIN snap s USING (snapshot_id)),
@@ -147,4 +166,9 @@ SELECT page_id, coalesce(named, dominant) AS domain, CASE WHEN named IS NOT NULL
  CASE k WHEN 0 THEN 'https://job-boards.greenhouse.io/t' || company_id || '/jobs/' || job_id WHEN 1 THEN '/t1/' || uid ELSE 'https://jobs.ashbyhq.com/t' || company_id || '/' || uid END AS url FROM r JOIN v USING (snapshot_id, k) WHERE title IS NOT NULL AND NOT one""",
     "archived_verdicts": f"""WITH {ARCHIVED} SELECT snapshot_id AS page_id, entries, CASE WHEN one THEN 0 ELSE named END AS jobs, CASE k WHEN 0 THEN entries + snapshot_id % 2 WHEN 1 THEN entries END AS declared,
  concat_ws('; ', CASE WHEN entries > named THEN 'junk titles' END, CASE WHEN k = 0 AND snapshot_id % 2 = 1 THEN 'declares more jobs' END, CASE WHEN one THEN 'dominant title' END) AS reasons FROM v""",
+    "closed_runs": f"""WITH {DUCK}, t AS (SELECT run_id, sum(CASE WHEN step_index % 3 <> 0 THEN CAST(cost_usd AS DOUBLE) END) AS cost, sum(CAST(latency_s AS DOUBLE)) AS latency FROM step GROUP BY run_id),
+r AS (SELECT run_id, started_at, status AS ends, action, run_id % 7 <> 0 AND run_id % 11 <> 0 AS closes, run_id % 7 = 0 AS before FROM run)
+SELECT r.run_id, started_at, CASE WHEN closes OR before THEN started_at END AS finished_at, CASE WHEN before THEN 'stopped' WHEN closes THEN ends ELSE 'running' END AS status, CASE WHEN closes AND ends = 'completed' THEN action END AS decision,
+ CASE WHEN closes THEN round(coalesce(cost, 0), 6) END AS total_cost_usd, CASE WHEN closes THEN CAST(round_even(coalesce(latency, 0) * 1000, 0) AS BIGINT) END AS total_latency_ms FROM r LEFT JOIN t USING (run_id)""",
+    "failure_steps": f"WITH {DUCK}, t AS (SELECT run_id, count(*) AS n FROM step GROUP BY run_id) SELECT r.run_id, coalesce(n, 0) + 1 AS step_index, 'controller' AS component, 'error ' || r.run_id AS error, started_at AS created_at FROM run r LEFT JOIN t USING (run_id) WHERE status = 'failed' AND r.run_id % 7 <> 0 AND r.run_id % 11 <> 0",
 }
