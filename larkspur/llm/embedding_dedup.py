@@ -1,19 +1,18 @@
 """Embedding near-dedup (operator 2): randomised-rotation binary codes with bounds.
 
 Vectors of one label are compared by cosine. A random orthogonal rotation (of the vector, repeated in as many rotated
-blocks as give BITS bits) turns each unit vector x into the signs of its coordinates; x' is the unit vector of these
-signs. With the stored correction factor <x', x>, <x', y> / <x', x> estimates <x, y> without bias, with an error of
-EPSILON sqrt((1 - <x', x>^2) / <x', x>^2 / (BITS - 1)) or less but for one pair in about 10^6. Pairs whose upper bound misses
-the threshold are rejected by their codes; the others are recomputed exactly, in double precision.
-
-Candidates come from tables of codes: two vectors meet where all bits of a table agree. A table has as many bits as the
-largest label needs for a bucket to hold about one vector by chance, and there are so many tables that a pair at the
-threshold itself (each bit of which differs with probability 0.064) is missed with probability MISSED; nearer pairs hardly ever.
-A pair that meets in several tables counts in the first only, so that links can be counted without listing pairs: each
-block of a bucket returns, for a vector, its number of links, and for components a link for each vector and block.
-Buckets of over CHUNK vectors are cut into chunks by hash, and each pair of chunks is a group of its own: no group
-holds more than two chunks (whatever exceeds a chunk by chance stays in it). Groups lie sorted in their partitions, and
-all groups that end in a batch are compared at once.
+blocks as give the bits wanted) turns each unit vector x into the signs of its coordinates; x' is the unit vector of these
+signs. With the stored correction factor f = <x', x>, <x', y> / f estimates <x, y> without bias. x' = f x + sqrt(1 - f^2) e
+with e at right angles to x, so the estimate is off by at most sqrt(1 - f^2) / f * sqrt(1 - <x, y>^2): a bound that
+holds for every pair. Pairs that cannot reach the threshold by it are rejected by their codes; the others are
+recomputed exactly, in double precision. No pair is left out by chance.
+
+Labels of over a chunk of vectors are cut into chunks by hash, and each pair of chunks is a group of its own: no group
+holds more than two chunks (whatever exceeds a chunk by chance stays in it), and every pair of a label meets in exactly
+one. This grows with the square of a label's distinct vectors, as an exact answer at any dimension does, but in equal groups over all tasks. A group returns,
+for a vector, its number of links and the least vector of its connected part of the group, so that links are counted
+and components found without listing pairs. Groups lie sorted in their partitions, and all groups that end in a batch
+are compared at once.
 
 Vectors of equal components are reduced to one with a weight first. Null labels, null or empty vectors, vectors of zeros, and
 vectors with null or non-finite components link with nothing. Labels compare vectors of one length only. vec_id is unique;
@@ -23,7 +22,6 @@ equal rows count as vectors that link with each other (different vectors under o
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,18 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_rows, prepare
+from larkspur.llm.common import prepare
 from larkspur.llm.components import components
-from larkspur.session import written
+from larkspur.session import sized_broadcast, written
 
-THRESHOLD, BITS, MISSED, EPSILON, CHUNK, SEED = 0.98, 256, 1e-4, 5.0, 1024, 20_240_501
+THRESHOLD, BITS, CHUNK, SEED = 0.98, 64, 1024, 20_240_501
+#: Chunks of large labels grow up to so many vectors: a vector is sent to as many groups as its label has chunks.
+MOST = 8192
 
 
 def table_shape(largest: int) -> tuple[int, int]:
-    """(tables, bits of each) for labels of up to so many vectors."""
-    width = min(30, max(10, math.ceil(math.log2(max(2, largest)))))
-    agree = (1 - math.acos(THRESHOLD) / math.pi) ** width
-    return math.ceil(math.log(MISSED) / math.log(1 - agree)), width
+    """(bits of a code, vectors of a chunk) for labels of up to so many vectors."""
+    return BITS, min(MOST, max(CHUNK, largest // 16))
 
 
 @dataclass
@@ -54,20 +52,7 @@ class Rotation:
 
     def __post_init__(self) -> None:
         rng = np.random.default_rng([SEED, self.length])
-        blocks, bits = max(1, -(-BITS // self.length)), self.shape[0] * self.shape[1]
-        self.blocks = [np.linalg.qr(rng.standard_normal((self.length, self.length)))[0] for _ in range(blocks)]
-        own = [np.linalg.qr(rng.standard_normal((self.length, self.length)))[0] for _ in range(-(-bits // self.length))]
-        self.tables = np.concatenate(own, axis=1)[:, :bits]
-
-    def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signs (+1 or -1, one row each) and correction factors of unit vectors."""
-        turned = np.concatenate([x @ b for b in self.blocks], axis=1)
-        signs = np.where(turned >= 0, 1.0, -1.0).astype(np.float32)
-        return signs, np.abs(turned).sum(1) / np.sqrt(turned.shape[1]) / np.sqrt(len(self.blocks))
-
-    def buckets(self, x: np.ndarray) -> np.ndarray:
-        bits = (x @ self.tables >= 0).reshape(len(x), *self.shape)
-        return bits @ (1 << np.arange(self.shape[1]))
+        self.blocks = [np.linalg.qr(rng.standard_normal((self.length, self.length)))[0] for _ in range(max(1, -(-self.shape[0] // self.length)))]
 
     def turned(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x @ b for b in self.blocks], axis=1) / np.sqrt(len(self.blocks))
@@ -80,24 +65,28 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """Unit vectors of one length with their binary codes."""
+    """Unit vectors of one length with their binary codes: signs of length 1, correction factors, and how far an estimate may be off for a pair at right angles."""
 
     def __init__(self, x: np.ndarray, r: Rotation) -> None:
-        self.x, self.turned = x, r.turned(x).astype(np.float32)
-        signs, self.factor = r.codes(x)
-        self.signs = signs / np.float32(np.sqrt(signs.shape[1]))
-        self.error = EPSILON * np.sqrt(np.maximum(0, 1 - self.factor**2) / self.factor**2 / (signs.shape[1] - 1)) + 1e-5
-        self.own = r.buckets(x)
+        turned = r.turned(x)
+        self.x, self.turned = x, turned.astype(np.float32)
+        bits = turned.shape[1]
+        self.signs = np.where(turned >= 0, 1, -1).astype(np.float32) / np.float32(np.sqrt(bits))
+        self.factor = np.abs(turned).sum(1) / np.sqrt(bits)
+        across = np.sqrt(np.maximum(0, 1 - self.factor**2))
+        lost = 1e-6 + bits * 2.0**-22  # what products in single precision may lose
+        self.error = (across + lost) / self.factor
+        # f c - sqrt(1 - f^2) sqrt(1 - c^2) grows with c: no pair at the threshold or nearer has a product <x', y> below this
+        self.floor = (THRESHOLD * self.factor - across * math.sqrt(1 - THRESHOLD**2) - lost).astype(np.float32)
 
     def block(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of left and right that the bounds don't reject."""
-        estimate = (self.signs[left] @ self.turned[right].T) / self.factor[left, None]
-        i, j = np.nonzero(estimate + self.error[left, None] >= THRESHOLD)
+        i, j = np.nonzero(self.signs[left] @ self.turned[right].T >= self.floor[left, None])
         return left[i], right[j]
 
     def listed(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the pairs (i, j) that the bounds don't reject."""
-        keep = np.einsum("ij,ij->i", self.signs[i], self.turned[j]) / self.factor[i] + self.error[i] >= THRESHOLD
+        keep = np.einsum("ij,ij->i", self.signs[i], self.turned[j]) >= self.floor[i]
         return i[keep], j[keep]
 
     def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -117,37 +106,50 @@ def within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 SMALL_RUN = 48
 
 
+def united(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots (the least place of each place's part) after the links (i, j)."""
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
 def compare(rows: dict[str, np.ndarray], vectors: np.ndarray, r: Rotation) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whole groups (runs of equal bucket, lo and hi, sorted): the vectors that link, by how much weight, and the least vector each links to."""
+    """Whole groups (runs of equal g, lo and hi, sorted): the vectors that link, by how much weight, and the least vector that each reaches by links of its group."""
     c = Codes(unit(vectors), r)
-    rep, weight, chunk, table = rows["rep"], rows["w"], rows["c"], rows["t"]
-    key = np.stack([rows[k] for k in ("g", "t", "code", "lo", "hi")])
+    rep, weight, chunk = rows["rep"], rows["w"], rows["c"]
+    key = np.stack([rows[k] for k in ("g", "lo", "hi")])
     starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
     sizes = np.diff(np.r_[starts, len(rep)])
     small = (sizes <= SMALL_RUN) & (rows["lo"][starts] == rows["hi"][starts])
-    count, least = np.zeros(len(rep), np.int64), rep.copy()
+    count, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal root
         if len(i):
             hit = c.exact(i, j)
             i, j = i[hit], j[hit]
-            same = (c.own[i] == c.own[j]) & (np.arange(r.shape[0]) < table[i][:, None])
-            i, j = i[~same.any(1)], j[~same.any(1)]
             np.add.at(count, i, weight[j])
             np.add.at(count, j, weight[i])
-            np.minimum.at(least, i, rep[j])
-            np.minimum.at(least, j, rep[i])
+            root = united(root, i, j)
 
     add(*c.listed(*within(starts[small], sizes[small])))
     for s, n in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
         lo, hi = rows["lo"][s], rows["hi"][s]
         left, right = (s + np.flatnonzero(chunk[s : s + n] == x) for x in (lo, hi))
         for a in range(0, len(left), CHUNK):
-            for b in range(0, len(right), CHUNK):
+            # within a chunk a block meets itself and those behind it
+            for b in range(a if lo == hi else 0, len(right), CHUNK):
                 i, j = c.block(left[a : a + CHUNK], right[b : b + CHUNK])
                 add(*((i[i < j], j[i < j]) if lo == hi else (i, j)))
+    least = rep.copy()
+    np.minimum.at(least, root, rep)
     hit = count > 0
-    return rep[hit], count[hit], least[hit]
+    return rep[hit], count[hit], least[root][hit]
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -159,35 +161,14 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(label).cast("string").alias("l"), F.when(fine, F.transform(v, lambda e: F.when(e == 0, F.lit(0).cast("float")).otherwise(e))).alias("v"))
     rows = written(rows.withColumn("h", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws("|", "l", F.col("v").cast("string")), 256))))
     reps = written(rows.filter("v is not null").groupBy("h").agg(F.min("k").alias("rep"), F.count("*").alias("w"), F.first("l").alias("l"), F.first("v").alias("v")).withColumn("g", F.xxhash64("l", F.size("v"))))
-    shape = table_shape(reps.groupBy("g").count().agg(F.max("count")).first()[0] or 0)
-
-    def make() -> Callable[[pa.RecordBatch], dict]:
-        known: dict[int, Rotation] = {}
-
-        def f(b: pa.RecordBatch) -> dict:
-            out: list = [None] * b.num_rows
-            lists = b.column(1)
-            size = lists.value_lengths().to_numpy()
-            flat, first = lists.flatten().to_numpy().astype(np.float64), np.r_[0, np.cumsum(size)]
-            for d in np.unique(size).tolist():
-                known[d] = known.get(d) or Rotation(d, shape)
-                at = np.flatnonzero(size == d)
-                for k, row in zip(at.tolist(), known[d].buckets(unit(flat[first[at][:, None] + np.arange(d)])).tolist(), strict=True):
-                    out[k] = row
-            return {"rep": b.column(0), "codes": out}
-
-        return f
-
-    codes = map_rows(reps.select("rep", "v", "g"), "rep long, codes array<long>", make)
-    place = written(codes.join(reps.select("rep", "g"), "rep").select("rep", "g", F.posexplode("codes").alias("t", "code")))
-    sizes = place.groupBy("g", "t", "code").agg(F.count("*").alias("m")).filter("m > 1")
-    there = place.join(sizes, ["g", "t", "code"]).withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
+    sizes = written(reps.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"))
+    shape = table_shape(sizes.agg(F.max("m")).first()[0] or 0)
+    there = reps.select("g", "rep", "w", "v").join(sized_broadcast(sizes), "g").withColumn("chunks", F.ceil(F.col("m") / shape[1]).cast("int"))
     there = there.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    # a chunk meets itself and every other chunk of its bucket once
+    # a chunk meets itself and every other chunk of its label once
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(F.col("c"), o).alias("lo"), F.greatest(F.col("c"), o).alias("hi")))
-    there = there.withColumn("p", F.explode(pairs)).select("rep", "g", "t", "code", "c", F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"))
-    there = there.join(reps.select("rep", "w", "v"), "rep").select("g", "t", "code", "lo", "hi", "c", "rep", "w", "v")
-    bucket = ["g", "t", "code", "lo", "hi"]
+    there = there.withColumn("p", F.explode(pairs)).select("g", F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"), "c", "rep", "w", "v")
+    bucket = ["g", "lo", "hi"]
     sorted_rows = there.repartition(*bucket).sortWithinPartitions(*bucket)
     names = bucket + ["c", "rep", "w"]
 

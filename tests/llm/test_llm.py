@@ -199,6 +199,34 @@ def test_bounds_hold():
     assert abs((estimate - x @ x.T)[off].mean()) < 0.01
 
 
+def test_embeddings_lose_no_link_and_no_component(spark):
+    """Vectors on a circle, each linked with the next only, their ids in such an order that most are a local minimum or maximum; and pairs just at the threshold."""
+    ids = [i // 2 if i % 2 == 0 else 1000 + i for i in range(200)]
+    turn = np.arccos(0.98) * 0.999
+    rows = [(k, [float(np.cos(turn * i)), float(np.sin(turn * i)), 0.0], 0) for i, k in zip(range(25), ids, strict=False)]
+    rng = np.random.default_rng(11)
+    for i in range(3000):
+        x, y = embedding_dedup.unit(rng.standard_normal((2, 24)))
+        y = embedding_dedup.unit((y - (x @ y) * x)[None])[0]
+        rows += [(10_000 + 2 * i, x.tolist(), 1), (10_001 + 2 * i, (0.980001 * x + np.sqrt(1 - 0.980001**2) * y).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = collected(embedding_dedup.near_duplicates(df), "vec_id")
+    assert {got[k].component_id for k in ids[:25]} == {0}
+    assert [got[k].n_links for k in ids[:25]] == [1, *[2] * 23, 1]
+    assert all(got[10_001 + 2 * i].component_id == 10_000 + 2 * i and got[10_001 + 2 * i].n_links == 1 for i in range(3000))
+
+
+def test_bound_of_codes_holds_for_every_pair():
+    rng = np.random.default_rng(6)
+    for d in (1, 2, 3, 64, 300):
+        x = embedding_dedup.unit(np.concatenate([rng.standard_normal((60, d)), np.eye(d)[:20]]))
+        x = embedding_dedup.unit(np.concatenate([x, x + rng.standard_normal(x.shape) * 0.2 / np.sqrt(d)]))
+        c = embedding_dedup.Codes(x, embedding_dedup.Rotation(d, embedding_dedup.table_shape(300)))
+        i, j = np.nonzero(x @ x.T >= 0.98)
+        assert len(c.listed(i, j)[0]) == len(i) > 100
+        assert (np.abs(c.signs @ c.turned.T / c.factor[:, None] - x @ x.T) <= c.error[:, None]).all()
+
+
 def test_components_of_a_long_chain(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (5, 5)], "a long, b long")
