@@ -674,3 +674,13 @@ def test_rejected_candidates_are_limited_before_the_shuffle(spark):
     want = [r for r in rows if r[4]] + [r for c in range(3) for r in best([x for x in rows if x[0] == c and not x[4]], 7)]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and "WindowGroupLimit" in got._jdf.queryExecution().toString()
     assert [r.old_job_id for r in matching.ranked(got, 7).collect()] == [r[1] for r in best(rows, 7)]
+
+
+def test_a_decision_computes_its_steps_once(spark):
+    """What a decision is made of must not be repeated in the plan for each field that names it."""
+    from larkspur.operators import controller
+
+    c = spark.createDataFrame([], "could_change array<string>, eligible array<string>, executed array<struct<probe:string,args_hash:string>>, hashes map<string,string>, steps_left int, spent_cost double, spent_latency double, error string, output struct<stop:boolean,candidates:array<struct<probe:string,valid:boolean>>>")
+    d = c.select(controller.decision({"company_events": 1.0}, {"company_events": 1.0}, 6.0, 9.0, 4).alias("d")).select("d.decision", "d.reason", "d.probe", "d.rejected", "d.ranking")
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("invalid_args") == 1 and plan.count("array_intersect") <= 4
