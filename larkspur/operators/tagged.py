@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.scalars import utc_text
+from larkspur.functions.scalars import bound, utc_text
 
 TAG = "__type__"
 UNKNOWN, TIME, CLAIM, JOB = KINDS = ("unknown", "datetime", "probe_claim", "board_job")
@@ -26,7 +26,7 @@ RESOLVER, BOARD, DRIFT, PAGE = "resolve_posting", "board_snapshot", "requirement
 def plain(value: Column) -> Column:
     """A scalar or an array as JSON; null as null."""
     whole = F.to_json(F.array(value), {"ignoreNullFields": "false"})
-    return F.when(value.isNull(), "null").otherwise(F.substring(whole, F.lit(2), F.length(whole) - 2))
+    return F.when(value.isNull(), "null").otherwise(bound(whole, lambda w: F.substring(w, F.lit(2), F.length(w) - 2)))
 
 
 def members(**fields: Column) -> Column:
@@ -103,14 +103,14 @@ def fetch_keys(records: DataFrame, postings: DataFrame | None = None) -> DataFra
 
     The resolver fetches its board and the page it names, the board probe its board; the drift probe fetches what postings (posting_id, ats, tenant, job_id) say of its posting.
     """
-    record, none = F.try_parse_json("data"), F.lit(None).cast("string")
-    field = lambda n: F.when(F.schema_of_variant(F.try_variant_get(record, f"$.{n}", "variant")) == "STRING", F.try_variant_get(record, f"$.{n}", "string"))
-    rows = records.filter(F.col("probe_name").isin(RESOLVER, BOARD, DRIFT)).select("record_id", F.col("probe_name").alias("probe"), *[field(n).alias(n) for n in ("ats", "tenant", "job_id", "canonical_url", "posting_id")])
-    direct = rows.filter(F.col("probe") != DRIFT)
-    job = F.when(F.col("probe") == RESOLVER, F.col("job_id")).otherwise(none)
-    out = direct.select("record_id", "probe", board_key(F.col("probe"), F.col("ats"), F.col("tenant"), job).alias("args_hash"))
-    pages = direct.filter((F.col("probe") == RESOLVER) & F.startswith("canonical_url", F.lit("http")))
-    out = out.unionByName(pages.select("record_id", F.lit(PAGE).alias("probe"), fetch_key(F.lit(PAGE), F.col("canonical_url")).alias("args_hash")))
+    # a record is parsed once, its fields are columns of their own, and it gives all its fetches in one pass
+    parsed = records.filter(F.col("probe_name").isin(RESOLVER, BOARD, DRIFT)).select("record_id", F.col("probe_name").alias("probe"), F.try_parse_json("data").alias("__r"))
+    field = lambda n: F.when(F.schema_of_variant(F.try_variant_get("__r", f"$.{n}", "variant")) == "STRING", F.try_variant_get("__r", f"$.{n}", "string"))
+    rows = parsed.select("record_id", "probe", *[field(n).alias(n) for n in ("ats", "tenant", "job_id", "canonical_url", "posting_id")])
+    resolver = F.col("probe") == RESOLVER
+    board = F.struct("probe", board_key(F.col("probe"), F.col("ats"), F.col("tenant"), F.when(resolver, F.col("job_id"))).alias("args_hash"))
+    page = F.struct(F.lit(PAGE).alias("probe"), F.when(resolver & F.startswith("canonical_url", F.lit("http")), fetch_key(F.lit(PAGE), F.col("canonical_url"))).alias("args_hash"))
+    out = rows.filter(F.col("probe") != DRIFT).select("record_id", F.inline(F.array(board, page)))
     if postings is not None:
         known = rows.filter(F.col("probe") == DRIFT).select("record_id", "probe", "posting_id").join(postings, "posting_id")
         out = out.unionByName(known.select("record_id", "probe", board_key(F.col("probe"), F.col("ats"), F.col("tenant"), F.col("job_id")).alias("args_hash")))

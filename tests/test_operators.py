@@ -684,3 +684,15 @@ def test_a_decision_computes_its_steps_once(spark):
     d = c.select(controller.decision({"company_events": 1.0}, {"company_events": 1.0}, 6.0, 9.0, 4).alias("d")).select("d.decision", "d.reason", "d.probe", "d.rejected", "d.ranking")
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("invalid_args") == 1 and plan.count("array_intersect") <= 4
+
+
+def test_fetch_keys_parse_a_record_once(spark):
+    """All fetches of a record come from one parse of its text, in one scan of the records."""
+    from larkspur.operators import tagged
+
+    data = '{"ats":"greenhouse","tenant":"t","job_id":"7","canonical_url":"https://x/1"}'
+    rows = spark.createDataFrame([(1, "resolve_posting", data), (2, "board_snapshot", data), (3, "resolve_posting", '{"ats":"lever", broken'), (4, "board_snapshot", '{"ats":5,"tenant":"t"}')], "record_id long, probe_name string, data string")
+    keys = tagged.fetch_keys(rows)
+    assert sorted((r.record_id, r.probe) for r in keys.collect()) == [(1, "json_ld"), (1, "resolve_posting"), (2, "board_snapshot")]
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1 and plan.count("LocalRelation") + plan.count("LogicalRDD") == 1
