@@ -9,9 +9,11 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from larkspur.functions.scalars import blank_to_null, normalized_text, ratio
 from larkspur.operators.matching import junk_title
@@ -36,9 +38,14 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 ATTRIBUTES = ("href", "data-qa", "data-qa-posting-id", *TITLE_ATTRIBUTES)
 #: So many headings before an element are looked at for one with a text.
 ABOVE = 3
+#: So many elements, at least, are handed on at once.
+BATCH = 4096
 ELEMENT = "page_id long, kind string, tenant string, place int, tag string, classes array<string>, attrs map<string,string>, path array<int>, inside array<string>, nth int, text string, inner string, above string, tr int, li int, postings int, department int"
 
 
+_SELECTED, _METADATA, _TITLED = frozenset(SELECTED), frozenset(METADATA), frozenset(("posting-category-title", "large-category-header", "sort-by-location", "location", "job-location"))
+
+
 class _Elements(HTMLParser):
     """The elements of a page in order: each with its open ancestors and the span of text pieces that it holds."""
 
@@ -84,7 +91,7 @@ class _Elements(HTMLParser):
     def _close(self, i):
         for e in reversed(self.open[i:]):
             e["to"] = len(self.pieces)
-            if e["up"] and not set(METADATA).isdisjoint(e["classes"]):
+            if e["up"] and not _METADATA.isdisjoint(e["classes"]):
                 e["up"][-1]["skip"].append((e["from"], e["to"]))
         del self.open[i:], self.children[i + 1 :]
 
@@ -100,19 +107,34 @@ class _Elements(HTMLParser):
         self.close()
         self._close(0)
         cards = {e["up"][-1]["place"] for e in self.found if e["tag"] == "a" and e["up"]}
-        kept = {e["place"] for e in self.found if e["tag"] in KEPT or not set(SELECTED).isdisjoint(e["classes"])} | cards
+        kept = {e["place"] for e in self.found if e["tag"] in KEPT or not _SELECTED.isdisjoint(e["classes"])} | cards
+        headings: dict[int, str | None] = {}
+
+        def heading(h):
+            if h["place"] not in headings:
+                headings[h["place"]] = self.text(h)
+            return headings[h["place"]]
+
         for e in self.found:
             if e["place"] not in kept:
                 continue
-            hits = [c for c in e["classes"] if c in SELECTED]
-            whole = e["tag"] in ("a", "p", *HEADINGS) or {"posting-category-title", "large-category-header", "sort-by-location", "location", "job-location"} & set(hits)
-            above = next((t for h in reversed(e["above"]) if (t := self.text(h))), None)
-            parent = e["up"][-1]["place"] if e["up"] else -1
-            nearest = lambda test: next((u["place"] for u in reversed(e["up"]) if test(u)), None)  # noqa: B023, E731
+            tag, up, hits = e["tag"], e["up"], [c for c in e["classes"] if c in _SELECTED]
+            whole = tag in ("a", "p", *HEADINGS) or not _TITLED.isdisjoint(hits)
+            parent = up[-1]["place"] if up else -1
+            # the nearest of each kind is the last one on the way down
+            near, inside = {"tr": None, "li": None, "postings": None, "department": None}, set()
+            for u in up:
+                if u["tag"] in ("tr", "li"):
+                    near[u["tag"]] = u["place"]
+                if u["classes"]:
+                    inside.update(_SELECTED.intersection(u["classes"]))
+                    if "postings-group" in u["classes"]:
+                        near["postings"] = u["place"]
+                    if "job-posts--table--department" in u["classes"]:
+                        near["department"] = u["place"]
             yield {
-                "place": e["place"], "tag": e["tag"], "classes": hits, "attrs": {k: e["attrs"][k] for k in ATTRIBUTES if k in e["attrs"]}, "path": [u["place"] for u in e["up"] if u["place"] in kept or u["place"] == parent],
-                "inside": sorted({c for u in e["up"] for c in u["classes"] if c in SELECTED}), "nth": e["nth"], "text": self.text(e) if whole else None, "inner": self.text(e, e["skip"]) if e["tag"] in ("a", "p") else None, "above": above,
-                "tr": nearest(lambda u: u["tag"] == "tr"), "li": nearest(lambda u: u["tag"] == "li"), "postings": nearest(lambda u: "postings-group" in u["classes"]), "department": nearest(lambda u: "job-posts--table--department" in u["classes"]),
+                "place": e["place"], "tag": tag, "classes": hits, "attrs": [(k, e["attrs"][k]) for k in ATTRIBUTES if k in e["attrs"]], "path": [u["place"] for u in up if u["place"] in kept or u["place"] == parent],
+                "inside": sorted(inside), "nth": e["nth"], "text": self.text(e) if whole else None, "inner": self.text(e, e["skip"]) if tag in ("a", "p") else None, "above": next((t for h in reversed(e["above"]) if (t := heading(h))), None), **near,
             }
 
 
@@ -120,16 +142,23 @@ def elements(pages: DataFrame) -> DataFrame:
     """The elements of pages (page_id, kind, tenant, html) that templates look at, those around anchors included: place in the page, classes, attributes, ancestors (the nearest row, item, group and department by name), text, text without metadata, and the nearest heading before. Null and empty pages have none."""
     ship(pages.sparkSession)
 
-    def parse(frames):
-        for frame in frames:
-            for page_id, kind, tenant, html in frame.itertuples(index=False):
-                p = _Elements()
-                p.feed(html)
-                out = pd.DataFrame(list(p.rows()))
-                if len(out):
-                    yield out.assign(page_id=page_id, kind=kind, tenant=tenant).astype({c: "Int32" for c in ("tr", "li", "postings", "department")})[[c.split()[0] for c in ELEMENT.split(", ")]]
+    schema = to_arrow_schema(T._parse_datatype_string(ELEMENT))
 
-    return pages.filter("html is not null and html <> ''").select(F.col("page_id").cast("long").alias("page_id"), "kind", "tenant", "html").mapInPandas(parse, ELEMENT)
+    def parse(batches):
+        rows: list[dict] = []
+        for b in batches:
+            for page_id, kind, tenant, html in zip(*(b.column(i) for i in range(4)), strict=True):
+                p = _Elements()
+                p.feed(html.as_py())
+                page = {"page_id": page_id.as_py(), "kind": kind.as_py(), "tenant": tenant.as_py()}
+                rows += [page | r for r in p.rows()]
+                if len(rows) >= BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return pages.filter("html is not null and html <> ''").select(F.col("page_id").cast("long").alias("page_id"), "kind", "tenant", "html").mapInArrow(parse, ELEMENT)
 
 
 def has(name: str) -> Column:

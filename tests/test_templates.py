@@ -79,3 +79,12 @@ def test_one_title_for_most_jobs_drops_the_page(read):
 def test_no_pages(spark):
     jobs, found = T.read(spark.createDataFrame([], "page_id int, kind string, tenant string, html string"))
     assert jobs.count() == 0 and found.count() == 0
+
+
+def test_pages_are_parsed_in_batches(spark):
+    """Elements go to Spark as whole Arrow batches, not as a frame a page; pages without elements and the largest ones keep their places."""
+    rows = [(i, "lever", "t", LEVER if i % 3 else "<div>no element</div>") for i in range(9)] + [(9, "lever", "t", "<p>x</p>" * (2 * T.BATCH))]
+    found = T.elements(spark.createDataFrame(rows, "page_id long, kind string, tenant string, html string"))
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    counts = {r.page_id: r["count"] for r in found.groupBy("page_id").count().collect()}
+    assert counts[9] == 2 * T.BATCH and set(counts) == {1, 2, 4, 5, 7, 8, 9} and len({counts[i] for i in (1, 2, 4, 5, 7, 8)}) == 1
