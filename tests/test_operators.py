@@ -696,3 +696,13 @@ def test_fetch_keys_parse_a_record_once(spark):
     assert sorted((r.record_id, r.probe) for r in keys.collect()) == [(1, "json_ld"), (1, "resolve_posting"), (2, "board_snapshot")]
     plan = keys._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json") + plan.count("parseJson") == 1 and plan.count("LocalRelation") + plan.count("LogicalRDD") == 1
+
+
+def test_leakage_audit_writes_no_tables(spark, tiny, monkeypatch):
+    """The audit's parts read what they need: no copy of steps or evidence is written, and only the parts that need numbers sort by them."""
+    from larkspur.plans import evaluation
+
+    if hasattr(evaluation, "written"):
+        monkeypatch.setattr(evaluation, "written", lambda df: pytest.fail("written"))
+    plan = evaluation.leakage_audit(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number") <= 4
