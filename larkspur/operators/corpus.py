@@ -43,10 +43,12 @@ def cached(asks: DataFrame, cache: DataFrame, key: list[str], asked: str, days:
     fresh = F.col("__last.expires_at") > F.col(asked)
     width = int(days * 86_400_000_000)
     stretch = lambda c: F.floor(F.unix_micros(c) / F.lit(width))
-    left = seen.filter(~fresh & (F.col("__until") > F.col(asked))).select(*key, "__id", F.col(asked).alias("__asked"), stretch(asked).alias("__s"))
+    # only these asks need the responses before the latest one: the others are answered where they lie
+    older = F.coalesce(~fresh & (F.col("__until") > F.col(asked)), F.lit(False))
+    left = seen.filter(older).select(*key, "__id", F.col(asked).alias("__asked"), stretch(asked).alias("__s"))
     held = cache.withColumn("__s", F.explode(F.sequence(stretch("fetched_at"), stretch("expires_at"))))
     hit = held.join(left, [*key, "__s"]).filter((F.col("fetched_at") <= F.col("__asked")) & (F.col("__asked") < F.col("expires_at"))).groupBy("__id").agg(F.max(row).alias("__older"))
-    found = seen.join(hit, "__id", "left").withColumn("__x", F.when(fresh, F.col("__last")).otherwise(F.col("__older")))
+    found = seen.filter(~older).withColumn("__x", F.when(fresh, F.col("__last"))).unionByName(seen.filter(older).join(hit, "__id", "left").withColumn("__x", F.col("__older")).drop("__older"))
     return found.select(*[c for c in asks.columns if c != "__id"], "__x.fetched_at", "__x.response")
 
 

@@ -706,3 +706,16 @@ def test_leakage_audit_writes_no_tables(spark, tiny, monkeypatch):
         monkeypatch.setattr(evaluation, "written", lambda df: pytest.fail("written"))
     plan = evaluation.leakage_audit(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("row_number") <= 4
+
+
+def test_cached_joins_only_asks_whose_latest_response_expired(spark):
+    """Asks that their latest response answers, or that none answers, aren't shuffled for the older ones."""
+    from larkspur.operators import corpus
+
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    cache = spark.createDataFrame([("p", day(1), day(9), "long"), ("p", day(2), day(3), "short"), ("p", day(12), day(14), "late")], "k string, fetched_at string, expires_at string, response string")
+    asks = spark.createDataFrame([(1, "p", day(2)), (2, "p", day(5)), (3, "p", day(10)), (4, "p", day(13)), (5, "q", day(5)), (6, "p", None), (7, None, day(5))], "n int, k string, at string")
+    stamps = lambda df, *cols: df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
+    found = corpus.cached(stamps(asks, "at"), stamps(cache, "fetched_at", "expires_at"), ["k"], "at")
+    assert {r.n: r.response for r in found.collect()} == {1: "short", 2: "long", 3: None, 4: "late", 5: None, 6: None, 7: None}
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
