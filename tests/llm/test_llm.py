@@ -293,6 +293,18 @@ def test_block_max_search_is_exact(monkeypatch, dense):
             assert len(d) >= min(toxicity.K, (want > 0).sum())
 
 
+def test_toxicity_finds_words_of_chunks_once(monkeypatch):
+    """A chunk's words are searched for once, however often it occurs, and terms are counted as over the words of whole texts."""
+    texts = ["Foo-bar “foo” foo’s x—y", "İstanbul ab_c d1e\x1fq １２３abc٣", "", None, "日本語、テスト 東京。東京 ª²ⅷ", "foo bar " * 99]
+    bags = [collections.Counter(t for w in toxicity.WORD.findall((x or "").lower()) for t in toxicity.terms_of(w)) for x in texts]
+    vocabulary = sorted({t for b in bags for t in b})
+    searched, word = [], toxicity.WORD
+    monkeypatch.setattr(toxicity, "WORD", type("Pattern", (), {"findall": staticmethod(lambda x: searched.append(x) or word.findall(x))}))
+    ptr, ids, tf = toxicity.Bag(vocabulary)(texts)
+    assert [{vocabulary[i]: n for i, n in zip(ids[a:b], tf[a:b], strict=True)} for a, b in zip(ptr[:-1], ptr[1:], strict=True)] == bags
+    assert len(searched) == len(set(searched)) and searched.count("foo") == 1
+
+
 def test_toxicity_cosines_over_all_terms_against_brute_force(spark):
     """The nearest example and its cosine for every document of sf0.01, from plain counts of all words and beginnings."""
     sf = "/root/testdata/sf0.01"
