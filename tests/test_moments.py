@@ -152,3 +152,25 @@ def test_ranker_learns_what_the_cost_does_not_say(spark):
     assert ranker.evaluated(df.limit(50)).first().status == "insufficient_data"
     assert ranker.evaluated(df.withColumn("label", F.lit(1))).first().status == "degenerate"
     assert {r.case_id for r in ranker.temporal_holdout(df.limit(3)).filter("holdout").collect()} == {2}
+
+
+def test_evidence_derives_captures_once_and_broadcasts_no_growing_table(spark, tiny, monkeypatch):
+    from larkspur.plans import moments as plans
+
+    calls = []
+    for name in ("captures", "listings"):
+        plain = getattr(plans, name)
+        monkeypatch.setattr(plans, name, lambda *a, name=name, plain=plain: calls.append(name) or plain(*a))
+    monkeypatch.setattr(plans, "jobs_of", lambda *a: calls.append("jobs"))
+    seen, evidence = plans.evidence_of(spark, tiny)
+    assert sorted(calls) == ["captures", "listings"]
+    both = evidence.select("case_id", "claim_type").join(seen.select("case_id", "replay_at"), "case_id")
+    assert both.count() == evidence.count() > 0
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_count_claims_without_gathering_them(spark, tiny):
+    from larkspur.plans import moments as plans
+
+    plan = plans.dataset_records(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "row_number" not in plan
