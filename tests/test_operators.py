@@ -519,6 +519,20 @@ def test_refused_steps_cost_nothing(spark):
     assert [r.allowed for r in policy.budget(rows, {"usd": 9.0}, most=2).filter("run_id = 1").orderBy("step_index").collect()] == [True, True, False, False, False]
 
 
+def test_a_long_run_is_budgeted_without_gathering_its_steps(spark):
+    rows = spark.range(30_000).selectExpr("id % 3 as run_id", "cast(id as int) as step_index", "case when id % 7 = 0 then 50.0D else 0.25D end as usd", "concat('s', id) as note")
+    got = policy.budget(rows, {"usd": 100.0}, most=300)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for run in range(3):
+        spent, n, want = 0.0, 0, []
+        for i in range(run, 30_000, 3):
+            cost = 50.0 if i % 7 == 0 else 0.25
+            fits = n < 300 and spent + cost <= 100.0
+            spent, n = (spent + cost, n + 1) if fits else (spent, n)
+            want.append((i, f"s{i}", fits, spent))
+        assert [tuple(r) for r in got.filter(F.col("run_id") == run).orderBy("step_index").select("step_index", "note", "allowed", "spent_usd").collect()] == want
+
+
 def test_claims_are_read_by_the_rules(spark):
     from larkspur.operators import inputs as I
 
