@@ -174,3 +174,13 @@ def test_records_count_claims_without_gathering_them(spark, tiny):
 
     plan = plans.dataset_records(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "row_number" not in plan
+
+
+def test_event_counts_sum_up_the_claims_without_pairing(spark):
+    rng = random.Random(7)
+    events = spark.createDataFrame([(rng.randrange(3), rng.choice(["layoff", "funding", "nonsense"]), D(i % 90, 5), D(i % 90 + rng.randrange(9)), rng.choice(["minor", "material"]), f"h{i}") for i in range(300)], "company_id int, event_type string, event_at timestamp, available_at timestamp, materiality string, headline string")
+    cases = spark.createDataFrame([(i, i % 4 if i % 9 else None, D(rng.randrange(100)), D(rng.randrange(100)) if i % 3 else None) for i in range(60)], "case_id int, company_id int, replay_at timestamp, searched_at timestamp")
+    each = claims.event_claims(cases, events).groupBy("case_id", "claim_type", "source_quality")
+    want = each.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_value"), F.max("value").alias("last_value"), F.max("source_event_at").alias("latest"), F.max("available_at").alias("available_at"))
+    got = claims.event_counts(cases, events)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 50
