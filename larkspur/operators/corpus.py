@@ -108,6 +108,10 @@ DOMAINS = {
 DATES = {"declared_expiry": "expiry_known", "last_material_event_at": "events_searched"}
 
 
+#: Tasks that the fillings of signatures are dealt over.
+SIGNATURES = 48
+
+
 def could_change(inputs: DataFrame) -> DataFrame:
     """inputs with could_change: the unknown inputs of which some value, with some values of the other unknown ones, leads to another action than if they stayed unknown.
 
@@ -118,9 +122,15 @@ def could_change(inputs: DataFrame) -> DataFrame:
     rest = ["quality", "long_lived", "declared_expiry", "last_material_event_at", "last_refreshed_at"]
     answered = policy.yes(F.col("last_refreshed_at") > F.col("last_material_event_at"))
     open_ = {c: ~policy.yes(F.col(known)) if known in inputs.columns else F.lit(False) for c, known in DATES.items()}
-    flags = F.struct(F.col("quality"), F.col("long_lived"), F.col("declared_expiry").isNotNull().alias("expiry"), F.col("last_material_event_at").isNotNull().alias("event"), answered.alias("answered"), F.col("last_refreshed_at").isNotNull().alias("refreshed"), *[c.alias(f"open_{n}") for n, c in open_.items()], *DOMAINS)
-    rows = inputs.withColumn("__sig", F.to_json(flags, {"ignoreNullFields": "false"}))
-    each = rows.groupBy("__sig").agg(*[F.first(c).alias(c) for c in (*rest, *DOMAINS)], *[F.first(c).alias(f"__open_{n}") for n, c in open_.items()])
+    flags = {"quality": F.col("quality"), "long_lived": F.col("long_lived"), "expiry": F.col("declared_expiry").isNotNull(), "event": F.col("last_material_event_at").isNotNull(), "answered": answered, "refreshed": F.col("last_refreshed_at").isNotNull(), **{f"open_{n}": c for n, c in open_.items()}, **{d: F.col(d) for d in DOMAINS}}
+    # a null is told from every text by its place in front of the texts
+    marks = [F.concat_ws("", *[F.when(c.isNull(), "1").otherwise("0") for c in flags.values()]), *[F.coalesce(c.cast("string"), F.lit("")) for c in flags.values()]]
+    rows = inputs.withColumn("__sig", F.concat_ws("\x1f", *marks))
+    # all but the dates follow from the signature, so they are keys: cases are counted down in hash tables, not sorted
+    fixed = [c for c in (*rest, *DOMAINS) if c not in DATES and c != "last_refreshed_at"]
+    each = rows.groupBy("__sig", *fixed).agg(*[F.first(c).alias(c) for c in (*DATES, "last_refreshed_at")], *[F.first(c).alias(f"__open_{n}") for n, c in open_.items()])
+    # few signatures have many fillings each: small before they are filled, so Spark would put them into one task
+    each = each.repartition(SIGNATURES, "__sig")
     filled = each
     for c, values in DOMAINS.items():
         options = F.when(F.col(c).isNull(), F.array(F.lit(None).cast(inputs.schema[c].dataType), *map(F.lit, values))).otherwise(F.array(F.col(c)))

@@ -553,6 +553,20 @@ def test_claims_are_read_by_the_rules(spark):
     assert [r.claim_type for r in I.guarded_publish(late).collect()] == ["first_published", "first_published", "publish_date_after_first_seen", "posting_state"]
 
 
+def test_signatures_tell_nulls_apart_and_their_fillings_are_dealt_out(spark):
+    from larkspur.operators import corpus as C
+
+    cols = "case_id int, posting_state string, freeze_or_pause boolean, material_negative_event boolean, repost_pattern string, corroborating_hiring_signal boolean, publish_recency string, quality string, long_lived boolean, declared_expiry timestamp, last_material_event_at timestamp, last_refreshed_at timestamp"
+    known = ("open", False, False, "none", False, "recent")
+    rows = [(i, *(None if i >> k & 1 else v for k, v in enumerate(known)), q, None, None, None, None) for i, q in enumerate([*["strong"] * 32, *["", None] * 16])]
+    df = spark.createDataFrame(rows, cols)
+    out = C.could_change(df)
+    alone = {r[0]: C.could_change(df.filter(F.col("case_id") == r[0])).first().could_change for r in rows[::13]}
+    got = {r.case_id: r.could_change for r in out.collect()}
+    assert len(got) == len(rows) and {i: got[i] for i in alone} == alone
+    assert "hashpartitioning(__sig#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and f", {C.SIGNATURES}), REPARTITION_BY_NUM" in plan
+
+
 def test_unknown_dates_are_questions_too(spark):
     from larkspur.operators import corpus as C
 
