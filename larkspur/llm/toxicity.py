@@ -21,14 +21,14 @@ are no labels. An empty table gives an empty table. Extra columns are ignored, w
 
 from __future__ import annotations
 
+import itertools
 import re
-from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,10 +38,12 @@ from larkspur.session import written
 
 SAMPLE, SAMPLE_BYTES, PREFIXES, DENSE, BLOCK, K, PRIOR = 1250, 32 << 20, (3, 4, 5, 6), 3072, 64, 15, 0.5
 WORD = re.compile(r"[^\W\d_]+")
-#: Bytes of UTF-8 with a space for each ASCII character that is no letter.
-GAPS = bytes(b if b > 127 or WORD.fullmatch(chr(b)) else 32 for b in range(256))
-#: So many words are remembered in a task; so many texts and entries of lists are taken at once; bits for how often a word occurs in a text.
-REMEMBERED, TEXTS, ENTRIES, TIMES = 200_000, 256, 2_000_000, 24
+#: Bytes of UTF-8 with A-Z in lower case and a space for each ASCII character that is no letter.
+GAPS = bytes(b if b > 127 else ord(chr(b).lower()) if WORD.fullmatch(chr(b)) else 32 for b in range(256))
+#: White space beyond ASCII that texts hold often; the small form of capital sigma alone depends on what is around it.
+WIDE, SIGMA = (b"\xc2\xa0", b"\xe3\x80\x80"), "\u03a3".encode()
+#: So many texts and entries of lists are taken at once; bits for how often a word occurs in a text.
+TEXTS, ENTRIES, TIMES = 256, 2_000_000, 24
 #: So many blocks are visited before the others are held against the K-th best.
 FIRST = 3
 
@@ -51,59 +53,95 @@ def terms_of(word: str) -> tuple[str, ...]:
     return (word, *(word[:n] + "~" for n in PREFIXES if len(word) > n))
 
 
-def chunks(text: str) -> list[str]:
-    """A text in lower case, cut at ASCII characters that are no letters and at white space: no word is cut, and the words of a chunk are found once for all its occurrences."""
-    return text.lower().encode().translate(GAPS).decode().split()
-
-
-class Known(dict):
-    """Numbers of chunks; a chunk seen for the first time adds the terms of its words to the lists of its Bag."""
-
-    def __init__(self, bag: Bag) -> None:
-        super().__init__()
-        self.bag = bag
-
-    def __missing__(self, chunk: str) -> int:
-        at, bag = self.bag.at, self.bag
-        bag.terms.extend(at[t] for word in WORD.findall(chunk) for t in terms_of(word) if t in at)
-        bag.ends.append(len(bag.terms))
-        self[chunk] = number = len(bag.ends) - 2
-        return number
+def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(ptr, codes, found): text k, cut at ASCII characters that are no letters and at white space, has the chunks found[c] for c of codes[ptr[k] : ptr[k + 1]].
+
+    No word is cut; chunks are in lower case, and equal ones have one code but for letters beyond ASCII in both cases. All texts are cut at once as one run of bytes.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string()).cast(pa.large_binary())
+    if not len(texts):
+        return np.zeros(1, np.int64), np.zeros(0, np.int64), []
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if offsets[-1] > offsets[0] else b""
+    if SIGMA in data:
+        return chunks(pa.array([t.decode().lower() for t in texts.to_pylist()], pa.large_string()))
+    data = data.translate(GAPS)
+    for gap in WIDE:
+        data = data.replace(gap, b" " * len(gap))
+    held = np.frombuffer(data, np.uint8) != 32
+    rows = offsets - offsets[0]
+    starts = held.copy()
+    starts[1:] &= ~held[:-1]
+    first = rows[rows < len(held)]
+    starts[first] = held[first]
+    ends = held.copy()
+    ends[:-1] &= ~held[1:] | starts[1:]
+    starts = np.flatnonzero(starts)
+    at = np.r_[0, np.cumsum(np.flatnonzero(ends) + 1 - starts)]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data.translate(None, b" "))]).dictionary_encode()
+    if not len(starts):
+        return np.zeros(len(rows), np.int64), np.zeros(0, np.int64), []
+    found = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(b" ", pa.large_binary()))[0].as_py()
+    return np.searchsorted(starts, rows), coded.indices.to_numpy(), found.decode().lower().split(" ")
+
+
+def runs(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
 
 class Bag:
     """Counts of the vocabulary's terms in texts."""
 
     def __init__(self, vocabulary: list[str]) -> None:
-        self.at = {t: i for i, t in enumerate(vocabulary)}
-        self.clear()
-
-    def clear(self) -> None:
-        # the terms of chunk k are terms[ends[k] : ends[k + 1]]
-        self.terms, self.ends, self.known = array("i"), array("i", [0]), Known(self)
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.size = len(vocabulary)
+        begins = np.array([len(t) - 1 if t.endswith("~") else 0 for t in vocabulary], np.int64)
+        # the words, then the beginnings of each length: numbers of these terms, and the terms without their mark
+        self.sets = []
+        for n in (0, *PREFIXES):
+            at = np.flatnonzero(begins == n)
+            self.sets.append((n, at, pa.array([vocabulary[i][: n or None] for i in at], pa.string())))
+
+    def terms(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, terms): chunk c holds terms[ends[c] : ends[c + 1]]. A chunk's words are searched for once; all words are looked up at once."""
+        words = list(map(WORD.findall, found))
+        size = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
+        flat = pa.array(itertools.chain.from_iterable(words), pa.string(), size=int(size[-1]))
+        ids, letters = np.full((len(flat), len(self.sets)), -1, np.int32), pc.utf8_length(flat).to_numpy()
+        for k, (n, at, held) in enumerate(self.sets):
+            got = pc.index_in(pc.utf8_slice_codeunits(flat, 0, n) if n else flat, held).fill_null(-1).to_numpy()
+            hit = (got >= 0) & (letters > n)
+            ids[hit, k] = at[got[hit]]
+        known = ids >= 0
+        return np.r_[0, np.cumsum(known.sum(1))][size], ids[known]
+
+    def found(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Text times the vocabulary's size plus term, and how often: for each term of each distinct chunk of each text."""
+        ptr, codes, found = chunks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        key = np.sort(np.repeat(np.arange(len(ptr) - 1) * len(found), np.diff(ptr)) + codes)
+        starts = runs(key)
+        times, key = np.diff(np.r_[starts, len(key)]), key[starts]
+        text, chunk = np.divmod(key, max(1, len(found)))
+        ends, terms = self.terms(found)
+        n = ends[chunk + 1] - ends[chunk]
+        at = np.repeat(ends[chunk] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        return np.repeat(text * self.size, n) + terms[at], np.repeat(times, n)
+
+    def held(self, texts: pa.Array | list[str | None]) -> np.ndarray:
+        """How many of the texts hold each term."""
+        key = self.found(texts)[0]
+        key = np.sort(key.astype(np.int32) if len(texts) * self.size < 1 << 31 else key)
+        return np.bincount(key[runs(key)] % max(1, self.size), minlength=self.size)
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ptr, ids, tf): text k holds terms ids[ptr[k] : ptr[k + 1]], each tf times."""
-        if len(self.known) > REMEMBERED:
-            self.clear()
-        words, times, size = [], [], []
-        for t in texts:
-            found = Counter(chunks(t)) if t else {}
-            words.extend(map(self.known.__getitem__, found))
-            times.extend(found.values())
-            size.append(len(found))
-        if not self.terms or not words:
-            return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-        terms, ends, number = np.frombuffer(self.terms, np.int32), np.frombuffer(self.ends, np.int32).astype(np.int64), np.array(words)
-        n = ends[number + 1] - ends[number]
-        at = np.repeat(ends[number] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        key, times = self.found(texts)
         # sorted numbers of text, term and times in one; longer counts than TIMES bits hold are written as the most they hold
-        key = np.repeat(np.repeat(np.arange(len(texts)) * len(self.at), size), n) + terms[at]
-        key = np.sort(key << TIMES | np.repeat(np.minimum(np.array(times), (1 << TIMES) - 1), n))
+        key = np.sort(key << TIMES | np.minimum(times, (1 << TIMES) - 1))
         tf, key = key & ((1 << TIMES) - 1), key >> TIMES
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        starts = runs(key)
         key = key[starts]
-        return np.searchsorted(key, np.arange(len(texts) + 1) * len(self.at)), (key % len(self.at)).astype(np.int32), np.add.reduceat(tf, starts) if len(starts) else tf
+        return np.searchsorted(key, np.arange(len(texts) + 1) * self.size), (key % max(1, self.size)).astype(np.int32), np.add.reduceat(tf, starts) if len(starts) else tf
 
 
 @dataclass
@@ -259,7 +297,7 @@ def frequencies(docs: DataFrame, shared: Broadcast, text: str = "text") -> tuple
         bag, seen, rows = Bag(shared.value), np.zeros(len(shared.value), np.int64), 0
         for b in batches:
             rows += b.num_rows
-            seen += np.bincount(bag(b.column(0).to_pylist())[1], minlength=len(seen))
+            seen += bag.held(b.column(0))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[seen[at], rows])], ["i", "n"])
         release()
@@ -301,7 +339,7 @@ def learn(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text"
         bag = Bag(shared.value)
 
         def f(b: pa.RecordBatch) -> dict:
-            ptr, ids, tf = bag(b.column(2).to_pylist())
+            ptr, ids, tf = bag(b.column(2))
             return {"k": b.column(0), "y": b.column(1), **{c: [v[a:z].astype("<i4").tobytes() for a, z in zip(ptr[:-1], ptr[1:], strict=True)] for c, v in (("ids", ids), ("tf", tf))}}
 
         return f
@@ -338,7 +376,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
         bag = Bag(m.vocabulary)
 
         def f(b: pa.RecordBatch) -> dict:
-            got = m.scores(bag(b.column(3).to_pylist()))
+            got = m.scores(bag(b.column(3)))
             return {"k": b.column(0), "h1": b.column(1), "h2": b.column(2), "score": [g[0] for g in got], "nearest": [None if g[1] < 0 else m.keys[g[1]].item() for g in got], "cosine": [g[2] for g in got]}
 
         return f

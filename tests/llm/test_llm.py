@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,6 +306,23 @@ def test_toxicity_finds_words_of_chunks_once(monkeypatch):
     assert len(searched) == len(set(searched)) and searched.count("foo") == 1
 
 
+def test_toxicity_looks_terms_of_all_words_up_at_once(monkeypatch):
+    """Terms of a batch's words are looked up together, not word by word, from Arrow columns, slices and nulls included; counts are those over whole lower-case texts."""
+    texts = ["ΟΔΥΣΣΕΥΣ ΑΣ.Α Σ", "Équipe équipe ÉQUIPE\u00a0été\u3000日本", None, "", "  ", "İİİİİİİ-straße STRASSE x²y", "a\tb\x85c\u2028abc abcd abcdefg abcdefgh", "Foo1bar foo_BAR " * 50]
+    bags = [collections.Counter(t for w in toxicity.WORD.findall((x or "").lower()) for t in toxicity.terms_of(w)) for x in texts]
+    vocabulary = sorted({t for b in bags for t in b} - {"abc~", "foo", "été"} | {"unseen", "uns~"})
+    wanted = [{t: n for t, n in b.items() if t in vocabulary} for b in bags]
+    asked, terms_of = [], toxicity.terms_of
+    monkeypatch.setattr(toxicity, "terms_of", lambda w: asked.append(w) or terms_of(w))
+    for column, want in ((pa.array(texts), wanted), (pa.array(["other", *texts, "other"])[3:-2], wanted[2:-1]), (pa.array(texts, pa.large_string())[4:5], wanted[4:5])):
+        bag = toxicity.Bag(vocabulary)
+        ptr, ids, tf = bag(column)
+        assert [{vocabulary[i]: n for i, n in zip(ids[a:b], tf[a:b], strict=True)} for a, b in zip(ptr[:-1], ptr[1:], strict=True)] == want
+        assert bag.held(column).tolist() == [sum(t in w for w in want) for t in vocabulary]
+    assert not asked
+    assert toxicity.Bag([])(texts)[0].tolist() == [0] * 9 and not toxicity.Bag([]).held(texts).size and toxicity.Bag(["foo"]).held([]).tolist() == [0]
+
+
 def test_toxicity_cosines_over_all_terms_against_brute_force(spark):
     """The nearest example and its cosine for every document of sf0.01, from plain counts of all words and beginnings."""
     sf = "/root/testdata/sf0.01"
