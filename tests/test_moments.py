@@ -176,6 +176,31 @@ def test_records_count_claims_without_gathering_them(spark, tiny):
     assert "collect_list" not in plan and "row_number" not in plan
 
 
+def test_dataset_records_hold_all_of_their_evidence(spark, tiny):
+    from larkspur.plans import moments as plans
+
+    seen, evidence = plans.evidence_of(spark, tiny)
+    said = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'") if c.endswith("_at") else F.col(c) for c in claims.COLUMNS[2:]]
+    want = evidence.join(seen.select("case_id", "company_id", "job_id", "replay_at"), "case_id").select(F.concat_ws("/", "company_id", "job_id"), "replay_at", "probe", "evidence_id", *said).collect()
+    held = []
+    for r in plans.dataset_records(spark, tiny).collect():
+        data = json.loads(r.data)
+        assert (data["posting_id"], data["observable"], len(data["evidence"])) == (r.posting_id, r.claims > 0, r.claims)
+        held += [(r.posting_id, r.replay_at, r.probe_name, f"e{e['n']}", *map(e.get, claims.COLUMNS[2:])) for e in data["evidence"]]
+    assert sorted(map(str, held)) == sorted(str(tuple(r)) for r in want) and {h[2] for h in held} == set(datasets.ORDER)
+
+
+def test_records_keep_microseconds_and_number_ties_by_what_they_say(spark):
+    at = dt.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    said = spark.createDataFrame([("c", datasets.ORDER[0], "first_published", "2024-01-02", u, "ats_native", at, at, at, x) for u, x in (("v", "b"), ("u", None), ("v", "a"))], "case_id string, probe string, claim_type string, value string, source_url string, source_quality string, source_event_at timestamp, available_at timestamp, fetched_at timestamp, excerpt string")
+    cases = spark.createDataFrame([("c", 1, 2, at)], "case_id string, company_id int, job_id int, replay_at timestamp")
+    got = {r.probe_name: json.loads(r.data) for r in datasets.records("d", cases, claims.numbered(said, datasets.ORDER), F.lit(at)).collect()}
+    held = got[datasets.ORDER[0]]["evidence"]
+    assert [(e["n"], e["source_url"], e.get("excerpt")) for e in held] == [(1, "u", None), (2, "v", "a"), (3, "v", "b")]
+    assert {e[c] for e in held for c in ("source_event_at", "available_at", "fetched_at")} == {"2024-01-02T03:04:05.678901Z"}
+    assert [got[p]["evidence"] for p in datasets.ORDER[1:]] == [[]] * 4 and not got[datasets.ORDER[1]]["observable"]
+
+
 def test_event_counts_sum_up_the_claims_without_pairing(spark):
     rng = random.Random(7)
     events = spark.createDataFrame([(rng.randrange(3), rng.choice(["layoff", "funding", "nonsense"]), D(i % 90, 5), D(i % 90 + rng.randrange(9)), rng.choice(["minor", "material"]), f"h{i}") for i in range(300)], "company_id int, event_type string, event_at timestamp, available_at timestamp, materiality string, headline string")
